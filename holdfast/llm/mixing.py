@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HOT_GROUPS, n_words, written
+from .shared import HOT_GROUPS, hash_place, n_buckets, n_words, running_sum, written
 
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,7 +51,7 @@ def curriculum_time(demand: Column, slope: Column) -> Column:
     return F.when(F.abs(a) < 1e-9, demand).otherwise((-b + F.sqrt(b * b + 4 * a * demand)) / (2 * a))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, steepest: float = 0.8, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, steepest: float = 0.8) -> DataFrame:
     """How many words of each document the mix takes, and when: sorted by position.
 
     Size is the number of words (null text: 0). Documents of a source stand in the order of
@@ -68,32 +68,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     words have target 0.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    rows = rows.withColumn("place", F.xxhash64(F.lit("mix"), "id"))
+    rows = rows.withColumn("place", hash_place("id"))
     rows = written(rows, "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = written(source_targets(sums, weights, most), "mix-targets")
-    # The number of buckets follows the number of rows of all sources.
     n_rows = targets.agg(F.sum("n_rows")).first()[0] or 0
-    n_buckets = max(256, n_rows // rows_per_bucket)
-    # Equal ranges of the hash, in its order.
-    bucket = F.floor((F.col("place").cast("double") / F.lit(2.0**64) + 0.5) * n_buckets).cast("long")
-    rows = rows.withColumn("bucket", F.least(bucket, F.lit(n_buckets - 1)))
-    bases = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.withColumn("base", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
     slope = F.lit(steepest) * (1 - 2 * (F.col("weight") - min(weights)) / F.lit(max(1, max(weights) - min(weights))))
     targets = targets.withColumn("slope", slope)
     few = targets.count() <= HOT_GROUPS
     side = F.broadcast(targets) if few else targets
-    same = F.col("b.source").eqNullSafe(F.col("t.source"))
-    bases = bases.alias("b").join(side.alias("t"), same).select("b.*", "source_size", "target", "slope")
-    within = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    on = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket"))
-    rows = rows.alias("r").join(bases.alias("s"), on).select("r.*", "base", "source_size", "target", "slope")
+    # Sources by their hash, so that null is a key like others.
+    rows = rows.withColumn("key", F.xxhash64(F.col("source").isNull(), "source"))
+    rows = running_sum(rows, ["key"], "place", ["id", "size"], "size", "start", n_buckets(n_rows))
+    rows = rows.alias("r").join(side.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "slope")
     words = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    rows = rows.withColumn("start", F.col("base") + F.col("inner")).withColumn("passes", passes)
+    rows = rows.withColumn("passes", passes)
     last = words - F.col("passes") * F.col("source_size") - F.col("start")
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least("size", last)))
     when = curriculum_time(F.least(F.lit(1.0), F.col("start") / F.greatest("target", F.lit(1.0))), F.col("slope"))

@@ -9,7 +9,9 @@ from .chat import ChatTemplate, format_chats, read_chats
 from .exact import exact_duplicates
 from .mixing import mix_sources
 from .quality import score_quality
+from .packing import pack_documents
 from .shared import documents
+from .tokens import token_files
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,15 +33,29 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), vocabulary(), end_id=2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_chat_formatting, op7_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
 
 ORACLES = {
     "op5_chat_formatting": r"""

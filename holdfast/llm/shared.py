@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -63,3 +63,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     keys = F.broadcast(hot.select(key))
     rest = rows.join(keys, key, "left_anti").join(groups.where(F.col(size) <= limit), key)
     return rest.unionByName(rows.join(F.broadcast(hot), key).select(rest.columns))
+
+
+def hash_place(*key) -> Column:
+    """A stable, even order of rows by a hash of `key`."""
+    return F.xxhash64(F.lit("place"), *key)
+
+
+def n_buckets(n_rows: int, rows_per_bucket: int = 20_000) -> int:
+    return max(256, n_rows // rows_per_bucket)
+
+
+def running_sum(rows: DataFrame, by: list[str], place: str, ties: list[str], value: str, out: str, buckets: int) -> DataFrame:
+    """Adds `out`: the sum of `value` over the rows before this one, in the order of `place`, among those equal in `by`.
+
+    Two levels: within equal ranges of the hash `place`, and over these ranges' sums, so that no
+    group of `by` needs to fit a task. `by` and `value` hold no nulls.
+    """
+    bucket = F.floor((F.col(place).cast("double") / F.lit(2.0**64) + 0.5) * buckets).cast("long")
+    rows = rows.withColumn("_bucket", F.least(bucket, F.lit(buckets - 1)))
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*by, "_bucket").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return rows.join(sums, [*by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_bucket", "_base", "_inner")
