@@ -11,9 +11,14 @@ from .mixing import mix_sources
 from .quality import score_quality
 from .packing import pack_documents
 from .shared import documents
+from .suffix import remove_repeated_bytes
 from .tokens import token_files
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
 
 ORACLES = {
     "op5_chat_formatting": r"""

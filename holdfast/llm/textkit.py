@@ -126,6 +126,30 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in [start, start + width) of any start."""
     edge = np.zeros(n + width + 1, np.int32)
-    np.add.at(edge, starts, 1) if len(starts) < 64 else edge.__iadd__(np.bincount(starts, minlength=len(edge)).astype(np.int32))
+    np.add.at(edge, starts, 1)
     edge[width:] -= edge[:-width].copy()
     return np.cumsum(edge[:n]) > 0
+
+
+def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) over x[i : i + width], cut off at the end."""
+    x, have = x.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        if len(x) > step:
+            best(x[:-step], x[step:], out=x[:-step])
+        have += step
+    return x
+
+
+def anchors(grams: np.ndarray, whole: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of `width` grams from each place on the least one, and the places that are least of some such run.
+
+    `whole` says where all grams of the run are of one text. Equal runs have the same anchors, ties
+    included, so whatever two texts share holds an anchor that they share.
+    """
+    least = sliding(grams, width, np.minimum)
+    known = np.where(whole, least, U64(0))
+    # The largest of the minima of all runs that hold this place, looking back.
+    back = sliding(known[::-1], width, np.maximum)[::-1]
+    return least, (back == grams) & (back > 0)
