@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import ChatTemplate, format_chats, read_chats
 from .exact import exact_duplicates
+from .fmindex import remove_earlier_windows
 from .mixing import mix_sources
 from .quality import score_quality
 from .packing import pack_documents
@@ -15,6 +16,10 @@ from .suffix import remove_repeated_bytes
 from .tokens import token_files
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier_windows(documents(spark, sf_dir))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir))
 
@@ -60,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
 
 ORACLES = {
     "op5_chat_formatting": r"""
