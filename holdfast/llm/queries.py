@@ -10,6 +10,7 @@ from .exact import exact_duplicates
 from .fmindex import remove_earlier_windows
 from .mixing import mix_sources
 from .quality import score_quality
+from .ngrams import near_duplicates
 from .packing import pack_documents
 from .shared import documents
 from .suffix import remove_repeated_bytes
@@ -61,11 +62,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), vocabulary(), end_id=2)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing)}
 
 ORACLES = {
     "op5_chat_formatting": r"""

@@ -88,3 +88,12 @@ def running_sum(rows: DataFrame, by: list[str], place: str, ties: list[str], val
     within = Window.partitionBy(*by, "_bucket").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return rows.join(sums, [*by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_bucket", "_base", "_inner")
+
+
+#: Rows of a side that is broadcast after they were counted.
+SENT_ROWS = 200_000
+
+
+def join_checked(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", limit: int = SENT_ROWS) -> DataFrame:
+    """Joins `rows` with `few`, whose rows are counted first: it is broadcast up to `limit`, and shuffled beyond."""
+    return rows.join(F.broadcast(few) if few.count() <= limit else few, on, how)
