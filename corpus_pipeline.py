@@ -1,8 +1,69 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; it is written
+as Parquet and read again for the next. All but the last return the columns of the documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from holdfast.llm.exact import without_copies
+from holdfast.llm.mixing import mix_sources
+from holdfast.llm.ngrams import near_duplicates
+from holdfast.llm.packing import pack_documents
+from holdfast.llm.quality import score_quality
+from holdfast.llm.queries import vocabulary
+from holdfast.llm.shared import documents, written
+
+#: The stages aren't SQL: hashed n-grams, MinHash and tokens.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs, labels, carry=True).where("kept").select(*docs.columns)
+
+
+def single_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return without_copies(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one of the least id."""
+    first = near_duplicates(docs).where("first").select(F.col("doc_id").alias("_id"))
+    return docs.join(written(first, "near-first"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, each as often as it takes more than half of it again, at least once."""
+    mix = written(mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "taken", "size"), "mix")
+    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
+    rows = docs.join(mix, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1,024 tokens."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("exact dedup", single_texts),
+    ("n-gram Jaccard join", distinct_texts),
+    ("mixing sources", mixed_sources),
+    ("packing", packed_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i + 1}")
+    return docs

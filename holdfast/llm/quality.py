@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .textkit import U64, Texts, blocks, covered, mixed, per_text, repeats, span_hashes
 
 #: Buckets of hashed words and word pairs, fixed whatever the input: the model has as many numbers.
-BUCKETS = 1 << 14
-#: Added to each bucket's count, so that rare ones lean to a ratio of 1.
+BUCKETS = 1 << 16
+#: Added to a bucket's trusted and expected counts, so that rare ones lean to a ratio of 1.
 SMOOTHING = 20.0
 #: A document is kept from this mean log ratio of an n-gram upwards.
-THRESHOLD = -0.25
+THRESHOLD = -0.4
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
 LABELS_SENT = 1_000_000
 SYMBOL = np.zeros(256, bool)
@@ -22,10 +22,14 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def ngrams(texts: Texts, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word and word pair, and the text it is of."""
+    """Bucket of each word, word pair and last three bytes of a word, and the text it is of."""
     pairs, whole = texts.windows(hashes, 2)
-    both = np.concatenate([hashes, pairs[whole]])
-    return (mixed(both) & U64(BUCKETS - 1)).astype(np.int64), np.concatenate([texts.word_doc, texts.word_doc[whole]])
+    size = np.minimum(texts.ends - texts.starts, 3)
+    last = size.astype(U64) + U64(1 << 40)
+    for i in range(3):
+        last = last * U64(257) + np.where(size > i, texts.data[np.maximum(texts.ends - 1 - i, 0)], 0).astype(U64)
+    every = np.concatenate([hashes, pairs[whole], mixed(last)])
+    return (mixed(every) & U64(BUCKETS - 1)).astype(np.int64), np.concatenate([texts.word_doc, texts.word_doc[whole], texts.word_doc])
 
 
 def base_counts(texts: Texts, hashes: np.ndarray) -> dict[str, np.ndarray]:
@@ -78,7 +82,8 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 mine = np.asarray(part.column("trusted").to_numpy(zero_copy_only=False), bool)
                 good += np.bincount(bucket[mine[doc]], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], ["bucket", "raw", "good"])
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
     sums = rows.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -86,24 +91,22 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         raw[bucket], good[bucket] = r, g
     if not good.sum():
         return np.zeros(BUCKETS)
-    # Smoothing adds the raw distribution to the trusted counts, so unseen buckets of few words stay near 0.
-    prior = (raw + 1) / (raw + 1).sum()
-    weight = SMOOTHING * BUCKETS * min(1.0, good.sum() / (SMOOTHING * BUCKETS * 20))
-    return np.log((good + weight * prior) / (good.sum() + weight)) - np.log(prior)
+    return np.log((good + SMOOTHING) / (good.sum() * raw / raw.sum() + SMOOTHING))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """Base counts, score and verdict of each row.
 
-    The score is the mean log ratio of the document's words and word pairs (0 without words). A
+    The score is the mean log ratio of the document's words, word pairs and word ends (0 without words). A
     document is kept if it passes the base rules and its score reaches `threshold`. A null text has
-    no words, so it fails. Repeated rows are scored alike, each for itself; other columns are ignored.
+    no words, so it fails. Repeated rows are scored alike, each for itself.
+    Other columns are ignored, or with `carry` returned in front, as is the text.
     """
     ratios = ngram_ratios(docs, labels, id_col, text)
 
     def score(batches):
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "_text_"):
                 texts.words()
                 hashes = texts.word_hashes()
                 bucket, doc = ngrams(texts, hashes)
@@ -112,10 +115,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 base = base_counts(texts, hashes)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 kept = ~failed & (scores >= threshold)
-                columns = [part.column("id"), *(pa.array(x.astype(np.int64)) for x in base.values()), pa.array(failed), pa.array(kept), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", *base, "base_failed", "kept", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+                columns = [*part.columns[1:], *(pa.array(x.astype(np.int64)) for x in base.values()), pa.array(failed), pa.array(kept), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *base, "base_failed", "kept", "score"])
+
+    names = list(docs.columns) if carry else [id_col]
+    # The texts come first under a name that no other column has.
+    rows = docs.select(F.col(text).alias("_text_"), *names)
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
+    return rows.mapInArrow(score, f"{kinds}, {counts}")
