@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import ChatTemplate, format_chats, read_chats
 from .exact import exact_duplicates
 from .fmindex import remove_earlier_windows
+from .lines import remove_similar_lines
 from .mixing import mix_sources
 from .quality import score_quality
 from .ngrams import near_duplicates
@@ -25,6 +26,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_similar_lines(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -70,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing)}
 
 ORACLES = {
     "op5_chat_formatting": r"""
