@@ -3,41 +3,21 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import join_counted as join_checked
+from ..storage import shared_dir, written
+
+__all__ = ["documents", "hash_place", "join_checked", "join_groups", "n_buckets", "n_words", "running_sum", "shared_dir", "tasks", "written"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most this many groups are ever broadcast; each has a bounded key and a few numbers.
 HOT_GROUPS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only a local session, as in tests, gets one of its own when none is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = "file:///tmp/checkpoints"
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -89,11 +69,3 @@ def running_sum(rows: DataFrame, by: list[str], place: str, ties: list[str], val
     rows = rows.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return rows.join(sums, [*by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_bucket", "_base", "_inner")
 
-
-#: Rows of a side that is broadcast after they were counted.
-SENT_ROWS = 200_000
-
-
-def join_checked(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner", limit: int = SENT_ROWS) -> DataFrame:
-    """Joins `rows` with `few`, whose rows are counted first: it is broadcast up to `limit`, and shuffled beyond."""
-    return rows.join(F.broadcast(few) if few.count() <= limit else few, on, how)

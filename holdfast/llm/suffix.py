@@ -17,7 +17,7 @@ WINDOW, GRAM = 200, 32
 #: Bytes by which suffixes are dealt to buckets, and contexts of a bucket, about.
 LEADING, BUCKET = 16, 8_000
 #: For the splitters: one document in so many, and suffixes at most.
-SAMPLE_DOCS, SAMPLED = 32, 100_000
+SAMPLE_DOCS, SAMPLED = 64, 20_000
 
 
 def byte_items(texts: Texts) -> Items:
