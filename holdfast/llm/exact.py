@@ -71,10 +71,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sha = F.sha2(F.encode(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "UTF-8"), 256)
     found = exact_duplicates(docs, id_col, text)
     best = found.where(F.col(id_col).eqNullSafe(F.col("keep_id")))
-    best = best.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_key")).agg(F.count("*").alias("_n"))
+    best = best.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__key")).agg(F.count("*").alias("__n"))
     best = written(best, "exact-kept")
-    rows = docs.withColumn("_sha", sha)
-    out = rows.join(best, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key")), "left_semi")
-    if not best.where("_n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+    rows = docs.withColumn("__sha", sha)
+    out = rows.join(best, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")), "left_semi")
+    if not best.where("__n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__sha"])
+    return out.drop("__sha")

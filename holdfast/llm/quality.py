@@ -94,13 +94,13 @@ def ngram_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return np.log((good + SMOOTHING) / (good.sum() * raw / raw.sum() + SMOOTHING))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rows_only: bool = False) -> DataFrame:
     """Base counts, score and verdict of each row.
 
     The score is the mean log ratio of the document's words, word pairs and word ends (0 without words). A
     document is kept if it passes the base rules and its score reaches `threshold`. A null text has
     no words, so it fails. Repeated rows are scored alike, each for itself.
-    Other columns are ignored, or with `carry` returned in front, as is the text.
+    Other columns are ignored. With `rows_only` the kept rows are returned instead, as they were.
     """
     ratios = ngram_ratios(docs, labels, id_col, text)
 
@@ -115,12 +115,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 base = base_counts(texts, hashes)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 kept = ~failed & (scores >= threshold)
+                if rows_only:
+                    yield part.select(names).filter(pa.array(kept))
+                    continue
                 columns = [*part.columns[1:], *(pa.array(x.astype(np.int64)) for x in base.values()), pa.array(failed), pa.array(kept), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *base, "base_failed", "kept", "score"])
 
-    names = list(docs.columns) if carry else [id_col]
+    names = list(docs.columns) if rows_only else [id_col]
     # The texts come first under a name that no other column has.
     rows = docs.select(F.col(text).alias("_text_"), *names)
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return rows.mapInArrow(score, f"{kinds}, {counts}")
+    return rows.mapInArrow(score, kinds if rows_only else f"{kinds}, {counts}")
