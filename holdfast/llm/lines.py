@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .passages import BLOBS, ROWS, as_table, column, integers, joined, keyed, new_keys, rows_of, shelf, unpacked
 from .shared import join_checked, tasks, written
-from .textkit import U64, Texts, blocks, mixed
+from .textkit import BLOCK, U64, Texts, blocks, mixed
 
 SIMILARITY = 0.8
 #: Counts of hashed words: a fixed number whatever the input.
 COUNTERS = 1 << 20
 #: Prefix entries that a task holds before it sends them; pairs looked at in one go.
-HELD, PAIRS = 1 << 20, 1 << 21
+HELD, PAIRS = 1 << 19, 1 << 18
 #: A word with more occurrences is split into blocks, and each pair of blocks is a task's group.
 BLOCK_LOG = 17
 HASH_BITS, RARITY_BITS = 40, 5
@@ -91,21 +91,43 @@ def word_rarity(rows: DataFrame) -> np.ndarray:
     return np.minimum(np.log2(counts + 1).astype(np.uint8), 31)
 
 
-def prefix_entries(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: float) -> np.ndarray:
-    """An entry for each word of each line's prefix."""
+SET = np.dtype([("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("prefix", "<u4")])
+
+
+def prefix_sets(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each line, and the words of all their prefixes one after the other."""
     n = np.diff(lines.at)
     if not len(n):
-        return np.zeros(0, ENTRY)
-    own = np.add.reduceat(mixed(lines.token), lines.at[:-1])
-    sketch = np.bitwise_xor.reduceat(U64(1) << (mixed(lines.token ^ U64(0x5555555555)) >> U64(58)), lines.at[:-1])
+        return np.zeros(0, SET), np.zeros(0, U64)
+    out = np.zeros(len(n), SET)
+    out["set"] = np.add.reduceat(mixed(lines.token), lines.at[:-1])
+    out["sketch"] = np.bitwise_xor.reduceat(U64(1) << (mixed(lines.token ^ U64(0x5555555555)) >> U64(58)), lines.at[:-1])
     prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-    of = np.repeat(np.arange(len(n)), prefix)
-    at = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix)
-    e = np.zeros(len(of), ENTRY)
-    e["key"] = lines.token[lines.at[of] + at]
-    e["set"], e["sketch"], e["n"], e["at"] = own[of], sketch[of], n[of], at
-    e["doc"], e["tie"], e["line"], e["side"] = doc[lines.doc[of]], tie[lines.doc[of]], lines.line[of], 2
-    return e
+    out["doc"], out["tie"], out["line"], out["n"], out["prefix"] = doc[lines.doc], tie[lines.doc], lines.line, n, prefix
+    return out, lines.token[np.repeat(lines.at[:-1], prefix) + places(prefix)]
+
+
+def places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def prefix_entries(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An entry for each prefix word of each distinct set, at its earliest place; and the later places."""
+    counts = sets["prefix"].astype(np.int64)
+    begin = np.cumsum(counts) - counts
+    order = np.lexsort((sets["line"], sets["tie"], sets["doc"], sets["sketch"], sets["set"]))
+    sorted_sets = sets[order]
+    at = new_keys(sorted_sets["set"], sorted_sets["sketch"], sorted_sets["n"])
+    rep = np.repeat(at, np.diff(np.append(at, len(order))))
+    later = sorted_sets[(sorted_sets["doc"] != sorted_sets["doc"][rep]) | (sorted_sets["tie"] != sorted_sets["tie"][rep]) | (sorted_sets["line"] != sorted_sets["line"][rep])]
+    own, counts, begin = sorted_sets[at], counts[order[at]], begin[order[at]]
+    spot = places(counts)
+    e = np.zeros(len(spot), ENTRY)
+    e["key"], e["at"], e["side"] = tokens[np.repeat(begin, counts) + spot], spot, 2
+    for n in ("set", "sketch", "doc", "tie", "line", "n"):
+        e[n] = np.repeat(own[n], counts)
+    return e, later
 
 
 def in_blocks(e: np.ndarray) -> np.ndarray:
@@ -127,13 +149,10 @@ def in_blocks(e: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def place_order(e: np.ndarray, *before: np.ndarray) -> np.ndarray:
-    return np.lexsort((e["line"], e["tie"], e["doc"], *before))
-
-
 def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal sets under a key the earliest stays; and the later ones (told at the first word only)."""
-    e = e[place_order(e, e["sketch"], e["set"], e["n"], e["key"])]
+    c = {n: np.ascontiguousarray(e[n]) for n in ("line", "tie", "doc", "sketch", "set", "n", "key")}
+    e = e[np.lexsort(tuple(c.values()))]
     at = new_keys(e["key"], e["n"], e["set"], e["sketch"])
     rep = np.repeat(at, np.diff(np.append(at, len(e))))
     later = ((e["doc"] != e["doc"][rep]) | (e["tie"] != e["tie"][rep]) | (e["line"] != e["line"][rep])) & (e["at"] == 0)
@@ -144,29 +163,48 @@ def candidates(e: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs (later, earlier) under one key that pass the length, position and sketch filters."""
     group = np.zeros(len(e), np.int64)
     group[new_keys(e["key"])] = 1
-    code = np.cumsum(group) * (1 << 32) + e["n"]
-    reach = np.cumsum(group) * (1 << 32) + np.floor(e["n"] / similarity + 1e-9).astype(np.int64)
-    count = np.searchsorted(code, reach, "right") - np.arange(len(e)) - 1
+    n, rest, sketch, side = e["n"].astype(np.int64), e["n"].astype(np.int64) - e["at"], np.ascontiguousarray(e["sketch"]), np.ascontiguousarray(e["side"])
+    code = np.cumsum(group) << 32
+    reach = np.searchsorted(code + n, code + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
+    count = reach - np.arange(len(e)) - 1
     total, found, i = np.concatenate([[0], np.cumsum(count)]), [np.zeros(0, PAIR)], 0
     while i < len(e):
         j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
-        c = count[i:j]
-        a = np.repeat(np.arange(i, j), c)
-        b = a + 1 + np.arange(len(a)) - np.repeat(total[i:j] - total[i], c)
-        x, y = e[a], e[b]
-        n1, n2 = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        need = least_overlap(n1 + n2, similarity)
-        good = 1 + np.minimum(n1 - x["at"], n2 - y["at"]) - 1 >= need
-        good &= np.bitwise_count(x["sketch"] ^ y["sketch"]) <= n1 + n2 - 2 * need
-        good &= (x["side"] != y["side"]) | (x["side"] == 2)
-        x, y = x[good], y[good]
+        a = np.repeat(np.arange(i, j), count[i:j])
+        b = a + 1 + places(count[i:j])
+        need = least_overlap(n[a] + n[b], similarity)
+        # What the sets can share from this word on, if they share none before.
+        good = np.minimum(rest[a], rest[b]) >= need
+        a, b, need = a[good], b[good], need[good]
+        good = np.bitwise_count(sketch[a] ^ sketch[b]) <= n[a] + n[b] - 2 * need
+        good &= (side[a] != side[b]) | (side[a] == 2)
+        x, y = e[a[good]], e[b[good]]
         late = (x["doc"] > y["doc"]) | ((x["doc"] == y["doc"]) & ((x["tie"] > y["tie"]) | ((x["tie"] == y["tie"]) & (x["line"] > y["line"]))))
         pair = np.zeros(len(x), PAIR)
-        for n in ("doc", "tie", "line"):
-            pair[n], pair[n + "2"] = np.where(late, x[n], y[n]), np.where(late, y[n], x[n])
+        for name in ("doc", "tie", "line"):
+            pair[name], pair[name + "2"] = np.where(late, x[name], y[name]), np.where(late, y[name], x[name])
         found.append(pair)
         i = j
-    return np.unique(np.concatenate(found))
+    out = np.concatenate(found)
+    out = out[np.lexsort([np.ascontiguousarray(out[name]) for name in reversed(PAIR.names)])]
+    return out[new_keys(*[out[name] for name in PAIR.names])]
+
+
+def words_of_lines(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes of each line and the line each is of, a block of lines at a time."""
+    at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    raw, tokens, lines, i = np.frombuffer(data, np.uint8), [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1)
+        texts = Texts(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        texts.words()
+        token, of = texts.word_hashes(), texts.word_doc
+        order = np.lexsort((token, of))
+        order = order[new_keys(of[order], token[order])]
+        tokens.append(token[order])
+        lines.append(of[order] + i)
+        i = j
+    return np.concatenate(tokens), np.concatenate(lines)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -200,7 +238,7 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         def out():
             x = np.concatenate(held)
             sizes = np.array([len(r) for r in raw], np.uint32)
-            yield rows_of("line", (x["pair"] >> U64(33)).astype(np.int64) % n_parts, [x, sizes], raw)
+            yield rows_of("line", (x["pair"] >> U64(33)).astype(np.int64) % (4 * n_parts), [x, sizes], raw)
 
         for batch in batches:
             for text, need in zip(column(batch, "text").to_pylist(), column(batch, "needs").to_pylist(), strict=True):
@@ -220,13 +258,8 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
         x, sizes = joined(table, "a", NEED), joined(table, "b", "<u4")
         data = b"".join(zstandard.ZstdDecompressor().decompress(r) for r in table.column("f").to_pylist())
-        texts = Texts(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]))
-        texts.words()
-        token, of = texts.word_hashes(), texts.word_doc
-        order = np.lexsort((token, of))
-        order = order[new_keys(of[order], token[order])]
-        token, of = token[order], of[order]
-        n = np.bincount(of, minlength=texts.n)
+        token, of = words_of_lines(data, sizes)
+        n = np.bincount(of, minlength=len(x))
         pairs, number = np.unique(x["pair"], return_inverse=True)
         both = np.lexsort((token, number[of]))
         shared = new_keys(number[of][both], token[both])
@@ -274,8 +307,7 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         held, size = [], 0
 
         def send():
-            e, later = collapsed(np.concatenate(held))
-            # A prefix word of equal sets is at one place, so all entries of a set but one place's go.
+            e, later = prefix_entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
             if len(later):
                 yield rows_of("line", shelf(later["doc"], later["tie"], n_parts), [later["doc"], later["tie"], later["line"]])
             e = in_blocks(e)
@@ -283,9 +315,8 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
         for batch in batches:
             for part, texts in blocks(batch, "text"):
-                e = prefix_entries(lines_of(texts, rarity.value), integers(part, "doc"), integers(part, "tie"), similarity)
-                held.append(e)
-                size += len(e)
+                held.append(prefix_sets(lines_of(texts, rarity.value), integers(part, "doc"), integers(part, "tie"), similarity))
+                size += len(held[-1][1])
                 if size >= HELD:
                     yield from send()
                     held, size = [], 0

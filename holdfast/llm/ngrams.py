@@ -14,7 +14,7 @@ from .textkit import U64, Texts, blocks, mixed, span_hashes
 #: Words of a shingle, least similarity, hash functions at most, and recall at that similarity.
 WORDS, SIMILARITY, HASHES, RECALL = 5, 0.8, 128, 0.995
 #: Band hashes that a task gathers before it sends them; members compared at once.
-HELD, MEMBERS = 1 << 20, 512
+HELD, MEMBERS = 1 << 20, 128
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:

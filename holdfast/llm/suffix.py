@@ -16,7 +16,7 @@ from .textkit import U64, Texts, anchors, blocks, mixed, repeats
 WINDOW, GRAM = 200, 32
 #: Bytes by which suffixes are dealt to buckets, and contexts of a bucket, about.
 LEADING, BUCKET = 16, 8_000
-#: For the splitters: one document in so many, and suffixes at most.
+#: For the splitters: one document in so many, and suffixes, about.
 SAMPLE_DOCS, SAMPLED = 64, 20_000
 
 
@@ -48,18 +48,25 @@ def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(found).view(">u8").astype(U64)
 
 
-def splitters(rows: DataFrame, n_buckets: int) -> np.ndarray:
-    """Leading bytes that cut the suffixes at anchors into about even buckets, from a bounded sample."""
+def splitters(rows: DataFrame, n_buckets: int, n_repeated: int) -> np.ndarray:
+    """Leading bytes that cut the suffixes at anchors into about even buckets, from a bounded sample.
+
+    Of the sampled documents so many suffixes are taken, by a hash, that about SAMPLED of them reach
+    the driver if a quarter of all anchors repeat.
+    """
+    rate = min(1.0, SAMPLED * SAMPLE_DOCS / max(1, 4 * n_repeated))
+    threshold = U64(min(2**64 - 1, int(rate * 2**64)))
 
     def sample(batches):
         for batch in batches:
             for part, texts in blocks(batch, "text"):
-                at = np.flatnonzero(byte_items(texts).chosen)
+                items = byte_items(texts)
+                at = np.flatnonzero(items.chosen & (mixed(items.grams) <= threshold))
                 key = leading(texts.data, at).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
 
     some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(SAMPLE_DOCS)) == 0).select("text")
-    found = some.mapInArrow(sample, "a long, b long").orderBy(F.xxhash64("a", "b")).limit(SAMPLED).toPandas()
+    found = some.mapInArrow(sample, "a long, b long").orderBy(F.xxhash64("a", "b")).limit(2 * SAMPLED).toPandas()
     key = found.to_numpy(np.int64).view(U64).reshape(-1, 2)
     key = key[np.lexsort((key[:, 1], key[:, 0]))]
     cut = np.unique(np.linspace(0, len(key), n_buckets + 1).astype(int)[1:-1])
@@ -182,8 +189,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "
     rows = keyed(docs, id_col, text)
     flagged, hot = repeated_anchors(rows, BYTES)
     n = flagged.agg(F.sum(F.length("places")) / 4).first()[0] or 0
-    cuts = splitters(rows, max(1, int(n // BUCKET)))
-    shared = rows.sparkSession.sparkContext.broadcast(cuts.tobytes())  # SAMPLED keys at most
+    cuts = splitters(rows, max(1, int(n // BUCKET)), int(n))
+    shared = rows.sparkSession.sparkContext.broadcast(cuts.tobytes())  # 2 * SAMPLED keys at most
 
     def part_of(texts, items, low, lead, high, alone):
         return bucket_of(leading(texts.data, lead), np.frombuffer(shared.value, U64).reshape(-1, 2))

@@ -24,7 +24,7 @@ SPACED = re.compile(r"\s")
 #: Before the first piece of a text; no text has it, as it can't be written as UTF-8.
 FIRST = "\ud800"
 #: Pieces that an encoder remembers at most; others are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 class Encoder:
@@ -46,7 +46,18 @@ class Encoder:
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self.codes = Codes()
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        # Where the ids of each piece begin, how many there are, and all ids; room is doubled as needed.
+        self.begin, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def put(self, known: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Notes the ids of the pieces numbered from `known`; those beyond REMEMBERED are overwritten later."""
+        while known + len(lengths) > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[known : known + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.size[known : known + len(lengths)] = lengths
 
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for each piece; one that begins a text has FIRST before it.
@@ -88,21 +99,21 @@ class Encoder:
             ends.append(len(pieces))
         known = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        ids, at, new = self.ids, self.at, self.codes.new
+        new = self.codes.new
         if new:
-            found, lengths = self.piece_ids(new)
-            ids, at = np.concatenate([ids, found]), np.concatenate([at, at[-1] + np.cumsum(lengths)])
+            found, counts = self.piece_ids(new)
+            self.put(known, found, counts)
             if known + len(new) <= REMEMBERED:
-                self.ids, self.at = ids, at
+                self.used += len(found)
             else:
                 for p in new:
                     del self.codes[p]
             self.codes.new = []
-        lengths = (at[1:] - at[:-1])[codes]
+        lengths = self.size[codes]
         total = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
-        where = np.repeat(at[codes] - total[:-1], lengths) + np.arange(total[-1])
-        return ids[where], total[np.array(ends, np.int64)]
+        where = np.repeat(self.begin[codes] - total[:-1], lengths) + np.arange(total[-1])
+        return self.ids[where], total[np.array(ends, np.int64)]
 
 
 class Codes(dict):

@@ -262,3 +262,74 @@ def line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     marks = events.where("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("mark"))
     return relational.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", "mark").select("event_id", "user_id", "mark")
+
+
+# --- the lock analyses, over a program with one method for each customer ------------------------
+
+
+def customer_program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Method k takes the lock of field k % 37, calls method (k * k + 1) % n on the same object, and lets go."""
+    from pyspark.sql.types import StructType
+
+    from .sources.facts import CLASSES, INSTRUCTION, METHODS
+
+    graph = customer_graph(spark, sf_dir).select(F.col("src").cast("int").alias("k"), F.col("dst").alias("j"))
+    empty = {n: F.lit(None) for n in ("dst", "src", "base", "class", "field", "ty", "targets", "kind", "args", "name", "sig")}
+    kind = StructType.fromDDL(f"i {INSTRUCTION}")["i"].dataType
+
+    def step(offset: int, op: str, **more):
+        values = {"offset": F.lit(offset), "op": F.lit(op)} | empty | more
+        return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in kind])
+
+    cls, no, one = F.lit("t.C"), F.lit(0), F.lit(1)
+    field = F.concat(F.lit("f"), F.col("k") % 37)
+    code = F.array(
+        step(0, "iget", dst=no, base=one, field=field, **{"class": cls}), step(1, "monitor_enter", src=no),
+        step(2, "invoke", kind=F.lit("virtual"), args=F.array(one), name=F.concat(F.lit("m"), F.col("j")), sig=F.lit("()V"), **{"class": cls}),
+        step(3, "monitor_exit", src=no), step(4, "return"),
+    )
+    none = F.array()
+    values = {
+        "artifact_ord": no, "class_ord": no, "method_ord": F.col("k"), "class": cls, "name": F.concat(F.lit("m"), F.col("k")), "sig": F.lit("()V"), "access": no, "registers": F.lit(2), "ins": one,
+        "source_file": F.lit("C.java"), "insns": code, "positions": F.array(F.struct(no.alias("offset"), (F.col("k") + 1).alias("line"))), "catches": none,
+    }
+    methods = graph.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in StructType.fromDDL(METHODS)])
+    methods = methods.withColumn("method_id", F.col("method_ord").cast("long")).withColumn("key", F.concat("class", F.lit("."), "name", F.lit(":"), "sig"))
+    return spark.createDataFrame([(0, 0, "t.C", "java.lang.Object", [])], CLASSES), methods
+
+
+@query("""SELECT 't.C' AS class, 't.C.m' || c_custkey || ':()V' AS method, 'C.java' AS source_file, CAST(c_custkey + 1 AS INTEGER) AS line, 't.C.f' || c_custkey % 37 AS lock FROM customer""")
+def lock_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.naming import lock_points
+
+    return lock_points(customer_program(spark, sf_dir)[1])
+
+
+HELD = f"""WITH RECURSIVE {GRAPH}, r AS (
+    SELECT dst AS node, src % 37 AS label, 1 AS dist FROM g UNION SELECT g.dst, r.label, r.dist + 1 FROM r JOIN g ON r.node = g.src WHERE r.dist < 8),
+    d AS (SELECT node, label, min(dist) AS dist FROM r GROUP BY ALL)"""
+
+
+@query(HELD + " SELECT 't.C.m' || node || ':()V' AS key, 't.C.f' || label AS lock, dist FROM d")
+def may_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.index import build
+
+    index = build(*customer_program(spark, sf_dir))
+    return index.may_held.join(index.methods, "method_id").select("key", "lock", "dist")
+
+
+@query(HELD + """, s AS (SELECT src AS node, src % 37 AS own FROM g WHERE NOT EXISTS (FROM d WHERE d.node = g.src AND d.label = g.src % 37))
+    SELECT 't.C.f' || label AS "from", 't.C.f' || own AS "to", count(*) AS count, min(dist) AS dist FROM s JOIN d USING (node) WHERE dist <= 3 AND label <> own GROUP BY ALL""")
+def lock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.index import build
+
+    return build(*customer_program(spark, sf_dir)).orders.select("from", "to", "count", "dist")
+
+
+@query("""SELECT 't.C.m' || c_custkey || ':()V' AS key, 't.C.f' || c_custkey % 37 AS held, c_custkey + 1 AS line FROM customer""")
+def held_at_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.held import effects, walked
+
+    methods = customer_program(spark, sf_dir)[1]
+    calls = walked(methods, effects(methods)).where("kind = 'call'")
+    return calls.select("key", F.array_join("held", ", ").alias("held"), F.col("line").cast("long").alias("line"))

@@ -45,7 +45,7 @@ def compact(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
-    rows.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", "\"").option("compression", "gzip" if gzip else "none").csv(path)
 
 
 def write_json(rows: DataFrame, path: str, gzip: bool = False) -> None:
