@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +35,13 @@ def class_files(spark: SparkSession, path: str, scope: str = "*") -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = list(members(file.rsplit("/", 1)[-1], content))
-                yield pd.DataFrame({"path": [file] * len(found), "ordinal": range(len(found)), "member": [m for m, _ in found], "content": [c for _, c in found]})
+                columns = [file] * len(found), range(len(found)), [m for m, _ in found], [c for _, c in found]
+                kinds = pa.string(), pa.int32(), pa.string(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "ordinal", "member", "content"])
 
-    return files.select("path", "content").mapInPandas(unpack, "path string, ordinal int, member string, content binary").orderBy("path", "ordinal")
+    return files.select("path", "content").mapInArrow(unpack, "path string, ordinal int, member string, content binary").orderBy("path", "ordinal")
 
 
 def build_folder(root: str, build: str, spark: SparkSession) -> str:

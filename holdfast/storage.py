@@ -27,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_shared(uri: str, mode: str):
+    """A file in a shared folder, whichever file system that is in."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if mode == "w":
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        return system.open_output_stream(path, compression=None)
+    return system.open_input_file(path)
+
+
 def join_counted(rows: DataFrame, few: DataFrame, on, how: str = "inner", limit: int = 200_000) -> DataFrame:
     """Joins with a side whose rows are counted first: broadcast up to `limit`, shuffled beyond."""
     from pyspark.sql import functions as F
