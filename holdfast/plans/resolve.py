@@ -42,3 +42,46 @@ def resolve(observations: DataFrame, index: DataFrame, fuzz: int = 0, sole: bool
         out = join_counted(out, names, ["build_id", source], "left").withColumn(column, F.coalesce("_found", F.lit(UNRESOLVED))).drop("_found")
     order = [*observations.columns, *[c for c in ("resolved_blocked_lock", "resolved_blocking_lock") if c not in observations.columns]]
     return out.select(*order)
+
+
+def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None = None, scope: str = "*") -> DataFrame:
+    """The site index of all builds; each is derived from its artifacts unless `cache` has it.
+
+    What is kept is named by the build, the scope and a hash of the artifacts' contents, so other artifacts
+    never meet an old index. A build whose artifacts can't be read is left out, so its sites are unresolved.
+    """
+    import hashlib
+    import logging
+
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    from ..sources.archives import build_folder, class_files, versions
+    from ..sources.bytecode import class_facts
+    from ..storage import shared_dir
+    from .naming import lock_points
+
+    out = spark.createDataFrame([], SITE_INDEX)
+    for build in builds:
+        try:
+            files = class_files(spark, build_folder(artifacts, build, spark), scope)
+            # One row an archive: a hash of its name and contents.
+            parts = versions(files).select(F.concat_ws(" ", "path", "version").alias("v")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256)).first()[0]
+            version = hashlib.sha256(f"{scope} {parts}".encode()).hexdigest()[:16]
+            path = f"{cache or shared_dir(spark) + '/site-index'}/{safe_name(build)}-{version}"
+            try:
+                own = spark.read.schema(SITE_INDEX).parquet(path)
+            except PySparkException:
+                site_index(lock_points(class_facts(files)[1]), build).write.mode("overwrite").parquet(path)
+                own = spark.read.schema(SITE_INDEX).parquet(path)
+            out = out.unionByName(own.withColumn("build_id", F.lit(build)))
+        except (PySparkException, Py4JError, ValueError) as e:
+            logging.getLogger(__name__).warning("no index of build %s: %s", build, e)
+    return out
+
+
+def safe_name(build: str) -> str:
+    """A build's name as a file name."""
+    import re
+
+    return re.sub(r"[^A-Za-z0-9._-]", "_", build)
