@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import hash_place, n_buckets, running_sum, written
 from .textkit import blocks
-from .tokens import encoder
+from .tokens import encoder, is_wide
 
 #: Ids of a sequence, and the grid on which lengths are combined.
 WINDOW, GRID = 1024, 8
@@ -178,11 +178,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: st
     out = table.join(full, "row", "left").join(tails, "row", "left")
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    wide = is_wide(vocabulary)
 
     def cut(batches):
         import zstandard
 
-        expand, wide = zstandard.ZstdDecompressor(), encoder(vocabulary).wide
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             c = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             found = []

@@ -138,6 +138,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def is_wide(path: str) -> bool:
+    """Whether ids take more than 16 bits."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size() > 1 << 16
+
+
 # --- the file -----------------------------------------------------------------------------------
 
 SKIPPABLE, INDEX, SEEK_TABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
