@@ -20,19 +20,20 @@ from .textkit import blocks
 #: A space between two characters that aren't white space begins a token of its own.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s")
-SPACED = re.compile(r"\s")
-#: Before the first piece of a text; no text has it, as it can't be written as UTF-8.
-FIRST = "\ud800"
+#: Before a piece that no space precedes, and in place of a single line end; no text has these, as they can't be
+#: written as UTF-8.
+FIRST, LINE = "\ud800", "\ud801"
+LINES = f" {LINE} {FIRST}"
 #: Pieces that an encoder remembers at most; others are encoded each time.
 REMEMBERED = 600_000
 
 
 class Encoder:
-    """A tokenizers file with a memory of the ids of pieces between single spaces.
+    """A tokenizers file with a memory of the ids of pieces between single spaces and line ends.
 
-    With byte-level pre-tokenization a token never reaches over a single space from before it, so
-    a text's ids are those of its pieces in order. Texts with an added token's string go to the
-    tokenizer whole.
+    With byte-level pre-tokenization a token never reaches over a single space from before it, and a
+    single line end is a token of its own, so a text's ids are those of its pieces in order. Texts
+    with an added token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,11 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        # The id of a line end, if the pre-tokenizer parts it from what stands around it.
+        self.line = None
+        apart = self.tokenizer.pre_tokenizer.pre_tokenize_str("a\nb") if self.tokenizer.pre_tokenizer else []
+        if len(apart) == 3 and apart[1][1] == (1, 2):
+            (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.codes = Codes()
         # Where the ids of each piece begin, how many there are, and all ids; room is doubled as needed.
         self.begin, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
@@ -59,29 +65,38 @@ class Encoder:
         self.begin[known : known + len(lengths)] = self.used + np.cumsum(lengths) - lengths
         self.size[known : known + len(lengths)] = lengths
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number for each piece; one that begins a text has FIRST before it.
+        """Ids and their number for each piece; one without a space before it has FIRST there.
 
-        Others stand after a space. Those without white space go to the tokenizer as running text,
-        hundreds at a time; in it just the tokens that begin with a space begin a piece.
+        Pieces without white space go to the tokenizer as running text, hundreds at a time: after
+        spaces, as just the tokens that begin with a space begin a piece, or after line ends.
         """
-        plain = [i for i, p in enumerate(pieces) if p and p[0] != FIRST and not SPACED.search(p)]
-        runs = [" " + " ".join([pieces[i] for i in plain[a : a + 128]]) for a in range(0, len(plain), 128)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))])
-        begin = np.flatnonzero(self.spaced[ids])
-        if len(begin) != len(plain):
-            raise ValueError("the vocabulary doesn't begin its tokens as expected")
-        lengths = np.zeros(len(pieces), np.int64)
-        lengths[plain] = np.diff(np.append(begin, len(ids)))
-        rest = np.setdiff1d(np.arange(len(pieces)), plain).tolist()
-        texts = [p[1:] if p[:1] == FIRST else " " + p for p in (pieces[i] for i in rest)]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        after_space, after_line, rest = [], [], []
+        for i, p in enumerate(pieces):
+            plain = p.split() == [p] and p != LINE
+            (rest if not plain else after_space if p[0] != FIRST else after_line if self.line is not None and len(p) > 1 else rest).append(i)
+        lengths, groups = np.zeros(len(pieces), np.int64), []
+        for group, mark, skip in ((after_space, " ", 0), (after_line, "\n", 1)):
+            words = [pieces[i][skip:] for i in group]
+            runs = [mark + mark.join(words[a : a + 128]) for a in range(0, len(words), 128)]
+            ids = np.concatenate([np.zeros(0, np.uint32), *self.encoded(runs)])
+            begins = ids == self.line if skip else self.spaced[ids]
+            begin = np.flatnonzero(begins)
+            if len(begin) != len(group):
+                raise ValueError("the vocabulary doesn't begin its tokens as expected")
+            lengths[group] = np.diff(np.append(begin, len(ids))) - skip
+            groups.append((group, ids[~begins] if skip else ids))
+        found = self.encoded(["\n" if p == LINE else p[1:] if p[:1] == FIRST else " " + p for p in (pieces[i] for i in rest)])
         lengths[rest] = [len(x) for x in found]
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        out, mine = np.zeros(at[-1], np.uint32), np.ones(at[-1], bool)
-        for i, x in zip(rest, found, strict=True):
-            out[at[i] : at[i + 1]], mine[at[i] : at[i + 1]] = x, False
-        out[mine] = ids
+        groups.append((rest, np.concatenate([np.zeros(0, np.uint32), *found])))
+        at = np.cumsum(lengths) - lengths
+        out = np.zeros(lengths.sum(), np.uint32)
+        for group, ids in groups:
+            n = lengths[group]
+            out[np.repeat(at[group] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return out, lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +108,7 @@ class Encoder:
                 if any(a in text for a in self.added):
                     parts = [text]
                 else:
-                    parts = BREAK.split(text) if UNEVEN.search(text) else text.split(" ")
+                    parts = BREAK.split(text) if UNEVEN.search(text) else (text if self.line is None else text.replace("\n", LINES)).split(" ")
                 parts[0] = FIRST + parts[0]
                 pieces += parts
             ends.append(len(pieces))
