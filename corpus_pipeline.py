@@ -35,14 +35,15 @@ def single_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one of the least id."""
     first = near_duplicates(docs).where("first").select(F.col("doc_id").alias("__id"))
-    return docs.join(written(first, "near-first"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # The ids grow with the documents: merged at every size, never broadcast.
+    return docs.join(written(first, "near-first").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as often as it takes more than half of it again, at least once."""
     mix = written(mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")), "mix")
     times = F.greatest(F.lit(1), F.round(F.col("__taken") / F.col("__size"))).cast("int")
-    rows = docs.join(mix, docs["doc_id"].eqNullSafe(F.col("__id")))
+    rows = docs.join(mix.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")))
     return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
