@@ -25,7 +25,8 @@ def byte_items(texts: Texts) -> Items:
     values = data.astype(U64) + U64(1)
     grams, have, power = values.copy(), 1, 0x2545F4914F6CDD1D
     while have < GRAM:
-        grams[: n - have] = grams[: n - have] * U64(power) + grams[have:]
+        m = max(0, n - have)
+        grams[:m] = grams[:m] * U64(power) + grams[have : have + m]
         have, power = 2 * have, power * power % 2**64
     sizes = np.diff(texts.at)
     text = np.repeat(np.arange(texts.n), sizes)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from holdfast.llm import chat, exact, fmindex, lines, mixing, ngrams, packing, passages, quality, queries, suffix, tokens
@@ -96,6 +97,22 @@ def test_suffix_dedup(docs, none, monkeypatch, least_hot):
     assert suffix.remove_repeated_bytes(none).collect() == []
 
 
+@pytest.mark.parametrize("n", range(34))
+def test_a_single_short_text_makes_a_block(spark, n):
+    from holdfast.llm import textkit
+
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"[:n]
+    ((_, block),) = textkit.blocks(pa.RecordBatch.from_pydict({"text": [text]}), "text")
+    items = suffix.byte_items(block)
+    assert len(items.grams) == n and not items.chosen.any()
+
+
+def test_suffix_dedup_of_one_row(spark):
+    for n in (0, 1, 3, 5, 7, 9, 15, 16, 33):
+        one = spark.createDataFrame([(n, "x" * n)], "doc_id long, text string")
+        assert [tuple(r) for r in suffix.remove_repeated_bytes(one).collect()] == [(n, n, 0, 0, sha("x" * n))]
+
+
 def similar_lines():
     earlier, want = [], {}
     for d, t in in_order():
