@@ -21,6 +21,11 @@ from holdfast.llm.shared import documents, written
 ORACLE_SQL = None
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents, written with a number for each row: ids may repeat or be null, so decisions come back by it."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -34,16 +39,19 @@ def single_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one of the least id."""
-    first = near_duplicates(docs).where("first").select(F.col("doc_id").alias("__id"))
-    # The ids grow with the documents: merged at every size, never broadcast.
-    return docs.join(written(first, "near-first").hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    rows = numbered(docs, "near-rows")
+    first = written(near_duplicates(rows, row="__row").where("first").select("__row"), "near-first")
+    # The numbers grow with the documents: merged at every size, never broadcast.
+    return rows.join(first.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as often as it takes more than half of it again, at least once."""
-    mix = written(mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")), "mix")
+    rows = numbered(docs, "mix-rows")
+    mix = mix_sources(rows, row="__row").where("taken > 0")
+    mix = written(mix.select("__row", F.col("taken").alias("__taken"), F.col("size").alias("__size")), "mix")
     times = F.greatest(F.lit(1), F.round(F.col("__taken") / F.col("__size"))).cast("int")
-    rows = docs.join(mix.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    rows = rows.join(mix.hint("merge"), "__row")
     return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 

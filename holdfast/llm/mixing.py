@@ -51,7 +51,7 @@ def curriculum_time(demand: Column, slope: Column) -> Column:
     return F.when(F.abs(a) < 1e-9, demand).otherwise((-b + F.sqrt(b * b + 4 * a * demand)) / (2 * a))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, steepest: float = 0.8) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, steepest: float = 0.8, row: str | None = None) -> DataFrame:
     """How many words of each document the mix takes, and when: sorted by position.
 
     Size is the number of words (null text: 0). Documents of a source stand in the order of
@@ -65,9 +65,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     Running sums go over buckets of the hash, first within a bucket, then over the buckets'
     sums, so no source needs to fit a task. Null ids and sources are values like others, repeated
     rows are documents of their own, an empty table gives an empty result, sources of no
-    words have target 0.
+    words have target 0. `row` names a column of unique numbers that is returned too, to find the rows again.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *([F.col(row).alias("row")] if row else []))
     rows = rows.withColumn("place", hash_place("id"))
     rows = written(rows, "mix-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     side = F.broadcast(targets) if few else targets
     # Sources by their hash, so that null is a key like others.
     rows = rows.withColumn("key", F.xxhash64(F.col("source").isNull(), "source"))
-    rows = running_sum(rows, ["key"], "place", ["id", "size"], "size", "start", n_buckets(n_rows))
+    rows = running_sum(rows, ["key"], "place", ["id", "size", *(["row"] if row else [])], "size", "start", n_buckets(n_rows))
     rows = rows.alias("r").join(side.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "slope")
     words = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -89,5 +89,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     when = curriculum_time(F.least(F.lit(1.0), F.col("start") / F.greatest("target", F.lit(1.0))), F.col("slope"))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, when))
     return rows.select(
-        F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", F.col("taken").cast("long"), "position"
+        F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", F.col("taken").cast("long"), "position", *([F.col("row").alias(row)] if row else [])
     ).orderBy(F.col("position").asc_nulls_last(), id_col)

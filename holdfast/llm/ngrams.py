@@ -42,7 +42,8 @@ def shingles(texts: Texts, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, n_hashes: int) -> DataFrame:
-    """id, doc, tie, two hashes of the word sequence, and the MinHash values (null without words)."""
+    """id, doc, tie, two hashes of the word sequence, and the MinHash values (null without words); `row` is carried if there."""
+    own = [n for n in ("id", "doc", "tie", "row") if n in rows.columns]
 
     def sign(batches):
         seeds = mixed(np.arange(1, n_hashes + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -60,9 +61,9 @@ def signatures(rows: DataFrame, n_hashes: int) -> DataFrame:
                 two = [span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], b).view(np.int64) for b in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)]
                 sig = pa.array([values[i].tobytes() if s else None for i, s in enumerate(some.tolist())], pa.binary())
                 get = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([get("id"), get("doc"), get("tie"), pa.array(two[0]), pa.array(two[1]), sig], ["id", "doc", "tie", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([*map(get, own), pa.array(two[0]), pa.array(two[1]), sig], [*own, "h1", "h2", "sig"])
 
-    return rows.select("id", "doc", "tie", "text").mapInArrow(sign, "id long, doc long, tie long, h1 long, h2 long, sig binary")
+    return rows.select(*own, "text").mapInArrow(sign, ", ".join(f"{n} long" for n in [*own, "h1", "h2"]) + ", sig binary")
 
 
 def band_edges(reps: DataFrame, bands: int, per_band: int) -> DataFrame:
@@ -215,7 +216,7 @@ def linked(key: np.ndarray, node: np.ndarray, side: np.ndarray, sets: list[np.nd
     return a[across], b[across]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, row: str | None = None) -> DataFrame:
     """For each row: rep_id, n_copies, class_id, n_links, first.
 
     Rows of equal word sequences are copies; the least id of them represents them. Representatives
@@ -228,11 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     A null text has no words; texts without words are copies of each other and have no links. A text
     of fewer than 5 words is one shingle. A null id is the least. Repeated rows are copies. Ids are
-    integers.
+    integers. `row` names a column of unique numbers that is returned too, to find the rows again.
     """
-    rows = keyed(docs, id_col, text)
+    rows = keyed(docs, id_col, text, [F.col(row).alias("row")] if row else [])
     bands, per_band = choose_bands(similarity, recall)
-    signed = written(signatures(rows, bands * per_band).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    signed = signatures(rows, bands * per_band)
+    signed = written(signed if row else signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     best = F.min(F.struct("doc", "tie", "row")).alias("best")
     groups = written(signed.groupBy("h1", "h2").agg(best, F.count("*").alias("n_copies")).withColumn("key", F.struct("h1", "h2")), "copies")
     # A representative's row number is its node.
@@ -294,5 +296,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = join_groups(signed.select("id", "row", F.struct("h1", "h2").alias("key")), info, "key", "n_copies")
     plain = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(
-        F.col("id").alias(id_col), plain("rep_doc").alias("rep_id"), "n_copies", plain("class_doc").alias("class_id"), "n_links", (F.col("row") == F.col("class_node")).alias("first")
+        F.col("id").alias(id_col), plain("rep_doc").alias("rep_id"), "n_copies", plain("class_doc").alias("class_id"), "n_links", (F.col("row") == F.col("class_node")).alias("first"), *([F.col("row").alias(row)] if row else [])
     )

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import tasks, written
@@ -58,13 +58,13 @@ class Unit:
         return self.window - self.gram + 1
 
 
-def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text: str, carried: list[Column] = []) -> DataFrame:
     """id, doc (null: the least number), text (null: empty) and tie, which tells rows of one id.
 
     That is a hash of the text where any id repeats, else 0, which packs well.
     """
     single = docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     tie = F.lit(0).cast("long") if single else F.xxhash64("text")
     return rows.withColumn("doc", F.coalesce("id", F.lit(LOWEST))).withColumn("tie", tie)
 
