@@ -266,7 +266,7 @@ def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         again = np.ones(len(both), bool)
         again[shared] = False
         overlap = np.bincount(number[of][both][again], minlength=len(pairs))
-        good = overlap >= SIMILARITY * (np.bincount(number, n, len(pairs)) - overlap) - 1e-9
+        good = overlap >= similarity * (np.bincount(number, n, len(pairs)) - overlap) - 1e-9
         y = x[(x["side"] == 0) & good[number]]
         return as_table(rows_of("line", shelf(y["doc"], y["tie"], n_parts), [y["doc"], y["tie"], y["line"]]))
 

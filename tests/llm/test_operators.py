@@ -139,6 +139,20 @@ def test_line_dedup(docs, none, monkeypatch, block_log):
     assert lines.remove_similar_lines(none).collect() == []
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.9])
+def test_line_dedup_at_other_similarities(spark, similarity):
+    """Lines of ten words of which k are another line's: Jaccard similarities of 9/11, 8/12 and 7/13."""
+    text = "\n".join(" ".join([f"g{g}w{i}" for i in range(10)][:k] + [f"g{g}k{k}n{i}" for i in range(10 - k)]) for g in range(6) for k in (10, 9, 8, 7))
+    docs = spark.createDataFrame([(1, text), (2, "quite another line")], "doc_id long, text string")
+    seen, gone = [], 0
+    for line in text.split("\n"):
+        s = set(line.split())
+        gone += any(len(s & x) >= similarity * len(s | x) for x in seen)
+        seen.append(s)
+    got = {r.doc_id: r.n_removed for r in lines.remove_similar_lines(docs, similarity=similarity).collect()}
+    assert got == {1: gone, 2: 0}
+
+
 def base_counts(t: str):
     w, found = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
     three = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
