@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,22 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import BLOBS, ROWS, as_table, column, integers, joined, keyed, new_keys, rows_of, shelf, unpacked
+from .ngrams import components
+from .passages import ROWS, as_table, column, integers, keyed, new_keys, packed, rows_of, unpacked
 from .shared import join_checked, tasks, written
 from .textkit import BLOCK, U64, Texts, blocks, mixed
 
 SIMILARITY = 0.8
 #: Counts of hashed words: a fixed number whatever the input.
 COUNTERS = 1 << 20
-#: Prefix entries that a task holds before it sends them; pairs looked at in one go.
-HELD, PAIRS = 1 << 19, 1 << 18
-#: A word with more occurrences is split into blocks, and each pair of blocks is a task's group.
-BLOCK_LOG = 17
+#: Prefix entries that a task holds before it sends them; pairs looked at in one go, and words of these.
+HELD, PAIRS, PAIR_WORDS = 1 << 19, 1 << 18, 1 << 21
+#: Words of the input for each part of the entries, about; entries of a part that are in memory at once.
+PART_WORDS, MOST = 1 << 22, 1 << 22
+#: Words of the lines that are verified together.
+VERIFIED = 1 << 21
 HASH_BITS, RARITY_BITS = 40, 5
 
-ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("side", "u1")])
-PAIR = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("doc2", "<i8"), ("tie2", "<i8"), ("line2", "<u4")])
-NEED = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("pair", "<u8"), ("side", "u1")])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4")])
 
 
 def least_overlap(total: np.ndarray, similarity: float) -> np.ndarray:
@@ -68,8 +70,8 @@ def lines_of(texts: Texts, rarity: np.ndarray) -> Lines:
     return Lines(doc, line, np.searchsorted(of, np.arange(len(edge) + 1)), token)
 
 
-def word_rarity(rows: DataFrame) -> np.ndarray:
-    """The binary logarithm of the number of occurrences of each hashed word, over all texts."""
+def word_rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The binary logarithm of the number of occurrences of each hashed word, over all texts; and of all words."""
 
     def count(batches):
         counts = np.zeros(COUNTERS, np.int64)
@@ -88,7 +90,7 @@ def word_rarity(rows: DataFrame) -> np.ndarray:
     counts = np.zeros(COUNTERS, np.int64)
     for part, a in found.select("part", "a").collect():
         counts[part << 14 : (part + 1) << 14] = unpacked(a, "<i8")
-    return np.minimum(np.log2(counts + 1).astype(np.uint8), 31)
+    return np.minimum(np.log2(counts + 1).astype(np.uint8), 31), int(counts.sum())
 
 
 SET = np.dtype([("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("prefix", "<u4")])
@@ -124,31 +126,12 @@ def prefix_entries(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np
     own, counts, begin = sorted_sets[at], counts[order[at]], begin[order[at]]
     spot = places(counts)
     e = np.zeros(len(spot), ENTRY)
-    e["key"], e["at"], e["side"] = tokens[np.repeat(begin, counts) + spot], spot, 2
+    e["key"], e["at"] = tokens[np.repeat(begin, counts) + spot], spot
     for n in ("set", "sketch", "doc", "tie", "line", "n"):
         e[n] = np.repeat(own[n], counts)
     return e, later
 
 
-def in_blocks(e: np.ndarray) -> np.ndarray:
-    """Entries of frequent words, once for each pair of blocks that theirs is in."""
-    log = (e["key"] >> U64(HASH_BITS)).astype(np.int64)
-    hot = log >= BLOCK_LOG
-    if not hot.any():
-        return e
-    out = [e[~hot]]
-    for level in np.unique(log[hot]):
-        mine, n = e[log == level], 1 << int(level - BLOCK_LOG + 1)
-        block = (mixed(mine["set"]) % U64(n)).astype(np.int64)
-        for j in range(n):
-            copy = mine.copy()
-            low, high = np.minimum(block, j), np.maximum(block, j)
-            copy["key"] = mixed(mine["key"] + mixed((low * n + high).astype(U64)))
-            copy["side"] = np.where(low == high, 2, (block == high).astype(np.uint8))
-            out.append(copy)
-    return np.concatenate(out)
-
-
 def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal sets under a key the earliest stays; and the later ones (told at the first word only)."""
     c = {n: np.ascontiguousarray(e[n]) for n in ("line", "tie", "doc", "sketch", "set", "n", "key")}
@@ -159,35 +142,176 @@ def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[at], e[later]
 
 
-def candidates(e: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs (later, earlier) under one key that pass the length, position and sketch filters."""
-    group = np.zeros(len(e), np.int64)
-    group[new_keys(e["key"])] = 1
-    n, rest, sketch, side = e["n"].astype(np.int64), e["n"].astype(np.int64) - e["at"], np.ascontiguousarray(e["sketch"]), np.ascontiguousarray(e["side"])
+def meetings(key: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries under one key that pass the length, position and sketch filters, a bounded number at a time.
+
+    Entries are sorted by key and then by n, the words of the set; `at` is the key's place among these. Those of side 2 meet all
+    others, those of sides 0 and 1 only each other.
+    """
+    group = np.zeros(len(key), np.int64)
+    group[new_keys(key)] = 1
+    n, rest = n.astype(np.int64), n.astype(np.int64) - at
     code = np.cumsum(group) << 32
     reach = np.searchsorted(code + n, code + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
-    count = reach - np.arange(len(e)) - 1
-    total, found, i = np.concatenate([[0], np.cumsum(count)]), [np.zeros(0, PAIR)], 0
-    while i < len(e):
+    count = reach - np.arange(len(key)) - 1
+    total, i, skipped = np.concatenate([[0], np.cumsum(count)]), 0, 0
+    while i < len(key):
+        # An entry that meets more than PAIRS others does so in several goes.
         j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
-        a = np.repeat(np.arange(i, j), count[i:j])
-        b = a + 1 + places(count[i:j])
+        if j == i + 1:
+            b = i + 1 + np.arange(skipped, min(int(count[i]), skipped + PAIRS))
+            a = np.full(len(b), i)
+            skipped += PAIRS
+            if skipped >= count[i]:
+                i, skipped = j, 0
+        else:
+            a = np.repeat(np.arange(i, j), count[i:j])
+            b = a + 1 + places(count[i:j])
+            i = j
         need = least_overlap(n[a] + n[b], similarity)
         # What the sets can share from this word on, if they share none before.
         good = np.minimum(rest[a], rest[b]) >= need
         a, b, need = a[good], b[good], need[good]
         good = np.bitwise_count(sketch[a] ^ sketch[b]) <= n[a] + n[b] - 2 * need
         good &= (side[a] != side[b]) | (side[a] == 2)
-        x, y = e[a[good]], e[b[good]]
-        late = (x["doc"] > y["doc"]) | ((x["doc"] == y["doc"]) & ((x["tie"] > y["tie"]) | ((x["tie"] == y["tie"]) & (x["line"] > y["line"]))))
-        pair = np.zeros(len(x), PAIR)
-        for name in ("doc", "tie", "line"):
-            pair[name], pair[name + "2"] = np.where(late, x[name], y[name]), np.where(late, y[name], x[name])
-        found.append(pair)
-        i = j
-    out = np.concatenate(found)
-    out = out[np.lexsort([np.ascontiguousarray(out[name]) for name in reversed(PAIR.names)])]
-    return out[new_keys(*[out[name] for name in PAIR.names])]
+        yield a[good], b[good]
+
+
+def forest(e: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """For each entry the least entry that meetings join it to, itself if there are none."""
+    label = np.arange(len(e))
+    columns = [np.ascontiguousarray(e[name]) for name in ("key", "n", "at", "sketch")]
+    for a, b in meetings(*columns, side, similarity):
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            up = label[label]
+            while (up != label).any():
+                label, up = up, up[up]
+    return label
+
+
+MET = "kind string, node long, other long, doc long, tie long, line long, n long, entries binary"
+
+
+def met(kind: str, n_rows: int, **columns) -> pa.RecordBatch:
+    schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in MET.split(", ")])
+    columns["kind"] = [kind] * n_rows
+    each = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(each, schema=schema)
+
+
+def places_of(e: np.ndarray) -> dict:
+    return {name: e[name].astype(np.int64) for name in ("doc", "tie", "line")}
+
+
+class Bucket:
+    """The entries of a part as they come in, of which `most` are held, and what is found among them.
+
+    Keys with so many distinct sets that they don't fit are put off: their entries are given back.
+    """
+
+    def __init__(self, similarity: float, most: int):
+        self.similarity, self.most, self.limit = similarity, most, most
+        self.held, self.sides, self.size, self.hot = [], [], 0, np.zeros(0, U64)
+
+    def add(self, e: np.ndarray, side: int | None = None) -> Iterator[pa.RecordBatch]:
+        """`side` tells which of two blocks of a key that was put off the entries are of; such keys fit."""
+        if len(self.hot):
+            put_off = np.isin(e["key"], self.hot)
+            yield from self.later(e[put_off])
+            e = e[~put_off]
+        self.held.append(e)
+        self.sides.append(np.full(len(e), 2 if side is None else side, np.uint8))
+        self.size += len(e)
+        if side is None and self.size > self.limit:
+            e, equal = collapsed(np.concatenate(self.held))
+            yield met("line", len(equal), **places_of(equal))
+            at = new_keys(e["key"])
+            counts = np.diff(np.append(at, len(e)))
+            large = counts > self.most // 4
+            self.hot = np.union1d(self.hot, e["key"][at[large]])
+            many = np.repeat(large, counts)
+            yield from self.later(e[many])
+            e = e[~many]
+            self.held, self.sides, self.size = [e], [np.full(len(e), 2, np.uint8)], len(e)
+            self.limit = max(self.most, 2 * self.size)
+
+    def later(self, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e = e[np.argsort(e["key"], kind="stable")]
+        for x in np.split(e, new_keys(e["key"])[1:]) if len(e) else []:
+            yield met("hot", 1, node=x["key"][:1].view(np.int64), n=[len(x)], entries=[packed(x)])
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        e, side = np.concatenate(self.held), np.concatenate(self.sides)
+        if (side == 2).all():
+            e, equal = collapsed(e)
+            yield met("line", len(equal), **places_of(equal))
+            side = np.full(len(e), 2, np.uint8)
+        else:
+            order = np.lexsort((e["n"], e["key"]))
+            e, side = e[order], side[order]
+        label = forest(e, side, self.similarity)
+        far = np.flatnonzero(label != np.arange(len(e)))
+        pairs = np.unique(np.stack([e["set"][far], e["set"][label[far]]], 1), axis=0).view(np.int64)
+        yield met("edge", len(pairs), node=pairs[:, 0], other=pairs[:, 1])
+        active = e[np.union1d(far, label[far])]
+        active = active[np.lexsort((active["line"], active["tie"], active["doc"]))]
+        active = active[new_keys(active["doc"], active["tie"], active["line"])]
+        yield met("active", len(active), node=np.ascontiguousarray(active["set"]).view(np.int64), n=active["n"].astype(np.int64), **places_of(active))
+
+
+def meet(similarity: float, most: int):
+    """Streams entries, sorted by part, through a Bucket for each part; lines that are settled pass."""
+
+    def each(batches):
+        now, bucket = None, None
+        for batch in batches:
+            columns = [column(batch, name).to_pylist() for name in ("kind", "part", "a", "b", "c")]
+            for kind, part, a, b, c in zip(*columns, strict=True):
+                if kind == "line":
+                    doc, tie, line = unpacked(a, "<i8"), unpacked(b, "<i8"), unpacked(c, "<u4").astype(np.int64)
+                    yield met("line", len(doc), doc=doc, tie=tie, line=line)
+                    continue
+                if bucket is None or part != now:
+                    if bucket:
+                        yield from bucket.done()
+                    now, bucket = part, Bucket(similarity, most)
+                yield from bucket.add(unpacked(a, ENTRY), None if kind == "entry" else int(kind))
+        if bucket:
+            yield from bucket.done()
+
+    return each
+
+
+def dealt_again(hot: DataFrame, n_parts: int, most: int) -> DataFrame:
+    """Entries of the keys that were put off, dealt to pairs of blocks; equal sets are in one block.
+
+    A block has about an eighth of `most` entries, so both blocks of a pair fit. A key of b blocks has its entries in b pairs.
+    """
+    blocks_of = hot.groupBy("node").agg(F.ceil(F.sum("n") / max(1, most // 8)).alias("n_blocks"))
+    rows = join_checked(hot.select("node", "entries"), written(blocks_of, "line-hot-keys"), "node")
+
+    def deal(batches):
+        for batch in batches:
+            for blob, n in zip(column(batch, "entries").to_pylist(), column(batch, "n_blocks").to_pylist(), strict=True):
+                e = unpacked(blob, ENTRY)
+                block = (mixed(e["set"]) % U64(n)).astype(np.int64)
+                for i in np.unique(block).tolist():
+                    mine = e[block == i]
+                    for j in range(n):
+                        # The pair is the key, so that pairs that share a part stay apart.
+                        low, high = min(i, j), max(i, j)
+                        copy = mine.copy()
+                        copy["key"] = mixed(mine["key"] + mixed(np.full(len(mine), low * n + high, U64)))
+                        part = int(mixed(copy["key"][:1])[0] >> U64(33)) % n_parts
+                        yield rows_of("2" if low == high else str(int(i == high)), np.full(len(copy), part), [copy])
+
+    return rows.select("entries", "n_blocks").mapInArrow(deal, ROWS)
 
 
 def words_of_lines(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,101 +331,159 @@ def words_of_lines(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(tokens), np.concatenate(lines)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of packed pairs, interval rows (doc, tie, line) of the later lines that are similar to the earlier."""
-    n_parts = tasks(rows.sparkSession)
+def overlaps(code: np.ndarray, at: np.ndarray, n_words: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words lines a and b share, pair by pair; `code` has line * n_words + word, sorted, and a line's begin at `at`."""
+    size = at[a + 1] - at[a]
+    pair = np.repeat(np.arange(len(a)), size)
+    wanted = code[np.repeat(at[a], size) + places(size)] + (b - a)[pair] * n_words
+    spot = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+    return np.bincount(pair[code[spot] == wanted], minlength=len(a))
 
-    def needs(batches):
-        for batch in batches:
-            for blob in column(batch, "a").to_pylist():
-                p = unpacked(blob, PAIR)
-                own = np.zeros(len(p), U64)
-                for n in PAIR.names:
-                    own = mixed(own + p[n].astype(U64))
-                out = np.zeros(2 * len(p), NEED)
-                out["pair"], out["side"] = np.concatenate([own, own]), np.repeat([0, 1], len(p))
-                for n in ("doc", "tie", "line"):
-                    out[n] = np.concatenate([p[n], p[n + "2"]])
-                yield rows_of("need", shelf(out["doc"], out["tie"], n_parts), [out])
-
-    def by_document(table: pa.Table) -> pa.Table:
-        x = np.unique(joined(table, "a", NEED))
-        at = new_keys(x["doc"], x["tie"])
-        return pa.table({"doc": x["doc"][at], "tie": x["tie"][at], "needs": pa.array([p.tobytes() for p in np.split(x, at[1:])] if len(x) else [], pa.binary())})
-
-    wanted = pairs.mapInArrow(needs, ROWS).groupBy("part").applyInArrow(by_document, "doc long, tie long, needs binary")
-    found = join_checked(rows, written(wanted, "line-needs"), ["doc", "tie"]).select("doc", "tie", "text", "needs")
-
-    def send(batches):
-        held, raw, size = [], [], 0
-
-        def out():
-            x = np.concatenate(held)
-            sizes = np.array([len(r) for r in raw], np.uint32)
-            yield rows_of("line", (x["pair"] >> U64(33)).astype(np.int64) % (4 * n_parts), [x, sizes], raw)
 
-        for batch in batches:
-            for text, need in zip(column(batch, "text").to_pylist(), column(batch, "needs").to_pylist(), strict=True):
-                x = np.frombuffer(need, NEED)
-                lines = text.encode().split(b"\n")
-                held.append(x)
-                raw += [lines[i] for i in x["line"].tolist()]
-                size += sum(len(r) for r in raw[-len(x) :])
-                if size > 16 << 20:
-                    yield from out()
-                    held, raw, size = [], [], 0
-        if held:
-            yield from out()
+def similar_to_earlier(group: np.ndarray, rank: np.ndarray, side: np.ndarray, token: np.ndarray, of: np.ndarray, similarity: float) -> np.ndarray:
+    """Which lines have a similar one of lower rank in their group, found by the prefix filter and verified on all words.
+
+    `token` are the distinct word hashes of the lines `of`. A line that has one found takes part in no more checks as the later
+    one. Of sides 0 and 1 only lines of side 1 ask, and lines of side 0 answer.
+    """
+    n_lines = len(group)
+    _, word, counts = np.unique(token, return_inverse=True, return_counts=True)
+    n_words = max(1, len(counts))
+    # Numbers that grow with the frequency: a line's words in order are the rarest first.
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    code = np.sort(of * n_words + place[word])
+    line = code // n_words
+    at = np.searchsorted(line, np.arange(n_lines + 1))
+    n = np.diff(at)
+    bits = mixed((code % n_words).astype(U64) + U64(1))
+    sketch = np.zeros(n_lines, U64)
+    some = np.flatnonzero(n)
+    if len(some):
+        sketch[some] = np.bitwise_xor.reduceat(U64(1) << (bits >> U64(58)), at[some])
+    prefix = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+    who, spot = np.repeat(np.arange(n_lines), prefix), places(prefix)
+    key = group[who] * n_words + code[at[who] + spot] % n_words
+    order = np.lexsort((n[who], key))
+    who, spot, key = who[order], spot[order], key[order]
+    found = np.zeros(n_lines, bool)
+
+    def check(late: np.ndarray, early: np.ndarray) -> None:
+        bounds = np.concatenate([[0], np.cumsum(n[late])])
+        i = 0
+        while i < len(late):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + PAIR_WORDS, "right")) - 1)
+            a, b = late[i:j], early[i:j]
+            shared = overlaps(code, at, n_words, a, b)
+            found[a[shared >= similarity * (n[a] + n[b] - shared) - 1e-9]] = True
+            i = j
+
+    for x, y in meetings(key, n[who], spot, sketch[who], side[who], similarity):
+        x, y = who[x], who[y]
+        late, early = np.where(rank[x] > rank[y], x, y), np.where(rank[x] > rank[y], y, x)
+        open_ = ~found[late] & (side[late] != 0)
+        late, early = late[open_], early[open_]
+        # Each line's earliest first, then the others of those that are still open.
+        order = np.lexsort((rank[early], late))
+        late, early = late[order], early[order]
+        first = new_keys(late)
+        check(late[first], early[first])
+        rest = ~found[late]
+        rest[first] = False
+        check(late[rest], early[rest])
+    return found
+
+
+def verified(sets: DataFrame, n_parts: int, similarity: float) -> DataFrame:
+    """From label, block, n_blocks, doc, tie, line, text and side: which lines are similar to an earlier one of their block."""
 
     def verify(table: pa.Table) -> pa.Table:
-        import zstandard
-
-        x, sizes = joined(table, "a", NEED), joined(table, "b", "<u4")
-        data = b"".join(zstandard.ZstdDecompressor().decompress(r) for r in table.column("f").to_pylist())
-        token, of = words_of_lines(data, sizes)
-        n = np.bincount(of, minlength=len(x))
-        pairs, number = np.unique(x["pair"], return_inverse=True)
-        both = np.lexsort((token, number[of]))
-        shared = new_keys(number[of][both], token[both])
-        again = np.ones(len(both), bool)
-        again[shared] = False
-        overlap = np.bincount(number[of][both][again], minlength=len(pairs))
-        good = overlap >= similarity * (np.bincount(number, n, len(pairs)) - overlap) - 1e-9
-        y = x[(x["side"] == 0) & good[number]]
-        return as_table(rows_of("line", shelf(y["doc"], y["tie"], n_parts), [y["doc"], y["tie"], y["line"]]))
-
-    return written(found.mapInArrow(send, ROWS).groupBy("part").applyInArrow(verify, ROWS), "lines-verified")
-
-
-def unpack_places(kinds: list[str]):
-    def each(batches):
+        get = lambda name: table.column(name).to_numpy()
+        doc, tie, line = get("doc"), get("tie"), get("line")
+        order = np.lexsort((get("block"), get("label")))
+        group = np.empty(len(order), np.int64)
+        edge = np.zeros(len(order), np.int64)
+        edge[new_keys(get("label")[order], get("block")[order])] = 1
+        group[order] = np.cumsum(edge) - 1
+        rank = np.empty(len(order), np.int64)
+        rank[np.lexsort((line, tie, doc))] = np.arange(len(order))
+        raw = [x.encode() for x in table.column("text").to_pylist()]
+        token, of = words_of_lines(b"".join(raw), np.array([len(x) for x in raw], np.int64))
+        found = similar_to_earlier(group, rank, get("side"), token, of, similarity)
+        return table.select(["label", "block", "n_blocks", "doc", "tie", "line"]).append_column("similar", pa.array(found))
+
+    part = F.pmod(F.xxhash64("label", "block"), F.lit(n_parts))
+    schema = "label long, block long, n_blocks long, doc long, tie long, line long, similar boolean"
+    return sets.groupBy(part.alias("part")).applyInArrow(verify, schema)
+
+
+def similar_lines(rows: DataFrame, found: DataFrame, similarity: float, verified_words: int = VERIFIED) -> DataFrame:
+    """doc, tie and line of the lines that are similar to an earlier one, of rows that `meet` gave.
+
+    Lines that met are joined into components; each line's text goes to its component once, or to
+    one block of a component that is large. What a block leaves open is asked of the other blocks.
+    """
+    spark = rows.sparkSession
+    active = found.where("kind = 'active'").select("node", "doc", "tie", "line", "n").distinct()
+    label = components(found.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    active = written(active.join(label, "node"), "line-components")
+    sizes = active.groupBy("label").agg(F.sum("n").alias("words"))
+    large = sizes.where(F.col("words") > verified_words).select("label", F.ceil(F.col("words") / verified_words).alias("n_blocks"))
+    active = join_checked(active, written(large, "line-large"), "label", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)).cast("long"))
+    block = F.pmod(F.xxhash64("doc", "tie", "line"), "n_blocks").alias("block")
+    wanted = active.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "label", "n_blocks", block)).alias("wanted"))
+    # As many documents as there are near copies: merged at every size.
+    texts = rows.select("doc", "tie", "text").join(wanted.hint("merge"), ["doc", "tie"])
+
+    def fetch(batches):
+        names = ["label", "block", "n_blocks", "doc", "tie", "line", "text"]
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x = unpacked(blob, PAIR)
-                yield pa.RecordBatch.from_arrays([pa.array(x[n].astype(np.int64)) for n in kinds], kinds)
-
-    return each
-
-
-def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+            columns = [column(batch, name).to_pylist() for name in ("doc", "tie", "text", "wanted")]
+            out = []
+            for doc, tie, text, wanted in zip(*columns, strict=True):
+                lines = text.split("\n")
+                out += [(w["label"], w["block"], w["n_blocks"], doc, tie, w["line"], lines[w["line"]]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 6 else pa.string()) for i, x in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.int64())] * 6 + [pa.array([], pa.string())], names)
+
+    schema = "label long, block long, n_blocks long, doc long, tie long, line long, text string"
+    # Rows that repeat id and text ask for the same line.
+    sets = written(texts.mapInArrow(fetch, schema).dropDuplicates(["doc", "tie", "line"]), "line-sets")
+    n_parts = max(tasks(spark), int((active.agg(F.sum("n")).first()[0] or 0) // verified_words) * 2)
+    first = written(verified(sets.withColumn("side", F.lit(2).cast("tinyint")), n_parts, similarity), "lines-verified")
+    names = ["doc", "tie", "line"]
+    out = first.where("similar").select(*names)
+    open_ = first.where("n_blocks > 1 and not similar")
+    if not open_.isEmpty():
+        asked = sets.join(open_.select(*names), names)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda b: b != F.col("block"))
+        asked = asked.withColumn("block", F.explode(others)).withColumn("side", F.lit(1).cast("tinyint"))
+        told = sets.where("n_blocks > 1").withColumn("side", F.lit(0).cast("tinyint"))
+        out = out.unionByName(verified(told.unionByName(asked), n_parts, similarity).where("similar").select(*names))
+    return out
+
+
+def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, most: int = MOST, verified_words: int = VERIFIED) -> DataFrame:
     """Removes each line whose set of words has a Jaccard similarity of `similarity` or more to an earlier line.
 
     Lines end at \\n; earlier is a smaller id, or an earlier line of the document; lines are judged on
     the input, so it doesn't matter whether the earlier one stays. Words are ordered by rarity (counted
     over all texts), a line's prefix are so many of its rarest words that similar lines share one. Lines
-    meet under these words; length, position of the word and a 64-bit sketch of the set drop most pairs;
-    the rest is verified on the lines themselves: each line against its earliest candidate first, and
-    against the others if that one isn't similar. Equal sets under a word are one before lines are paired;
-    a frequent word's lines are dealt to pairs of blocks.
+    meet under these words, equal sets as one; length, position of the word and a 64-bit sketch of the set
+    drop most pairs. Pairs are never rows: a task joins the lines that meet to trees, the trees' components bring
+    the lines' texts together, and there each line is verified against earlier ones until one is similar. A
+    word with more distinct sets than `most` allows is dealt to pairs of blocks; a component of more than
+    `verified_words` words to blocks, and only lines that find nothing in theirs are asked of others.
 
     Returns id, n_lines, n_removed, kept_sha256 (of the lines that stay, joined by \\n). Lines without
     words stay. A null text is empty and has one line. Null ids come first. Rows that repeat
-    both id and text are one document. Ids are integers.
+    both id and text are one document; rows of one id with different texts are ordered by a hash of
+    these. Other columns are ignored. Ids are integers.
     """
     rows = keyed(docs, id_col, text)
     spark = rows.sparkSession
-    n_parts = tasks(spark)
-    rarity = spark.sparkContext.broadcast(word_rarity(rows))  # COUNTERS bytes
+    rarity, n_words = word_rarity(rows)
+    n_parts = max(tasks(spark), n_words // PART_WORDS)
+    rarity = spark.sparkContext.broadcast(rarity)  # COUNTERS bytes
 
     def walk(batches):
         held, size = [], 0
@@ -309,9 +491,9 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         def send():
             e, later = prefix_entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
             if len(later):
-                yield rows_of("line", shelf(later["doc"], later["tie"], n_parts), [later["doc"], later["tie"], later["line"]])
-            e = in_blocks(e)
-            yield rows_of("entry", (mixed(e["key"]) >> U64(33)).astype(np.int64) % (4 * n_parts), [e])
+                # They pass through whichever part; one for each batch of them.
+                yield rows_of("line", np.full(len(later), int(later["doc"][0]) % n_parts), [later["doc"], later["tie"], later["line"]])
+            yield rows_of("entry", (mixed(e["key"]) >> U64(33)).astype(np.int64) % n_parts, [e])
 
         for batch in batches:
             for part, texts in blocks(batch, "text"):
@@ -323,63 +505,17 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         if size:
             yield from send()
 
-    def compare(table: pa.Table) -> pa.Table:
-        e, later = collapsed(joined(table, "a", ENTRY))
-        pairs = candidates(e, similarity)
-        out = [rows_of("line", shelf(later["doc"], later["tie"], n_parts), [later["doc"], later["tie"], later["line"]])]
-        at = new_keys(pairs["doc"], pairs["tie"], pairs["line"])
-        first = np.zeros(len(pairs), bool)
-        first[at] = True
-        for kind, some in (("first", pairs[first]), ("more", pairs[~first])):
-            if len(some):
-                out.append(rows_of(kind, np.zeros(len(some), np.int64), [some]))
-        return pa.Table.from_batches(out)
-
-    walked = rows.select("text", "doc", "tie").mapInArrow(walk, ROWS)
-    # Senders settle equal lines that they hold themselves; those rows pass through the groups.
-    def settle(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        own = table.filter(pc.equal(table.column("kind"), "line"))
-        return pa.concat_tables([own.select(["kind", "part", *BLOBS]), compare(table.filter(pc.equal(table.column("kind"), "entry")))])
-
-    met = written(walked.groupBy("part").applyInArrow(settle, ROWS), "line-pairs")
-    first = verified(rows, met.where("kind = 'first'").select("a"), similarity)
-    lines = met.where("kind = 'line'").select("part", "a", "b", "c").unionByName(first.select("part", "a", "b", "c"))
-    more = met.where("kind = 'more'").select("a")
-    if not more.isEmpty():
-        names = ["doc", "tie", "line"]
-        schema = "doc long, tie long, line long"
-
-        def unpack(batches):
-            for batch in batches:
-                for a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(unpacked(a, "<i8")), pa.array(unpacked(b, "<i8")), pa.array(unpacked(c, "<u4").astype(np.int64))], names)
-
-        done = lines.select("a", "b", "c").mapInArrow(unpack, schema).distinct()
-        every = [*names, "doc2", "tie2", "line2"]
-        rest = more.mapInArrow(unpack_places(every), ", ".join(f"{n} long" for n in every)).distinct().join(done, names, "left_anti")
-
-        def pack(batches):
-            for batch in batches:
-                p = np.zeros(batch.num_rows, PAIR)
-                for n in every:
-                    p[n] = integers(batch, n)
-                if len(p):
-                    yield rows_of("more", np.zeros(len(p), np.int64), [p]).select(["a"])
-
-        rest = written(rest.mapInArrow(pack, "a binary"), "line-rest")
-        if not rest.isEmpty():
-            lines = lines.unionByName(verified(rows, rest, similarity).select("part", "a", "b", "c"))
-
-    def by_document(table: pa.Table) -> pa.Table:
-        doc, tie, line = joined(table, "a", "<i8"), joined(table, "b", "<i8"), joined(table, "c", "<u4")
-        order = np.lexsort((line, tie, doc))
-        doc, tie, line = doc[order], tie[order], line[order]
-        at = new_keys(doc, tie)
-        return pa.table({"doc": doc[at], "tie": tie[at], "lines": pa.array([np.unique(x).astype("<u4").tobytes() for x in np.split(line, at[1:])] if len(doc) else [], pa.binary())})
-
-    gone = written(lines.groupBy("part").applyInArrow(by_document, "doc long, tie long, lines binary"), "lines-removed")
+    def by_part(rows: DataFrame) -> DataFrame:
+        return rows.select("kind", "part", "a", "b", "c").repartition("part").sortWithinPartitions("part")
+
+    found = written(by_part(rows.select("text", "doc", "tie").mapInArrow(walk, ROWS)).mapInArrow(meet(similarity, most), MET), "lines-met")
+    hot = found.where("kind = 'hot'").select("node", "n", "entries")
+    if not hot.isEmpty():
+        again = by_part(dealt_again(hot, n_parts, most)).mapInArrow(meet(similarity, most), MET)
+        found = found.where("kind <> 'hot'").unionByName(written(again, "lines-met"))
+    names = ["doc", "tie", "line"]
+    gone = found.where("kind = 'line'").select(*names).unionByName(similar_lines(rows, found, similarity, verified_words))
+    gone = written(gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines")), "lines-removed")
 
     def remove(batches):
         for batch in batches:
@@ -387,12 +523,12 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
                 n_lines, n_removed, digests = [], [], []
                 for i, x in enumerate(column(part, "lines").to_pylist()):
                     all_lines = texts.text(i).split(b"\n")
-                    out = set(np.frombuffer(x, "<u4").tolist()) if x else ()
+                    out = set(x or ())
                     n_lines.append(len(all_lines))
                     n_removed.append(len(out))
                     kept = b"\n".join([y for j, y in enumerate(all_lines) if j not in out]) if out else texts.text(i)
                     digests.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], [id_col, "n_lines", "n_removed", "kept_sha256"])
 
-    out = join_checked(rows, gone, ["doc", "tie"], "left").select("id", "text", "lines")
+    out = rows.join(gone.hint("merge"), ["doc", "tie"], "left").select("id", "text", "lines")
     return out.mapInArrow(remove, f"{id_col} long, n_lines long, n_removed long, kept_sha256 string")

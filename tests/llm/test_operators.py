@@ -128,29 +128,49 @@ def similar_lines():
     return want
 
 
-@pytest.mark.parametrize("block_log", [lines.BLOCK_LOG, 3])
-def test_line_dedup(docs, none, monkeypatch, block_log):
-    monkeypatch.setattr(lines, "BLOCK_LOG", block_log)
-    got = lines.remove_similar_lines(docs).collect()
+@pytest.mark.parametrize("bounds", [{}, {"most": 40, "verified_words": 30}, {"most": 8, "verified_words": 200}])
+def test_line_dedup(docs, none, bounds):
+    """Also with so little room that frequent words and large components are dealt to blocks."""
+    got = lines.remove_similar_lines(docs, **bounds).collect()
     assert len(got) == len(texts())
     want = similar_lines()
     for r in ids_once(got):
         assert want[r.doc_id, r.n_lines] == (r.n_removed, r.kept_sha256)
-    assert lines.remove_similar_lines(none).collect() == []
+    assert lines.remove_similar_lines(none, **bounds).collect() == []
 
 
-@pytest.mark.parametrize("similarity", [0.6, 0.9])
+def lines_gone(rows: list[tuple[int, str]], similarity: float) -> dict[int, int]:
+    seen, gone = [], {}
+    for d, text in sorted(rows):
+        gone[d] = 0
+        for line in text.split("\n"):
+            s = frozenset(WORD.findall(line))
+            if s:
+                gone[d] += any(len(s & x) >= similarity * len(s | x) - 1e-9 for x in seen)
+                seen.append(s)
+    return gone
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.8, 0.9])
 def test_line_dedup_at_other_similarities(spark, similarity):
-    """Lines of ten words of which k are another line's: Jaccard similarities of 9/11, 8/12 and 7/13."""
+    """Lines of which k words are another line's: Jaccard similarities of 9/11, 8/12 and 7/13, 7/9 and 6/8."""
     text = "\n".join(" ".join([f"g{g}w{i}" for i in range(10)][:k] + [f"g{g}k{k}n{i}" for i in range(10 - k)]) for g in range(6) for k in (10, 9, 8, 7))
-    docs = spark.createDataFrame([(1, text), (2, "quite another line")], "doc_id long, text string")
-    seen, gone = [], 0
-    for line in text.split("\n"):
-        s = set(line.split())
-        gone += any(len(s & x) >= similarity * len(s | x) for x in seen)
-        seen.append(s)
+    more = "\n".join(" ".join([f"h{g}w{i}" for i in range(8)][: 8 - k]) for g in range(3) for k in (0, 1, 2, 3))
+    rows = [(1, text), (2, "quite another line"), (3, more)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in lines.remove_similar_lines(docs, similarity=similarity).collect()}
-    assert got == {1: gone, 2: 0}
+    assert got == lines_gone(rows, similarity)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most": 100, "verified_words": 500}])
+def test_line_dedup_of_a_large_group_of_near_copies(spark, bounds):
+    """Each differs from one line by a word of its own, so that only that line is similar to them; it isn't the first."""
+    base, r = [f"b{i}" for i in range(10)], random.Random(3)
+    near = [" ".join(base[:i] + [f"own{k}"] + base[i + 1 :]) for k in range(400) for i in [r.randrange(10)]]
+    rows = list(enumerate([*near[:100], " ".join(base), *near[100:], *near[:20]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_removed for r in lines.remove_similar_lines(docs, **bounds).collect()}
+    assert got == lines_gone(rows, 0.8)
 
 
 def base_counts(t: str):
