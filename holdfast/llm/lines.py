@@ -22,12 +22,14 @@ COUNTERS = 1 << 20
 #: Prefix entries that a task holds before it sends them; pairs looked at in one go, and words of these.
 HELD, PAIRS, PAIR_WORDS = 1 << 19, 1 << 18, 1 << 21
 #: Words of the input for each part of the entries, about; entries of a part that are in memory at once.
-PART_WORDS, MOST = 1 << 22, 1 << 22
+PART_WORDS, MOST = 1 << 22, 1 << 20
 #: Words of the lines that are verified together.
-VERIFIED = 1 << 21
+VERIFIED = 1 << 19
+#: Words from which a set has a sketch of 256 bits: 64 say little about larger sets.
+LONG = 64
 HASH_BITS, RARITY_BITS = 40, 5
 
-ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("wide", "<u8", (3,))])
 
 
 def least_overlap(total: np.ndarray, similarity: float) -> np.ndarray:
@@ -93,7 +95,7 @@ def word_rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(np.log2(counts + 1).astype(np.uint8), 31), int(counts.sum())
 
 
-SET = np.dtype([("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("prefix", "<u4")])
+SET = np.dtype([("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("wide", "<u8", (3,)), ("prefix", "<u4")])
 
 
 def prefix_sets(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,11 @@ def prefix_sets(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: floa
         return np.zeros(0, SET), np.zeros(0, U64)
     out = np.zeros(len(n), SET)
     out["set"] = np.add.reduceat(mixed(lines.token), lines.at[:-1])
-    out["sketch"] = np.bitwise_xor.reduceat(U64(1) << (mixed(lines.token ^ U64(0x5555555555)) >> U64(58)), lines.at[:-1])
+    own = mixed(lines.token ^ U64(0x5555555555))
+    bit, quarter = U64(1) << (own >> U64(58)), (own >> U64(56)) & U64(3)
+    out["sketch"] = np.bitwise_xor.reduceat(bit, lines.at[:-1])
+    for i in range(3):
+        out["wide"][:, i] = np.where(n >= LONG, np.bitwise_xor.reduceat(np.where(quarter == i, bit, U64(0)), lines.at[:-1]), U64(0))
     prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
     out["doc"], out["tie"], out["line"], out["n"], out["prefix"] = doc[lines.doc], tie[lines.doc], lines.line, n, prefix
     return out, lines.token[np.repeat(lines.at[:-1], prefix) + places(prefix)]
@@ -127,9 +133,10 @@ def prefix_entries(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np
     spot = places(counts)
     e = np.zeros(len(spot), ENTRY)
     e["key"], e["at"] = tokens[np.repeat(begin, counts) + spot], spot
-    for n in ("set", "sketch", "doc", "tie", "line", "n"):
-        e[n] = np.repeat(own[n], counts)
-    return e, later
+    for n in ("set", "sketch", "doc", "tie", "line", "n", "wide"):
+        e[n] = np.repeat(own[n], counts, axis=0)
+    # Zeros of short sets beside each other pack well.
+    return e[np.argsort(e["n"], kind="stable")], later
 
 
 def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +149,11 @@ def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[at], e[later]
 
 
-def meetings(key: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meetings(key: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of entries under one key that pass the length, position and sketch filters, a bounded number at a time.
 
     Entries are sorted by key and then by n, the words of the set; `at` is the key's place among these. Those of side 2 meet all
-    others, those of sides 0 and 1 only each other.
+    others, those of sides 0 and 1 only each other. `sketch` is the sum of a wide sketch's quarters, `wide` three of these.
     """
     group = np.zeros(len(key), np.int64)
     group[new_keys(key)] = 1
@@ -174,6 +181,13 @@ def meetings(key: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: np.ndarray,
         a, b, need = a[good], b[good], need[good]
         good = np.bitwise_count(sketch[a] ^ sketch[b]) <= n[a] + n[b] - 2 * need
         good &= (side[a] != side[b]) | (side[a] == 2)
+        if wide is not None:
+            two = np.flatnonzero(good & (np.minimum(n[a], n[b]) >= LONG))
+            x, y = a[two], b[two]
+            quarters = wide[x] ^ wide[y]
+            last = sketch[x] ^ sketch[y] ^ quarters[:, 0] ^ quarters[:, 1] ^ quarters[:, 2]
+            differ = np.bitwise_count(quarters).sum(1, dtype=np.int64) + np.bitwise_count(last)
+            good[two] = differ <= n[x] + n[y] - 2 * need[two]
         yield a[good], b[good]
 
 
@@ -181,7 +195,7 @@ def forest(e: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
     """For each entry the least entry that meetings join it to, itself if there are none."""
     label = np.arange(len(e))
     columns = [np.ascontiguousarray(e[name]) for name in ("key", "n", "at", "sketch")]
-    for a, b in meetings(*columns, side, similarity):
+    for a, b in meetings(*columns, side, similarity, e["wide"]):
         while True:
             x, y = label[a], label[b]
             apart = x != y
@@ -398,19 +412,21 @@ def verified(sets: DataFrame, n_parts: int, similarity: float) -> DataFrame:
     """From label, block, n_blocks, doc, tie, line, text and side: which lines are similar to an earlier one of their block."""
 
     def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("label", "block", "doc", "tie", "line")])
         get = lambda name: table.column(name).to_numpy()
-        doc, tie, line = get("doc"), get("tie"), get("line")
-        order = np.lexsort((get("block"), get("label")))
-        group = np.empty(len(order), np.int64)
-        edge = np.zeros(len(order), np.int64)
-        edge[new_keys(get("label")[order], get("block")[order])] = 1
-        group[order] = np.cumsum(edge) - 1
-        rank = np.empty(len(order), np.int64)
-        rank[np.lexsort((line, tie, doc))] = np.arange(len(order))
+        at = np.append(new_keys(get("label"), get("block")), table.num_rows)
         raw = [x.encode() for x in table.column("text").to_pylist()]
-        token, of = words_of_lines(b"".join(raw), np.array([len(x) for x in raw], np.int64))
-        found = similar_to_earlier(group, rank, get("side"), token, of, similarity)
-        return table.select(["label", "block", "n_blocks", "doc", "tie", "line"]).append_column("similar", pa.array(found))
+        size = np.concatenate([[0], np.cumsum([len(x) for x in raw])])[at]
+        side, found, i = get("side"), [np.zeros(0, bool)], 0
+        while i < len(at) - 1:
+            # Whole groups, about a BLOCK of text at a time.
+            j = max(i + 1, int(np.searchsorted(size, size[i] + BLOCK, "right")) - 1)
+            own = slice(at[i], at[j])
+            group = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+            token, of = words_of_lines(b"".join(raw[own]), np.array([len(x) for x in raw[own]], np.int64))
+            found.append(similar_to_earlier(group, np.arange(len(group)), side[own], token, of, similarity))
+            i = j
+        return table.select(["label", "block", "n_blocks", "doc", "tie", "line"]).append_column("similar", pa.array(np.concatenate(found)))
 
     part = F.pmod(F.xxhash64("label", "block"), F.lit(n_parts))
     schema = "label long, block long, n_blocks long, doc long, tie long, line long, similar boolean"
@@ -506,7 +522,7 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
             yield from send()
 
     def by_part(rows: DataFrame) -> DataFrame:
-        return rows.select("kind", "part", "a", "b", "c").repartition("part").sortWithinPartitions("part")
+        return rows.select("kind", "part", "a", "b", "c").repartition(n_parts, "part").sortWithinPartitions("part")
 
     found = written(by_part(rows.select("text", "doc", "tie").mapInArrow(walk, ROWS)).mapInArrow(meet(similarity, most), MET), "lines-met")
     hot = found.where("kind = 'hot'").select("node", "n", "entries")

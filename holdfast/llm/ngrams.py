@@ -15,6 +15,8 @@ from .textkit import U64, Texts, blocks, mixed, span_hashes
 WORDS, SIMILARITY, HASHES, RECALL = 5, 0.8, 128, 0.995
 #: Band hashes that a task gathers before it sends them; members compared at once.
 HELD, MEMBERS = 1 << 20, 128
+#: Edges that one task joins to components: 3 MB.
+FEW_EDGES = 200_000
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -126,26 +128,58 @@ def band_edges(reps: DataFrame, bands: int, per_band: int) -> DataFrame:
     return settled.unionByName(own).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, and for each the least node that it is joined to."""
+    nodes, both = np.unique(np.append(a, b), return_inverse=True)
+    x, y, root = both[: len(a)], both[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        up = root[root]
+        while (up != root).any():
+            root, up = up, up[up]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node and label, the least node of its component, for each node of an edge.
 
     Each round hooks every label to the least one beside it, and carries the edges over to the new
-    labels; labels at least halve a round. All of it is joins and aggregates over written tables.
+    labels; labels at least halve a round. All of it is joins and aggregates over written tables. When no
+    more than `few` edges are left, whatever the input was, one task joins these at once.
     """
-    edges = written(edges, "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+
+    def unite(batches):
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            node, root = united(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["x", "to"])
+
+    def hooks(rest: DataFrame, small: bool) -> DataFrame:
+        if small:
+            return rest.coalesce(1).mapInArrow(unite, "x long, to long")
+        two = rest.unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        return two.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("to"))
+
+    edges = written(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), "edges")
+    small = edges.count() <= few
+    labels = written(hooks(edges, small).select(F.col("x").alias("node"), F.col("to").alias("label")), "labels")
+    if small:
+        return labels
     while True:
-        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-        ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
-        rest = written(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-        if rest.isEmpty():
+        ends = edges.join(labels.select(F.col("node").alias("x"), F.col("label").alias("p")), "x")
+        ends = ends.join(labels.select(F.col("node").alias("y"), F.col("label").alias("q")), "y").where("p <> q")
+        rest = written(ends.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+        left = rest.count()
+        if not left:
             break
-        # What the labels of the smaller graph become, itself found in this way.
-        two = rest.unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hook = written(two.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("to")), "hooks")
+        hook = written(hooks(rest, left <= few), "hooks")
         labels = labels.join(hook, labels["label"] == hook["x"], "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = written(labels, "labels")
+        if left <= few:
+            break
     # Labels may be hooked on: follow them to the least.
     while True:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
