@@ -72,7 +72,8 @@ class FMIndex:
         n = len(text)
         while have < depth:
             nxt = np.zeros(n, np.int64)
-            nxt[: n - have] = rank[have:]
+            m = max(0, n - have)
+            nxt[:m] = rank[have:][:m]
             key = rank * (rank.max() + 1) + nxt
             order = np.argsort(key, kind="stable")
             rank = np.empty(n, np.int64)
