@@ -49,53 +49,55 @@ def unescaped(text: Column, t: ChatTemplate, line: bool = False) -> Column:
     return F.replace(F.replace(text, F.lit(t.broken), F.lit(t.mark)), F.lit("\\\\"), F.lit("\\"))
 
 
+def last_state(roles: Column, template: ChatTemplate) -> Column:
+    """The machine's state after these roles, from its start; null once a role has no move from the state that it is in."""
+
+    def move(state: Column, role: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for (old, by), new in template.moves.items():
+            out = F.when((state == old) & (role == by), F.lit(new)).otherwise(out)
+        return out
+
+    return F.aggregate(roles, F.lit(template.start), move)
+
+
 def text_segments(turns: DataFrame, template: ChatTemplate = ChatTemplate(), conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """A row for each segment: conv, turn, part, segment, loss, and whether the machine allows the turn.
+    """A row for each segment: conv, at, role, part, segment, begin (in characters of the conversation), loss.
 
     Each turn gives three segments: the opening with the role, the text, the close. Only the text
-    of a learnt role is under the loss. Turns are ordered by turn, then role, then text; null roles
-    and texts are empty. The machine's state after a turn is known by its role, so each move is
-    checked against the turn before alone; a last turn in no final state isn't allowed either.
+    of a learnt role is under the loss. Turns are ordered by turn (null first), then role, then text; null roles
+    and texts are empty. Other columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), "role", "text")
     rows = turns.select(conv, turn, role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("at", F.row_number().over(order))
-    before, after = F.lag("role").over(order), F.lead("role").over(order)
-    state = F.when(F.col("at") == 1, F.lit(template.start)).otherwise(before)
-    legal = F.lit(False)
-    for (old, by), _ in template.moves.items():
-        legal = legal | ((state == old) & (F.col("role") == by))
-    ends = after.isNotNull() | F.col("role").isin(*template.final)
-    rows = rows.withColumn("allowed", legal & ends)
-    loss = F.col("role").isin(*template.learnt)
-    part = lambda segment, under: F.struct(segment.alias("segment"), under.alias("loss"))
     opening = F.concat(F.lit(template.open), escaped(F.col("role"), template, line=True), F.lit("\n"))
-    parts = F.array(part(opening, F.lit(False)), part(escaped(F.col("text"), template), loss), part(F.lit(template.close), F.lit(False)))
-    return rows.select(conv, "at", "allowed", F.posexplode(parts).alias("part", "_x")).select(
-        conv, "at", "part", "allowed", "_x.segment", "_x.loss"
-    )
+    rows = rows.withColumn("opening", opening).withColumn("body", escaped(F.col("text"), template))
+    size = F.length("opening") + F.length("body") + F.lit(len(template.close))
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("before", before)
+    loss = F.col("role").isin(*template.learnt)
+    part = lambda segment, begin, under: F.struct(segment.alias("segment"), begin.alias("begin"), under.alias("loss"))
+    body, end = F.col("before") + F.length("opening"), F.col("before") + F.length("opening") + F.length("body")
+    parts = F.array(part(F.col("opening"), F.col("before"), F.lit(False)), part(F.col("body"), body, loss), part(F.lit(template.close), end, F.lit(False)))
+    return rows.select(conv, "at", "role", F.posexplode(parts).alias("part", "_x")).select(conv, "at", "role", "part", "_x.segment", "_x.begin", "_x.loss")
 
 
 def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate(), conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """A row for each conversation: conv, formatted, loss_spans (start and length in characters), valid.
 
-    All conversations are formatted; `valid` says if the machine accepts the order of roles. An
-    empty table gives an empty result; a null conversation id is an id like others.
+    All conversations are formatted; `valid` says if the machine, run over the roles in order, ends in a final
+    state. An empty table gives an empty result; a null conversation id is an id like others. A
+    conversation is one string, so it has to fit a task; nothing here grows faster than it.
     """
     parts = text_segments(turns, template, conv, turn)
-    sorted_parts = F.sort_array(F.collect_list(F.struct("at", "part", "segment", "loss")))
-    rows = parts.groupBy(conv).agg(sorted_parts.alias("parts"), F.min("allowed").alias("valid"))
+    sorted_parts = F.sort_array(F.collect_list(F.struct("at", "part", "role", "segment", "begin", "loss")))
+    rows = parts.groupBy(conv).agg(sorted_parts.alias("parts"))
     formatted = F.array_join(F.transform("parts", lambda p: p["segment"]), "")
-    begin = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-    # Runs of segments: one pass over the conversation's parts.
-    length = lambda p: F.length(p["segment"]).cast("long")
-    span = lambda acc, p: F.array(F.struct(acc["end"].alias("start"), length(p).alias("length")))
-    walked = F.aggregate("parts", begin, lambda acc, p: F.struct(
-        (acc["end"] + length(p)).alias("end"),
-        F.when(p["loss"], F.concat(acc["spans"], span(acc, p))).otherwise(acc["spans"]).alias("spans"),
-    ))
-    return rows.select(conv, formatted.alias("formatted"), walked["spans"].alias("loss_spans"), "valid")
+    spans = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: F.struct(p["begin"].alias("start"), F.length(p["segment"]).cast("long").alias("length")))
+    roles = F.transform(F.filter("parts", lambda p: p["part"] == 0), lambda p: p["role"])
+    valid = F.coalesce(last_state(roles, template).isin(*template.final), F.lit(False))
+    return rows.select(conv, formatted.alias("formatted"), spans.alias("loss_spans"), valid.alias("valid"))
 
 
 def read_chats(chats: DataFrame, template: ChatTemplate = ChatTemplate(), conv: str = "conv_id") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import Contexts, Items, Unit, compared, finished, keyed, new_keys, removed_items, repeated_anchors, walk_contexts
+from .passages import Contexts, Items, Unit, compared, finished, keyed, new_keys, parts_for, removed_items, repeated_anchors, walk_contexts
 from .textkit import U64, Texts, anchors, mixed, span_hashes
 
 #: Words of a window that counts as a repeat, and of an anchor.
@@ -228,7 +228,8 @@ def remove_earlier_windows(docs: DataFrame, id_col: str = "doc_id", text: str =
     texts are ordered by a hash of these. Texts shorter than a window stay whole. Ids are integers.
     """
     rows = keyed(docs, id_col, text)
-    flagged, hot = repeated_anchors(rows, WORDS)
+    n_parts = parts_for(rows)
+    flagged, hot = repeated_anchors(rows, WORDS, n_parts)
     n = flagged.agg(F.sum(F.length("places")) / 4).first()[0] or 0
     n_shards = max(1, int(n // SHARD))
 
@@ -242,8 +243,8 @@ def remove_earlier_windows(docs: DataFrame, id_col: str = "doc_id", text: str =
         return {"n_words": np.diff(texts.word_at), "n_removed": np.zeros(texts.n, np.int64), "kept_sha256": kept_words(texts, none)}
 
     schema = "n_words long, n_removed long, kept_sha256 string"
-    walked = walk_contexts(rows, flagged, hot, WORDS, part_of, settle_later, untouched, schema)
-    intervals = compared(walked, earlier_windows)
+    walked = walk_contexts(rows, flagged, hot, WORDS, part_of, settle_later, untouched, schema, n_parts)
+    intervals = compared(walked, earlier_windows, n_shards, n_parts)
 
     def remove(part, texts):
         texts.words()

@@ -13,8 +13,12 @@ from .textkit import U64, Texts, blocks, mixed, span_hashes
 
 #: Words of a shingle, least similarity, hash functions at most, and recall at that similarity.
 WORDS, SIMILARITY, HASHES, RECALL = 5, 0.8, 128, 0.995
-#: Band hashes that a task gathers before it sends them; members compared at once.
-HELD, MEMBERS = 1 << 20, 128
+#: Band hashes that a task gathers before it sends them.
+HELD = 1 << 20
+#: Members of a block of a component, and words of these: the sets of two blocks are compared at once.
+MEMBERS, MEMBER_WORDS = 2048, 1 << 20
+#: Bytes of sets in a batch that a task sends.
+SENT = 16 << 20
 #: Edges that one task joins to components: 3 MB.
 FEW_EDGES = 200_000
 
@@ -44,7 +48,7 @@ def shingles(texts: Texts, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, n_hashes: int) -> DataFrame:
-    """id, doc, tie, two hashes of the word sequence, and the MinHash values (null without words); `row` is carried if there."""
+    """id, doc, tie, two hashes of the word sequence, its length, and the MinHash values (null without words); `row` is carried if there."""
     own = [n for n in ("id", "doc", "tie", "row") if n in rows.columns]
 
     def sign(batches):
@@ -63,9 +67,9 @@ def signatures(rows: DataFrame, n_hashes: int) -> DataFrame:
                 two = [span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], b).view(np.int64) for b in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)]
                 sig = pa.array([values[i].tobytes() if s else None for i, s in enumerate(some.tolist())], pa.binary())
                 get = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([*map(get, own), pa.array(two[0]), pa.array(two[1]), sig], [*own, "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([*map(get, own), pa.array(two[0]), pa.array(two[1]), pa.array(np.diff(texts.word_at)), sig], [*own, "h1", "h2", "words", "sig"])
 
-    return rows.select(*own, "text").mapInArrow(sign, ", ".join(f"{n} long" for n in [*own, "h1", "h2"]) + ", sig binary")
+    return rows.select(*own, "text").mapInArrow(sign, ", ".join(f"{n} long" for n in [*own, "h1", "h2", "words"]) + ", sig binary")
 
 
 def band_edges(reps: DataFrame, bands: int, per_band: int) -> DataFrame:
@@ -250,14 +254,14 @@ def linked(key: np.ndarray, node: np.ndarray, side: np.ndarray, sets: list[np.nd
     return a[across], b[across]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, row: str | None = None, members: int = MEMBERS) -> DataFrame:
     """For each row: rep_id, n_copies, class_id, n_links, first.
 
     Rows of equal word sequences are copies; the least id of them represents them. Representatives
     are linked if the Jaccard similarity of their sets of 5-word shingles reaches `similarity`.
     Candidates share a band of MinHash values, with bands and rows chosen for `recall`. The
     candidates' components then bring full sets together, where all pairs of a component are verified;
-    a component of more than MEMBERS is dealt to pairs of blocks. n_links is the number of linked
+    a component of more than `members` or MEMBER_WORDS is dealt to pairs of blocks, as its links are counted. n_links is the number of linked
     representatives, class_id the least id of those joined by links, `first` marks the one row of a
     class that has it.
 
@@ -273,32 +277,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     groups = written(signed.groupBy("h1", "h2").agg(best, F.count("*").alias("n_copies")).withColumn("key", F.struct("h1", "h2")), "copies")
     # A representative's row number is its node.
     firsts = groups.select(F.col("best.row").alias("row"))
-    reps = written(signed.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "doc", "tie", "sig"), "representatives")
+    reps = written(signed.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "doc", "tie", "words", "sig"), "representatives")
     edges = band_edges(reps, bands, per_band)
     label = components(edges)
-    counts = label.groupBy("label").agg(F.count("*").alias("members"))
-    near = reps.select("node", "doc", "tie").join(label, "node").join(counts, "label")
+    sized = reps.select("node", "doc", "tie", "words").join(label, "node")
+    n_blocks = F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("words") / MEMBER_WORDS)).cast("long")
+    counts = sized.groupBy("label").agg(n_blocks.alias("n_blocks"), F.sum("words").alias("sum"))
+    large = written(counts.where("n_blocks > 1").select("label", "n_blocks"), "large-components")
+    near = join_checked(sized, large, "label", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1).cast("long")))
     near = written(near, "candidates")
-
-    n_parts = tasks(docs.sparkSession)
+    n_sent = near.agg(F.sum(F.col("words") * F.col("n_blocks"))).first()[0] or 0
+    n_parts = max(tasks(docs.sparkSession), int(n_sent // MEMBER_WORDS))
 
     def deal(batches):
+        types = {"part": pa.int64(), "key": pa.int64(), "node": pa.int64(), "side": pa.int64(), "set": pa.binary()}
+
+        def sent(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
+
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 grams, doc = shingles(texts)
                 at = np.searchsorted(doc, np.arange(texts.n + 1))
-                node, group, members = integers(part, "node"), integers(part, "label"), integers(part, "members")
-                out = []
+                node, group, blocks_of = integers(part, "node"), integers(part, "label"), integers(part, "n_blocks")
+                out, size = [], 0
                 for i in range(texts.n):
-                    own = packed(np.unique(grams[at[i] : at[i + 1]]))
-                    n = -(-int(members[i]) // MEMBERS)
+                    own, n = packed(np.unique(grams[at[i] : at[i + 1]])), int(blocks_of[i])
                     block = int(mixed(node[i : i + 1].astype(U64))[0] % U64(n))
                     for j in range(n):
-                        a, b = min(block, j), max(block, j)
-                        key = int(mixed(mixed(group[i : i + 1].astype(U64)) + U64(a * n + b))[0])
-                        part_no = (key >> 20) % (8 * n_parts)
-                        out.append((part_no, key - 2**63, int(node[i]), 2 if a == b else int(block == b), own))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "key", "node", "side", "set"])
+                        low, high = min(block, j), max(block, j)
+                        key = int(mixed(mixed(group[i : i + 1].astype(U64)) + U64(low * n + high))[0])
+                        out.append(((key >> 20) % n_parts, key - 2**63, int(node[i]), 2 if low == high else int(block == high), own))
+                        size += len(own) + 64
+                        if size >= SENT:
+                            yield sent(out)
+                            out, size = [], 0
+                if out:
+                    yield sent(out)
 
     def verify(table: pa.Table) -> pa.Table:
         node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
@@ -315,11 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.table({"node": node[some], "root": least[some], "n_links": n_links[some]})
 
     # Not all texts, only those of candidates.
-    wanted = join_checked(rows.select("doc", "tie", "text"), near.select("doc", "tie", "node", "label", "members"), ["doc", "tie"])
+    wanted = join_checked(rows.select("doc", "tie", "text"), near.select("doc", "tie", "node", "label", "n_blocks"), ["doc", "tie"])
     # Rows that repeat id and text would come twice.
-    sets = wanted.select("node", "label", "members", "text").mapInArrow(deal, "part long, key long, node long, side long, set binary")
+    sets = wanted.select("node", "label", "n_blocks", "text").mapInArrow(deal, "part long, key long, node long, side long, set binary")
     sets = sets.dropDuplicates(["key", "node"]) if not signed.groupBy("doc", "tie").count().where("count > 1").isEmpty() else sets
-    links = written(sets.groupBy("part").applyInArrow(verify, "node long, root long, n_links long"), "links")
+    links = written(sets.repartition(n_parts, "part").groupBy("part").applyInArrow(verify, "node long, root long, n_links long"), "links")
     classes = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct())
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     info = reps.select("node", "doc").join(classes, "node", "left").join(n_links, "node", "left")

@@ -25,6 +25,8 @@ HELD, HELD_BYTES = 1 << 20, 24 << 20
 MOST_HOT = 1_000_000
 #: An anchor with fewer occurrences is never hot.
 LEAST_HOT = 20_000
+#: Bytes of text for each part that anchors and intervals are gathered in, about.
+PART_BYTES = 32 << 20
 LOWEST = -(2**63)
 SETTLED = 0xFFFFFFFF
 
@@ -69,6 +71,12 @@ def keyed(docs: DataFrame, id_col: str, text: str, carried: list[Column] = []) -
     return rows.withColumn("doc", F.coalesce("id", F.lit(LOWEST))).withColumn("tie", tie)
 
 
+def parts_for(rows: DataFrame) -> int:
+    """As many parts as the texts are large, a part a task at least."""
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(tasks(rows.sparkSession), n_bytes // PART_BYTES)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -132,13 +140,12 @@ def as_table(batch: pa.RecordBatch) -> pa.Table:
 # --- anchors ------------------------------------------------------------------------------------
 
 
-def repeated_anchors(rows: DataFrame, unit: Unit) -> tuple[DataFrame, np.ndarray]:
+def repeated_anchors(rows: DataFrame, unit: Unit, n_parts: int) -> tuple[DataFrame, np.ndarray]:
     """doc, tie and places of all anchors whose hash occurs twice or more; hashes of the hot ones.
 
     A hash that a task holds twice is settled there, and one entry of it tells the others, so a part
     gets an entry of a hash for each HELD anchors at most, however many documents hold it.
     """
-    n_parts = tasks(rows.sparkSession)
 
     def gather(batches):
         held, size = [], 0
@@ -187,7 +194,7 @@ def repeated_anchors(rows: DataFrame, unit: Unit) -> tuple[DataFrame, np.ndarray
             out.append(rows_of("hot", np.zeros(hot.sum(), np.int64), [h[at[hot]], total[hot]]))
         return pa.Table.from_batches(out) if out else as_table(rows_of("place", np.zeros(0, np.int64), [np.zeros(0, np.int64)]))
 
-    settled = written(sent.where("kind = 'hash'").groupBy("part").applyInArrow(settle, ROWS), "anchors-settled")
+    settled = written(sent.where("kind = 'hash'").repartition(n_parts, "part").groupBy("part").applyInArrow(settle, ROWS), "anchors-settled")
     hashes, totals = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)]
     for a, b in settled.where("kind = 'hot'").select("a", "b").toLocalIterator():
         hashes.append(unpacked(a, "<u8"))
@@ -205,7 +212,7 @@ def repeated_anchors(rows: DataFrame, unit: Unit) -> tuple[DataFrame, np.ndarray
         each = [np.unique(x).astype("<u4").tobytes() for x in np.split(place, at[1:])] if len(doc) else []
         return pa.table({"doc": doc[at], "tie": tie[at], "places": pa.array(each, pa.binary())})
 
-    flagged = places.select("part", "a", "b", "c").groupBy("part").applyInArrow(by_document, "doc long, tie long, places binary")
+    flagged = places.select("part", "a", "b", "c").repartition(n_parts, "part").groupBy("part").applyInArrow(by_document, "doc long, tie long, places binary")
     return written(flagged, "flagged"), np.sort(hashes[0])
 
 
@@ -263,7 +270,7 @@ def contexts_of(unit: Unit, texts: Texts, items: Items, flags: np.ndarray, hot:
     return np.append(low, single), np.append(plain, single), np.append(high, single + unit.window), alone
 
 
-def walk_contexts(rows: DataFrame, flagged: DataFrame, hot: np.ndarray, unit: Unit, part_of: Callable, settle: Callable, untouched: Callable[[Texts], dict], schema: str) -> DataFrame:
+def walk_contexts(rows: DataFrame, flagged: DataFrame, hot: np.ndarray, unit: Unit, part_of: Callable, settle: Callable, untouched: Callable[[Texts], dict], schema: str, n_parts: int) -> DataFrame:
     """Written table of documents (kind doc), contexts (kind context) and intervals (kind interval).
 
     `untouched` gives the columns of `schema` for texts of which nothing is removed; texts with contexts
@@ -272,7 +279,6 @@ def walk_contexts(rows: DataFrame, flagged: DataFrame, hot: np.ndarray, unit: Un
     these, and the intervals (index, start, length) that are settled already.
     """
     spark = rows.sparkSession
-    n_parts = tasks(spark)
     sent_hot = spark.sparkContext.broadcast(hot.tobytes())  # MOST_HOT hashes at most
     fields = [f.split() for f in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string()}
@@ -375,15 +381,14 @@ def intervals_of(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, length: np
     return as_table(rows_of("interval", shelf(doc, tie, n_parts), [doc, tie, start.astype(np.uint32), length.astype(np.uint32)]))
 
 
-def compared(walked: DataFrame, compare: Callable[[Contexts], tuple]) -> DataFrame:
+def compared(walked: DataFrame, compare: Callable[[Contexts], tuple], n_shards: int, n_parts: int) -> DataFrame:
     """doc, tie and intervals (start, length pairs) from `compare`, which returns doc, tie, start and length."""
-    n_parts = tasks(walked.sparkSession)
 
     def each(table: pa.Table) -> pa.Table:
         return intervals_of(*compare(contexts_in(table)), n_parts)
 
     columns = ["kind", "part", *BLOBS]
-    found = walked.where("kind = 'context'").select(*columns).groupBy("part").applyInArrow(each, ROWS)
+    found = walked.where("kind = 'context'").select(*columns).repartition(max(n_parts, n_shards // 4), "part").groupBy("part").applyInArrow(each, ROWS)
     intervals = walked.where("kind = 'interval'").select(*columns).unionByName(found)
 
     def by_document(table: pa.Table) -> pa.Table:
@@ -394,7 +399,7 @@ def compared(walked: DataFrame, compare: Callable[[Contexts], tuple]) -> DataFra
         each = [np.ascontiguousarray(x, "<u4").tobytes() for x in np.split(pairs, at[1:])] if len(doc) else []
         return pa.table({"doc": doc[at], "tie": tie[at], "intervals": pa.array(each, pa.binary())})
 
-    return written(intervals.groupBy("part").applyInArrow(by_document, "doc long, tie long, intervals binary"), "intervals")
+    return written(intervals.repartition(n_parts, "part").groupBy("part").applyInArrow(by_document, "doc long, tie long, intervals binary"), "intervals")
 
 
 def removed_items(part: pa.RecordBatch, at: np.ndarray) -> np.ndarray:

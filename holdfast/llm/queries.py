@@ -72,7 +72,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).drop("source")
+    return mix_sources(documents(spark, sf_dir)).drop("source", "positions")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing)}

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import Contexts, Items, Unit, compared, finished, keyed, new_keys, removed_items, repeated_anchors, walk_contexts
+from .passages import Contexts, Items, Unit, compared, finished, keyed, new_keys, parts_for, removed_items, repeated_anchors, walk_contexts
 from .textkit import U64, Texts, anchors, blocks, mixed, repeats
 
 #: Bytes of a string that counts as a repeat, and of an anchor.
 WINDOW, GRAM = 200, 32
 #: Bytes by which suffixes are dealt to buckets, and contexts of a bucket, about.
-LEADING, BUCKET = 16, 8_000
+LEADING, BUCKET = GRAM, 8_000
 #: For the splitters: one document in so many, and suffixes, about.
 SAMPLE_DOCS, SAMPLED = 64, 20_000
 
@@ -43,10 +43,10 @@ BYTES = Unit(byte_items, WINDOW, GRAM)
 
 
 def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first LEADING bytes from each place, zeros after the end, as two numbers that sort like them."""
+    """The first LEADING bytes from each place, zeros after the end, as numbers that sort like them: the whole anchor."""
     padded = np.append(data, np.zeros(LEADING, np.uint8))
-    found = padded[at[:, None] + np.arange(LEADING)]
-    return np.ascontiguousarray(found).view(">u8").astype(U64)
+    found = np.lib.stride_tricks.sliding_window_view(padded, LEADING)[at]
+    return np.ascontiguousarray(found).view(">u8").astype(U64).reshape(len(at), LEADING // 8)
 
 
 def splitters(rows: DataFrame, n_buckets: int, n_repeated: int) -> np.ndarray:
@@ -58,18 +58,20 @@ def splitters(rows: DataFrame, n_buckets: int, n_repeated: int) -> np.ndarray:
     rate = min(1.0, SAMPLED * SAMPLE_DOCS / max(1, 4 * n_repeated))
     threshold = U64(min(2**64 - 1, int(rate * 2**64)))
 
+    names = list("abcdefgh"[: LEADING // 8])
+
     def sample(batches):
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 items = byte_items(texts)
                 at = np.flatnonzero(items.chosen & (mixed(items.grams) <= threshold))
                 key = leading(texts.data, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, i].copy()) for i in range(len(names))], names)
 
     some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(SAMPLE_DOCS)) == 0).select("text")
-    found = some.mapInArrow(sample, "a long, b long").orderBy(F.xxhash64("a", "b")).limit(2 * SAMPLED).toPandas()
-    key = found.to_numpy(np.int64).view(U64).reshape(-1, 2)
-    key = key[np.lexsort((key[:, 1], key[:, 0]))]
+    found = some.mapInArrow(sample, ", ".join(f"{n} long" for n in names)).orderBy(F.xxhash64(*names)).limit(2 * SAMPLED).toPandas()
+    key = np.ascontiguousarray(found.to_numpy(np.int64)).view(U64).reshape(-1, len(names))
+    key = key[np.lexsort(key.T[::-1])]
     cut = np.unique(np.linspace(0, len(key), n_buckets + 1).astype(int)[1:-1])
     return np.unique(key[cut[cut < len(key)]], axis=0)
 
@@ -77,7 +79,7 @@ def splitters(rows: DataFrame, n_buckets: int, n_repeated: int) -> np.ndarray:
 def bucket_of(key: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """How many splitters stand at or before each key; equal keys never part."""
     both = np.concatenate([cuts, key])
-    rank = np.lexsort((np.arange(len(both)), both[:, 1], both[:, 0]))
+    rank = np.lexsort((np.arange(len(both)), *both.T[::-1]))
     out = np.empty(len(both), np.int64)
     out[rank] = np.cumsum(rank < len(cuts))
     return out[len(cuts) :]
@@ -109,9 +111,11 @@ class Side:
     def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int, width: int, first: np.ndarray):
         self.size = size
         width = -(-width // 8) * 8
-        reach = np.arange(width)
-        inside = reach < size[:, None]
-        bytes_ = np.where(inside, np.append(data, np.uint8(0))[np.where(inside, begin[:, None] + step * reach, len(data))], 0).astype(np.uint8)
+        if step < 0:
+            data, begin = data[::-1], len(data) - 1 - begin
+        # A view: `width` bytes a context are copied, and no places of these.
+        bytes_ = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, np.uint8)), width)[begin]
+        bytes_[np.arange(width) >= size[:, None]] = 0
         tokens = np.concatenate([first.astype(U64)[:, None], bytes_.view(">u8").astype(U64)], 1)
         self.order = multikey_order(tokens)
         bytes_, first = bytes_[self.order], first[self.order]
@@ -188,13 +192,15 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "
     that repeat both id and text are one document. Ids are integers or null.
     """
     rows = keyed(docs, id_col, text)
-    flagged, hot = repeated_anchors(rows, BYTES)
+    n_parts = parts_for(rows)
+    flagged, hot = repeated_anchors(rows, BYTES, n_parts)
     n = flagged.agg(F.sum(F.length("places")) / 4).first()[0] or 0
-    cuts = splitters(rows, max(1, int(n // BUCKET)), int(n))
+    n_buckets = max(1, int(n // BUCKET))
+    cuts = splitters(rows, n_buckets, int(n))
     shared = rows.sparkSession.sparkContext.broadcast(cuts.tobytes())  # 2 * SAMPLED keys at most
 
     def part_of(texts, items, low, lead, high, alone):
-        return bucket_of(leading(texts.data, lead), np.frombuffer(shared.value, U64).reshape(-1, 2))
+        return bucket_of(leading(texts.data, lead), np.frombuffer(shared.value, U64).reshape(-1, LEADING // 8))
 
     def untouched(texts):
         size = np.diff(texts.at)
@@ -202,8 +208,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "
         return {"n_bytes": size, "n_removed": none, "n_spans": none, "kept_sha256": [hashlib.sha256(texts.text(i)).hexdigest() for i in range(texts.n)]}
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    walked = walk_contexts(rows, flagged, hot, BYTES, part_of, settle_equal, untouched, schema)
-    intervals = compared(walked, repeated_ranges)
+    walked = walk_contexts(rows, flagged, hot, BYTES, part_of, settle_equal, untouched, schema, n_parts)
+    intervals = compared(walked, repeated_ranges, n_buckets, n_parts)
 
     def remove(part, texts):
         removed = removed_items(part, texts.at)

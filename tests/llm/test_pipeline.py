@@ -60,7 +60,11 @@ def test_mixing_takes_each_row_as_often_as_its_own_share(spark, docs):
     texts = {r[3]: r for r in rows()}
     for r in mixed:
         assert (r.doc_id, r.source, r["size"]) == (texts[r.number][0], texts[r.number][2], len((texts[r.number][1] or "").split()))
-    want = Counter((r.doc_id, r.source, r["size"]) for r in mixed for _ in range(max(1, int(r.taken / r["size"] + 0.5)) if r.taken else 0))
+    want = Counter((r.doc_id, r.source, r["size"]) for r in mixed for _ in r.positions)
+    taken, target = Counter(), {r.source: r.target for r in mixed}
+    for (_, source, size), n in want.items():
+        taken[source] += size * n
+    assert all(target[s] - 1 <= taken[s] < target[s] + max(r["size"] for r in mixed) for s in target if target[s])
     out = pipeline.mixed_sources(spark, docs, "")
     assert out.columns == docs.columns
     got = [tuple(r) for r in out.collect()]
