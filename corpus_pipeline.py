@@ -27,18 +27,25 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject; a null text has no words and goes.
+
+    Each row is judged for itself, whatever its id; a null id is in no label. All columns are kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels, rows_only=True)
 
 
 def single_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of the largest id; null is below all, and of repeated rows one stays."""
     return without_copies(docs)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the least id."""
+    """One document of each class of near-duplicates: the one of the least id (null is the least).
+
+    Rows are told by a written number: of repeated rows, and of near copies that share an id or have none, one stays.
+    All other columns are kept as they are; an empty table gives an empty one.
+    """
     rows = numbered(docs, "near-rows")
     first = written(near_duplicates(rows, row="__row").where("first").select("__row"), "near-first")
     # The numbers grow with the documents: merged at every size, never broadcast.
@@ -46,13 +53,17 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, each as often as it takes more than half of it again, at least once."""
+    """A row of a document for each pass of the mix that takes it, range-sorted by their places in the joint stream.
+
+    The last pass over a source ends within a document, which is taken whole: a source has less than one
+    document more than its target. Rows are told by a written number, so null and repeated ids are rows
+    like others; documents without words are in no pass; an empty table gives an empty one.
+    """
     rows = numbered(docs, "mix-rows")
-    mix = mix_sources(rows, row="__row").where("taken > 0")
-    mix = written(mix.select("__row", F.col("taken").alias("__taken"), F.col("size").alias("__size")), "mix")
-    times = F.greatest(F.lit(1), F.round(F.col("__taken") / F.col("__size"))).cast("int")
+    mix = mix_sources(rows, row="__row").select("__row", F.explode("positions").alias("__position"))
+    mix = written(mix, "mix")
     rows = rows.join(mix.hint("merge"), "__row")
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return rows.orderBy("__position", "__row").select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
