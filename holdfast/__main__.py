@@ -65,7 +65,7 @@ def run_ask(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_races(spark: SparkSession, args: argparse.Namespace) -> None:
-    found = races(*facts(spark, args), min_guarded=args.min_guarded, min_ratio=args.min_ratio, max_depth=args.max_depth)
+    found = races(*facts(spark, args), min_guarded=args.min_guarded, min_ratio=args.min_ratio, max_depth=args.max_depth, shown=reports.SHOWN)
     reports.write_races(found, args.output)
 
 

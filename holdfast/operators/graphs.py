@@ -46,7 +46,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         at += 1
         moved = level.join(edges.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "label").distinct()
         level = written(moved.join(known, ["node", "label"], "left_anti").withColumn("dist", F.lit(at)), "level")
-        known = written(known.unionByName(level), "reach")
+        # A written table a level: what is known already isn't written again.
+        known = known.unionByName(level)
     return known
 
 

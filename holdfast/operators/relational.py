@@ -14,38 +14,45 @@ def merged_names(names: Column, unresolved: str = UNRESOLVED) -> Column:
     return F.when(F.size(F.coalesce(names, F.array().cast("array<string>"))) == 0, unresolved).otherwise(text)
 
 
-def lookup(asked: DataFrame, index: DataFrame, on: list[str], line: str, name: str, fuzz: int = 0, sole: bool = False, residual: Column | None = None) -> DataFrame:
+def all_same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equal in all columns, nulls too."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & left[c].eqNullSafe(right[c])
+    return out
+
+
+def lookup(asked: DataFrame, index: DataFrame, on: list[str], line: str, name: str, fuzz: int = 0, sole: bool = False, residual: Column | None = None, paths: tuple[str, str] | None = None) -> DataFrame:
     """All names at each asked place: at the exact line, else at the nearest line within `fuzz`, else the
     one name of the key if it has just one and `sole` is set.
 
-    `asked` has distinct places (key columns and line), aliased q in `residual`; `index` is aliased x.
-    One equi-join on the key serves all three steps: each name's distance is kept as an aggregate, so
-    nothing but the candidates of asked keys is shuffled. Ties in distance go to the lower line.
+    `asked` has distinct places (key columns and line). Lines meet in ranges of fuzz + 1, a place asks its own and the two
+    beside it, so a key with many lines isn't joined with all that ask for it. Sole names come from the
+    distinct names of each key. `residual` is a further condition on columns of `asked`, aliased q, and `index`, aliased x, and
+    reads the two columns named in `paths`. Ties in distance go to the lower line.
     """
-    q, x = asked.alias("q"), index.alias("x")
-    match = F.lit(True) if residual is None else residual
-    for c in on:
-        match = match & (F.col(f"q.{c}") == F.col(f"x.{c}"))
+    width, holds = fuzz + 1, F.lit(True) if residual is None else residual
+    range_of = F.floor(F.col(line) / width)
+    near = F.explode(F.array(*[range_of + i for i in ((-1, 0, 1) if fuzz else (0,))]))
+    q, x = asked.withColumn("_range", near).alias("q"), index.withColumn("_range", range_of).alias("x")
     away = F.abs(F.col(f"x.{line}") - F.col(f"q.{line}"))
-    rows = q.join(x, match, "left")
-    keys = [F.col(f"q.{c}").alias(c) for c in asked.columns]
-    rows = rows.select(*keys, F.struct(away.alias("away"), F.col(f"x.{line}").alias("at")).alias("spot"), F.col(f"x.{name}").alias("_name"))
-    near = rows.where(F.col("spot.away") <= fuzz) if not sole else rows
-    best = F.min(F.when(F.col("spot.away") <= fuzz, F.col("spot"))).over(Window.partitionBy(*asked.columns))
-    near = near.withColumn("best", best)
-    found = near.groupBy(*asked.columns).agg(
-        F.collect_set(F.when(F.col("spot") == F.col("best"), F.col("_name"))).alias("_near"),
-        F.collect_set("_name").alias("_all"),
-    )
-    chosen = F.when(F.size("_near") > 0, F.col("_near"))
+    match = holds & (away <= fuzz)
+    for c in (*on, "_range"):
+        match = match & (F.col(f"q.{c}") == F.col(f"x.{c}"))
+    rows = q.join(x, match).select(*[F.col(f"q.{c}").alias(c) for c in asked.columns], F.struct(away.alias("away"), F.col(f"x.{line}").alias("at")).alias("_spot"), F.col(f"x.{name}").alias("_name"))
+    rows = rows.groupBy(*asked.columns, "_spot").agg(F.collect_set("_name").alias("_names"))
+    found = rows.groupBy(*asked.columns).agg(F.min_by("_names", "_spot").alias("_names"))
+    out = asked.join(found, all_same(asked, found, asked.columns), "left").select(*[asked[c] for c in asked.columns], "_names")
     if sole:
-        chosen = chosen.when(F.size("_all") == 1, F.col("_all"))
-    found = found.select(*asked.columns, chosen.alias("_names"))
-    same = [asked[c].eqNullSafe(found[c]) for c in asked.columns]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return asked.join(found, condition, "left").select(*[asked[c] for c in asked.columns], merged_names(F.col("_names")).alias("resolved"))
+        mine, theirs = [*on, *([paths[0]] if paths else [])], [*on, *([paths[1]] if paths else [])]
+        keys, known = asked.select(*mine).distinct().alias("q"), index.select(*theirs, name).distinct().alias("x")
+        match = holds
+        for c in on:
+            match = match & (F.col(f"q.{c}") == F.col(f"x.{c}"))
+        only = keys.join(known, match).select(*[F.col(f"q.{c}").alias(c) for c in mine], F.col(f"x.{name}").alias("_name"))
+        only = only.groupBy(*mine).agg(F.min("_name").alias("_one"), F.max("_name").alias("_other")).where("_one = _other")
+        out = out.join(only, all_same(out, only, mine), "left").select(*[out[c] for c in asked.columns], F.coalesce("_names", F.when(F.col("_one").isNotNull(), F.array("_one"))).alias("_names"))
+    return out.select(*asked.columns, merged_names(F.col("_names")).alias("resolved"))
 
 
 def meet(rows: DataFrame, by: list[str], value: str, top: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.relational import must_intersection
 from ..sources.facts import ancestors
 from ..storage import written
 from .methods import EVENTS, effect_rows, event_rows
-from .naming import mapped, with_callees
+from .naming import called_keys, mapped, with_callees
 
 #: Rounds of the fixpoints at most.
 ROUNDS = 16
@@ -21,16 +21,25 @@ PLUMBING = ("asBinder", "getInterfaceDescriptor")
 
 
 def effects(methods: DataFrame) -> DataFrame:
-    """key, takes, gives: locks that a method leaves held, or releases for its caller; found in rounds."""
+    """key, takes, gives: locks that a method leaves held, or releases for its caller.
+
+    All methods are walked once; after that each round walks the callers of keys whose effects have changed, and no others.
+    """
+    schema = "method_id long, key string, takes array<string>, gives array<string>"
+    of_key = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("takes", "gives"), "method_id").alias("e")).select("key", "e.takes", "e.gives")
     none = methods.sparkSession.createDataFrame([], "key string, takes array<string>, gives array<string>")
-    now = none
-    for _ in range(ROUNDS):
-        found = mapped(with_callees(methods, now, "effects"), effect_rows, "method_id long, key string, takes array<string>, gives array<string>")
-        after = written(found.groupBy("key").agg(F.max_by(F.struct("takes", "gives"), "method_id").alias("e")).select("key", "e.takes", "e.gives"), "effects")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+    rows = written(mapped(with_callees(methods, none, "effects"), effect_rows, schema), "effects")
+    now, changed = of_key(rows), rows.select("key").distinct()
+    for _ in range(ROUNDS - 1):
+        again = written(called_keys(methods).join(changed, "key", "left_semi").select("method_id").distinct(), "effects-again")
+        if again.isEmpty():
             break
+        new = mapped(with_callees(methods.join(again, "method_id", "left_semi"), now, "effects"), effect_rows, schema)
+        rows = written(rows.join(again, "method_id", "left_anti").unionByName(new), "effects")
+        after = of_key(rows)
+        changed = written(after.exceptAll(now).unionByName(now.exceptAll(after)).select("key").distinct(), "effects-changed")
         now = after
-    return now
+    return written(now, "effects")
 
 
 def walked(methods: DataFrame, known: DataFrame, entry: DataFrame | None = None) -> DataFrame:

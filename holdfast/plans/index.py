@@ -199,6 +199,8 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
 
 
 def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3) -> Index:
+    # Read many times from here on, whatever they are derived from.
+    classes, methods = written(classes, "classes"), written(methods, "methods")
     events = written(named_events(methods, written(walked(methods, effects(methods)), "events")), "named-events")
     spans = written(spans_of(events), "spans")
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")

@@ -69,10 +69,15 @@ def summaries(methods: DataFrame) -> DataFrame:
     return written(mapped(with_callees(own, getters, "getters"), summary_rows, SUMMARY), "summaries")
 
 
+def called_keys(methods: DataFrame) -> DataFrame:
+    """method_id and key of each method that it calls, once."""
+    calls = F.transform(F.filter("insns", lambda i: i["op"] == "invoke"), lambda i: F.concat(i["class"], F.lit("."), i["name"], F.lit(":"), i["sig"]))
+    return methods.select("method_id", F.explode(F.array_distinct(calls)).alias("key"))
+
+
 def with_callees(methods: DataFrame, facts: DataFrame, name: str) -> DataFrame:
     """Adds to each method an array of the facts (by key) of the methods that it calls."""
-    calls = F.transform(F.filter("insns", lambda i: i["op"] == "invoke"), lambda i: F.concat(i["class"], F.lit("."), i["name"], F.lit(":"), i["sig"]))
-    called = methods.select("method_id", F.explode(F.array_distinct(calls)).alias("key")).join(facts, "key")
+    called = called_keys(methods).join(facts, "key")
     lists = called.groupBy("method_id").agg(F.collect_list(F.struct("key", *[c for c in facts.columns if c != "key"])).alias(name))
     return methods.join(lists, "method_id", "left")
 

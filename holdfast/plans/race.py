@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import OPAQUE, STATIC
@@ -48,8 +48,12 @@ def field_accesses(methods: DataFrame, index: Index) -> DataFrame:
     return both.join(locked, "method_id", "left").withColumn("unlocked", F.col("_may").isNull() & (F.size("held") == 0)).drop("_may")
 
 
-def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded: int = 3, min_ratio: float = 0.8, index: Index | None = None, **options) -> DataFrame:
-    """field, guard, guarded, total, guarded_at, unguarded; strongest evidence first."""
+def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded: int = 3, min_ratio: float = 0.8, index: Index | None = None, shown: int | None = None, **options) -> DataFrame:
+    """field, guard, guarded, total, n_unguarded, guarded_at, unguarded; strongest evidence first.
+
+    With `shown`, so many accesses at most are listed where the guard is held; which they are is settled before
+    anything is collected, so a field that is used everywhere stays small. All are listed where it isn't held.
+    """
     index = index or build(classes, methods, **options)
     at = field_accesses(methods, index).join(flags, "field", "left_anti")
     threads = concurrent_methods(classes, methods, index).withColumn("concurrent", F.lit(True))
@@ -58,11 +62,18 @@ def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded:
     at = written(at.select("field", "held", "write", "unlocked", access.alias("access")), "accesses")
     votes = at.select("field", F.explode("held").alias("guard"))
     guards = relational.elect(votes, ["field"], "guard", min_guarded, 0.0).select("field", "guard", F.col("votes").alias("guarded"))
-    rows = at.join(guards, "field").groupBy("field", "guard", "guarded").agg(
-        F.count("*").alias("total"),
-        F.collect_list(F.when(F.array_contains("held", F.col("guard")), F.col("access"))).alias("guarded_at"),
-        F.collect_list(F.when(F.col("write") & F.col("unlocked"), F.col("access"))).alias("unguarded"),
-    )
-    rows = rows.where((F.col("guarded") >= min_ratio * F.col("total")) & (F.size("unguarded") > 0))
-    threaded = F.exists("unguarded", lambda a: a["concurrent"])
-    return rows.orderBy(F.desc(threaded), F.desc("guarded"), F.size("unguarded"), "field")
+    open_ = F.col("write") & F.col("unlocked")
+    side = F.when(F.array_contains("held", F.col("guard")), "guarded").when(open_, "open")
+    rows = at.join(guards, "field").withColumn("side", side)
+    found = rows.groupBy("field", "guard", "guarded").agg(
+        F.count("*").alias("total"), F.count_if(F.col("side") == "open").alias("n_unguarded"),
+        F.coalesce(F.bool_or(F.when(F.col("side") == "open", F.col("access.concurrent"))), F.lit(False)).alias("threaded"),
+    )
+    found = written(found.where((F.col("guarded") >= min_ratio * F.col("total")) & (F.col("n_unguarded") > 0)), "races")
+    listed = rows.where("side is not null").join(found.select("field"), "field", "left_semi")
+    if shown is not None:
+        first = Window.partitionBy("field", "side").orderBy("access.method", "access.line", "write")
+        listed = listed.where("side = 'guarded'").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= shown).drop("_n").unionByName(listed.where("side = 'open'"))
+    listed = listed.groupBy("field").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("access")))).alias(name) for s, name in (("guarded", "guarded_at"), ("open", "unguarded"))])
+    rows = found.join(listed, "field").orderBy(F.desc("threaded"), F.desc("guarded"), "n_unguarded", "field")
+    return rows.select("field", "guard", "guarded", "total", "n_unguarded", "guarded_at", "unguarded")

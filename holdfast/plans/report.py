@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import basename, short_name, site
+from ..storage import written
 from .index import Index
 
 # Rows that a text report shows of each list.
@@ -67,7 +68,9 @@ def answer(index: Index, kind: str, text: str | None, depth: int = 4, shown: dic
     most = lambda name: shown and shown[name]
     if kind in ("at", "method"):
         at = points(index, kind, text)
-        found = rows_of(at.limit(most("methods")) if shown else at)
+        # What is shown is settled first, and paths are sought for that alone.
+        at = written(at.limit(most("methods")) if shown else at, "asked")
+        found = rows_of(at.orderBy("key", "method_id"))
         paths = entry_paths(index, at, depth).collect() if found else []
         for m in found:
             m["may_hold"] = [{"lock": p.lock, "dist": p.dist, "path": p.path} for p in paths if p.method_id == m["method_id"]][: most("locks")]

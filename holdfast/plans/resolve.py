@@ -25,7 +25,7 @@ def resolve_sites(sites: DataFrame, index: DataFrame, fuzz: int = 0, sole: bool
     index = index.where("line is not null").withColumn("base", basename(F.col("relpath"))).withColumn("line", F.col("line").cast("long"))
     if method:
         index = index.where(F.contains("method", F.lit(method)))
-    found = lookup(asked, index, ["build_id", "base"], "line", "lock", fuzz, sole, path_matches(F.col("q.file"), F.col("x.relpath")))
+    found = lookup(asked, index, ["build_id", "base"], "line", "lock", fuzz, sole, path_matches(F.col("q.file"), F.col("x.relpath")), ("file", "relpath"))
     return found.select("build_id", "text", "resolved")
 
 

@@ -22,6 +22,8 @@ def members(name: str, content: bytes, depth: int = 0) -> Iterator[tuple[str, by
     if content[:4] == CLASS_FILE:
         yield name, content
     elif depth < DEPTH and (content[:4] == ARCHIVE or name.endswith(ZIPPED)):
+        if not zipfile.is_zipfile(io.BytesIO(content)):
+            return  # named like an archive, but none
         with zipfile.ZipFile(io.BytesIO(content)) as inside:
             for item in inside.namelist():
                 base = item.rsplit("/", 1)[-1]

@@ -20,12 +20,15 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def selected(rows: DataFrame, build: str | None = None, device: str | None = None, limit: int = 0) -> DataFrame:
-    """Rows of a build and a device, at most `limit` (0: all)."""
+    """Rows of a build and a device, the first `limit` in the order of files and of rows in them (0: all)."""
     if build:
         rows = rows.where(F.col("build_id") == build)
     if device:
         rows = rows.where(F.col("device_name") == device)
-    return rows.limit(limit) if limit else rows
+    if not limit:
+        return rows
+    placed = rows.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()})
+    return placed.orderBy("__file", "__at").limit(limit).select(*rows.columns)
 
 
 def synthetic(spark: SparkSession, build: str, device: str, sites: list[tuple[str, str]], n: int) -> DataFrame:

@@ -95,4 +95,4 @@ def write_calls_under_lock(calls: DataFrame, path: str) -> None:
 
 def write_races(rows: DataFrame, path: str) -> None:
     """Findings with the first SHOWN places where the guard is held; all where it isn't."""
-    write_json(rows.withColumn("guarded_at", F.slice("guarded_at", 1, SHOWN)), path)
+    write_json(rows.withColumn("guarded_at", F.slice("guarded_at", 1, SHOWN)).drop("n_unguarded"), path)

@@ -38,8 +38,16 @@ def open_shared(uri: str, mode: str):
     return system.open_input_file(path)
 
 
-def join_counted(rows: DataFrame, few: DataFrame, on, how: str = "inner", limit: int = 200_000) -> DataFrame:
-    """Joins with a side whose rows are counted first: broadcast up to `limit`, shuffled beyond."""
+def join_counted(rows: DataFrame, few: DataFrame, on, how: str = "inner", limit: int = 200_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Joins with a side that is counted first: broadcast up to `limit` rows and `most_bytes` of texts, binaries and lists, shuffled beyond."""
     from pyspark.sql import functions as F
 
-    return rows.join(F.broadcast(few) if few.count() <= limit else few, on, how)
+    sizes = [F.lit(8 * len(few.columns))]
+    for field in few.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(field.name)))), F.lit(0)))
+    n, size = few.agg(F.count("*"), F.sum(sum(sizes[1:], sizes[0]))).first()
+    return rows.join(F.broadcast(few) if n <= limit and (size or 0) <= most_bytes else few, on, how)
