@@ -24,8 +24,10 @@ UNEVEN = re.compile(r"\s\s")
 #: written as UTF-8.
 FIRST, LINE = "\ud800", "\ud801"
 LINES = f" {LINE} {FIRST}"
-#: Pieces that an encoder remembers at most; others are encoded each time.
-REMEMBERED = 600_000
+#: Pieces that an encoder remembers at most, their characters, and their ids; others are encoded each time.
+REMEMBERED, REMEMBERED_CHARS, REMEMBERED_IDS = 600_000, 8 << 20, 4 << 20
+#: Documents in a batch that is read from a file.
+READ_DOCS = 8_192
 
 
 class Encoder:
@@ -51,12 +53,12 @@ class Encoder:
         apart = self.tokenizer.pre_tokenizer.pre_tokenize_str("a\nb") if self.tokenizer.pre_tokenizer else []
         if len(apart) == 3 and apart[1][1] == (1, 2):
             (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.codes = Codes()
+        self.codes, self.chars = Codes(), 0
         # Where the ids of each piece begin, how many there are, and all ids; room is doubled as needed.
         self.begin, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def put(self, known: int, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Notes the ids of the pieces numbered from `known`; those beyond REMEMBERED are overwritten later."""
+        """Notes the ids of the pieces numbered from `known`; those that aren't remembered are overwritten later."""
         while known + len(lengths) > len(self.begin):
             self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.ids):
@@ -118,8 +120,9 @@ class Encoder:
         if new:
             found, counts = self.piece_ids(new)
             self.put(known, found, counts)
-            if known + len(new) <= REMEMBERED:
-                self.used += len(found)
+            chars = sum(map(len, new))
+            if known + len(new) <= REMEMBERED and self.chars + chars <= REMEMBERED_CHARS and self.used + len(found) <= REMEMBERED_IDS:
+                self.used, self.chars = self.used + len(found), self.chars + chars
             else:
                 for p in new:
                     del self.codes[p]
@@ -315,6 +318,9 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     files = files.select("path", "base").repartition(tasks(manifest.sparkSession), "path")
 
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
+
     def read(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -323,7 +329,11 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     for key, ids in Reader(file):
                         found.append((None if key == -(2**63) else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
+                        if len(found) == READ_DOCS:
+                            yield told(found)
+                            found = []
+                if found:
+                    yield told(found)
 
     return files.mapInArrow(read, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
