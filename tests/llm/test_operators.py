@@ -186,6 +186,29 @@ def test_line_dedup_at_other_similarities(spark, similarity):
     assert got == lines_gone(rows, similarity)
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Lines of 40 to 400 words with so many words changed that they are just similar or just not; sketches of both widths meet."""
+    r, rows = random.Random(21), []
+    for g in range(40):
+        n = r.choice([40, 60, 63, 64, 66, 75, 120, 250, 400])
+        line = [f"l{g}w{i}" if i % 3 else f"c{i}" for i in range(n)]
+        rows.append(" ".join(line))
+        for k in range(4):
+            changed = round(n / 9) + r.randint(-2, 2) if k < 2 else 0
+            cut = 0 if k < 2 else round(n / 5) + r.randint(-1, 1)
+            other = line[: n - cut]
+            for i in r.sample(range(len(other)), changed):
+                other[i] = f"own{g}k{k}i{i}"
+            r.shuffle(other)
+            rows.append(" ".join(other))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = lines_gone(rows, 0.8)
+    assert 20 < sum(want.values()) < 140
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.n_removed for x in lines.remove_similar_lines(docs).collect()} == want
+
+
 @pytest.mark.parametrize("bounds", [{}, {"most": 100, "verified_words": 500}])
 def test_line_dedup_of_a_large_group_of_near_copies(spark, bounds):
     """Each differs from one line by a word of its own, so that only that line is similar to them; it isn't the first."""
