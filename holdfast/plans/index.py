@@ -22,8 +22,8 @@ TO_END = 2**32 - 1
 class Index:
     methods: DataFrame  # method_id, key, file, line_lo, line_hi, binder
     spans: DataFrame  # method_id, ord, lock, enter, exit, held
-    calls: DataFrame  # call_id, caller, line, held
-    targets: DataFrame  # call_id, target
+    calls: DataFrame  # call_id, caller, line, held, outside
+    targets: DataFrame  # call_id, target, how
     may_held: DataFrame  # method_id, lock, dist
     orders: DataFrame  # from, to, count, method_id, line, dist
 
@@ -58,6 +58,19 @@ class Index:
     def call_edges(self) -> DataFrame:
         return self.targets.join(self.calls, "call_id").select("call_id", F.col("caller").alias("src"), F.col("target").alias("dst"), "line", "held")
 
+    def link_statistics(self) -> DataFrame:
+        """One row: calls, linked, devirtualized (by the receiver's class), callbacks (edges found from what callers
+        pass), external (into classes outside the inputs) and unlinked calls; callbacks alone link no call."""
+        how = self.targets.groupBy("call_id").agg(
+            F.count_if(F.col("how") != "formal").alias("plain"), F.count_if(F.col("how") == "receiver").alias("receiver"), F.count_if(F.col("how") == "formal").alias("formal")
+        )
+        rows = self.calls.select("call_id", "outside").join(how, "call_id", "left").na.fill(0, ["plain", "receiver", "formal"])
+        none = F.col("plain") == 0
+        return rows.agg(
+            F.count("*").alias("calls"), F.count_if(~none).alias("linked"), F.count_if(F.col("receiver") > 0).alias("devirtualized"),
+            F.coalesce(F.sum("formal"), F.lit(0)).alias("callbacks"), F.count_if(none & F.col("outside")).alias("external"), F.count_if(none & ~F.col("outside")).alias("unlinked"),
+        )
+
     def witness(self, depth: int) -> DataFrame:
         """method_id, lock, dist and path: methods from the one that holds the lock down to this one.
 
@@ -141,8 +154,9 @@ def declared_at(rows: DataFrame, above: DataFrame, declared: DataFrame, cls: str
 
 
 def linked(calls: DataFrame, classes: DataFrame, methods: DataFrame, binder: DataFrame, cha_cap: int) -> DataFrame:
-    """call_id and target: by the receiver's known class, else by the static class and, if the receiver is
-    neither known nor a formal, by overrides; calls on a formal get the classes that callers pass."""
+    """call_id, target and how: by the receiver's known class (receiver), else by the static class (class) and, if the
+    receiver is neither known nor a formal, by overrides (override); calls on a formal also get the classes that
+    callers pass (formal). A target that is found twice has the first of these."""
     outside = calls.select(F.col("class").alias("child")).distinct().join(classes.select(F.col("class").alias("child")), "child", "left_anti")
     above = ancestors(classes)
     above = written(above.unionByName(outside.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("steps"))), "ancestors")
@@ -162,7 +176,9 @@ def linked(calls: DataFrame, classes: DataFrame, methods: DataFrame, binder: Dat
     below = above.select(F.col("child").alias("_class"), F.col("ancestor").alias("class"))
     over = declared.join(few, "sig", "left_semi").select(F.col("class").alias("_class"), "sig", F.col("method_id").alias("target"))
     over = wide.join(over, "sig").join(below, ["_class", "class"], "left_semi").select("call_id", "target")
-    targets = written(precise.unionByName(static).unionByName(over).distinct(), "targets")
+    found = lambda rows, how: rows.select("call_id", "target", F.lit(how).alias("how"))
+    over = over.distinct().join(static, ["call_id", "target"], "left_anti")
+    targets = written(found(precise, "receiver").unionByName(found(static, "class")).unionByName(found(over, "override")), "targets")
     # Callbacks: formals that are invoked on, directly or by being passed on, and the classes that reach them.
     any_remote = targets.join(binder.select(F.col("method_id").alias("target")), "target", "left_semi").select("call_id").distinct()
     on_formal = calls.where(open_ & F.col("formal").isNotNull()).join(any_remote, "call_id", "left_anti")
@@ -181,7 +197,8 @@ def linked(calls: DataFrame, classes: DataFrame, methods: DataFrame, binder: Dat
         known = written(known.unionByName(new), "classes-reaching")
     back = on_formal.select("call_id", "sig", at("caller", "formal").alias("node")).join(known, "node").select("call_id", "sig", F.col("label").alias("cls"))
     added = declared_at(back, above, single, "cls", ["call_id", "cls"], "target").select("call_id", "target")
-    return written(targets.unionByName(added).distinct(), "targets")
+    added = added.distinct().join(targets, ["call_id", "target"], "left_anti")
+    return written(targets.unionByName(found(added, "formal")), "targets")
 
 
 def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> DataFrame:
@@ -212,6 +229,8 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
     raw = methods.where((F.col("class") == "android.os.IBinder") & F.startswith("name", F.lit("transact"))).select("method_id")
     binder = written(abstract.union(does).distinct().join(named, "method_id", "left_semi").union(raw).distinct(), "binder")
     targets = linked(calls, classes, methods, binder, cha_cap)
+    known = classes.select("class", F.lit(False).alias("_outside")).distinct()
+    calls = written(calls.join(known, "class", "left").select("call_id", "caller", "line", "held", F.coalesce("_outside", F.lit(True)).alias("outside")), "call-sites")
     edges = targets.join(calls.select("call_id", "caller", "held"), "call_id")
     start = edges.select(F.col("target").alias("node"), F.explode("held").alias("label"))
     far = graphs.reach(edges.select(F.col("caller").alias("src"), F.col("target").alias("dst")).distinct(), start, max(1, max_depth))
@@ -221,4 +240,4 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
     records = methods.join(binder.withColumn("binder", F.lit(True)), "method_id", "left").select(
         "method_id", "key", F.coalesce("source_file", F.lit("")).alias("file"), F.coalesce(F.array_min(lines), F.lit(0)).alias("line_lo"), F.coalesce(F.array_max(lines), F.lit(0)).alias("line_hi"), F.coalesce("binder", F.lit(False)).alias("binder")
     )
-    return Index(written(records, "method-index"), spans, calls.select("call_id", "caller", "line", "held"), targets, may_held, orders)
+    return Index(written(records, "method-index"), spans, calls, targets, may_held, orders)

@@ -1,11 +1,18 @@
-"""Method facts written down by hand, for examples and tests: a line for each instruction."""
+"""Method facts written down by hand, for examples and tests: a line for each instruction.
+
+A sketch gives one program (`tables`), or one laid out for each row of a table (`spread`): there `{column}` in any
+name stands for the row's value.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
+from ..storage import written
 from .facts import CLASSES, FIELD_FLAGS, METHODS, merged
 
 BLANK = dict.fromkeys(("dst", "src", "base", "class", "field", "ty", "targets", "kind", "args", "name", "sig"))
@@ -44,17 +51,33 @@ def instruction(offset: int, text: str) -> dict:
     return i
 
 
+def filled(value: Column, kind: DataType, marks: list[str]) -> Column:
+    """A column with the marks in all its texts replaced by the row's values."""
+    if isinstance(kind, StringType):
+        for m in marks:
+            value = F.replace(value, F.lit(f"{{{m}}}"), F.col(m).cast("string"))
+    elif isinstance(kind, ArrayType):
+        value = F.transform(value, lambda v: filled(v, kind.elementType, marks))
+    elif isinstance(kind, StructType):
+        value = F.struct(*[filled(value[f.name], f.dataType, marks).alias(f.name) for f in kind])
+    return value
+
+
 class Program:
     """Collects classes and methods; `tables` gives them as merged fact tables."""
 
     def __init__(self):
-        self.classes, self.methods, self.flags = [], [], []
+        self.classes, self.methods, self.flags, self.only = [], [], [], {}
 
     def cls(self, name: str, super_: str = "java.lang.Object", interfaces: tuple[str, ...] = (), artifact: int = 0) -> None:
         self.classes.append((artifact, len(self.classes), name, super_, list(interfaces)))
 
-    def method(self, name: str, code: list[str] | None = None, registers: int = 4, ins: int = 1, access: int = 0, lines: dict | int | None = None, catches: tuple = (), file: str | None = None) -> None:
-        """A method `name:sig` of the last class; `lines` is one line from offset 0, or line by offset."""
+    def method(self, name: str, code: list[str] | None = None, registers: int = 4, ins: int = 1, access: int = 0, lines: dict | int | None = None, catches: tuple = (), file: str | None = None, only: str = "true") -> None:
+        """A method `name:sig` of the last class; `lines` is one line from offset 0, or line by offset.
+
+        `only` is a condition on the rows for which `spread` lays the method out.
+        """
+        self.only[len(self.methods)] = only
         artifact, ord_, cls, *_ = self.classes[-1]
         method, sig = name.split(":")
         lines = {0: lines} if isinstance(lines, int) else lines or {}
@@ -66,3 +89,21 @@ class Program:
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         make = spark.createDataFrame
         return merged(make(self.classes, CLASSES), make(self.methods, METHODS), make([(f,) for f in self.flags], FIELD_FLAGS))
+
+    def spread(self, rows: DataFrame, copy: str, flagged: str = "true") -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Merged fact tables with a copy of the program for each of `rows`, each an artifact of its own, numbered by
+        the column `copy`. Classes that come out alike for many rows are merged to the first; flags are those of rows
+        that `flagged` holds for."""
+
+        def table(name: str, ddl: str, made: list[tuple], only: dict, default: str = "true") -> DataFrame:
+            # The sketch itself is joined by number: as many rows as it has classes, methods or flags.
+            lines = rows.sparkSession.createDataFrame([(i, *values) for i, values in enumerate(made)], f"_line int, {ddl}")
+            which = F.expr(f"filter(array({', '.join(f'if({only.get(i, default)}, {i}, null)' for i in range(len(made)))}), i -> i is not null)")
+            laid = rows.select(*marks, F.explode(which).alias("_line")).join(F.broadcast(lines), "_line")
+            fields = StructType.fromDDL(ddl)
+            columns = [F.col(copy).cast("int").alias(f.name) if f.name == "artifact_ord" else filled(F.col(f.name), f.dataType, marks).alias(f.name) for f in fields]
+            return written(laid.select(*columns), name)
+
+        marks = sorted({copy, *re.findall(r"\{(\w+)\}", repr((self.classes, self.methods, self.flags)))})
+        flags = table("flags", FIELD_FLAGS, [(f,) for f in self.flags], {}, flagged)
+        return merged(table("classes", CLASSES, self.classes, {}), table("methods", METHODS, self.methods, self.only), flags)
