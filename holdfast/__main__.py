@@ -27,6 +27,11 @@ def run_resolve(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = observations.read_observations(spark, args.input)
     rows = observations.selected(rows, args.build, args.device, args.limit)
     builds = [r.build_id for r in rows.select("build_id").distinct().toLocalIterator()]
+    if args.by_build:
+        for one in builds:
+            index = index_of_builds(spark, [one], args.artifacts, args.cache, args.scope)
+            observations.write_build(resolve(rows.where(F.col("build_id") == one), index, args.fuzz, args.if_unique), args.output, args.gzip)
+        return
     index = index_of_builds(spark, builds, args.artifacts, args.cache, args.scope)
     out = resolve(rows, index, args.fuzz, args.if_unique)
     observations.write_csv(observations.compact(out) if args.compact_counts else out, args.output, args.gzip)
@@ -93,8 +98,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(name)
     for name in ("--limit", "--fuzz"):
         p.add_argument(name, type=int, default=0)
-    for name in ("--if-unique", "--compact-counts", "--gzip"):
+    for name in ("--if-unique", "--gzip"):
         p.add_argument(name, action="store_true")
+    form = p.add_mutually_exclusive_group()
+    for name in ("--compact-counts", "--by-build"):
+        form.add_argument(name, action="store_true")
     p = over_facts(command("dump", run_dump, "lock_points"))
     p.add_argument("--format", choices=["json", "columns"], default="columns")
     p.add_argument("--gzip", action="store_true")

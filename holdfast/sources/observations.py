@@ -51,6 +51,15 @@ def write_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", "\"").option("compression", "gzip" if gzip else "none").csv(path)
 
 
+def write_build(rows: DataFrame, path: str, gzip: bool = False) -> None:
+    """Resolved rows of some builds into the folders `build_id=...` below `path`; those of other builds stay as they are.
+
+    So results can be read, and a stopped run repeated, build by build; the column build_id is in the folder's name.
+    """
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build_id")
+    out.option("header", True).option("escape", "\"").option("compression", "gzip" if gzip else "none").csv(path)
+
+
 def write_json(rows: DataFrame, path: str, gzip: bool = False) -> None:
     """One object a line, with nulls."""
     rows.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip" if gzip else "none").json(path)

@@ -32,6 +32,12 @@ def test_resolve(spark, jars, tmp_path):
     assert [p.name.split("-")[0] for p in (tmp_path / "cache").iterdir()] == ["B1"]
     run("--fuzz", "1", "--build", "B1", "--compact-counts")
     assert [(r.resolved_blocking_lock, r.traces) for r in read().collect()] == [("t.Locks.sLock", "2")]
+    # Build by build: a folder each, and a later run over one build leaves the other's rows.
+    out = str(tmp_path / "parts")
+    for more in ([], ["--build", "B1", "--fuzz", "1"]):
+        run("--by-build", *more, "-o", out)
+    rows = spark.read.csv(out, header=True).collect()
+    assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in rows) == [("B1", "t.Locks.mLock", "t.Locks.sLock")] * 2 + [("B2", "N/A", "N/A")]
 
 
 def test_dump(spark, jars, tmp_path):
