@@ -10,6 +10,10 @@ STATIC, PRIVATE, ABSTRACT, FINAL, VOLATILE = 0x8, 0x2, 0x400, 0x10, 0x40
 
 # Longest lock path, and the marks of unnameable locks and unresolved sites.
 LONGEST_PATH, OPAQUE, UNRESOLVED = 10, "?@", "N/A"
+# Dumps and answers show locks by these texts, and results of earlier runs are compared by them. What
+# stands before and after a value of each kind; where a value is first seen; a formal by its number; a cut path.
+AFFIXES = {"this": ("this", ""), "param": ("$p", ""), "class": ("", ".class"), "alloc": ("new@", ""), "opaque": (OPAQUE, "")}
+PLACE, OF_FORMAL, CUT = "{key}+{offset:04x}", "#p", "trunc:"
 
 
 def site(text: Column) -> Column:

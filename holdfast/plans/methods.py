@@ -5,11 +5,12 @@ Everything that needs more than one method is a join or an aggregate elsewhere.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from ..functions.names import OPAQUE, STATIC
+from ..functions.names import AFFIXES, CUT, LONGEST_PATH, OF_FORMAL, OPAQUE, PLACE, STATIC
 
 # Calls that take, try, give back or view a lock.
 LOCK_CLASSES = {"Lock", "ReentrantLock", "ReentrantReadWriteLock", "ReadLock", "WriteLock"}
@@ -34,26 +35,20 @@ def lock_call(cls: str, name: str) -> str | None:
 
 def rendered(v: Value) -> str:
     kind, text, fields, mode = v
-    head = {"this": "this", "param": f"$p{text}", "class": f"{text}.class", "alloc": f"new@{text}", "opaque": OPAQUE + text}.get(kind, text)
-    return ".".join([head, *fields, *([mode] if mode else [])])
+    before, after = AFFIXES.get(kind, ("", ""))
+    return ".".join([before + text + after, *fields, *([mode] if mode else [])])
 
 
 def grounded(v: Value, m: dict) -> Value:
     if v[0] == "this":
         return ("recv", m["class"], *v[2:])
-    return ("opaque", f"{m['key']}#p{v[1]}", (), "") if v[0] == "param" else v
+    return ("opaque", m["key"] + OF_FORMAL + v[1], (), "") if v[0] == "param" else v
 
 
-def longer(v: Value, fields: tuple[str, ...], mode: str, most: int = 10) -> Value:
+def longer(v: Value, fields: tuple[str, ...], mode: str, most: int = LONGEST_PATH) -> Value:
     """`v` followed by more fields; a path of more than `most` is a distinct unknown."""
     out = (v[0], v[1], v[2] + fields, mode or v[3])
-    return out if len(out[2]) <= most else ("opaque", "trunc:" + rendered(out), (), "")
-
-
-def entry_registers(m: dict) -> dict[int, Value]:
-    base = max(m["registers"] - m["ins"], 0)
-    first = ("param", "0", (), "") if m["access"] & STATIC else ("this", "", (), "")
-    return {base + j: first if j == 0 else ("param", str(j), (), "") for j in range(m["ins"])}
+    return out if len(out[2]) <= most else ("opaque", CUT + rendered(out), (), "")
 
 
 def line_at(m: dict, offset: int) -> int | None:
@@ -69,117 +64,157 @@ def callee(i: dict) -> str:
     return f"{i['class']}.{i['name']}:{i['sig']}"
 
 
-def unknown(m: dict, i: dict) -> Value:
-    return ("opaque", f"{m['key']}+{i['offset']:04x}", (), "")
+def place(m: dict, i: dict) -> str:
+    return PLACE.format(key=m["key"], offset=i["offset"])
+
+
+# --- registers: what each holds, instruction by instruction in the order of the code -------------
+
+# What an instruction puts into its target: a value and a class, where they are known.
+Cell = tuple[Value | None, str | None]
+TARGETS: dict[str, Callable[[Registers, dict], Cell]] = {
+    "move": lambda regs, i: regs.cell(i["src"]),
+    "move_result": lambda regs, i: (regs.taken_result(), None),
+    "new": lambda regs, i: (("alloc", place(regs.method, i), (), ""), i["class"]),
+    "const_class": lambda regs, i: (("class", i["class"], (), ""), None),
+    "iget": lambda regs, i: (("recv", i["class"], (i["field"],), ""), i["ty"] if len(i["ty"] or "") > 1 else None),
+    "sget": lambda regs, i: (("static", i["class"], (i["field"],), ""), None),
+    "def": lambda regs, i: (None, None),
+}
+
+
+class Registers:
+    """The registers before an instruction; `step` goes on to the next one.
+
+    `getters` are values that callees are known to return, in terms of their own formals.
+    """
+
+    def __init__(self, m: dict, getters: dict[str, Value] | None = None):
+        self.method, self.getters, self.result = m, getters or {}, None
+        first, instance = max(m["registers"] - m["ins"], 0), not m["access"] & STATIC
+        self.cells: dict[int, Cell] = {first + j: (("param", str(j), (), ""), None) for j in range(m["ins"])}
+        if instance and self.cells:
+            self.cells[first] = (("this", "", (), ""), m["class"])
+
+    def cell(self, register: int | None) -> Cell:
+        return self.cells.get(register, (None, None))
+
+    def value(self, register: int | None) -> Value | None:
+        return self.cell(register)[0]
+
+    def taken_result(self) -> Value | None:
+        result, self.result = self.result, None
+        return result
+
+    def called(self, i: dict) -> tuple[str | None, list[Value | None]]:
+        """What a call means to locks, and the values it is given."""
+        return lock_call(i["class"], i["name"]), [self.value(r) for r in i["args"]]
+
+    def returned(self, i: dict) -> Value | None:
+        means, given = self.called(i)
+        own = given[0] if given else None
+        if means in VIEWS.values():
+            return own and (*own[:3], means)
+        got = self.getters.get(callee(i)) if means is None else None
+        if got is None or got[0] not in ("this", "param"):
+            return got
+        at = int(got[1] or 0)
+        start = given[at] if at < len(given) else None
+        return start and longer(start, got[2], got[3])
+
+    def step(self, i: dict) -> None:
+        if i["op"] == "invoke":
+            self.result = self.returned(i)
+        elif i["op"] in TARGETS:
+            cell = TARGETS[i["op"]](self, i)
+            if i["dst"] is not None:
+                self.cells[i["dst"]] = cell
 
 
 # --- values: which locks a method names, returns, stores and passes on ---------------------------
 
+SHARED = ("recv", "static")
+FACTS = ("sites", "aliases", "stores", "allocs", "bindings")
 
-def summarize(m: dict, getters: dict[str, Value]) -> dict[str, list]:
-    """One linear pass over all code, reachable or not; `getters` are known results of callees."""
-    regs, result, out = entry_registers(m), None, {"sites": [], "aliases": [], "stores": [], "allocs": [], "bindings": []}
-    returns, made = [], {}
+
+def facts_of(m: dict, getters: dict[str, Value]) -> Iterator[tuple[str, tuple | Value | None]]:
+    """(name of a fact, its values) over all code, reachable or not; `returns` tell what a return gives back."""
+    regs, classes = Registers(m, getters), {place(m, i): i["class"] for i in m["insns"] if i["op"] == "new"}
     for i in m["insns"]:
-        op, value = i["op"], None
-        if op in ("iget", "sget"):
-            value = ("recv" if op == "iget" else "static", i["class"], (i["field"],), "")
-        elif op == "const_class":
-            value = ("class", i["class"], (), "")
-        elif op == "new":
-            value = ("alloc", f"{m['key']}+{i['offset']:04x}", (), "")
-            made[value[1]] = i["class"]
-        elif op == "move":
-            value = regs.get(i["src"])
-        elif op == "move_result":
-            value, result = result, None
-        if i["dst"] is not None and op in ("iget", "sget", "const_class", "new", "move", "move_result", "def"):
-            regs[i["dst"]] = value
-        elif op == "iput":
-            put_field(m, i, regs, made, out)
-        elif op == "return":
-            returns.append(regs.get(i["src"]) if i["src"] is not None else None)
-        elif op == "monitor_enter":
-            out["sites"].append((regs.get(i["src"]) or unknown(m, i), line_at(m, i["offset"])))
-        elif op == "invoke":
-            actuals = [regs.get(r) for r in i["args"]]
-            if any(a and a[0] in ("this", "param", "recv", "static") for a in actuals):
-                out["bindings"].append((callee(i), actuals))
-            means, own, result = lock_call(i["class"], i["name"]), actuals[0] if actuals else None, None
-            if means in ("read", "write"):
-                result = own and (*own[:3], means)
-            elif means == "acquire":
-                out["sites"].append((own or unknown(m, i), line_at(m, i["offset"])))
-            elif means is None and callee(i) in getters:
-                got = getters[callee(i)]
-                if got[0] in ("this", "param"):
-                    at = 0 if got[0] == "this" else int(got[1])
-                    bound = actuals[at] if at < len(actuals) else None
-                    result = bound and longer(bound, got[2], got[3])
-                else:
-                    result = got
-    same = returns and returns[0] and returns[0][0] in ("this", "param", "recv", "static", "class") and len(set(returns)) == 1
-    return out | {"getter": returns[0] if same else None}
-
-
-def put_field(m: dict, i: dict, regs: dict, made: dict, out: dict) -> None:
-    """A store into a field: of a formal, of another lock, or of an object just made."""
-    key, base, value = f"{i['class']}.{i['field']}", regs.get(i["base"]), regs.get(i["src"])
-    own = base is not None and base[0] == "this"
-    if own and value:
-        if value[0] == "param":
-            out["stores"].append((key, int(value[1])))
-        else:
-            g = grounded(value, m)
-            if g[0] in ("recv", "static") and rendered(g) != key:
-                out["aliases"].append((key, g))
-    if value and value[0] == "alloc":
-        if value[1] in made:
-            out["allocs"].append((key, made[value[1]]))
-        if own:
-            regs[i["src"]] = ("this", "", (i["field"],), "")
+        taken = None
+        if i["op"] == "monitor_enter":
+            taken = [regs.value(i["src"])]
+        elif i["op"] == "return":
+            yield "returns", regs.value(i["src"])
+        elif i["op"] == "iput":
+            yield from stored(regs, i, classes)
+        elif i["op"] == "invoke":
+            means, given = regs.called(i)
+            if any(v and v[0] in ("this", "param", *SHARED) for v in given):
+                yield "bindings", (callee(i), given)
+            if means == "acquire":
+                taken = given[:1] or [None]
+        if taken:
+            yield "sites", (taken[0] or ("opaque", place(m, i), (), ""), line_at(m, i["offset"]))
+        regs.step(i)
+
+
+def stored(regs: Registers, i: dict, classes: dict[str, str]) -> Iterator[tuple[str, tuple]]:
+    """A store into a field: of a formal or another lock into this object's, of a new object into any."""
+    field, (value, _), base = f"{i['class']}.{i['field']}", regs.cell(i["src"]), regs.value(i["base"])
+    if value is None:
+        return
+    mine, lock = base is not None and base[0] == "this", grounded(value, regs.method)
+    if mine and value[0] == "param":
+        yield "stores", (field, int(value[1]))
+    elif mine and lock[0] in SHARED and rendered(lock) != field:
+        yield "aliases", (field, lock)
+    if value[0] == "alloc":
+        yield "allocs", (field, classes[value[1]])
+        if mine:
+            # From here on the new object is known by the field that holds it.
+            regs.cells[i["src"]] = (("this", "", (i["field"],), ""), None)
+
+
+def summarize(m: dict, getters: dict[str, Value]) -> dict[str, list]:
+    """The facts by name, and the one value that all returns give back, if it means something to callers."""
+    out: dict[str, list] = {name: [] for name in (*FACTS, "returns")}
+    for name, fact in facts_of(m, getters):
+        out[name].append(fact)
+    values = set(out.pop("returns"))
+    only = values.pop() if len(values) == 1 else None
+    return out | {"getter": only if only and only[0] not in ("alloc", "opaque") else None}
 
 
 # --- held locks: a forward dataflow over basic blocks --------------------------------------------
 
 
 def lock_events(m: dict) -> list[tuple | None]:
-    """What each instruction means to the held locks, from one linear pass over registers and their types."""
-    regs, types, result, out = entry_registers(m), {}, None, []
-    for r, v in regs.items():
-        if v[0] == "this":
-            types[r] = m["class"]
-    name = lambda r, i: rendered(grounded(regs.get(r) or unknown(m, i), m))
-    known = lambda r: rendered(grounded(regs[r], m)) if regs.get(r) else None
+    """What each instruction means to the held locks. Getters aren't followed, and new objects have no name yet."""
+    regs, out = Registers(m), []
+
+    def name(v: Value | None) -> str | None:
+        return rendered(grounded(v, m)) if v and v[0] != "alloc" else None
+
     for i in m["insns"]:
-        op, event, dst = i["op"], None, i["dst"]
-        if op in ("iget", "iput", "sget", "sput"):
-            event = ("field", f"{i['class']}.{i['field']}", op in ("iput", "sput"))
-        if op == "monitor_enter":
-            event = ("acquire", name(i["src"], i))
-        elif op == "monitor_exit":
-            event = ("leave", known(i["src"]))
-        elif op == "invoke":
-            result, args = None, i["args"]
-            means, own = lock_call(i["class"], i["name"]), regs.get(args[0]) if args else None
-            if means in ("read", "write"):
-                result = own and (*own[:3], means)
-            elif means == "acquire":
-                event = ("acquire", name(args[0] if args else None, i))
+        op, event = i["op"], None
+        if op == "invoke":
+            means, given = regs.called(i)
+            own = name(given[0]) if given else None
+            if means == "acquire":
+                event = (means, own or OPAQUE + place(m, i))
             elif means == "release":
-                event = ("release", known(args[0]) if args else None)
-            else:
-                bare = [regs.get(r) for r in args]
-                formals = [None if not v or v[2] or v[0] not in ("this", "param") else int(v[1] or 0) for v in bare]
-                event = ("call", i, [types.get(r) for r in args], formals)
-        if dst is not None and op in ("iget", "sget", "const_class", "new", "move", "move_result", "def"):
-            value = {"iget": ("recv", i["class"], (i["field"],), ""), "sget": ("static", i["class"], (i["field"],), ""), "const_class": ("class", i["class"], (), "")}.get(op)
-            kind = i["ty"] if op == "iget" and len(i["ty"] or "") > 1 else i["class"] if op == "new" else None
-            if op == "move":
-                value, kind = regs.get(i["src"]), types.get(i["src"])
-            elif op == "move_result":
-                value, result = result, None
-            regs[dst], types[dst] = value, kind
+                event = (means, own)
+            elif means is None:
+                whole = [v if v and v[0] in ("this", "param") and not v[2] else None for v in given]
+                event = ("call", i, [regs.cell(r)[1] for r in i["args"]], [v and int(v[1] or 0) for v in whole])
+        elif op == "monitor_enter":
+            event = ("acquire", name(regs.value(i["src"])) or OPAQUE + place(m, i))
+        elif op == "monitor_exit":
+            event = ("leave", name(regs.value(i["src"])))
+        elif op[1:] in ("get", "put"):
+            event = ("field", f"{i['class']}.{i['field']}", op[1:] == "put")
+        regs.step(i)
         out.append(event)
     return out
 
@@ -189,8 +224,6 @@ def flow_graph(m: dict) -> tuple[list[range], list[list[int]], list[list[int]]]:
     insns = m["insns"]
     n, at = len(insns), {}
     offsets = [i["offset"] for i in insns]
-    import bisect
-
     index = lambda offset: bisect.bisect_left(offsets, offset)
     heads = {0}
     for k, i in enumerate(insns):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.names import LONGEST_PATH, OPAQUE, STATIC, dotted, parameters
+from ..functions.names import AFFIXES, CUT, LONGEST_PATH, OF_FORMAL, STATIC, dotted, parameters
 from ..operators.relational import unique_or_null
 from ..storage import written
 from .methods import SUMMARY, batches_of, methods_in, summary_rows
@@ -34,10 +34,9 @@ def mapped(rows: DataFrame, make, ddl: str) -> DataFrame:
 def rendered(v: Column) -> Column:
     """The name of a lock value."""
     kind, text = v["kind"], v["text"]
-    head = (
-        F.when(kind == "this", "this").when(kind == "param", F.concat(F.lit("$p"), text)).when(kind == "class", F.concat(text, F.lit(".class")))
-        .when(kind == "alloc", F.concat(F.lit("new@"), text)).when(kind == "opaque", F.concat(F.lit(OPAQUE), text)).otherwise(text)
-    )
+    head = text
+    for of, (before, after) in AFFIXES.items():
+        head = F.when(kind == of, F.concat(F.lit(before), text, F.lit(after))).otherwise(head)
     mode = F.when(v["mode"] != "", F.array(v["mode"])).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(F.array(head), v["fields"], mode), ".")
 
@@ -49,14 +48,14 @@ def made(kind: Column | str, text: Column, fields: Column, mode: Column) -> Colu
 
 def grounded(v: Column, cls: Column, key: Column) -> Column:
     none = F.array().cast("array<string>")
-    param = made("opaque", F.concat(key, F.lit("#p"), v["text"]), none, F.lit(""))
+    param = made("opaque", F.concat(key, F.lit(OF_FORMAL), v["text"]), none, F.lit(""))
     return F.when(v["kind"] == "this", made("recv", cls, v["fields"], v["mode"])).when(v["kind"] == "param", param).otherwise(v)
 
 
 def extended(base: Column, more: Column) -> Column:
     """`base` followed by the fields and the mode of `more`; too long a path is a distinct unknown."""
     whole = made(base["kind"], base["text"], F.concat(base["fields"], more["fields"]), F.when(more["mode"] != "", more["mode"]).otherwise(base["mode"]))
-    cut = made("opaque", F.concat(F.lit("trunc:"), rendered(whole)), F.array().cast("array<string>"), F.lit(""))
+    cut = made("opaque", F.concat(F.lit(CUT), rendered(whole)), F.array().cast("array<string>"), F.lit(""))
     return F.when(F.size(whole["fields"]) > LONGEST_PATH, cut).otherwise(whole)
 
 
