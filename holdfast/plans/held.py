@@ -9,8 +9,8 @@ from ..functions.names import OPAQUE, PRIVATE, flag
 from ..operators.relational import must_intersection
 from ..sources.facts import ancestors
 from ..storage import written
-from .methods import EVENTS, effect_rows, event_rows
-from .naming import called_keys, mapped, with_callees
+from .methods import EVENTS, LOCK_CALLS, effect_rows, event_rows
+from .naming import at_hand, called_keys, mapped, with_callees
 
 #: Rounds of the fixpoints at most.
 ROUNDS = 16
@@ -23,12 +23,14 @@ PLUMBING = ("asBinder", "getInterfaceDescriptor")
 def effects(methods: DataFrame) -> DataFrame:
     """key, takes, gives: locks that a method leaves held, or releases for its caller.
 
-    All methods are walked once; after that each round walks the callers of keys whose effects have changed, and no others.
+    All methods that take or release a lock themselves are walked once: nothing else has an effect of its own. After
+    that each round walks the callers of keys whose effects have changed, and no others.
     """
     schema = "method_id long, key string, takes array<string>, gives array<string>"
     of_key = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("takes", "gives"), "method_id").alias("e")).select("key", "e.takes", "e.gives")
     none = methods.sparkSession.createDataFrame([], "key string, takes array<string>, gives array<string>")
-    rows = written(mapped(with_callees(methods, none, "effects"), effect_rows, schema), "effects")
+    own = lambda i: i["op"].startswith("monitor") | ((i["op"] == "invoke") & i["name"].isin(*LOCK_CALLS))
+    rows = written(mapped(methods.where(F.exists("insns", own)), effect_rows, schema), "effects")
     now, changed = of_key(rows), rows.select("key").distinct()
     for _ in range(ROUNDS - 1):
         again = written(called_keys(methods).join(changed, "key", "left_semi").select("method_id").distinct(), "effects-again")
@@ -92,6 +94,7 @@ def remote_interfaces(classes: DataFrame) -> DataFrame:
 
 def calls_under_lock(classes: DataFrame, methods: DataFrame, closed_world: bool = False) -> DataFrame:
     """method, file, line, held, callee: remote calls made with a nameable lock held."""
+    methods = at_hand(methods)
     known = effects(methods)
     calls = walked(methods, known, entry_locks(methods, known, closed_world)).where("kind = 'call'")
     name = F.substring_index("sig", ":", 1)

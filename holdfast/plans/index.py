@@ -12,7 +12,7 @@ from ..operators import graphs, relational
 from ..sources.facts import ancestors
 from ..storage import written
 from .held import PLUMBING, effects, remote_interfaces, transacting, walked
-from .naming import canonical_sites, lock_points
+from .naming import at_hand, canonical_sites, points_of
 
 #: The end of a span without a release.
 TO_END = 2**32 - 1
@@ -120,7 +120,7 @@ class Index:
 
 def named_events(methods: DataFrame, events: DataFrame) -> DataFrame:
     """Events with canonical names: per method the first line at which a name is seen decides it for all of it."""
-    sites = canonical_sites(lock_points(methods)).withColumnRenamed("lock", "canon")
+    sites = canonical_sites(points_of(methods)).withColumnRenamed("lock", "canon")
     line = F.coalesce("line", F.lit(0))
     own = events.where("kind = 'acquire'").select("method_id", "key", "ord", F.lit(0).alias("pos"), F.col("name").alias("g"), line.alias("line"))
     gone = events.where("kind = 'release' and enter is not null").select("method_id", "key", "ord", F.lit(0).alias("pos"), F.col("name").alias("g"), F.col("enter").alias("line"))
@@ -217,7 +217,7 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
 
 def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3) -> Index:
     # Read many times from here on, whatever they are derived from.
-    classes, methods = written(classes, "classes"), written(methods, "methods")
+    classes, methods = written(classes, "classes"), at_hand(methods)
     events = written(named_events(methods, written(walked(methods, effects(methods)), "events")), "named-events")
     spans = written(spans_of(events), "spans")
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")

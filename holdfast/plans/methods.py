@@ -354,9 +354,23 @@ def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int = 2_000) -> It
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def plain(column: pa.Array) -> list:
+    """Python values of a column; nested ones are taken apart, so that values are read by the column, not one by one."""
+    if pa.types.is_list(column.type):
+        ends, inside = column.offsets.to_pylist(), plain(column.values)
+        out = [inside[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    elif pa.types.is_struct(column.type):
+        names = [f.name for f in column.type]
+        out = [dict(zip(names, values, strict=True)) for values in zip(*map(plain, column.flatten()), strict=True)]
+    else:
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    return [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
+
+
 def methods_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for m in batch.to_pylist():
+        for values in zip(*map(plain, batch.columns), strict=True):
+            m = dict(zip(batch.schema.names, values, strict=True))
             for name in ("insns", "positions", "catches"):
                 m[name] = m[name] or []
             for i in m["insns"]:

@@ -15,6 +15,8 @@ from .methods import SUMMARY, batches_of, methods_in, summary_rows
 
 #: Aliases followed at most.
 HOPS = 6
+#: What the functions over method rows read.
+NEEDED = ("method_id", "key", "class", "access", "registers", "ins", "insns", "positions", "catches", "getters", "effects", "entry")
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -22,8 +24,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def mapped(rows: DataFrame, make, ddl: str) -> DataFrame:
-    """A small function over method rows, in Arrow batches."""
+    """A small function over method rows, in Arrow batches of the columns it needs.
+
+    Instructions without a meaning here stay behind, but for methods with handlers: there they show which blocks throw.
+    """
     schema = arrow_schema(ddl)
+    named = F.when(F.coalesce(F.size("catches") > 0, F.lit(False)), F.col("insns")).otherwise(F.filter("insns", lambda i: i["op"] != "other"))
+    rows = rows.withColumn("insns", named).select(*[c for c in NEEDED if c in rows.columns])
 
     def run(batches):
         yield from batches_of(make(methods_in(batches)), schema)
@@ -63,7 +70,8 @@ def summaries(methods: DataFrame) -> DataFrame:
     """Per-method facts; getters are found in a first pass, so they resolve one level. First of a key only."""
     first = written(methods.groupBy("key").agg(F.min("method_id").alias("method_id")), "first-methods")
     own = methods.join(first.select("method_id"), "method_id", "left_semi")
-    getters = mapped(methods, summary_rows, SUMMARY).where("getter is not null")
+    giving = methods.where(F.exists("insns", lambda i: (i["op"] == "return") & i["src"].isNotNull()))
+    getters = mapped(giving, summary_rows, SUMMARY).where("getter is not null")
     getters = written(getters.groupBy("key").agg(F.max_by("getter", "method_id").alias("value")), "getters")
     return written(mapped(with_callees(own, getters, "getters"), summary_rows, SUMMARY), "summaries")
 
@@ -161,6 +169,18 @@ def lock_points(methods: DataFrame) -> DataFrame:
     A locked parameter is what all call sites bind it to, else its declared class; anything else is
     grounded in its class; then aliases are followed.
     """
+    return points_of(at_hand(methods))
+
+
+def at_hand(methods: DataFrame) -> DataFrame:
+    """Methods written once, as they are read many times. Fewer partitions than cores are dealt out, as work on a
+    method takes much longer than reading it."""
+    cores = methods.sparkSession.sparkContext.defaultParallelism
+    return written(methods.repartition(cores, "method_id") if methods.rdd.getNumPartitions() < cores else methods, "methods")
+
+
+def points_of(methods: DataFrame) -> DataFrame:
+    """`lock_points` of methods that are cheap to read again."""
     facts = summaries(methods)
     formals = solved_formals(facts)
     aliases = written(field_aliases(facts, formals), "aliases")

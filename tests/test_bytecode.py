@@ -13,34 +13,34 @@ from holdfast.sources.reports import write_points_columns, write_points_json
 OBJECT = "Ljava/lang/Object;"
 
 
-def locks(cls: str = "Lt/Locks;") -> File:
-    """a() locks this.mLock, b() locks a static field, c() is abstract, d() is static and locks the class."""
+def locks(cls: str = "Lquay/Crate;") -> File:
+    """a() locks this.lid, b() locks a static field, c() is abstract, d() is static and locks the class."""
     f = File()
-    m, s, v = f.field(cls, "mLock", OBJECT), f.field(cls, "sLock", OBJECT), f.field(cls, "flag", "I")
+    m, s, v = f.field(cls, "lid", OBJECT), f.field(cls, "seal", OBJECT), f.field(cls, "flag", "I")
     a, b, c, d = (f.method(cls, n, args, "V") for n, args in (("a", []), ("b", ["J", "[Lt/X;"]), ("c", []), ("d", [])))
     k = f.type(cls)
     codes = [
-        # iget-object v0, v2, mLock; monitor-enter v0; goto/16 +2; monitor-exit v0; return-void
+        # iget-object v0, v2, lid; monitor-enter v0; goto/16 +2; monitor-exit v0; return-void
         (a, 0, {"registers": 3, "ins": 1, "units": [0x2054, m, 0x001D, 0x0029, 2, 0x001E, 0x000E], "lines": [(0, 5), (5, 300)], "tries": [(2, 3, [5], 6), (0, 1, [6], None)]}),
-        # sget-object v0, sLock; move-object v1, v0; monitor-enter v1; if-eqz v1, -1; monitor-exit v1; return-object v1
+        # sget-object v0, seal; move-object v1, v0; monitor-enter v1; if-eqz v1, -1; monitor-exit v1; return-object v1
         (b, 0, {"registers": 6, "ins": 4, "units": [0x0062, s, 0x0107, 0x011D, 0x0138, 0xFFFF, 0x011E, 0x0111], "lines": [(0, 6)]}),
         (c, 0x400, None),
         # const-class v0; monitor-enter v0; packed-switch v0 (+9); invoke-static/range {v3..v5}, a; nop; return-void; (table)
         (d, 8, {"registers": 6, "ins": 0, "units": [0x001C, k, 0x001D, 0x002B, 11, 0, 0x0377, a, 3, 0x0000, 0x000E, 0x000E, 0x000E, 0x000E, 0x0100, 2, 0, 0, 7, 0, 8, 0], "lines": [(2, 8)]}),
     ]
-    f.add(cls, OBJECT, ["Lt/I;"], "Locks.java", [(v, 0x40), (m, 0x2)], codes)
+    f.add(cls, OBJECT, ["Lt/I;"], "Crate.java", [(v, 0x40), (m, 0x2)], codes)
     return f
 
 
 def test_class_file():
     rows = list(facts_in(locks().bytes()))
     classes = [r for kind, r in rows if kind == "class"]
-    assert classes == [{"class_ord": 0, "class": "t.Locks", "super": "java.lang.Object", "interfaces": ["t.I"]}]
-    assert [r["field"] for kind, r in rows if kind == "flag"] == ["t.Locks.flag"]
+    assert classes == [{"class_ord": 0, "class": "quay.Crate", "super": "java.lang.Object", "interfaces": ["t.I"]}]
+    assert [r["field"] for kind, r in rows if kind == "flag"] == ["quay.Crate.flag"]
     a, b, c, d = (r for kind, r in rows if kind == "method")
     assert [(m["name"], m["sig"], m["access"], m["registers"], m["ins"]) for m in (a, b, c, d)] == [("a", "()V", 0, 3, 1), ("b", "(J[Lt/X;)V", 0, 6, 4), ("c", "()V", 0x400, 0, 0), ("d", "()V", 8, 6, 0)]
     assert a["insns"] == [
-        {"offset": 0, "op": "iget", "class": "t.Locks", "field": "mLock", "ty": "java.lang.Object", "dst": 0, "base": 2}, {"offset": 2, "op": "monitor_enter", "src": 0},
+        {"offset": 0, "op": "iget", "class": "quay.Crate", "field": "lid", "ty": "java.lang.Object", "dst": 0, "base": 2}, {"offset": 2, "op": "monitor_enter", "src": 0},
         {"offset": 3, "op": "goto", "targets": [5]}, {"offset": 5, "op": "monitor_exit", "src": 0}, {"offset": 6, "op": "return", "src": None},
     ]
     assert a["positions"] == [{"offset": 0, "line": 5}, {"offset": 5, "line": 300}]
@@ -48,7 +48,7 @@ def test_class_file():
     assert [(i["op"], i.get("dst"), i.get("src"), i.get("targets")) for i in b["insns"]] == [
         ("sget", 0, None, None), ("move", 1, 0, None), ("monitor_enter", None, 1, None), ("branch", None, None, [3]), ("monitor_exit", None, 1, None), ("return", None, 1, None)
     ]
-    assert c["insns"] == [] and c["source_file"] == "Locks.java"
+    assert c["insns"] == [] and c["source_file"] == "Crate.java"
     assert [(i["offset"], i["op"], i.get("targets") or i.get("args")) for i in d["insns"]] == [
         (0, "const_class", None), (2, "monitor_enter", None), (3, "switch", [10, 11]), (6, "invoke", [3, 4, 5]), (9, "other", None), (10, "return", None), (11, "return", None), (12, "return", None), (13, "return", None)
     ]
@@ -72,19 +72,19 @@ def test_java_text():
 @pytest.fixture(scope="module")
 def points(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("jars")
-    for name, cls in (("a.jar", "Lt/Locks;"), ("b.jar", "Lt/Locks;"), ("c.apk", "Lt/Other;")):
+    for name, cls in (("a.jar", "Lquay/Crate;"), ("b.jar", "Lquay/Crate;"), ("c.apk", "Lquay/Barrel;")):
         with zipfile.ZipFile(folder / name, "w") as z:
             z.writestr("classes.dex", locks(cls).bytes())
             z.writestr("note.txt", "no")
     classes, methods, flags = read_classes(spark, str(folder))
-    assert sorted(r["class"] for r in classes.collect()) == ["t.Locks", "t.Other"]
-    assert sorted(r.field for r in flags.collect()) == ["t.Locks.flag", "t.Other.flag"]
+    assert sorted(r["class"] for r in classes.collect()) == ["quay.Crate", "quay.Barrel"]
+    assert sorted(r.field for r in flags.collect()) == ["quay.Crate.flag", "quay.Barrel.flag"]
     return lock_points(methods).cache()
 
 
 def test_lock_points_of_class_files(points):
-    got = sorted((r.method, r.line, r.lock) for r in points.where("class = 't.Locks'").collect())
-    assert got == [("t.Locks.a:()V", 5, "t.Locks.mLock"), ("t.Locks.b:(J[Lt/X;)V", 6, "t.Locks.sLock"), ("t.Locks.d:()V", 8, "t.Locks.class")]
+    got = sorted((r.method, r.line, r.lock) for r in points.where("class = 'quay.Crate'").collect())
+    assert got == [("quay.Crate.a:()V", 5, "quay.Crate.lid"), ("quay.Crate.b:(J[Lt/X;)V", 6, "quay.Crate.seal"), ("quay.Crate.d:()V", 8, "quay.Crate.class")]
 
 
 def test_no_class_is_an_error(spark, tmp_path):

@@ -24,25 +24,25 @@ def jars(tmp_path_factory):
 
 def test_resolve(spark, jars, tmp_path):
     head = "build_id,device_name,blocked_src,blocking_src,short_blocked_method,short_blocking_method\n"
-    (tmp_path / "in.csv").write_text(head + "B1,d,Locks.java:5,Locks.java:7,a,b\nB2,d,Locks.java:5,Locks.java:6,a,b\nB1,d,Locks.java:5,Locks.java:7,a,b\n")
+    (tmp_path / "in.csv").write_text(head + "B1,d,Crate.java:5,Crate.java:7,a,b\nB2,d,Crate.java:5,Crate.java:6,a,b\nB1,d,Crate.java:5,Crate.java:7,a,b\n")
     run = lambda *more: command.main(["resolve", str(tmp_path / "in.csv"), "--artifacts", str(jars), "--cache", str(tmp_path / "cache"), "-o", str(tmp_path / "out"), *more])
     read = lambda: spark.read.csv(str(tmp_path / "out"), header=True)
     run()
-    assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in read().collect()) == [("B1", "t.Locks.mLock", "N/A")] * 2 + [("B2", "N/A", "N/A")]
+    assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in read().collect()) == [("B1", "quay.Crate.lid", "N/A")] * 2 + [("B2", "N/A", "N/A")]
     assert [p.name.split("-")[0] for p in (tmp_path / "cache").iterdir()] == ["B1"]
     run("--fuzz", "1", "--build", "B1", "--compact-counts")
-    assert [(r.resolved_blocking_lock, r.traces) for r in read().collect()] == [("t.Locks.sLock", "2")]
+    assert [(r.resolved_blocking_lock, r.traces) for r in read().collect()] == [("quay.Crate.seal", "2")]
     # Build by build: a folder each, and a later run over one build leaves the other's rows.
     out = str(tmp_path / "parts")
     for more in ([], ["--build", "B1", "--fuzz", "1"]):
         run("--by-build", *more, "-o", out)
     rows = spark.read.csv(out, header=True).collect()
-    assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in rows) == [("B1", "t.Locks.mLock", "t.Locks.sLock")] * 2 + [("B2", "N/A", "N/A")]
+    assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in rows) == [("B1", "quay.Crate.lid", "quay.Crate.seal")] * 2 + [("B2", "N/A", "N/A")]
 
 
 def test_dump(spark, jars, tmp_path):
     command.main(["dump", str(jars / "B1"), "--format", "json", "-o", str(tmp_path / "points")])
-    assert sorted(r.lock for r in spark.read.json(str(tmp_path / "points")).collect()) == ["t.Locks.class", "t.Locks.mLock", "t.Locks.sLock"]
+    assert sorted(r.lock for r in spark.read.json(str(tmp_path / "points")).collect()) == ["quay.Crate.class", "quay.Crate.lid", "quay.Crate.seal"]
     command.main(["dump", str(jars / "B1"), "-o", f"file://{tmp_path}/columns"])
     assert list((tmp_path / "columns").glob("*.pb"))
 
@@ -54,28 +54,29 @@ def write_tables(spark, program, path) -> str:
 
 
 def test_index_and_questions(spark, tmp_path, capsys):
-    facts = write_tables(spark, programs.ctx(), tmp_path / "facts")
+    facts = write_tables(spark, programs.trains(), tmp_path / "facts")
     command.main(["index", facts, "--facts", "parquet", "-o", str(tmp_path / "index")])
     ask = lambda *asked: command.main(["ask", str(tmp_path / "index"), *asked]) or capsys.readouterr().out
-    found = json.loads(ask("--at", "Ctx.java:14", "--lock", "mA", "--cycles", "--remote", "--json"))
-    (leaf,) = found[0]["methods"]
-    assert leaf["key"] == "t.Ctx.leaf:()V" and leaf["may_hold"] == [{"lock": "t.Ctx.mA", "dist": 2, "path": ["t.Ctx.top:()V", "t.Ctx.mid:()V", "t.Ctx.leaf:()V"]}]
-    assert {r["method"] for r in found[1]["sites"]} == {"t.Ctx.top:()V", "t.Ctx.nested:()V", "t.Ctx.other:()V"} and [r["to"] for r in found[1]["after"]] == ["t.Ctx.mB"]
-    assert found[2]["cycles"] == [["t.Ctx.mA", "t.Ctx.mB"]] and len(found[2]["ungated"]) == 1 and found[3]["calls"] == []
-    text = ask("--method", "nested", "--at", "Ctx.java:14", "--lock", "mB", "--cycles")
-    for line in ("  holds t.Ctx.mB", "  may hold t.Ctx.mA at distance 2", "taken in t.Ctx.other:()V (Ctx.java:16): t.Ctx.mB", "cycle of 2: Ctx.mA, Ctx.mB", "Ctx.mA and Ctx.mB in both orders, 1 and 1 times"):
+    found = json.loads(ask("--at", "Train.java:7", "--lock", "hook", "--cycles", "--remote", "--json"))
+    (test,) = found[0]["methods"]
+    path = [f"yard.Train.{m}:()V" for m in ("couple", "check", "test")]
+    assert test["key"] == path[-1] and test["may_hold"] == [{"lock": "yard.Train.hook", "dist": 2, "path": path}]
+    assert {r["method"] for r in found[1]["sites"]} == {path[0], "yard.Train.blow:()V"} and [r["to"] for r in found[1]["after"]] == ["yard.Train.valve"]
+    assert [len(c) for c in found[2]["cycles"]] == [3, 2, 2] and len(found[2]["ungated"]) == 1 and found[3]["calls"] == []
+    text = ask("--method", "vent", "--at", "Train.java:7", "--lock", "horn", "--cycles")
+    for line in ("  holds yard.Train.valve", "  may hold yard.Train.hook at distance 2", "taken in yard.Train.blow:()V (Train.java:9): yard.Train.horn", "cycle of 3: Train.hook, Train.horn, Train.valve", "Train.lamp and Train.sign in both orders, 1 and 1 times"):
         assert line in text.splitlines(), line
     with pytest.raises(SystemExit):
         ask()
 
 
 def test_remote_and_races(spark, tmp_path):
-    facts = write_tables(spark, programs.binder(), tmp_path / "binder")
+    facts = write_tables(spark, programs.tower(), tmp_path / "tower")
     command.main(["remote", facts, "--facts", "parquet", "-o", str(tmp_path / "remote")])
-    assert spark.read.json(str(tmp_path / "remote")).count() == 3
-    facts = write_tables(spark, programs.race(), tmp_path / "race")
+    assert spark.read.json(str(tmp_path / "remote")).count() == 2
+    facts = write_tables(spark, programs.vault(), tmp_path / "vault")
     command.main(["races", facts, "--facts", "parquet", "-o", str(tmp_path / "races")])
-    assert [(r.field, len(r.guarded_at)) for r in spark.read.json(str(tmp_path / "races")).orderBy("field").collect()] == [("t.Race.mGuarded", 5), ("t.Race.mInner", 5)]
+    assert [(r.field, len(r.guarded_at)) for r in spark.read.json(str(tmp_path / "races")).orderBy("field").collect()] == [("bank.Vault.count", 5), ("bank.Vault.notes", 5)]
 
 
 def test_file_names():

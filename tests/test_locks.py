@@ -11,101 +11,86 @@ from holdfast.sources.sketches import Program
 
 
 def test_lock_points(spark):
-    _, methods, _ = programs.locks().tables(spark)
-    got = {(r.method, r.line, r.lock, r.source_file) for r in lock_points(methods).collect()}
-    assert got == {
-        ("t.Locks.a:()V", 5, "t.Locks.mLock", "Locks.java"), ("t.Locks.b:()V", 6, "t.Locks.sLock", "Locks.java"),
-        ("t.Locks.c:()V", None, "t.Locks", "Locks.java"), ("t.Locks.d:()V", None, "t.Locks.class", "Locks.java"),
+    _, methods, _ = programs.winch().tables(spark)
+    got = {r.method.split(".")[-1].split(":")[0]: (r.line, r.lock, r.source_file) for r in lock_points(methods).collect()}
+    want = {
+        "reel": (33, "pier.Winch.drum"), "brake": (40, "pier.Dock.shared"), "hold": (None, "pier.Winch"), "audit": (52, "pier.Dock.class"),
+        "splice": (60, "pier.Rope"), "odd": (66, "?@pier.Winch.odd:()V+0001"),
     }
+    assert got == {k: (*v, "Winch.java") for k, v in want.items()}
 
 
-def test_injected_and_aliased_names(spark):
-    p = Program()
-    p.cls("t.Svc")
-    # The helper's field is what its only maker passes in; a getter's result is followed one level.
-    p.method("make:()V", ["iget 0 3 t.Svc.mLock", "new 1 t.Helper", "direct 1,0 t.Helper.<init>:(Ljava/lang/Object;)V", "return"], lines=1)
-    p.method("getLock:()Ljava/lang/Object;", ["iget 0 3 t.Svc.mLock", "return 0"], lines=2)
-    p.method("viaGetter:()V", ["virtual 3 t.Svc.getLock:()Ljava/lang/Object;", "move_result 0", "enter 0", "exit 0", "return"], lines=3)
-    p.cls("t.Helper")
-    p.method("<init>:(Ljava/lang/Object;)V", ["iput 3 2 t.Helper.mLock", "return"], ins=2, lines=4)
-    p.method("work:()V", ["iget 0 3 t.Helper.mLock", "enter 0", "exit 0", "return"], lines=5)
-    p.method("typed:(JLt/Svc;)V", ["enter 3", "exit 3", "return"], registers=4, ins=4, lines=6)
-    _, methods, _ = p.tables(spark)
-    got = {(r.line, r.lock) for r in lock_points(methods).collect()}
-    assert got == {(3, "t.Svc.mLock"), (5, "t.Svc.mLock"), (6, "t.Svc")}
+def test_passed_and_returned_locks(spark):
+    _, methods, _ = programs.passed_keys().tables(spark)
+    # One maker through two constructors names the field; two makers leave it its own name; a getter's result is followed.
+    assert {(r.line, r.lock) for r in lock_points(methods).collect()} == {(4, "pier.Dock.shared"), (9, "pier.Boat.key"), (12, "pier.Bell.cord")}
 
 
 def test_calls_under_lock(spark):
-    classes, methods, _ = programs.binder().tables(spark)
-    got = [(r.method, r.held, r.callee, r.file) for r in calls_under_lock(classes, methods).collect()]
-    remote, lock = "t.Binder$IFoo.doRemote", ["t.Binder$Holder.mLock"]
+    classes, methods, _ = programs.tower().tables(spark)
+    got = [(r.method, r.file, r.line, r.held, r.callee) for r in calls_under_lock(classes, methods).collect()]
+    # Both callers of relay hold the desk; one caller of shout holds nothing.
     assert got == [
-        ("t.Binder$Holder.helperLocked:()V", lock, remote, "Binder.java"), ("t.Binder$Holder.underLock:()V", lock, remote, "Binder.java"),
-        ("t.Binder$Holder.underSyncMethod:()V", ["t.Binder$Holder"], remote, "Binder.java"),
+        ("port.Tower.hail:()V", "Tower.java", 72, ["port.Tower.desk"], "port.Radio.send"), ("port.Tower.relay:()V", "Tower.java", 80, ["port.Tower.desk"], "port.Link.ping"),
     ]
     index = build(classes, methods)
-    keys = {r.method_id: r.key for r in index.methods.collect()}
-    assert {(keys[r.caller], r.lock, r.dist) for r in index.remote_calls().collect()} == {
-        ("t.Binder$Holder.helperLocked:()V", "t.Binder$Holder.mLock", 1), ("t.Binder$Holder.underLock:()V", "t.Binder$Holder.mLock", 0),
-        ("t.Binder$Holder.underSyncMethod:()V", "t.Binder$Holder", 0),
-    }
+    keys = {r.method_id: r.key.split(".")[-1].split(":")[0] for r in index.methods.collect()}
+    assert sorted((keys[r.caller], r.lock, r.dist) for r in index.remote_calls().collect()) == [
+        ("hail", "port.Tower.desk", 0), ("relay", "port.Tower.desk", 1), ("relay", "port.Tower.mast", 1), ("shout", "port.Tower.desk", 1),
+    ]
 
 
 @pytest.fixture(scope="module")
-def ctx_index(spark):
-    classes, methods, _ = programs.ctx().tables(spark)
+def index(spark):
+    classes, methods, _ = programs.trains().tables(spark)
     return build(classes, methods)
 
 
-def test_index(spark, ctx_index, tmp_path):
-    index = ctx_index
-    keys = {r.method_id: r.key for r in index.methods.collect()}
-    a, b = "t.Ctx.mA", "t.Ctx.mB"
-    assert {(keys[r.method_id], r.lock, r.dist) for r in index.may_held.collect()} == {("t.Ctx.mid:()V", a, 1), ("t.Ctx.leaf:()V", a, 2)}
-    assert {(r["from"], r["to"]) for r in index.orders.collect()} == {(a, b), (b, a)}
-    assert [r.locks for r in index.cycles().collect()] == [[a, b]]
-    assert [(r.key, r.held) for r in index.at("x/Ctx.java", 12).collect()] == [("t.Ctx.top:()V", [a])]
-    paths = {(keys[r.method_id], r.lock): [keys[m] for m in r.path] for r in index.witness(8).collect()}
-    assert paths["t.Ctx.leaf:()V", a] == ["t.Ctx.top:()V", "t.Ctx.mid:()V", "t.Ctx.leaf:()V"]
-    assert [(r["from"], r["to"], r.gate) for r in index.inversions().collect()] == [(a, b, None)]
+def test_index(spark, index, tmp_path):
+    keys = {r.method_id: r.key.split(".")[-1].split(":")[0] for r in index.methods.collect()}
+    of = lambda *names: [f"yard.Train.{n}" for n in names]
+    (hook,) = of("hook")
+    assert {(keys[r.method_id], r.lock, r.dist) for r in index.may_held.collect()} == {("check", hook, 1), ("test", hook, 2)}
+    orders = {(r["from"], r["to"]): r.dist for r in index.orders.collect()}
+    ring = {("hook", "valve"): 2, ("valve", "horn"): 0, ("horn", "hook"): 0}
+    pairs = dict.fromkeys([("lamp", "sign"), ("sign", "lamp"), ("bell", "siren"), ("siren", "bell"), ("guard", "bell"), ("guard", "siren")], 0)
+    assert orders == {tuple(of(*k)): d for k, d in (ring | pairs).items()}
+    assert [r.locks for r in index.cycles().collect()] == [of("hook", "horn", "valve"), of("bell", "siren"), of("lamp", "sign")]
+    assert [(r["from"], r["to"], r.gate) for r in index.inversions().collect()] == [(*of("lamp", "sign"), None), tuple(of("bell", "siren", "guard"))]
+    assert [(keys[r.method_id], r.held) for r in index.at("any/Train.java", 5).collect()] == [("couple", [hook])]
+    assert {(keys[r.method_id], r.lock): [keys[m] for m in r.path] for r in index.witness(8).collect()}["test", hook] == ["couple", "check", "test"]
     index.write(str(tmp_path))
     assert sorted(map(tuple, Index.read(spark, str(tmp_path)).orders.collect())) == sorted(map(tuple, index.orders.collect()))
 
 
 def test_control_flow(spark):
-    classes, methods, _ = programs.cfg().tables(spark)
+    classes, methods, _ = programs.saw().tables(spark)
     known = effects(methods)
-    assert {r.key: (r.takes, r.gives) for r in known.collect()} == {"t.Cfg.take:()V": (["t.Cfg.mL"], []), "t.Cfg.drop:()V": ([], ["t.Cfg.mL"])}
+    bolt = ["mill.Saw.bolt"]
+    assert {r.key.split(".")[-1].split(":")[0]: (r.takes, r.gives) for r in known.collect()} == {"hold": (bolt, []), "fix": (bolt, []), "free": ([], bolt)}
     held = {r.name.split(".")[-1].split(":")[0]: r.held for r in walked(methods, known).where("kind = 'call'").collect()}
-    for name in ("after", "inCatch", "body"):
-        assert held[name] == ["t.Cfg.mA"], name
-    for name in ("inTry", "inHelperLock"):
-        assert held[name] == ["t.Cfg.mL"], name
-    assert held["inRead"] == ["t.Cfg.mRw.read"]
-    for name in ("outside", "tail", "post", "afterRead", "afterHelper"):
-        assert held[name] == [], name
+    want = dict.fromkeys(("plain", "first", "rescue", "inside", "risky"), ["mill.Saw.blade"]) | {"fixed": bolt, "changing": ["mill.Saw.plan.write"]}
+    want |= {name: [] for name in ("freed", "joined", "done", "after", "changed", "loose")}
+    assert {name: held[name] for name in want} == want
     index = build(classes, methods)
     keys = {r.method_id: r.key for r in index.methods.collect()}
-    dist = {(keys[r.method_id], r.lock): r.dist for r in index.may_held.collect()}
-    # Callbacks that the callee invokes run under the lock; a stored one doesn't.
-    assert ("t.L1.go:()V", "t.Cfg.mA") in dist and ("t.L2.go:()V", "t.Cfg.mA") in dist
-    assert ("t.L3.go:()V", "t.Cfg.mA") not in dist
+    under = {keys[r.method_id] for r in index.may_held.collect() if r.lock == "mill.Saw.blade"}
+    # Work that the callee does, or hands on to one that does, is done under the lock; queued work isn't.
+    assert {"mill.Rip.go:()V", "mill.Plane.go:()V"} <= under and "mill.Sand.go:()V" not in under
 
 
 def test_races(spark):
-    classes, methods, flags = programs.race().tables(spark)
-    rows = races(classes, methods, flags).collect()
-    assert [(r.field, r.guard, r.guarded, r.total) for r in rows] == [("t.Race.mGuarded", "t.Race.mLock", 5, 6), ("t.Race.mInner", "t.Race.mLock", 5, 6)]
-    assert [(u.method, u.concurrent) for u in rows[0].unguarded] == [("t.Race.run:()V", True)]
-    assert [(u.method, u.line) for u in rows[1].unguarded] == [("t.Race$Writer.run:()V", 60)]
+    rows = races(*programs.vault().tables(spark)).collect()
+    assert [(r.field, r.guard, r.guarded, r.total) for r in rows] == [(f"bank.Vault.{f}", "bank.Vault.door", 5, 6) for f in ("count", "notes")]
+    assert [[(u.method, u.line, u.concurrent) for u in r.unguarded] for r in rows] == [[("bank.Vault.run:()V", 21, True)], [("bank.Clerk.run:()V", 30, True)]]
 
 
 def test_merge_keeps_the_first_copy(spark):
     p = Program()
-    for artifact, names in ((0, ["t.Shared", "t.OnlyA"]), (1, ["t.Shared", "t.OnlyB"])):
+    for artifact, names in enumerate((["kit.Hose"], ["kit.Pump", "kit.Hose"], ["kit.Pump", "kit.Tap"])):
         for name in names:
             p.cls(name, artifact=artifact)
-            p.method(f"of{artifact}:()V", ["return"])
+            p.method(f"from{artifact}:()V", ["return"])
     classes, methods, _ = p.tables(spark)
-    assert [r["class"] for r in classes.orderBy("artifact_ord", "class_ord").collect()] == ["t.Shared", "t.OnlyA", "t.OnlyB"]
-    assert [r.key for r in methods.orderBy("method_id").collect()] == ["t.Shared.of0:()V", "t.OnlyA.of0:()V", "t.OnlyB.of1:()V"]
+    assert [(r.artifact_ord, r["class"]) for r in classes.orderBy("artifact_ord", "class_ord").collect()] == [(0, "kit.Hose"), (1, "kit.Pump"), (2, "kit.Tap")]
+    assert [r.key for r in methods.orderBy("method_id").collect()] == ["kit.Hose.from0:()V", "kit.Pump.from1:()V", "kit.Tap.from2:()V"]
