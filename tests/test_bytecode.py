@@ -72,13 +72,13 @@ def test_java_text():
 @pytest.fixture(scope="module")
 def points(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("jars")
-    for name, cls in (("a.jar", "Lquay/Crate;"), ("b.jar", "Lquay/Crate;"), ("c.apk", "Lquay/Barrel;")):
+    for name, cls in (("a.jar", "Lquay/Crate;"), ("b.jar", "Lquay/Crate;"), ("c.apk", "Lquay/Tank;")):
         with zipfile.ZipFile(folder / name, "w") as z:
             z.writestr("classes.dex", locks(cls).bytes())
             z.writestr("note.txt", "no")
     classes, methods, flags = read_classes(spark, str(folder))
-    assert sorted(r["class"] for r in classes.collect()) == ["quay.Crate", "quay.Barrel"]
-    assert sorted(r.field for r in flags.collect()) == ["quay.Crate.flag", "quay.Barrel.flag"]
+    assert sorted(r["class"] for r in classes.collect()) == ["quay.Crate", "quay.Tank"]
+    assert sorted(r.field for r in flags.collect()) == ["quay.Crate.flag", "quay.Tank.flag"]
     return lock_points(methods).cache()
 
 
