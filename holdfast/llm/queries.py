@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import ChatTemplate, format_chats, read_chats
 from .exact import exact_duplicates
 from .fmindex import remove_earlier_windows
+from .infill import fill_in_middle, restored
 from .lines import remove_similar_lines
 from .mixing import mix_sources
 from .quality import score_quality
 from .ngrams import near_duplicates
 from .packing import pack_documents
+from .runs import greatest_run, periodic_runs, with_planted_runs
 from .shared import documents
+from .simhash import simhash_groups
 from .suffix import remove_repeated_bytes
 from .tokens import token_files
 
 
+def sha(text: Column) -> Column:
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_earlier_windows(documents(spark, sf_dir))
 
@@ -41,7 +48,6 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = ChatTemplate()
     chats = read_chats(format_chats(turns.unionByName(probe), template), template)
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(joined).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), sha(F.col("learnt")).alias("loss_sha256"),
@@ -75,7 +81,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source", "positions")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("*", listed.alias("listed"), greatest_run(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), sha(F.col("listed")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(documents(spark, sf_dir))
+    again = restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(again).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_line_dedup, op4_quality_rules, op5_chat_formatting, op6_packing, op7_exact_dedup, op8_token_files, op9_ngram_jaccard, op10_mixing, op11_periodic_runs, op12_simhash, op13_fill_in_middle)}
 
 ORACLES = {
     "op5_chat_formatting": r"""
@@ -107,4 +134,71 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM rows WINDOW w AS (PARTITION BY t)""",
+    "op11_periodic_runs": r"""
+        WITH RECURSIVE crc_table AS (
+            -- The table of CRC-32: eight steps of shifting out a bit for each byte.
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384))) AS t
+        ), hashed AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS own, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM documents, crc_table
+        ), drawn AS (
+            SELECT *, len(own) AS n, h // 10 AS g, CASE WHEN len(own) > 0 THEN (h // 10) % len(own) END AS a FROM hashed
+        ), stretched AS (
+            SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM drawn
+        ), worded AS (
+            SELECT row_number() OVER () AS row, doc_id, n,
+                CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE own END AS w
+            FROM stretched
+        ), periods AS (
+            SELECT row, n, w, unnest(range(1, n // 3 + 1)) AS q FROM worded WHERE n >= 24
+        ), grid AS (
+            SELECT row, n, q, j FROM (SELECT row, n, w, q, unnest(range(0, n // q - 1)) AS j FROM periods)
+            WHERE w[j * q + 1] = w[(j + 1) * q + 1] AND w[j * q + 1:(j + 1) * q] = w[(j + 1) * q + 1:(j + 2) * q]
+        ), stretches AS (
+            SELECT row, n, q, min(j) * q AS low, (max(j) + 2) * q AS high
+            FROM (SELECT *, j - row_number() OVER (PARTITION BY row, q ORDER BY j) AS island FROM grid) GROUP BY row, n, q, island
+        ), ends AS (
+            SELECT s.row, s.q,
+                low - coalesce((SELECT min(k) FROM unnest(range(0, least(low, q))) u(k) WHERE w[low - k] <> w[low - k + q]), least(low, q)) AS low,
+                high + coalesce((SELECT min(k) FROM unnest(range(0, least(s.n - high, q))) u(k) WHERE w[high + k + 1] <> w[high + k + 1 - q]), least(s.n - high, q)) AS high
+            FROM stretches s JOIN worded USING (row)
+        ), runs AS (
+            -- Of one stretch the least period.
+            SELECT row, low AS start, high - low AS length, min(q) AS period FROM ends
+            WHERE high - low >= greatest(24, 3 * q) GROUP BY row, low, high
+        ), listed AS (
+            SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+                arg_min({'start': start, 'length': length, 'period': period}, (-length::DOUBLE / period, start, period)) AS best,
+                list_distinct(flatten(list(range(start + period, start + length)))) AS dropped
+            FROM runs GROUP BY row
+        ), kept AS (
+            SELECT row, string_agg(word, ' ' ORDER BY i) AS collapsed
+            FROM (SELECT row, unnest(w) AS word, unnest(range(n)) AS i, dropped FROM worded JOIN listed USING (row)) WHERE NOT list_contains(dropped, i) GROUP BY row
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+            1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+            sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(collapsed, '') END) AS collapsed_sha256
+        FROM worded LEFT JOIN listed USING (row) LEFT JOIN kept USING (row)""",
+    "op13_fill_in_middle": r"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+                sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents
+        ), drawn AS (
+            SELECT *, len(lines) AS n, ('0x' || h[1:8])::BIGINT % (len(lines) + 1) AS u1, ('0x' || h[9:16])::BIGINT % (len(lines) + 1) AS u2,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                    WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM hashed
+        ), parts AS (
+            SELECT *, array_to_string(lines[1:least(u1, u2)], '') AS prefix, array_to_string(lines[least(u1, u2) + 1:greatest(u1, u2)], '') AS middle,
+                array_to_string(lines[greatest(u1, u2) + 1:], '') AS suffix
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts""",
 }
