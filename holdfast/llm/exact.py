@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_groups, written
+from .shared import free_name, join_groups, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,10 +71,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sha = F.sha2(F.encode(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "UTF-8"), 256)
     found = exact_duplicates(docs, id_col, text)
     best = found.where(F.col(id_col).eqNullSafe(F.col("keep_id")))
-    best = best.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__key")).agg(F.count("*").alias("__n"))
+    best = best.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.count("*").alias("n"))
     best = written(best, "exact-kept")
-    rows = docs.withColumn("__sha", sha)
-    out = rows.join(best, rows[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")), "left_semi")
-    if not best.where("__n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__sha"])
-    return out.drop("__sha")
+    own = free_name(docs, "sha")
+    rows = docs.withColumn(own, sha)
+    out = rows.alias("rows").join(best.alias("best"), F.col(f"rows.{id_col}").eqNullSafe(F.col("best.id")) & (F.col(f"rows.{own}") == F.col("best.sha")), "left_semi")
+    if not best.where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import Contexts, Items, Unit, compared, finished, keyed, new_keys, parts_for, removed_items, repeated_anchors, walk_contexts
-from .textkit import U64, Texts, anchors, mixed, span_hashes
+from .textkit import U64, Texts, anchors, long_span_hashes, mixed, span_hashes
 
 #: Words of a window that counts as a repeat, and of an anchor.
 WINDOW, GRAM = 20, 8
@@ -127,8 +127,8 @@ def earlier_windows(c: Contexts, window: int = WINDOW):
     hashes = texts.word_hashes()
     n_words = np.diff(texts.word_at)
     # Equal contexts are indexed once, at their earliest place; of the others everything is later.
-    key = span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], 0x9E3779B97F4A7C15)
-    other = span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], 0xA24BAED4963EE407)
+    key = long_span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], 0x9E3779B97F4A7C15)
+    other = long_span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], 0xA24BAED4963EE407)
     order = np.lexsort((c.start, c.tie, c.doc, other, key))
     at = new_keys(key[order], other[order])
     rep = np.repeat(order[at], np.diff(np.append(at, len(order))))

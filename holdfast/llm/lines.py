@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import components
-from .passages import ROWS, as_table, column, integers, keyed, new_keys, packed, rows_of, unpacked
+from .passages import ROWS, column, integers, keyed, new_keys, packed, rows_of, unpacked
 from .shared import join_checked, tasks, written
 from .textkit import BLOCK, U64, Texts, blocks, mixed
 
@@ -27,9 +27,10 @@ PART_WORDS, MOST = 1 << 22, 1 << 20
 VERIFIED = 1 << 19
 #: Words from which a set has a sketch of 256 bits: 64 say little about larger sets.
 LONG = 64
-HASH_BITS, RARITY_BITS = 40, 5
+#: A word's number: so many bits of its digest below those of its rarity.
+HASH_BITS, RARITY_BITS = 59, 5
 
-ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("wide", "<u8", (3,))])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<u8"), ("other", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("wide", "<u8", (3,))])
 
 
 def least_overlap(total: np.ndarray, similarity: float) -> np.ndarray:
@@ -39,12 +40,13 @@ def least_overlap(total: np.ndarray, similarity: float) -> np.ndarray:
 
 @dataclass
 class Lines:
-    """A block's lines that have a word: distinct words, the rarest first, line by line."""
+    """A block's lines that have a word: distinct words, the rarest first, line by line; `digest` is their other 64 bits."""
 
     doc: np.ndarray
     line: np.ndarray
     at: np.ndarray
     token: np.ndarray
+    digest: np.ndarray
 
 
 def lines_of(texts: Texts, rarity: np.ndarray) -> Lines:
@@ -59,17 +61,13 @@ def lines_of(texts: Texts, rarity: np.ndarray) -> Lines:
     dense = np.zeros(len(number), np.int64)
     dense[edge] = 1
     dense = np.cumsum(dense) - 1
-    h = texts.word_hashes()
+    digests = texts.word_digests()
+    h = digests[:, 0]
     token = (rarity[(h >> U64(44)).astype(np.int64)].astype(U64) << U64(HASH_BITS)) | (h & U64((1 << HASH_BITS) - 1))
-    bits = HASH_BITS + RARITY_BITS
-    if len(edge) < 1 << (64 - bits):
-        both = np.unique((dense.astype(U64) << U64(bits)) | token)
-        of, token = (both >> U64(bits)).astype(np.int64), both & U64((1 << bits) - 1)
-    else:
-        order = np.lexsort((token, dense))
-        order = order[new_keys(dense[order], token[order])]
-        of, token = dense[order], token[order]
-    return Lines(doc, line, np.searchsorted(of, np.arange(len(edge) + 1)), token)
+    names, first_at, number = np.unique(token, return_index=True, return_inverse=True)
+    both = np.unique(dense * max(1, len(names)) + number)
+    of, number = both // max(1, len(names)), both % max(1, len(names))
+    return Lines(doc, line, np.searchsorted(of, np.arange(len(edge) + 1)), names[number], digests[first_at, 1][number])
 
 
 def word_rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -81,21 +79,17 @@ def word_rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
             for _, texts in blocks(batch, "text"):
                 texts.words()
                 counts += np.bincount((texts.word_hashes() >> U64(44)).astype(np.int64), minlength=COUNTERS)
-        part = np.arange(COUNTERS) >> 14
-        yield rows_of("counts", part, [counts])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["word", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(unpacked(x, "<i8") for x in table.column("a").to_pylist())
-        return as_table(rows_of("counts", np.full(len(total), table.column("part")[0].as_py()), [total]))
-
-    found = rows.select("text").mapInArrow(count, ROWS).groupBy("part").applyInArrow(add, ROWS)
+    # Each task sums its rows before the shuffle; the driver gets a row for each counter in use, so a fixed number.
+    sums = rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
-    for part, a in found.select("part", "a").collect():
-        counts[part << 14 : (part + 1) << 14] = unpacked(a, "<i8")
+    counts[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
     return np.minimum(np.log2(counts + 1).astype(np.uint8), 31), int(counts.sum())
 
 
-SET = np.dtype([("set", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("wide", "<u8", (3,)), ("prefix", "<u4")])
+SET = np.dtype([("set", "<u8"), ("other", "<u8"), ("sketch", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("wide", "<u8", (3,)), ("prefix", "<u4")])
 
 
 def prefix_sets(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +98,9 @@ def prefix_sets(lines: Lines, doc: np.ndarray, tie: np.ndarray, similarity: floa
     if not len(n):
         return np.zeros(0, SET), np.zeros(0, U64)
     out = np.zeros(len(n), SET)
+    # Sums over the words, of 64 bits of their digests and of the other 64: sets that agree in both, and in their size, count as equal.
     out["set"] = np.add.reduceat(mixed(lines.token), lines.at[:-1])
+    out["other"] = np.add.reduceat(mixed(lines.digest), lines.at[:-1])
     own = mixed(lines.token ^ U64(0x5555555555))
     bit, quarter = U64(1) << (own >> U64(58)), (own >> U64(56)) & U64(3)
     out["sketch"] = np.bitwise_xor.reduceat(bit, lines.at[:-1])
@@ -124,16 +120,16 @@ def prefix_entries(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np
     """An entry for each prefix word of each distinct set, at its earliest place; and the later places."""
     counts = sets["prefix"].astype(np.int64)
     begin = np.cumsum(counts) - counts
-    order = np.lexsort((sets["line"], sets["tie"], sets["doc"], sets["sketch"], sets["set"]))
+    order = np.lexsort((sets["line"], sets["tie"], sets["doc"], sets["other"], sets["set"]))
     sorted_sets = sets[order]
-    at = new_keys(sorted_sets["set"], sorted_sets["sketch"], sorted_sets["n"])
+    at = new_keys(sorted_sets["set"], sorted_sets["other"], sorted_sets["n"])
     rep = np.repeat(at, np.diff(np.append(at, len(order))))
     later = sorted_sets[(sorted_sets["doc"] != sorted_sets["doc"][rep]) | (sorted_sets["tie"] != sorted_sets["tie"][rep]) | (sorted_sets["line"] != sorted_sets["line"][rep])]
     own, counts, begin = sorted_sets[at], counts[order[at]], begin[order[at]]
     spot = places(counts)
     e = np.zeros(len(spot), ENTRY)
     e["key"], e["at"] = tokens[np.repeat(begin, counts) + spot], spot
-    for n in ("set", "sketch", "doc", "tie", "line", "n", "wide"):
+    for n in ("set", "other", "sketch", "doc", "tie", "line", "n", "wide"):
         e[n] = np.repeat(own[n], counts, axis=0)
     # Zeros of short sets beside each other pack well.
     return e[np.argsort(e["n"], kind="stable")], later
@@ -141,9 +137,9 @@ def prefix_entries(sets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np
 
 def collapsed(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal sets under a key the earliest stays; and the later ones (told at the first word only)."""
-    c = {n: np.ascontiguousarray(e[n]) for n in ("line", "tie", "doc", "sketch", "set", "n", "key")}
+    c = {n: np.ascontiguousarray(e[n]) for n in ("line", "tie", "doc", "other", "set", "n", "key")}
     e = e[np.lexsort(tuple(c.values()))]
-    at = new_keys(e["key"], e["n"], e["set"], e["sketch"])
+    at = new_keys(e["key"], e["n"], e["set"], e["other"])
     rep = np.repeat(at, np.diff(np.append(at, len(e))))
     later = ((e["doc"] != e["doc"][rep]) | (e["tie"] != e["tie"][rep]) | (e["line"] != e["line"][rep])) & (e["at"] == 0)
     return e[at], e[later]
@@ -484,7 +480,7 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Lines end at \\n; earlier is a smaller id, or an earlier line of the document; lines are judged on
     the input, so it doesn't matter whether the earlier one stays. Words are ordered by rarity (counted
     over all texts), a line's prefix are so many of its rarest words that similar lines share one. Lines
-    meet under these words, equal sets as one; length, position of the word and a 64-bit sketch of the set
+    meet under these words, equal sets (of equal size, and equal in two sums of 64 bits of BLAKE2 digests) as one; length, position of the word and a 64-bit sketch of the set
     drop most pairs. Pairs are never rows: a task joins the lines that meet to trees, the trees' components bring
     the lines' texts together, and there each line is verified against earlier ones until one is similar. A
     word with more distinct sets than `most` allows is dealt to pairs of blocks; a component of more than

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import LOWEST, integers, joined, keyed, new_keys, packed, rows_of, unpacked
+from .passages import integers, joined, keyed, new_keys, packed, rows_of, unpacked
 from .shared import join_checked, join_groups, tasks, written
-from .textkit import U64, Texts, blocks, mixed, span_hashes
+from .textkit import U64, Texts, blocks, long_span_hashes, mixed, span_hashes
 
 #: Words of a shingle, least similarity, hash functions at most, and recall at that similarity.
 WORDS, SIMILARITY, HASHES, RECALL = 5, 0.8, 128, 0.995
@@ -64,7 +64,7 @@ def signatures(rows: DataFrame, n_hashes: int) -> DataFrame:
                         values[i, some] = np.minimum.reduceat(((grams * seed) >> U64(32)).astype(np.uint32), at[some])
                 values = np.ascontiguousarray(values.T)
                 hashes = texts.word_hashes()
-                two = [span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], b).view(np.int64) for b in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)]
+                two = [long_span_hashes(hashes, texts.word_at[:-1], texts.word_at[1:], b).view(np.int64) for b in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)]
                 sig = pa.array([values[i].tobytes() if s else None for i, s in enumerate(some.tolist())], pa.binary())
                 get = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([*map(get, own), pa.array(two[0]), pa.array(two[1]), pa.array(np.diff(texts.word_at)), sig], [*own, "h1", "h2", "words", "sig"])
@@ -273,11 +273,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     bands, per_band = choose_bands(similarity, recall)
     signed = signatures(rows, bands * per_band)
     signed = written(signed if row else signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
-    best = F.min(F.struct("doc", "tie", "row")).alias("best")
+    known = F.col("id").isNotNull().alias("known")
+    best = F.min(F.struct("doc", known, "tie", "row")).alias("best")
     groups = written(signed.groupBy("h1", "h2").agg(best, F.count("*").alias("n_copies")).withColumn("key", F.struct("h1", "h2")), "copies")
     # A representative's row number is its node.
     firsts = groups.select(F.col("best.row").alias("row"))
-    reps = written(signed.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "doc", "tie", "words", "sig"), "representatives")
+    reps = written(signed.join(firsts, "row", "left_semi").select(F.col("row").alias("node"), "doc", known, "tie", "words", "sig"), "representatives")
     edges = band_edges(reps, bands, per_band)
     label = components(edges)
     sized = reps.select("node", "doc", "tie", "words").join(label, "node")
@@ -337,13 +338,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = written(sets.repartition(n_parts, "part").groupBy("part").applyInArrow(verify, "node long, root long, n_links long"), "links")
     classes = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct())
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    info = reps.select("node", "doc").join(classes, "node", "left").join(n_links, "node", "left")
-    info = written(info.select("node", "doc", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    least = info.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("least"))
-    info = info.join(least, "label").select(F.col("node").alias("rep"), "n_links", F.col("least.doc").alias("class_doc"), F.col("least.node").alias("class_node"))
-    info = written(groups.join(info, groups["best.row"] == info["rep"]).select("key", "n_copies", F.col("best.doc").alias("rep_doc"), "n_links", "class_doc", "class_node"), "groups")
+    info = reps.select("node", "doc", "known").join(classes, "node", "left").join(n_links, "node", "left")
+    info = written(info.select("node", "doc", "known", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    least = info.groupBy("label").agg(F.min(F.struct("doc", "known", "node")).alias("least"))
+    info = info.join(least, "label").select(F.col("node").alias("rep"), "n_links", F.when(F.col("least.known"), F.col("least.doc")).alias("class_id"), F.col("least.node").alias("class_node"))
+    info = written(groups.join(info, groups["best.row"] == info["rep"]).select("key", "n_copies", F.when(F.col("best.known"), F.col("best.doc")).alias("rep_id"), "n_links", "class_id", "class_node"), "groups")
     out = join_groups(signed.select("id", "row", F.struct("h1", "h2").alias("key")), info, "key", "n_copies")
-    plain = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(
-        F.col("id").alias(id_col), plain("rep_doc").alias("rep_id"), "n_copies", plain("class_doc").alias("class_id"), "n_links", (F.col("row") == F.col("class_node")).alias("first"), *([F.col("row").alias(row)] if row else [])
+        F.col("id").alias(id_col), "rep_id", "n_copies", "class_id", "n_links", (F.col("row") == F.col("class_node")).alias("first"), *([F.col("row").alias(row)] if row else [])
     )

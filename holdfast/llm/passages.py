@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import tasks, written
-from .textkit import U64, Texts, blocks, mixed, sliding, span_hashes, texts_of
+from .textkit import U64, Texts, blocks, long_span_hashes, mixed, sliding, texts_of
 
 #: Anchors, and bytes of contexts, that a task gathers before it sorts and sends them.
 HELD, HELD_BYTES = 1 << 20, 24 << 20
@@ -65,7 +65,9 @@ def keyed(docs: DataFrame, id_col: str, text: str, carried: list[Column] = []) -
 
     That is a hash of the text where any id repeats, else 0, which packs well.
     """
-    single = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    # A null id and the least number there is are one key here, so they need the tie too.
+    single = docs.groupBy(doc).count().where("count > 1").isEmpty()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carried)
     tie = F.lit(0).cast("long") if single else F.xxhash64("text")
     return rows.withColumn("doc", F.coalesce("id", F.lit(LOWEST))).withColumn("tie", tie)
@@ -332,8 +334,8 @@ def walk_contexts(rows: DataFrame, flagged: DataFrame, hot: np.ndarray, unit: Un
                         held.left.append(((lead - low) * 2 + alone).astype(np.int64))
                         held.length.append((high - low).astype(np.int64))
                         # The same items around another anchor are another context.
-                        held.key.append(mixed(span_hashes(items.values, low, high, 0x9E3779B97F4A7C15) + held.left[-1].astype(U64)))
-                        held.other.append(span_hashes(items.values, low, high, 0xA24BAED4963EE407))
+                        held.key.append(mixed(long_span_hashes(items.values, low, high, 0x9E3779B97F4A7C15) + held.left[-1].astype(U64)))
+                        held.other.append(long_span_hashes(items.values, low, high, 0xA24BAED4963EE407))
                         held.size += sum(end) - sum(begin)
                 n = texts.n
                 empty = [pa.nulls(n, pa.binary())] * len(BLOBS)

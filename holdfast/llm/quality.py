@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Texts, blocks, covered, mixed, per_text, repeats, span_hashes
+from .shared import free_name
+from .textkit import U64, Texts, blocks, covered, mixed, per_text, repeats
 
 #: Buckets of hashed words and word pairs, fixed whatever the input: the model has as many numbers.
 BUCKETS = 1 << 16
@@ -40,20 +41,11 @@ def base_counts(texts: Texts, hashes: np.ndarray) -> dict[str, np.ndarray]:
     lengths = chars[texts.ends] - chars[texts.starts]
     n_words = np.diff(texts.word_at)
     word_chars = per_text(lengths, texts.word_at)
-    # Lines end at \n and at the end of a text.
-    breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate([texts.at[:-1], breaks + 1]), kind="stable")
-    docs = np.sort(np.concatenate([np.arange(n), np.searchsorted(texts.at, breaks, "right") - 1]), kind="stable")
-    ends = np.empty_like(starts)
-    last = np.ones(len(starts), bool)
-    last[:-1] = docs[1:] != docs[:-1]
-    ends[last] = texts.at[1:][docs[last]]
-    ends[:-1][~last[:-1]] = starts[1:][~last[:-1]] - 1
-    worded = np.searchsorted(texts.starts, ends) > np.searchsorted(texts.starts, starts)
-    starts, ends, docs = starts[worded], ends[worded], docs[worded]
-    keys = span_hashes(data.astype(U64) + U64(1), starts, ends, 0x2545F4914F6CDD1D)
-    _, later = repeats(mixed(keys + docs.astype(U64) * U64(0xA24BAED4963EE407)))
-    n_dup_lines = np.bincount(docs[later], minlength=n)
+    # Lines as they are, none of them hashed.
+    n_dup_lines = np.zeros(n, np.int64)
+    for i in range(n):
+        lines = [x for x in texts.text(i).split(b"\n") if not x.isspace() and x]
+        n_dup_lines[i] = len(lines) - len(set(lines))
     three, whole = texts.windows(hashes, 3)
     at = np.flatnonzero(whole)
     many, _ = repeats(mixed(three[at] + texts.word_doc[at].astype(U64) * U64(0xA24BAED4963EE407)))
@@ -106,7 +98,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def score(batches):
         for batch in batches:
-            for part, texts in blocks(batch, "_text_"):
+            for part, texts in blocks(batch, whole):
                 texts.words()
                 hashes = texts.word_hashes()
                 bucket, doc = ngrams(texts, hashes)
@@ -122,8 +114,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, [*names, *base, "base_failed", "kept", "score"])
 
     names = list(docs.columns) if rows_only else [id_col]
-    # The texts come first under a name that no other column has.
-    rows = docs.select(F.col(text).alias("_text_"), *names)
+    # The texts come first, under a name that no other column has.
+    whole = free_name(docs, "whole")
+    rows = docs.select(F.col(text).alias(whole), *(F.col(f"`{n}`") for n in names))
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     return rows.mapInArrow(score, kinds if rows_only else f"{kinds}, {counts}")

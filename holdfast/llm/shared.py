@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import join_counted as join_checked
 from ..storage import shared_dir, written
 
-__all__ = ["documents", "hash_place", "join_checked", "join_groups", "n_buckets", "n_words", "running_sum", "shared_dir", "tasks", "written"]
+__all__ = ["documents", "free_name", "hash_place", "join_checked", "join_groups", "n_buckets", "n_words", "running_sum", "shared_dir", "tasks", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of `df` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,6 +6,7 @@ megabytes at a time, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,13 @@ BLOCK = 1 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Words that a task remembers, and bytes of one that it keeps as it is.
+REMEMBERED, SHORT = 1 << 18, 256
+#: A prime, modulo which whole sequences are hashed.
+PRIME = (1 << 61) - 1
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,13 +45,89 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Mixed polynomial hashes of values[start:end]; equal spans have equal hashes wherever they stand."""
+    """Mixed polynomial hashes of values[start:end]; equal spans have equal hashes wherever they stand.
+
+    Modulo 2**64, so for short spans of strong values (words' digests), or where bytes are compared later:
+    long spans of two values in turn can be made alike. `long_span_hashes` has no such spans.
+    """
     up, down = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * up[:-1], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it."""
+    low = U64(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> U64(32), a & low, b >> U64(32), b & low
+    middle, small = a1 * b0 + a0 * b1, a0 * b0
+    # 2**61 is 1 here, so 2**64 is 8.
+    return folded(((a1 * b1) << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32)) + (small & U64(PRIME)) + (small >> U64(61)))
+
+
+def prime_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo PRIME and of its inverse."""
+    if base not in _prime_powers or len(_prime_powers[base][0]) < n:
+
+        def make(b: int) -> np.ndarray:
+            out = np.ones(1, U64)
+            while len(out) < max(n, 1 << 18):
+                out = np.append(out, times(out, np.full(1, pow(b, len(out), PRIME), U64)))
+            return out
+
+        _prime_powers[base] = make(base % PRIME), make(pow(base, -1, PRIME))
+    up, down = _prime_powers[base]
+    return up[:n], down[:n]
+
+
+def long_span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """As `span_hashes`, modulo a prime: for spans of any length whose equality is taken from two such hashes."""
+    up, down = prime_powers(base, len(values) + 1)
+    each = times(folded(values), up[:-1])
+    high, low = np.zeros(len(values) + 1, U64), np.zeros(len(values) + 1, U64)
+    np.cumsum(each >> U64(32), out=high[1:])
+    np.cumsum(each & U64(0xFFFFFFFF), out=low[1:])
+    high = folded(high)
+    total = folded(((high & U64((1 << 29) - 1)) << U64(32)) + (high >> U64(29)) + folded(low))
+    return mixed(times(folded(total[ends] + U64(PRIME) - total[starts]), down[starts]) + mixed((ends - starts).astype(U64)))
+
+
+class Vocabulary(dict):
+    """Numbers of words as they come, and their 128-bit BLAKE2 digests, in two numbers each."""
+
+    def __init__(self):
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) > SHORT:
+            # Kept under its digest, behind a space: that is in no word.
+            word = b" " + digest
+            if word in self:
+                return self[word]
+        self[word] = number = len(self)
+        self.digests += digest
+        return number
+
+
+_vocabulary = Vocabulary()
+
+
+def digests_of(words: list[bytes]) -> np.ndarray:
+    """A row of two numbers for each word."""
+    global _vocabulary
+    if len(_vocabulary) > REMEMBERED:
+        _vocabulary = Vocabulary()
+    numbers = np.fromiter(map(_vocabulary.__getitem__, words), np.int64, len(words))
+    return np.frombuffer(bytes(_vocabulary.digests), "<u8").reshape(-1, 2)[numbers]
+
+
 class Texts:
     """A block of texts: `data` bytes, `at` their n + 1 offsets."""
 
@@ -66,8 +149,13 @@ class Texts:
         self.word_at = np.searchsorted(self.starts, self.at)
         self.word_doc = np.repeat(np.arange(self.n), np.diff(self.word_at))
 
+    def word_digests(self) -> np.ndarray:
+        """128 bits of each word, as a row of two numbers."""
+        return digests_of([w for i in range(self.n) for w in self.text(i).split()])
+
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(self.data.astype(U64) + U64(1), self.starts, self.ends, 0x2545F4914F6CDD1D)
+        """64 bits of each word."""
+        return np.ascontiguousarray(self.word_digests()[:, 0])
 
     def windows(self, hashes: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words that start at each word, and whether all k are of one text."""

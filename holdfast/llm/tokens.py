@@ -282,21 +282,23 @@ def open_shared(uri: str, mode: str):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every text and writes one file a task, documents in ascending id over all files.
 
-    Returns the manifest: path, first_doc, n_docs, n_tokens. A task that is run again writes
+    Returns the manifest: path, first_doc, n_docs, n_nulls, n_tokens. A task that is run again writes
     another file; the manifest names the one of the attempt that counted. A null text is empty; a
-    null id is written as the least 64-bit number; rows that repeat an id stand together,
+    null id is written as the least 64-bit number, before all others: the first n_nulls of a file had none; rows that repeat an id stand together,
     ordered by a hash of their texts. An empty table gives no file.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks(docs.sparkSession), "id", "tie").sortWithinPartitions("id", "tie")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = [F.col("id").asc_nulls_first(), "tie"]
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def write(batches):
-        coder, out, writer, first = encoder(vocabulary), None, None, None
+        coder, out, writer, first, n_nulls = encoder(vocabulary), None, None, None, 0
         name = f"{path}/{uuid.uuid4().hex}.ids.zst"
         for batch in batches:
             for part, _ in blocks(batch, "text"):
                 ids, at = coder.encode(part.column("text").to_pylist())
-                for i, key in enumerate(part.column("id").to_pylist()):
+                for i, known in enumerate(part.column("id").to_pylist()):
+                    key, n_nulls = (-(2**63), n_nulls + 1) if known is None else (known, n_nulls)
                     if writer is None:
                         out, first = open_shared(name, "w"), key
                         writer = Writer(out, 4 if coder.wide else 2)
@@ -304,9 +306,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         if writer:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "first_doc": [first], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "first_doc": [first], "n_docs": [writer.n_docs], "n_nulls": [n_nulls], "n_tokens": [writer.n_tokens]})
 
-    return rows.select("id", "text").mapInArrow(write, "path string, first_doc long, n_docs long, n_tokens long")
+    return rows.select("id", "text").mapInArrow(write, "path string, first_doc long, n_docs long, n_nulls long, n_tokens long")
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -314,20 +316,20 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Where a file begins follows from the manifest, which has one row a file.
     """
-    before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_doc", F.desc("n_nulls"), "path").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    files = files.select("path", "base").repartition(tasks(manifest.sparkSession), "path")
+    files = files.select("path", "base", "n_nulls").repartition(tasks(manifest.sparkSession), "path")
 
     def told(found):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
 
     def read(batches):
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start, nulls in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = []
                 with open_shared(path, "r") as file:
-                    for key, ids in Reader(file):
-                        found.append((None if key == -(2**63) else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    for i, (key, ids) in enumerate(Reader(file)):
+                        found.append((None if i < nulls else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
                         if len(found) == READ_DOCS:
                             yield told(found)
