@@ -15,15 +15,16 @@ from holdfast.llm.ngrams import near_duplicates
 from holdfast.llm.packing import pack_documents
 from holdfast.llm.quality import score_quality
 from holdfast.llm.queries import vocabulary
-from holdfast.llm.shared import documents, written
+from holdfast.llm.shared import documents, free_name, written
 
 #: The stages aren't SQL: hashed n-grams, MinHash and tokens.
 ORACLE_SQL = None
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The documents, written with a number for each row: ids may repeat or be null, so decisions come back by it."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents, written with a number for each row, and its name: ids may repeat or be null, so decisions come back by it."""
+    row = free_name(docs, "row_number")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,10 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told by a written number: of repeated rows, and of near copies that share an id or have none, one stays.
     All other columns are kept as they are; an empty table gives an empty one.
     """
-    rows = numbered(docs, "near-rows")
-    first = written(near_duplicates(rows, row="__row").where("first").select("__row"), "near-first")
+    rows, row = numbered(docs, "near-rows")
+    first = written(near_duplicates(rows, row=row).where("first").select(row), "near-first")
     # The numbers grow with the documents: merged at every size, never broadcast.
-    return rows.join(first.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    return rows.join(first.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +60,12 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     document more than its target. Rows are told by a written number, so null and repeated ids are rows
     like others; documents without words are in no pass; an empty table gives an empty one.
     """
-    rows = numbered(docs, "mix-rows")
-    mix = mix_sources(rows, row="__row").select("__row", F.explode("positions").alias("__position"))
+    rows, row = numbered(docs, "mix-rows")
+    position = free_name(rows, "position")
+    mix = mix_sources(rows, row=row).select(row, F.explode("positions").alias(position))
     mix = written(mix, "mix")
-    rows = rows.join(mix.hint("merge"), "__row")
-    return rows.orderBy("__position", "__row").select(*docs.columns)
+    rows = rows.join(mix.hint("merge"), row)
+    return rows.orderBy(position, row).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
