@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
 
+#: Edges that one task searches for components at once: some MB.
+FEW_EDGES = 100_000
+#: Times that nodes without a way in or out are trimmed before a search, at most.
+TRIMS = 4
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst and the least number of steps, one at least, by doubling: paths join paths.
@@ -62,18 +68,33 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     return known
 
 
-def predecessors(distances: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds pred to node, label, dist: the least edge source one step nearer to the label; null at distance 1."""
-    before = distances.select(F.col("node").alias("src"), "label", (F.col("dist") + 1).alias("dist"))
-    step = edges.join(before, "src").select(F.col("dst").alias("node"), "label", "dist", "src")
-    step = step.groupBy("node", "label", "dist").agg(F.min("src").alias("pred"))
-    return distances.join(step, ["node", "label", "dist"], "left")
+def traced(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """As `reach`, with pred: where a shortest way of the label to the node comes from.
+
+    `edges` (src, dst, via) and `start` (node, label, pred, via); of several ways the least via decides, then the
+    least pred. The level that first reaches a node settles its pred with it, so one search finds distances and ways.
+    """
+    way = lambda pred: F.min(F.struct("via", pred)).alias("way")
+    edges = edges.withColumnRenamed("src", "pred")
+    first = start.where("label is not null").groupBy("node", "label").agg(way("pred"))
+    level = written(first.select("node", "label", F.lit(1).alias("dist"), "way.pred"), "level")
+    known, at = level, 1
+    while at < depth and not level.isEmpty():
+        at += 1
+        near = level.select(F.col("node").alias("pred"), "label")
+        moved = near.join(edges, "pred").groupBy(F.col("dst").alias("node"), "label").agg(way("pred"))
+        moved = moved.join(known, ["node", "label"], "left_anti")
+        level = written(moved.select("node", "label", F.lit(at).alias("dist"), "way.pred"), "level")
+        known = known.unionByName(level)
+    return known
+
 
+def paths(steps: DataFrame, depth: int) -> DataFrame:
+    """node, label, dist and path of what `traced` gave: from the pred of distance 1, if there is one, down to the node.
 
-def witnesses(distances: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Adds path, the nodes from distance 1 to this one along predecessors."""
-    steps = written(predecessors(distances, edges), "predecessors")
-    level = steps.where("dist = 1").select("node", "label", "dist", F.array("node").alias("path"))
+    Lookups in `steps` alone, a level at a time; a way is as long as its distance.
+    """
+    level = steps.where("dist = 1").select("node", "label", "dist", F.array_compact(F.array("pred", "node")).alias("path"))
     out = level
     for at in range(2, depth + 1):
         nearer = level.select(F.col("node").alias("pred"), "label", F.col("path").alias("_path"))
@@ -83,13 +104,104 @@ def witnesses(distances: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def strong(src: list[int], dst: list[int]) -> dict[int, int]:
+    """The least node of each node's strongly connected component, in a graph that fits a task: depth first, without recursion."""
+    out: dict[int, list[int]] = {}
+    for a, b in zip(src, dst, strict=True):
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    order, low, label, open_ = {}, {}, {}, []
+    for root in out:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        open_.append(root)
+        way = [(root, iter(out[root]))]
+        while way:
+            node, rest = way[-1]
+            for to in rest:
+                if to not in order:
+                    order[to] = low[to] = len(order)
+                    open_.append(to)
+                    way.append((to, iter(out[to])))
+                    break
+                if to not in label:
+                    low[node] = min(low[node], order[to])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[node])
+                if low[node] == order[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(open_.pop())
+                    label |= dict.fromkeys(own, min(own))
+    return label
+
+
+def cycles(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node, component (its least node) and size, for strongly connected components of two nodes or more.
 
-    Nodes that reach each other, from the closure; meant for graphs of groups, such as lock orders.
+    Nodes are numbers or texts. In each round, edges between open parts go; nodes that no edge enters or none leaves are trimmed, edge by edge,
+    a few times; then every part has a pivot, and all parts are searched at once forward and backward from theirs. What both searches
+    reach is the pivot's component; the three rests are open parts of the next round. So no table has more rows than nodes or edges.
+    A search takes as many joins as its longest shortest way; parts shrink by their pivots, so the rounds are about
+    the logarithm of the number of components in a row. When no more than `few` edges are left, whatever the input was, one task does the rest.
     """
-    far = closure(edges).where("src <> dst").select("src", "dst")
-    both = far.join(far.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    label = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+    kind = edges.schema["src"].dataType.simpleString()
+    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "open-edges")
+    found = []
+
+    def finish(batches):
+        src, dst = [], []
+        for batch in batches:
+            src += batch.column(0).to_pylist()
+            dst += batch.column(1).to_pylist()
+        if src:
+            label = strong(src, dst)
+            yield pa.RecordBatch.from_arrays([pa.array(list(label), batch.column(0).type), pa.array(list(label.values()), batch.column(0).type)], ["node", "component"])
+
+    while True:
+        n = left.count()
+        if n <= few:
+            if n:
+                found.append(left.select("src", "dst").coalesce(1).mapInArrow(finish, f"node {kind}, component {kind}"))
+            break
+        for _ in range(TRIMS):
+            ends = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            left = written(left.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select(*left.columns), "open-edges")
+            before, n = n, left.count()
+            if n > 0.9 * before:
+                break
+        if not n:
+            break
+        part = F.col("part") if "part" in left.columns else F.lit(0).cast("long")
+        nodes = written(left.select(F.col("src").alias("node"), part.alias("part")).distinct(), "open-nodes")
+        # The pivot is the least by a hash, so that it is as good as drawn.
+        pivots = nodes.groupBy("part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select(F.col("p.node").alias("node"))
+        both = left.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(True).alias("ahead"))
+        both = both.unionByName(left.select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(False).alias("ahead")))
+        new = known = written(pivots.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead")), "reached")
+        while not new.isEmpty():
+            moved = new.join(both, ["node", "ahead"]).select(F.col("to").alias("node"), "ahead").distinct()
+            new = written(moved.join(known, ["node", "ahead"], "left_anti"), "reached-new")
+            known = known.unionByName(new)
+        sides = known.groupBy("node").agg(F.bool_or("ahead").alias("f"), F.bool_or(~F.col("ahead")).alias("b"))
+        sides = nodes.join(sides, "node", "left").na.fill(False, ["f", "b"])
+        sides = written(sides, "open-sides")
+        core = sides.where("f and b")
+        least = core.groupBy("part").agg(F.min("node").alias("component"))
+        found.append(written(core.join(least, "part").select("node", "component"), "components"))
+        rest = sides.where("not (f and b)").select("node", F.xxhash64("part", "f", "b").alias("part"))
+        rest = written(rest, "open-parts")
+        left = left.select("src", "dst").join(rest.select(F.col("node").alias("src"), "part"), "src")
+        left = left.join(rest.select(F.col("node").alias("dst"), "part"), ["dst", "part"]).select("src", "dst", "part")
+        left = written(left, "open-edges")
+    if not found:
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}, size long")
+    label = found[0]
+    for more in found[1:]:
+        label = label.unionByName(more)
+    label = written(label, "component-labels")
+    sizes = label.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     return label.join(sizes, "component").select("node", "component", "size")

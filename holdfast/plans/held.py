@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import OPAQUE, PRIVATE, flag
-from ..operators.relational import must_intersection
 from ..sources.facts import ancestors
 from ..storage import written
 from .methods import EVENTS, LOCK_CALLS, effect_rows, event_rows
@@ -51,29 +50,71 @@ def walked(methods: DataFrame, known: DataFrame, entry: DataFrame | None = None)
     return mapped(rows, event_rows, EVENTS)
 
 
-def entry_locks(methods: DataFrame, known: DataFrame, closed_world: bool = False) -> DataFrame:
+def with_entries(methods: DataFrame, known: DataFrame, events: DataFrame, entry: DataFrame) -> DataFrame:
+    """Events with locks on entry: of `events`, which know of none, only those of methods that have some are made again."""
+    held = methods.join(entry, "key", "left_semi")
+    return events.join(entry, "key", "left_anti").unionByName(walked(held, known, entry))
+
+
+def entry_locks(methods: DataFrame, known: DataFrame, closed_world: bool = False, events: DataFrame | None = None) -> DataFrame:
     """key and entry: locks held at every call of a private method (with `closed_world`, of any method whose
-    name and signature are declared once). Each round starts from the locks of the one before."""
+    name and signature are declared once). Each round starts from the locks of the one before.
+
+    `events` are those of all methods with nothing held on entry, the first round. After that a round walks only the methods whose
+    entry has changed. For each key its call sites are counted, and for each lock the sites that hold it; what a
+    method's sites held before and hold now adjusts these counts, and only keys with a changed count are looked at.
+    """
     private = methods.where(flag(F.col("access"), PRIVATE)).select("key").distinct()
     sig = F.concat("name", F.lit(":"), "sig")
     once = methods.groupBy(sig.alias("_sig")).agg(F.count("*").alias("n"), F.max("key").alias("_key")).where("n = 1")
-    now = methods.sparkSession.createDataFrame([], "key string, entry array<string>")
-    for _ in range(ROUNDS):
-        calls = walked(methods, known, now).where("kind = 'call'").select("method_id", "ord", F.col("name").alias("key"), "sig", "held")
-        target = calls.join(private.withColumn("_own", F.lit(True)), "key", "left")
-        if closed_world:
-            target = target.join(once.select("_sig", "_key"), F.col("sig") == F.col("_sig"), "left")
+    asked = written(private.withColumn("_own", F.lit(True)), "entry-private")
+    once = written(once.select("_sig", "_key"), "entry-once") if closed_world else None
+
+    def sites_of(events: DataFrame) -> DataFrame:
+        calls = events.where("kind = 'call'").select("method_id", "ord", F.col("name").alias("key"), "sig", "held")
+        target = calls.join(asked, "key", "left")
+        if once is not None:
+            target = target.join(once, F.col("sig") == F.col("_sig"), "left")
             target = target.withColumn("key", F.when(F.col("_own"), F.col("key")).otherwise(F.col("_key")))
         else:
             target = target.where("_own")
-        sites = written(target.where("key is not null").select("key", F.struct("method_id", "ord").alias("site"), "held"), "entry-sites")
-        held = sites.select("key", "site", F.explode("held").alias("lock")).where(~F.startswith("lock", F.lit(OPAQUE)))
-        locks = must_intersection(sites, held, ["key"], "site", "lock")
-        after = written(locks.groupBy("key").agg(F.array_sort(F.collect_set("lock")).alias("entry")), "entry")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        nameable = F.array_distinct(F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE))))
+        return target.where("key is not null").select("key", "method_id", "ord", nameable.alias("held"))
+
+    def counted(sites: DataFrame, sign: int) -> DataFrame:
+        return sites.select("key", F.explode("held").alias("lock"), F.lit(sign).cast("long").alias("n"))
+
+    def held_at_all(counts: DataFrame) -> DataFrame:
+        full = counts.join(totals, "key").where("n = total")
+        return full.groupBy("key").agg(F.array_sort(F.collect_list("lock")).alias("entry"))
+
+    events = walked(methods, known) if events is None else events
+    sites = written(sites_of(events), "entry-sites")
+    totals = written(sites.groupBy("key").agg(F.count("*").alias("total")), "entry-totals")
+    counts = written(counted(sites, 1).groupBy("key", "lock").agg(F.sum("n").alias("n")), "entry-counts")
+    entry = written(held_at_all(counts), "entry")
+    changed = entry.select("key")
+    for _ in range(ROUNDS - 1):
+        if changed.isEmpty():
             break
-        now = after
-    return now
+        again = methods.join(changed, "key", "left_semi")
+        rest = entry.select(F.col("key").alias("_key"), "entry")
+        ids = written(again.select("method_id"), "entry-again")
+        new = written(sites_of(walked(again, known, rest.withColumnRenamed("_key", "key"))), "entry-sites-new")
+        old = sites.join(ids, "method_id", "left_semi")
+        delta = counted(new, 1).unionByName(counted(old, -1)).groupBy("key", "lock").agg(F.sum("n").alias("n")).where("n <> 0")
+        delta = written(delta, "entry-delta")
+        if delta.isEmpty():
+            break
+        sites = written(sites.join(ids, "method_id", "left_anti").unionByName(new), "entry-sites")
+        counts = written(counts.unionByName(delta).groupBy("key", "lock").agg(F.sum("n").alias("n")).where("n > 0"), "entry-counts")
+        touched = delta.select("key").distinct()
+        fresh = touched.join(held_at_all(counts.join(touched, "key", "left_semi")), "key", "left")
+        fresh = fresh.join(entry.withColumnRenamed("entry", "before"), "key", "left")
+        fresh = written(fresh.where(~F.col("entry").eqNullSafe(F.col("before"))).select("key", "entry"), "entry-changed")
+        entry = written(entry.join(fresh, "key", "left_anti").unionByName(fresh.where("entry is not null")), "entry")
+        changed = fresh.select("key")
+    return entry
 
 
 def transaction(cls: Column, name: Column) -> Column:
@@ -96,7 +137,8 @@ def calls_under_lock(classes: DataFrame, methods: DataFrame, closed_world: bool
     """method, file, line, held, callee: remote calls made with a nameable lock held."""
     methods = at_hand(methods)
     known = effects(methods)
-    calls = walked(methods, known, entry_locks(methods, known, closed_world)).where("kind = 'call'")
+    events = written(walked(methods, known), "events")
+    calls = with_entries(methods, known, events, entry_locks(methods, known, closed_world, events)).where("kind = 'call'")
     name = F.substring_index("sig", ":", 1)
     calls = calls.withColumn("held", F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE)))).where(F.size("held") > 0)
     calls = calls.join(transacting(methods).select(F.col("key").alias("name"), F.lit(True).alias("_does")), "name", "left")

@@ -24,7 +24,7 @@ class Index:
     spans: DataFrame  # method_id, ord, lock, enter, exit, held
     calls: DataFrame  # call_id, caller, line, held, outside
     targets: DataFrame  # call_id, target, how
-    may_held: DataFrame  # method_id, lock, dist
+    may_held: DataFrame  # method_id, lock, dist, pred: the method a shortest way comes from
     orders: DataFrame  # from, to, count, method_id, line, dist
 
     def write(self, path: str) -> None:
@@ -74,22 +74,11 @@ class Index:
     def witness(self, depth: int) -> DataFrame:
         """method_id, lock, dist and path: methods from the one that holds the lock down to this one.
 
-        At each step back the call of the least number is taken, one level at a time.
+        At each step back the caller of the least call is taken; which that is was settled when the distance was found, so no
+        calls are read here.
         """
-        edges = written(self.call_edges(), "call-edges")
-        one = edges.select("call_id", "src", "dst", F.explode("held").alias("lock"))
-        far = self.may_held.select(F.col("method_id").alias("src"), "lock", (F.col("dist") + 1).alias("dist"))
-        step = edges.join(far, "src").select("call_id", "src", "dst", "lock", "dist")
-        step = one.withColumn("dist", F.lit(1)).unionByName(step)
-        step = step.join(self.may_held.withColumnRenamed("method_id", "dst"), ["dst", "lock", "dist"])
-        pred = written(step.groupBy("dst", "lock", "dist").agg(F.min_by("src", "call_id").alias("src")), "pred")
-        level = pred.where("dist = 1").select("dst", "lock", "dist", F.array("src", "dst").alias("path"))
-        out = level
-        for d in range(2, depth + 1):
-            back = level.select(F.col("dst").alias("src"), "lock", F.col("path").alias("_path"))
-            level = pred.where(F.col("dist") == d).join(back, ["src", "lock"]).select("dst", "lock", "dist", F.concat("_path", F.array("dst")).alias("path"))
-            out = out.unionByName(level)
-        return out.withColumnRenamed("dst", "method_id")
+        steps = self.may_held.select(F.col("method_id").alias("node"), F.col("lock").alias("label"), "dist", "pred")
+        return graphs.paths(steps, depth).select(F.col("node").alias("method_id"), F.col("label").alias("lock"), "dist", "path")
 
     def cycles(self) -> DataFrame:
         """Groups of locks that are taken in a cycle."""
@@ -215,10 +204,14 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
     return relational.argmin(rows, ["from", "to"], ["dist", "method_id", "ord", "at"], ["method_id", "line", "dist"])
 
 
-def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3) -> Index:
+def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, events: DataFrame | None = None) -> Index:
+    """`events` are those of all methods without locks on entry, where they are known already; `methods` are written then."""
     # Read many times from here on, whatever they are derived from.
-    classes, methods = written(classes, "classes"), at_hand(methods)
-    events = written(named_events(methods, written(walked(methods, effects(methods)), "events")), "named-events")
+    classes = written(classes, "classes")
+    if events is None:
+        methods = at_hand(methods)
+        events = written(walked(methods, effects(methods)), "events")
+    events = written(named_events(methods, events), "named-events")
     spans = written(spans_of(events), "spans")
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")
     calls = relational.numbered(calls, ["method_id", "ord"], "call_id").withColumnRenamed("method_id", "caller")
@@ -232,9 +225,10 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
     known = classes.select("class", F.lit(False).alias("_outside")).distinct()
     calls = written(calls.join(known, "class", "left").select("call_id", "caller", "line", "held", F.coalesce("_outside", F.lit(True)).alias("outside")), "call-sites")
     edges = targets.join(calls.select("call_id", "caller", "held"), "call_id")
-    start = edges.select(F.col("target").alias("node"), F.explode("held").alias("label"))
-    far = graphs.reach(edges.select(F.col("caller").alias("src"), F.col("target").alias("dst")).distinct(), start, max(1, max_depth))
-    may_held = written(far.select(F.col("node").alias("method_id"), F.col("label").alias("lock"), "dist"), "may-held")
+    start = edges.select(F.col("target").alias("node"), F.explode("held").alias("label"), F.col("caller").alias("pred"), F.col("call_id").alias("via"))
+    ways = edges.groupBy(F.col("caller").alias("src"), F.col("target").alias("dst")).agg(F.min("call_id").alias("via"))
+    far = graphs.traced(written(ways, "ways"), start, max(1, max_depth))
+    may_held = written(far.select(F.col("node").alias("method_id"), F.col("label").alias("lock"), "dist", "pred"), "may-held")
     orders = written(lock_orders(spans, may_held, order_depth), "orders")
     lines = F.transform("positions", lambda p: p["line"])
     records = methods.join(binder.withColumn("binder", F.lit(True)), "method_id", "left").select(

@@ -9,8 +9,9 @@ from ..functions.names import OPAQUE, STATIC
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
 from ..storage import written
-from .held import INTERFACE, effects, entry_locks, walked
+from .held import INTERFACE, effects, entry_locks, walked, with_entries
 from .index import Index, build
+from .naming import at_hand
 
 # Entry points of threads, and the class that makes them ones.
 THREADS = (("run:()V", "java.lang.Runnable"), ("run:()V", "java.lang.Thread"), ("handleMessage:(Landroid/os/Message;)V", "android.os.Handler"))
@@ -31,10 +32,14 @@ def concurrent_methods(classes: DataFrame, methods: DataFrame, index: Index) ->
     return graphs.reachable(edges, roots.select(F.col("method_id").alias("node"))).withColumnRenamed("node", "method_id")
 
 
-def field_accesses(methods: DataFrame, index: Index) -> DataFrame:
-    """field, method_id, line, write, held, unlocked; an accessor's accesses are those of its callers."""
-    known = effects(methods)
-    events = walked(methods.where(~F.startswith("name", F.lit("<"))), known, entry_locks(methods, known)).where("kind = 'field'")
+def field_accesses(methods: DataFrame, index: Index, known: DataFrame, events: DataFrame) -> DataFrame:
+    """field, method_id, line, write, held, unlocked; an accessor's accesses are those of its callers.
+
+    `known` are the methods' effects and `events` what they do with nothing held on entry.
+    """
+    entry = entry_locks(methods, known, events=events)
+    events = with_entries(methods, known, events, entry).where("kind = 'field'")
+    events = events.join(methods.where(F.startswith("name", F.lit("<"))).select("method_id"), "method_id", "left_anti")
     held = F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE)))
     rows = written(events.select("method_id", F.col("name").alias("field"), "line", "write", held.alias("held")), "field-events")
     touches = lambda *ops: F.exists("insns", lambda i: i["op"].isin(*ops))
@@ -54,8 +59,11 @@ def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded:
     With `shown`, so many accesses at most are listed where the guard is held; which they are is settled before
     anything is collected, so a field that is used everywhere stays small. All are listed where it isn't held.
     """
-    index = index or build(classes, methods, **options)
-    at = field_accesses(methods, index).join(flags, "field", "left_anti")
+    methods = at_hand(methods)
+    known = effects(methods)
+    events = written(walked(methods, known), "events")
+    index = index or build(classes, methods, events=events, **options)
+    at = field_accesses(methods, index, known, events).join(flags, "field", "left_anti")
     threads = concurrent_methods(classes, methods, index).withColumn("concurrent", F.lit(True))
     at = at.join(threads, "method_id", "left").join(index.methods.select("method_id", "key", "file"), "method_id")
     access = F.struct(F.col("key").alias("method"), F.when(F.col("file") != "", F.col("file")).alias("file"), "line", "write", "held", F.coalesce("concurrent", F.lit(False)).alias("concurrent"))

@@ -69,17 +69,22 @@ def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None
             parts = versions(files).select(F.concat_ws(" ", "path", "version").alias("v")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256)).first()[0]
             version = hashlib.sha256(f"{scope} {parts}".encode()).hexdigest()[:16]
             path = f"{cache or shared_dir(spark) + '/site-index'}/{safe_name(build)}-{version}"
-            try:
-                own = spark.read.schema(SITE_INDEX).parquet(path)
-            except PySparkException:
+            if not finished(spark, path):
+                # Also where a job failed half way: what it left has no mark.
                 site_index(lock_points(class_facts(files)[1]), build).write.mode("overwrite").parquet(path)
-                own = spark.read.schema(SITE_INDEX).parquet(path)
+            own = spark.read.schema(SITE_INDEX).parquet(path)
             out = out.unionByName(own.withColumn("build_id", F.lit(build)))
         except (PySparkException, Py4JError, ValueError) as e:
             logging.getLogger(__name__).warning("no index of build %s: %s", build, e)
     return out
 
 
+def finished(spark, path: str) -> bool:
+    """Whether a write to `path` has come to its end: only then Spark leaves its mark there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def safe_name(build: str) -> str:
     """A build's name as a file name."""
     import re

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import graphs, relational
+from .storage import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -214,13 +215,12 @@ REACH = f"""WITH RECURSIVE {GRAPH}, r AS (
 
 def carried(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = customer_graph(spark, sf_dir)
-    start = edges.select(F.col("dst").alias("node"), (F.col("src") % 7).alias("label"))
-    return graphs.reach(edges, start, 8), edges
+    return edges, edges.select(F.col("dst").alias("node"), (F.col("src") % 7).alias("label"))
 
 
 @query(REACH + " SELECT node, label, dist FROM d")
 def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carried(spark, sf_dir)[0]
+    return graphs.reach(*carried(spark, sf_dir), 8)
 
 
 @query(REACH + """, p AS (SELECT d.node, d.label, d.dist, min(b.node) AS pred FROM d LEFT JOIN g ON g.dst = d.node
@@ -229,8 +229,10 @@ def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT p.node, p.label, p.dist, w.path || '>' || p.node FROM w JOIN p ON p.pred = w.node AND p.label = w.label AND p.dist = w.dist + 1)
     SELECT node, label, dist, path FROM w""")
 def witness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distances, edges = carried(spark, sf_dir)
-    out = graphs.witnesses(distances, edges, 8)
+    edges, start = carried(spark, sf_dir)
+    nothing = F.lit(None).cast("long")
+    steps = graphs.traced(edges.withColumn("via", F.col("src")), start.withColumn("pred", nothing).withColumn("via", nothing), 8)
+    out = graphs.paths(written(steps, "traced"), 8)
     return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
