@@ -130,35 +130,48 @@ def remote_under_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{DEPOTS}, g AS (SELECT *, 3 + k % 3 AS guarded FROM d WHERE k % 5 <> 0)
-    SELECT c || '.mCount' AS field, c || '.mA' AS guard, guarded, guarded + 1 AS total, c || '.run:()V' AS open_method, 59 AS open_line, true AS concurrent,
-        c || '.guarded0:()V' AS first_guarded
+    SELECT c || '.mCount' AS field, c || '.mA' AS guard, guarded, guarded + 1 AS total, 1 AS n_unguarded, c || '.run:()V D' || k || '.java 59 true [] true' AS unguarded,
+        (SELECT string_agg(c || '.guarded' || j || ':()V D' || k || '.java ' || (50 + j) || ' ' || (j % 2 = 1) || ' [' || c || '.mA] false', '; ' ORDER BY j) FROM range(guarded) t(j)) AS guarded_at
     FROM g WHERE guarded >= 4""")
 def race_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that most accesses guard and a thread writes without the guard; volatile ones don't count."""
     from .plans.race import races
 
-    at = F.element_at("unguarded", 1)
-    return races(*depots(spark, sf_dir)).select(
-        "field", "guard", "guarded", "total", at["method"].alias("open_method"), at["line"].alias("open_line"), at["concurrent"].alias("concurrent"),
-        F.element_at("guarded_at", 1)["method"].alias("first_guarded"),
-    )
+    held = lambda a: F.concat(F.lit("["), F.array_join(a["held"], ", "), F.lit("]"))
+    shown = lambda a: F.concat_ws(" ", a["method"], a["file"], a["line"], a["write"], held(a), a["concurrent"])
+    listed = [F.array_join(F.transform(c, shown), "; ").alias(c) for c in ("unguarded", "guarded_at")]
+    return races(*depots(spark, sf_dir)).select("field", "guard", "guarded", "total", "n_unguarded", *listed)
 
 
-@query(f"""{DEPOTS}, few AS (SELECT n FROM own WHERE depots + 1 <= 16), answers(question, subject, answer, number) AS (
+@query(f"""{DEPOTS}, {POINTS}, few AS (SELECT n FROM own WHERE depots + 1 <= 16), answers(question, subject, answer, number) AS (
         SELECT 'target', c || '.turn', 'w.Base' || n || '.spin' || n || ' class', NULL FROM d
         UNION ALL SELECT 'target', a.c || '.turn', b.c || '.spin' || a.n || ' override', NULL FROM d a JOIN d b USING (n) JOIN few USING (n)
         UNION ALL SELECT 'target', c || '.known', c || '.spin' || n || ' receiver', NULL FROM d WHERE rich
         UNION ALL SELECT 'target', c || '.each', 'w.Act.go class', NULL FROM d
         UNION ALL SELECT 'target', c || '.each', 'w.L' || k || '.go formal', NULL FROM d WHERE k % 5 <> 3
+        UNION ALL SELECT 'target', c || '.make', 'w.Helper' || n || '.<init> class', NULL FROM d
+        UNION ALL SELECT 'target', c || '.viaGetter', c || '.getLock class', NULL FROM d
+        UNION ALL SELECT 'target', c || '.callTyped', c || '.typed class', NULL FROM d WHERE k % 2 = 0
+        UNION ALL SELECT 'target', c || m, 'w.IPort' || n || '.ping class', NULL FROM d, (VALUES ('.near'), ('.helper'), ('.span'), ('.span')) t(m)
+        UNION ALL SELECT 'target', c || m, c || '.helper class', NULL FROM d, (VALUES ('.outer'), ('.again')) t(m)
+        UNION ALL SELECT 'target', c || '.span', c || m || ' class', NULL FROM d, (VALUES ('.take'), ('.drop')) t(m)
+        UNION ALL SELECT 'target', c || '.runs', c || '.each class', NULL FROM d WHERE k % 5 <> 3
         UNION ALL SELECT 'remote', c || '.near', c || '.mA', 0 FROM d
         UNION ALL SELECT 'remote', c || '.helper', c || '.mA', 1 FROM d UNION ALL SELECT 'remote', c || '.helper', c || '.mB', 1 FROM d WHERE k % 2 = 0
         UNION ALL SELECT 'remote', c || '.span', c || '.mL', 0 FROM d WHERE k % 3 <> 0
-        UNION ALL SELECT 'span', c || '.again', c || '.mB under ' || c || '.mA from 21', 22 FROM d WHERE k % 2 = 0
-        UNION ALL SELECT 'span', c || '.take', c || '.mL under  from 40', 4294967295 FROM d
+        UNION ALL SELECT 'span', split_part(method, ':', 1), lock || ' under ' || CASE
+                WHEN method LIKE '%.swapped:%' THEN CASE WHEN lock LIKE '%.mA' THEN replace(lock, '.mA', '.mB') ELSE '' END
+                WHEN lock LIKE '%.mB' THEN replace(lock, '.mB', '.mA') ELSE '' END || ' from ' || line,
+            CASE WHEN method LIKE '%.take:%' THEN 4294967295 ELSE line + 1 END FROM sites WHERE has
+        UNION ALL SELECT 'span', c || '.span', c || '.mL under  from 30', 32 FROM d WHERE k % 3 <> 0
         UNION ALL SELECT 'order', c || '.mA', c || '.mB', CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END FROM d WHERE k % 2 = 0
         UNION ALL SELECT 'order', c || '.mB', c || '.mA', 1 FROM d WHERE k % 3 = 1
         UNION ALL SELECT 'inversion', c || '.mA', c || '.mB', NULL FROM d WHERE k % 2 = 0 AND k % 3 = 1
         UNION ALL SELECT 'cycle', c || '.mA', c || '.mA, ' || c || '.mB', NULL FROM d WHERE k % 2 = 0 AND k % 3 = 1
+        UNION ALL SELECT 'witness', c || '.mA', c || '.near > w.IPort' || n || '.ping', 1 FROM d
+        UNION ALL SELECT 'witness', c || '.mA', c || '.outer > ' || c || '.helper', 1 FROM d
+        UNION ALL SELECT 'witness', c || '.mB', c || CASE WHEN k % 4 = 0 THEN '.outer' ELSE '.again' END || ' > ' || c || '.helper', 1 FROM d WHERE k % 2 = 0
+        UNION ALL SELECT 'witness', c || '.mL', c || '.span > ' || t, 1 FROM (SELECT c, k, unnest(['w.IPort' || n || '.ping', c || '.drop']) AS t FROM d) WHERE k % 3 <> 0
         UNION ALL SELECT 'witness', c || '.mB', c || '.outer > ' || c || '.helper > w.IPort' || n || '.ping', 2 FROM d WHERE k % 4 = 0
         UNION ALL SELECT 'witness', c || '.mB', c || '.again > ' || c || '.helper > w.IPort' || n || '.ping', 2 FROM d WHERE k % 4 = 2
         UNION ALL SELECT 'links', 'calls', NULL, count(*) * 12 + count_if(k % 2 = 0) + count_if(rich) + count_if(n % 2 = 0) + count_if(k % 3 = 1) + count_if(k % 5 <> 3) FROM d
@@ -167,8 +180,8 @@ def race_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT 'links', 'external', NULL, count_if(n % 2 = 0) FROM d UNION ALL SELECT 'links', 'unlinked', NULL, count_if(k % 3 = 1) FROM d)
     SELECT question, subject, answer, CAST(number AS BIGINT) AS number FROM answers""")
 def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one index answers: targets of calls, remote calls under locks, spans, lock orders, inversions, cycles,
-    witnesses of locks held two calls above, and link statistics."""
+    """What one index answers, in full: targets of all calls, remote calls under locks, spans, lock orders, inversions with
+    their gates, cycles, a witness for each lock that may be held in each method, and link statistics."""
     from .plans.index import build
 
     classes, methods, _ = depots(spark, sf_dir)
@@ -177,10 +190,8 @@ def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda id_, to: name.select(F.col("method_id").alias(id_), F.col("name").alias(to))
     row = lambda rows, question, subject, answer, number=None: rows.select(F.lit(question).alias("question"), subject.alias("subject"), answer.alias("answer"), (F.lit(None) if number is None else number).cast("long").alias("number"))
     edges = index.targets.join(index.calls.select("call_id", "caller"), "call_id").join(named("caller", "from"), "caller").join(named("target", "to"), "target")
-    edges = edges.where(F.substring_index("from", ".", -1).isin("turn", "known", "each"))
     spans = index.spans.join(named("method_id", "name"), "method_id")
-    spans = spans.where((F.endswith("name", F.lit(".again")) & F.endswith("lock", F.lit(".mB"))) | F.endswith("name", F.lit(".take")))
-    paths = index.witness(8).where("dist = 2 and endswith(lock, '.mB')").select("method_id", "lock", "dist", F.posexplode("path").alias("i", "m"))
+    paths = index.witness(8).select("method_id", "lock", "dist", F.posexplode("path").alias("i", "m"))
     paths = paths.join(named("m", "name"), "m").groupBy("method_id", "lock", "dist").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("path"))
     links = index.link_statistics()
     links = links.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in links.columns])).alias("l"))
@@ -190,7 +201,7 @@ def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(index.remote_calls().join(named("caller", "name"), "caller"), "remote", col("name"), col("lock"), col("dist")),
         row(spans, "span", col("name"), F.concat(col("lock"), F.lit(" under "), F.array_join("held", ", "), F.lit(" from "), col("enter")), col("exit")),
         row(index.orders, "order", col("from"), col("to"), col("count")),
-        row(index.inversions().where("gate is null"), "inversion", col("from"), col("to")),
+        row(index.inversions(), "inversion", col("from"), F.concat_ws(" gated by ", "to", "gate")),
         row(index.cycles(), "cycle", F.element_at("locks", 1), F.array_join("locks", ", ")),
         row(paths, "witness", col("lock"), F.array_join(F.transform("path", lambda s: s["name"]), " > "), col("dist")),
         row(links, "links", col("l.what"), nothing, col("l.n")),
