@@ -18,8 +18,10 @@ BLOCK = 1 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Words that a task remembers, and bytes of one that it keeps as it is.
-REMEMBERED, SHORT = 1 << 18, 256
+#: The lowest i bytes of a number, for i up to 8.
+BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Words of more bytes than this are digested one by one.
+SHORT = 15
 #: A prime, modulo which whole sequences are hashed.
 PRIME = (1 << 61) - 1
 
@@ -98,36 +100,6 @@ def long_span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, b
     return mixed(times(folded(total[ends] + U64(PRIME) - total[starts]), down[starts]) + mixed((ends - starts).astype(U64)))
 
 
-class Vocabulary(dict):
-    """Numbers of words as they come, and their 128-bit BLAKE2 digests, in two numbers each."""
-
-    def __init__(self):
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        digest = hashlib.blake2b(word, digest_size=16).digest()
-        if len(word) > SHORT:
-            # Kept under its digest, behind a space: that is in no word.
-            word = b" " + digest
-            if word in self:
-                return self[word]
-        self[word] = number = len(self)
-        self.digests += digest
-        return number
-
-
-_vocabulary = Vocabulary()
-
-
-def digests_of(words: list[bytes]) -> np.ndarray:
-    """A row of two numbers for each word."""
-    global _vocabulary
-    if len(_vocabulary) > REMEMBERED:
-        _vocabulary = Vocabulary()
-    numbers = np.fromiter(map(_vocabulary.__getitem__, words), np.int64, len(words))
-    return np.frombuffer(bytes(_vocabulary.digests), "<u8").reshape(-1, 2)[numbers]
-
-
 class Texts:
     """A block of texts: `data` bytes, `at` their n + 1 offsets."""
 
@@ -150,8 +122,26 @@ class Texts:
         self.word_doc = np.repeat(np.arange(self.n), np.diff(self.word_at))
 
     def word_digests(self) -> np.ndarray:
-        """128 bits of each word, as a row of two numbers."""
-        return digests_of([w for i in range(self.n) for w in self.text(i).split()])
+        """128 bits of each word, as a row of two numbers.
+
+        Words of up to SHORT bytes are their bytes and their length under a permutation of 128-bit numbers, so different
+        ones never agree; longer ones have a BLAKE2 digest.
+        """
+        data = np.append(self.data, np.zeros(16, np.uint8))
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        n = self.ends - self.starts
+        low = eight[self.starts] & BYTES[np.minimum(n, 8)]
+        high = (eight[self.starts + 8] & BYTES[np.clip(n - 8, 0, 7)]) | (n.astype(U64) << U64(56))
+        for key in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407):
+            high = high ^ mixed(low + U64(key))
+            low = low ^ mixed(high + U64(key))
+        out = np.stack([low, high], 1)
+        long = np.flatnonzero(n > SHORT)
+        if len(long):
+            raw, spans = memoryview(self.data), zip(self.starts[long].tolist(), self.ends[long].tolist(), strict=True)
+            digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans])
+            out[long] = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        return out
 
     def word_hashes(self) -> np.ndarray:
         """64 bits of each word."""
