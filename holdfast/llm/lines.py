@@ -64,10 +64,17 @@ def lines_of(texts: Texts, rarity: np.ndarray) -> Lines:
     digests = texts.word_digests()
     h = digests[:, 0]
     token = (rarity[(h >> U64(44)).astype(np.int64)].astype(U64) << U64(HASH_BITS)) | (h & U64((1 << HASH_BITS) - 1))
-    names, first_at, number = np.unique(token, return_index=True, return_inverse=True)
-    both = np.unique(dense * max(1, len(names)) + number)
-    of, number = both // max(1, len(names)), both % max(1, len(names))
-    return Lines(doc, line, np.searchsorted(of, np.arange(len(edge) + 1)), names[number], digests[first_at, 1][number])
+    # By line and word: both in one number, as far as they fit. Unlike words that agree so far are sorted in full.
+    bits = U64(max(1, len(edge).bit_length()))
+    both = (dense.astype(U64) << (U64(64) - bits)) | (token >> bits)
+    order = np.argsort(both)
+    again = np.zeros(len(order), bool)
+    again[1:] = both[order[1:]] == both[order[:-1]]
+    if (token[order[1:]] != token[order[:-1]])[again[1:]].any():
+        order = np.lexsort((token, dense))
+        again[1:] = (token[order[1:]] == token[order[:-1]]) & (dense[order[1:]] == dense[order[:-1]])
+    order = order[~again]
+    return Lines(doc, line, np.searchsorted(dense[order], np.arange(len(edge) + 1)), token[order], digests[order, 1])
 
 
 def word_rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -480,7 +487,7 @@ def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     Lines end at \\n; earlier is a smaller id, or an earlier line of the document; lines are judged on
     the input, so it doesn't matter whether the earlier one stays. Words are ordered by rarity (counted
     over all texts), a line's prefix are so many of its rarest words that similar lines share one. Lines
-    meet under these words, equal sets (of equal size, and equal in two sums of 64 bits of BLAKE2 digests) as one; length, position of the word and a 64-bit sketch of the set
+    meet under these words, equal sets (of equal size, and equal in two sums of 64 bits of their words' digests) as one; length, position of the word and a 64-bit sketch of the set
     drop most pairs. Pairs are never rows: a task joins the lines that meet to trees, the trees' components bring
     the lines' texts together, and there each line is verified against earlier ones until one is similar. A
     word with more distinct sets than `most` allows is dealt to pairs of blocks; a component of more than
