@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.names import ABSTRACT, OPAQUE, flag
 from ..operators import graphs, relational
@@ -16,6 +18,8 @@ from .naming import at_hand, canonical_sites, points_of
 
 #: The end of a span without a release.
 TO_END = 2**32 - 1
+#: Of a written index: each table's folder, the column whose buckets its rows lie in, their number, those with rows, its schema.
+LAYOUT = "name string, folder string, by string, buckets int, present array<int>, schema string"
 
 
 @dataclass
@@ -27,33 +31,100 @@ class Index:
     may_held: DataFrame  # method_id, lock, dist, pred: the method a shortest way comes from
     orders: DataFrame  # from, to, count, method_id, line, dist
 
-    def write(self, path: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    def write(self, path: str, methods_each: int = 4_096) -> None:
+        """The tables laid out for questions, below a folder of their own; the table `layout`, written last, says which.
+
+        Rows of a method lie in the folder of its file's bucket (home), and copies of those that name a lock in that of the
+        lock's (lock_home), so a question reads the folders of what it asks for. There is a bucket for each `methods_each`
+        methods, 4,096 at most; beyond, buckets grow. A write that is stopped leaves the earlier index as it was; folders of
+        earlier indexes stay until someone removes them.
+        """
+        import uuid
+
+        spark, folder = self.methods.sparkSession, f"{path}/tables-{uuid.uuid4().hex}"
+        n = max(1, min(4_096, -(-self.methods.count() // methods_each)))
+        home = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        methods = self.methods.withColumn("home", home("file"))
+        homes = methods.select("method_id", "home")
+        spans = self.spans.join(homes, "method_id")
+        back = homes.select(F.col("method_id").alias("pred"), F.col("home").alias("pred_home"))
+        may_held = self.may_held.join(homes, "method_id").join(back, "pred", "left").select("method_id", "lock", "dist", "pred", "home", "pred_home")
+        orders = self.orders.join(homes, "method_id")
+        locks = spans.select("lock").union(may_held.select("lock")).union(orders.select("from")).union(orders.select("to")).distinct()
+        laid = {
+            "methods": (methods, "home", ["file", "line_lo", "method_id"]), "spans": (spans, "home", ["method_id", "enter"]), "may_held": (may_held, "home", ["method_id", "dist"]),
+            "lock_spans": (spans.withColumn("lock_home", home("lock")), "lock_home", ["lock", "method_id"]), "lock_may_held": (may_held.withColumn("lock_home", home("lock")), "lock_home", ["lock", "dist"]),
+            "lock_from": (orders.withColumn("lock_home", home("from")), "lock_home", ["from", "dist"]), "lock_to": (orders.withColumn("lock_home", home("to")), "lock_home", ["to", "dist"]),
+            "locks": (locks.withColumn("lock_home", home("lock")), None, []), "calls": (self.calls, None, []), "targets": (self.targets, None, []), "orders": (self.orders, None, []),
+        }
+        rows = []
+        for name, (table, by, order) in laid.items():
+            where, present = f"{folder}/{name}", None
+            if by:
+                # A bucket is one file unless it is large: then the rebalancing splits it.
+                table.hint("rebalance", by).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(where)
+                present = sorted(r[0] for r in spark.read.parquet(where).select(by).distinct().collect()) if n > 1 else [0]
+                if n == 1 and table.isEmpty():
+                    present = []
+            else:
+                table.write.parquet(where)
+            rows.append((name, where, by, n, present, table.schema.json()))
+        spark.createDataFrame(rows, LAYOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)])
+    def read(cls, spark: SparkSession, path: str) -> LaidIndex:
+        return LaidIndex(spark, {r.name: r for r in spark.read.schema(LAYOUT).parquet(f"{path}/layout").collect()})
+
+    # --- what a question reads; an index that is laid out reads less ---
+
+    def in_file(self, name: str) -> DataFrame:
+        """The methods of the files of that name."""
+        return self.methods.where(F.col("file") == name)
+
+    def of(self, name: str, rows: DataFrame) -> DataFrame:
+        """The table `name`, with all rows at least of the methods of `rows`."""
+        return getattr(self, name)
+
+    def with_lock(self, name: str, part: str) -> DataFrame:
+        """Rows of spans or may_held, or of orders by their side (from, to), whose lock has `part` in its name."""
+        table, column = (self.orders, name) if name in ("from", "to") else (getattr(self, name), "lock")
+        return table.where(F.contains(F.col(column), F.lit(part)))
+
+    def steps(self, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of may_held with all that lead to those of `near`, and methods with all that stand in them."""
+        return self.may_held, self.methods
 
     # --- questions ---
 
     def at(self, file: str, line: int) -> DataFrame:
         """Methods of a file whose lines hold `line`, and the locks held there within the method."""
-        here = self.methods.where((F.col("file") == file.rsplit("/", 1)[-1]) & F.lit(line).between(F.col("line_lo"), F.col("line_hi")))
-        inside = self.spans.where((F.col("enter") <= line) & (F.col("exit") > line)).groupBy("method_id").agg(F.array_sort(F.collect_set("lock")).alias("held"))
+        here = self.in_file(file.rsplit("/", 1)[-1]).where(F.lit(line).between(F.col("line_lo"), F.col("line_hi")))
+        inside = self.of("spans", here).where((F.col("enter") <= line) & (F.col("exit") > line)).groupBy("method_id").agg(F.array_sort(F.collect_set("lock")).alias("held"))
         return here.join(inside, "method_id", "left")
 
     def find_methods(self, part: str) -> DataFrame:
         return self.methods.where(F.contains("key", F.lit(part)))
 
+    def distance(self, part: str, lock: str) -> DataFrame:
+        """method_id, key, lock and dist for methods and locks with these in their names: how far the nearest holder is."""
+        own = self.find_methods(part)
+        return self.of("may_held", own).where(F.contains("lock", F.lit(lock))).join(own.select("method_id", "key"), "method_id").select("method_id", "key", "lock", "dist")
+
+    def callers_of(self, part: str) -> DataFrame:
+        """call_id, caller, target and line of the calls that are linked to methods with `part` in their names."""
+        found = self.targets.join(self.find_methods(part).select(F.col("method_id").alias("target")), "target", "left_semi")
+        return found.join(self.calls.select("call_id", "caller", "line"), "call_id").select("call_id", "caller", "target", "line")
+
     def on_entry(self, depth: int) -> DataFrame:
         return self.may_held.where(F.col("dist") <= depth).orderBy("method_id", "dist", "lock")
 
     def sites(self, part: str) -> DataFrame:
-        return self.spans.where(F.contains("lock", F.lit(part))).select("lock", "method_id", F.col("enter").alias("line")).distinct().orderBy("lock", "method_id", "line")
+        rows = self.with_lock("spans", part)
+        home = [c for c in rows.columns if c == "home"]
+        return rows.select("lock", "method_id", F.col("enter").alias("line"), *home).distinct().orderBy("lock", "method_id", "line")
 
     def holders(self, part: str) -> DataFrame:
-        return self.may_held.where(F.contains("lock", F.lit(part))).orderBy("lock", "dist", "method_id")
+        return self.with_lock("may_held", part).orderBy("lock", "dist", "method_id")
 
     def call_edges(self) -> DataFrame:
         return self.targets.join(self.calls, "call_id").select("call_id", F.col("caller").alias("src"), F.col("target").alias("dst"), "line", "held")
@@ -107,6 +178,60 @@ class Index:
         return both.groupBy("call_id", "caller", "target", "lock").agg(F.min("dist").alias("dist")).orderBy("dist", "call_id", "lock")
 
 
+class LaidIndex(Index):
+    """An index that was written: a table is listed and read when it is asked for, and of a laid out one only the folders
+    that a question needs. What is collected for that are numbers of buckets, 4,096 at most."""
+
+    def __init__(self, spark: SparkSession, layout: dict) -> None:
+        self.spark, self.layout = spark, layout
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.__dict__.get("layout", ()):
+            raise AttributeError(name)
+        return self.table(name)
+
+    def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table, or its buckets of these numbers."""
+        laid = self.layout[name]
+        schema = StructType.fromJson(json.loads(laid.schema))
+        read = self.spark.read.schema(schema).option("basePath", laid.folder)
+        if laid.by is None:
+            return read.parquet(laid.folder)
+        found = [b for b in laid.present if buckets is None or b in buckets]
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return read.parquet(*[f"{laid.folder}/{laid.by}={b}" for b in found] if buckets is not None else [laid.folder])
+
+    def in_file(self, name: str) -> DataFrame:
+        n = self.layout["methods"].buckets
+        home = self.spark.sql("SELECT CAST(pmod(xxhash64(:name), :n) AS INT)", args={"name": name, "n": n}).first()[0]
+        return self.table("methods", {home}).where(F.col("file") == name)
+
+    def of(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.table(name, {r[0] for r in rows.select("home").distinct().collect()})
+
+    def with_lock(self, name: str, part: str) -> DataFrame:
+        locks = self.locks.where(F.contains("lock", F.lit(part)))
+        column = name if name in ("from", "to") else "lock"
+        return self.table(f"lock_{name}", {r[0] for r in locks.select("lock_home").distinct().collect()}).where(F.contains(F.col(column), F.lit(part))).drop("lock_home")
+
+    def steps(self, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The chain of lookups from `near` back to the holders, a round a distance; no calls and no other buckets are read."""
+        known = level = written(near, "steps")
+        while True:
+            back = level.where("dist > 1 and pred is not null").select(F.col("pred").alias("method_id"), "lock", F.col("pred_home").alias("home")).distinct()
+            homes = {r[0] for r in back.select("home").distinct().collect()}
+            if not homes:
+                break
+            found = self.table("may_held", homes).join(back.drop("home"), ["method_id", "lock"], "left_semi")
+            level = written(found.select(*known.columns), "steps")
+            known = known.unionByName(level)
+        # A row of `near` may lead to another.
+        known = known.dropDuplicates(["method_id", "lock"])
+        homes = known.select("home").union(known.where("pred_home is not null").select("pred_home"))
+        return known, self.of("methods", homes)
+
+
 def named_events(methods: DataFrame, events: DataFrame) -> DataFrame:
     """Events with canonical names: per method the first line at which a name is seen decides it for all of it."""
     sites = canonical_sites(points_of(methods)).withColumnRenamed("lock", "canon")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import basename, short_name, site
+from ..operators import graphs
 from ..storage import written
 from .index import Index
 
@@ -25,8 +26,9 @@ def split_site(index: Index, text: str) -> tuple[str, int]:
 
 
 def places(index: Index, rows: DataFrame, id_: str) -> DataFrame:
-    """Adds method and file to rows with a method's number."""
-    return rows.join(index.methods.select(F.col("method_id").alias(id_), F.col("key").alias("method"), "file"), id_)
+    """Adds method and file to rows with a method's number; those of a laid out index know the method's bucket (home)."""
+    known = index.of("methods", rows) if "home" in rows.columns else index.methods
+    return rows.drop("home", "pred_home").join(known.select(F.col("method_id").alias(id_), F.col("key").alias("method"), "file"), id_)
 
 
 def points(index: Index, kind: str, text: str) -> DataFrame:
@@ -36,27 +38,31 @@ def points(index: Index, kind: str, text: str) -> DataFrame:
         found = index.at(file, line).withColumn("line", F.lit(line).cast("long"))
     else:
         own = index.find_methods(text).withColumn("line", F.col("line_lo").cast("long"))
-        spans = index.spans.select("method_id", "lock", "enter", "exit")
+        spans = index.of("spans", own).select("method_id", "lock", "enter", "exit")
         inside = own.join(spans, "method_id").where("enter <= line and line < exit")
         inside = inside.groupBy("method_id").agg(F.array_sort(F.collect_set("lock")).alias("held"))
         found = own.join(inside, "method_id", "left")
     held = F.coalesce("held", F.array().cast("array<string>")).alias("held")
-    return found.select("method_id", "key", "file", "line", held).orderBy("key", "method_id")
+    home = [c for c in found.columns if c == "home"]
+    return found.select("method_id", "key", "file", "line", held, *home).orderBy("key", "method_id")
 
 
 def entry_paths(index: Index, at: DataFrame, depth: int) -> DataFrame:
     """method_id, lock, dist and path (keys, from the holder down) of locks that may be held on entry."""
-    near = index.on_entry(depth).join(at.select("method_id"), "method_id", "left_semi")
-    paths = index.witness(depth).join(near.select("method_id", "lock"), ["method_id", "lock"], "left_semi")
+    near = index.of("may_held", at).where(F.col("dist") <= depth).join(at.select("method_id"), "method_id", "left_semi")
+    leading, methods = index.steps(near)
+    leading = leading.select(F.col("method_id").alias("node"), F.col("lock").alias("label"), "dist", "pred")
+    paths = graphs.paths(leading, depth).select(F.col("node").alias("method_id"), F.col("label").alias("lock"), "dist", "path")
+    paths = paths.join(near.select("method_id", "lock"), ["method_id", "lock"], "left_semi")
     steps = paths.select("method_id", "lock", "dist", F.posexplode("path").alias("i", "step"))
-    steps = steps.join(index.methods.select(F.col("method_id").alias("step"), "key"), "step")
+    steps = steps.join(methods.select(F.col("method_id").alias("step"), "key"), "step")
     path = F.transform(F.array_sort(F.collect_list(F.struct("i", "key"))), lambda s: s["key"]).alias("path")
     return steps.groupBy("method_id", "lock", "dist").agg(path).orderBy("method_id", "dist", "lock")
 
 
 def lock_neighbours(index: Index, text: str, side: str) -> DataFrame:
     """Orders from (or to) locks of that name, the nearest and most frequent first."""
-    return places(index, index.orders.where(F.contains(F.col(side), F.lit(text))), "method_id").orderBy("dist", F.desc("count"), "from", "to")
+    return places(index, index.with_lock(side, text), "method_id").orderBy("dist", F.desc("count"), "from", "to")
 
 
 def rows_of(df: DataFrame, most: int | None = None) -> list[dict]:
@@ -70,10 +76,12 @@ def answer(index: Index, kind: str, text: str | None, depth: int = 4, shown: dic
         at = points(index, kind, text)
         # What is shown is settled first, and paths are sought for that alone.
         at = written(at.limit(most("methods")) if shown else at, "asked")
-        found = rows_of(at.orderBy("key", "method_id"))
-        paths = entry_paths(index, at, depth).collect() if found else []
+        found = rows_of(at.drop("home").orderBy("key", "method_id"))
+        of_method = {m["method_id"]: m.setdefault("may_hold", []) for m in found}
+        for p in entry_paths(index, at, depth).collect() if found else ():
+            of_method[p.method_id].append({"lock": p.lock, "dist": p.dist, "path": p.path})
         for m in found:
-            m["may_hold"] = [{"lock": p.lock, "dist": p.dist, "path": p.path} for p in paths if p.method_id == m["method_id"]][: most("locks")]
+            m["may_hold"] = m["may_hold"][: most("locks")]
         return {"asked": {kind: text}, "methods": found}
     if kind == "lock":
         return {

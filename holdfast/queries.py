@@ -335,3 +335,47 @@ def held_at_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = customer_program(spark, sf_dir)[1]
     calls = walked(methods, effects(methods)).where("kind = 'call'")
     return calls.select("key", F.array_join("held", ", ").alias("held"), F.col("line").cast("long").alias("line"))
+
+
+@query(HELD + """, p AS (SELECT d.node, d.label, d.dist, min(g.src) AS pred FROM d JOIN g ON g.dst = d.node LEFT JOIN d b ON b.node = g.src AND b.label = d.label AND b.dist = d.dist - 1
+        WHERE (d.dist = 1 AND g.src % 37 = d.label) OR b.node IS NOT NULL GROUP BY ALL),
+    w AS (SELECT node, label, dist, pred || '>' || node AS path FROM p WHERE dist = 1
+        UNION ALL SELECT p.node, p.label, p.dist, w.path || '>' || p.node FROM w JOIN p ON p.pred = w.node AND p.label = w.label AND p.dist = w.dist + 1),
+    answers AS (SELECT 'taken' AS question, src AS m, 'f' || src % 37 AS answer, src + 1 AS number FROM g WHERE 'f' || src % 37 LIKE 'f1%'
+        UNION ALL SELECT 'holder', node, 'f' || label, dist FROM d WHERE 'f' || label LIKE 'f1%'
+        UNION ALL SELECT 'distance', node, 'f' || label, dist FROM d WHERE 'm' || node LIKE 'm2%' AND 'f' || label LIKE 'f1%'
+        UNION ALL SELECT 'caller', src, 'm' || dst, src + 1 FROM g WHERE 'm' || dst LIKE 'm2%'
+        UNION ALL SELECT 'at', src, 'f' || src % 37, src + 1 FROM g WHERE src = 26
+        UNION ALL SELECT 'path', node, 'f' || label || ' by ' || path, dist FROM w WHERE node = 26 AND dist <= 4)
+    SELECT question, 'm' || m AS method, answer, CAST(number AS BIGINT) AS number FROM answers""")
+def index_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to an index that was written and read again: where locks are taken and who may hold them, distances, callers,
+    and what is held at a line, with the way from each holder."""
+    from uuid import uuid4
+
+    from .plans.index import Index, build
+    from .plans.report import entry_paths, points
+    from .storage import shared_dir
+
+    folder = f"{shared_dir(spark)}/lock-index-{uuid4().hex}"
+    build(*customer_program(spark, sf_dir)).write(folder, methods_each=100)
+    index = Index.read(spark, folder)
+    here = written(points(index, "at", "t/C.java:27"), "asked")
+    name = index.methods.select("method_id", "key")
+    short = lambda c: F.regexp_replace(c, r"t\.C\.(\w+)(:\(\)V)?", "$1")
+
+    def row(question: str, rows: DataFrame, answer: str, number: str, method: str = "method_id") -> DataFrame:
+        rows = rows.select(F.col(method).alias("method_id"), short(F.col(answer)).alias("answer"), F.col(number).cast("long").alias("number"))
+        return rows.join(name, "method_id").select(F.lit(question).alias("question"), short(F.col("key")).alias("method"), "answer", "number")
+
+    called = index.callers_of("C.m2").join(name.select(F.col("method_id").alias("target"), F.col("key").alias("callee")), "target")
+    ways = entry_paths(index, here, 4)
+    ways = ways.withColumn("way", F.concat(short(F.col("lock")), F.lit(" by "), F.regexp_replace(short(F.array_join("path", ">")), "m", "")))
+    parts = [
+        row("taken", index.sites("C.f1"), "lock", "line"), row("holder", index.holders("C.f1"), "lock", "dist"), row("distance", index.distance("C.m2", "C.f1"), "lock", "dist"),
+        row("caller", called, "callee", "line", "caller"), row("at", here.withColumn("lock", F.explode("held")), "lock", "line"), row("path", ways, "way", "dist"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -123,3 +123,14 @@ def vault():
     p.method("run:()V", ["iget 0 3 bank.Clerk.vault", "static 0,1 bank.Vault.put$1:(Lbank/Vault;I)V", "return"], lines=30)
     p.flags.append("bank.Vault.state")
     return p
+
+
+def yards(n: int):
+    """n files, each with a bar that is taken before a call, and the gate of the next one under it."""
+    p = Program()
+    for i in range(n):
+        cls, after = f"port.Yard{i}", f"port.Yard{(i + 1) % n}"
+        p.cls(cls)
+        p.method("open:()V", [*within(f"{cls}.bar", [f"direct 3 {cls}.shut:()V"]), "return"], lines=3)
+        p.method("shut:()V", [*within(f"{after}.bar", []), "return"], lines=4)
+    return p

@@ -1,5 +1,7 @@
 """Lock analyses over small programs with known answers."""
 
+import json
+
 import programs
 import pytest
 
@@ -7,6 +9,7 @@ from holdfast.plans.held import calls_under_lock, effects, walked
 from holdfast.plans.index import Index, build
 from holdfast.plans.naming import lock_points
 from holdfast.plans.race import races
+from holdfast.plans.report import answer
 from holdfast.sources.sketches import Program
 
 
@@ -59,10 +62,39 @@ def test_index(spark, index, tmp_path):
     assert [(r["from"], r["to"], r.gate) for r in index.inversions().collect()] == [(*of("lamp", "sign"), None), tuple(of("bell", "siren", "guard"))]
     assert [(keys[r.method_id], r.held) for r in index.at("any/Train.java", 5).collect()] == [("couple", [hook])]
     assert {(keys[r.method_id], r.lock): [keys[m] for m in r.path] for r in index.witness(8).collect()}["test", hook] == ["couple", "check", "test"]
+    near = index.distance("Train.", "hook").collect()
+    assert {(keys[r.method_id], r.dist) for r in near} == {("check", 1), ("test", 2)}
+    assert [(keys[r.caller], keys[r.target]) for r in index.callers_of("Train.check:").collect()] == [("couple", "check")]
     index.write(str(tmp_path))
     assert sorted(map(tuple, Index.read(spark, str(tmp_path)).orders.collect())) == sorted(map(tuple, index.orders.collect()))
 
 
+def test_index_laid_out(spark, tmp_path):
+    """Many files and locks: answers are those of the index that was never written, from a few of its files."""
+    names = [f"Yard{i}.java" for i in range(12)]
+    classes, methods, _ = programs.yards(12).tables(spark)
+    index = build(classes, methods)
+    index.write(str(tmp_path), methods_each=2)
+    laid = Index.read(spark, str(tmp_path))
+    for kind, text in (("at", f"{names[3]}:4"), ("at", "None.java:4"), ("method", "Yard7.shut"), ("method", "nothing"), ("lock", "Yard5.bar"), ("lock", "Yard1"), ("lock", "no"), ("cycles", None), ("remote", None)):
+        got, want = answer(laid, kind, text), answer(index, kind, text)
+        assert json.dumps(got, sort_keys=True) == json.dumps(want, sort_keys=True), (kind, text)
+    assert answer(laid, "at", f"{names[3]}:4")["methods"][0]["may_hold"][0]["path"] == [f"port.Yard3.{m}:()V" for m in ("open", "shut")]
+    whole = len(laid.methods.inputFiles())
+    assert whole > 5 and len(laid.in_file(names[3]).inputFiles()) == 1 and len(laid.with_lock("may_held", "Yard5.bar").inputFiles()) == 1
+    assert len(laid.of("spans", laid.in_file(names[3])).inputFiles()) == 1
+    # A write that was stopped: its tables are there, the mark that names them isn't.
+    (tmp_path / "tables-half" / "methods").mkdir(parents=True)
+    assert Index.read(spark, str(tmp_path)).methods.count() == index.methods.count()
+
+
+def test_empty_index(spark, tmp_path):
+    classes, methods, _ = programs.trains().tables(spark)
+    build(classes.limit(0), methods.limit(0)).write(str(tmp_path))
+    laid = Index.read(spark, str(tmp_path))
+    assert answer(laid, "at", "A.java:1")["methods"] == [] and answer(laid, "lock", "x")["sites"] == []
+
+
 def test_control_flow(spark):
     classes, methods, _ = programs.saw().tables(spark)
     known = effects(methods)
