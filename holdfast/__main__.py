@@ -42,7 +42,7 @@ def run_dump(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.format == "json":
         reports.write_points_json(points, args.output, args.gzip)
     else:
-        reports.write_points_columns(points, args.output)
+        reports.write_points_columns(points, args.output, gzip=args.gzip)
 
 
 def run_remote(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -379,3 +379,21 @@ def index_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("""
+    SELECT 't.C' AS class, 't.C.m' || c_custkey || ':()V' AS method, CASE WHEN (c_custkey + 1) % 7 <> 0 THEN 'C.java' END AS source_file,
+        CASE WHEN (c_custkey + 1) % 5 <> 0 THEN CAST(c_custkey + 1 AS INTEGER) END AS line, 't.C.f' || c_custkey % 37 AS lock FROM customer""")
+def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lock points, some without a line or a file, to a compressed columnar dump and back."""
+    from uuid import uuid4
+
+    from .plans.naming import lock_points
+    from .sources.reports import read_points_columns, write_points_columns
+    from .storage import shared_dir
+
+    points = lock_points(customer_program(spark, sf_dir)[1])
+    known = lambda c, n: F.when(F.col("line") % n != 0, F.col(c)).alias(c)
+    folder = f"{shared_dir(spark)}/dump-{uuid4().hex}"
+    write_points_columns(points.select("class", "method", known("source_file", 7), known("line", 5), "lock"), folder, gzip=True)
+    return read_points_columns(spark, folder)

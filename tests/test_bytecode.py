@@ -2,13 +2,14 @@
 
 import zipfile
 
+import numpy as np
 import pytest
 from assembler import File
 from pyspark.sql import functions as F
 
 from holdfast.plans.naming import lock_points
 from holdfast.sources.bytecode import facts_in, instructions, java_text, read_classes, sections
-from holdfast.sources.reports import write_points_columns, write_points_json
+from holdfast.sources.reports import fields_of, packed, read_points_columns, varint, varints, write_points_columns, write_points_json
 
 OBJECT = "Ljava/lang/Object;"
 
@@ -136,6 +137,31 @@ def test_columnar_dump(points, tmp_path, slices):
     assert strings[1:] == first
 
 
+@pytest.mark.parametrize("gzip", [False, True])
+def test_columnar_dump_read_back(spark, points, tmp_path, gzip):
+    """Parts, and the parts joined to one file, give the points again, repeated rows and unknown lines and files too."""
+    more = points.withColumn("line", F.when(F.col("line") != 6, F.col("line"))).withColumn("source_file", F.when(F.col("line").isNotNull(), F.col("source_file")))
+    more = more.unionByName(points.limit(1))
+    parts = write_points_columns(more, f"file://{tmp_path}/parts", 2, gzip=gzip).collect()
+    one = tmp_path / "one" / ("all.pb.gz" if gzip else "all.pb")
+    one.parent.mkdir()
+    one.write_bytes(b"".join(open(r.path.removeprefix("file://"), "rb").read() for r in parts))
+    want = sorted(map(repr, more.select("class", "method", "source_file", "line", "lock").collect()))
+    assert sorted(map(repr, read_points_columns(spark, str(tmp_path / "parts")).collect())) == want
+    assert sorted(map(repr, read_points_columns(spark, str(one)).collect())) == want
+
+
+def test_numbers_of_a_dump():
+    numbers = [0, 1, 127, 128, 300, 2**31 - 1, 2**40, 0]
+    assert varints(np.frombuffer(b"".join(map(varint, numbers)), np.uint8)).tolist() == numbers and varints(np.zeros(0, np.uint8)).tolist() == []
+    with pytest.raises(ValueError, match="cut off"):
+        varints(np.array([0x80], np.uint8))
+    whole = b"".join(packed(i, [1, 2]) for i in range(2, 7))
+    assert [c.tolist() for c in fields_of(whole)[1]] == [[1, 2]] * 5
+    with pytest.raises(ValueError, match="no dump"):
+        fields_of(whole[:-1])
+
+
 def test_json_dump(spark, points, tmp_path):
     write_points_json(points, str(tmp_path / "j"), gzip=True)
     assert spark.read.json(str(tmp_path / "j")).select("class", "method", "file", "line", "lock").count() == points.count()
