@@ -48,7 +48,8 @@ def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None
     """The site index of all builds; each is derived from its artifacts unless `cache` has it.
 
     What is kept is named by the build, the scope and a hash of the artifacts' contents, so other artifacts
-    never meet an old index. A build whose artifacts can't be read is left out, so its sites are unresolved.
+    never meet an old index. A build whose artifacts aren't there, or whose contents can't be read, is left out with a
+    warning, so its sites are unresolved; a job that fails for another reason (a lost executor, a full disk) fails here too.
     """
     import hashlib
     import logging
@@ -64,7 +65,9 @@ def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None
     out = spark.createDataFrame([], SITE_INDEX)
     for build in builds:
         try:
-            files = class_files(spark, build_folder(artifacts, build, spark), scope)
+            folder = build_folder(artifacts, build, spark)
+            # The scope is one of archives in a folder; the one archive of a build is taken whole.
+            files = class_files(spark, folder, "*" if folder.endswith(".zip") else scope)
             # One row an archive: a hash of its name and contents.
             parts = versions(files).select(F.concat_ws(" ", "path", "version").alias("v")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256)).first()[0]
             version = hashlib.sha256(f"{scope} {parts}".encode()).hexdigest()[:16]
@@ -75,10 +78,24 @@ def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None
             own = spark.read.schema(SITE_INDEX).parquet(path)
             out = out.unionByName(own.withColumn("build_id", F.lit(build)))
         except (PySparkException, Py4JError, ValueError) as e:
+            if not unreadable(e):
+                raise
             logging.getLogger(__name__).warning("no index of build %s: %s", build, e)
     return out
 
 
+def unreadable(e: Exception) -> bool:
+    """Whether an error tells of artifacts that aren't there or of their contents: a reader in a task raised it."""
+    from pyspark.errors import AnalysisException, PythonException
+
+    if isinstance(e, ValueError | PythonException):
+        return True
+    if isinstance(e, AnalysisException):
+        return e.getCondition() == "PATH_NOT_FOUND"
+    # Below a failed write the reader's error is a cause of the job's.
+    return "org.apache.spark.api.python.PythonException" in f"{e} {getattr(e, '_stackTrace', '')}"
+
+
 def finished(spark, path: str) -> bool:
     """Whether a write to `path` has come to its end: only then Spark leaves its mark there."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -47,10 +47,13 @@ def class_files(spark: SparkSession, path: str, scope: str = "*") -> DataFrame:
 
 
 def build_folder(root: str, build: str, spark: SparkSession) -> str:
-    """`root`/`build` if that is there, else `root`."""
+    """What holds a build's archives: `root`/`build` if that is there, else `root`/`build`.zip, else `root`."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    own = hadoop.Path(f"{root}/{build}")
-    return f"{root}/{build}" if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own) else root
+    for own in (f"{root}/{build}", f"{root}/{build}.zip"):
+        path = hadoop.Path(own)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return own
+    return root
 
 
 def versions(files: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import zipfile
 
 import programs
 import pytest
+from pyspark.errors import AnalysisException
 from test_bytecode import locks
 
 from holdfast import __main__ as command
-from holdfast.plans.resolve import safe_name
+from holdfast.plans.resolve import index_of_builds, safe_name, unreadable
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,23 @@ def test_resolve(spark, jars, tmp_path):
     assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in rows) == [("B1", "quay.Crate.lid", "quay.Crate.seal")] * 2 + [("B2", "N/A", "N/A")]
 
 
+def test_one_archive_a_build(spark, jars, tmp_path):
+    """A build's archives in one zip, taken whole whatever the scope; damaged contents leave the build out, other failures don't pass."""
+    with zipfile.ZipFile(tmp_path / "B7.zip", "w") as z:
+        z.write(jars / "B1" / "a.jar", "out/framework/a.jar")
+    (tmp_path / "B8").mkdir()
+    (tmp_path / "B8" / "classes.dex").write_bytes(b"dex\n035\x00 cut off")
+    index = index_of_builds(spark, ["B7", "B8"], str(tmp_path), scope="services*")
+    assert {(r.build_id, r.lock) for r in index.collect()} == {("B7", f"quay.Crate.{n}") for n in ("class", "lid", "seal")}
+    assert not unreadable(RuntimeError("no space left on device"))
+    with pytest.raises(AnalysisException) as wrong:
+        spark.range(1).select("nothing")
+    assert not unreadable(wrong.value)
+    with pytest.raises(AnalysisException) as absent:
+        spark.read.text(str(tmp_path / "absent"))
+    assert unreadable(absent.value)
+
+
 def test_dump(spark, jars, tmp_path):
     command.main(["dump", str(jars / "B1"), "--format", "json", "-o", str(tmp_path / "points")])
     assert sorted(r.lock for r in spark.read.json(str(tmp_path / "points")).collect()) == ["quay.Crate.class", "quay.Crate.lid", "quay.Crate.seal"]
