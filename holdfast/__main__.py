@@ -17,6 +17,7 @@ from .plans.resolve import index_of_builds, resolve
 from .sources import observations, reports
 from .sources.bytecode import read_classes
 from .sources.facts import read_facts
+from .sources.seam import register
 
 
 def facts(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -24,7 +25,12 @@ def facts(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, Dat
 
 
 def run_resolve(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = observations.read_observations(spark, args.input)
+    if args.source:
+        register(spark)
+        asked = {c: v for c, v in (("build_id", args.build), ("device_name", args.device)) if v}
+        rows = spark.read.format(args.source).options(**asked, **dict(o.split("=", 1) for o in args.option or ())).load(args.input)
+    else:
+        rows = observations.read_observations(spark, args.input)
     rows = observations.selected(rows, args.build, args.device, args.limit)
     builds = [r.build_id for r in rows.select("build_id").distinct().toLocalIterator()]
     if args.by_build:
@@ -70,7 +76,7 @@ def run_ask(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_races(spark: SparkSession, args: argparse.Namespace) -> None:
-    found = races(*facts(spark, args), min_guarded=args.min_guarded, min_ratio=args.min_ratio, max_depth=args.max_depth, shown=reports.SHOWN)
+    found = races(*facts(spark, args), min_guarded=args.min_guarded, min_ratio=args.min_ratio, max_depth=args.max_depth, shown=reports.SHOWN, shown_open=args.shown_open)
     reports.write_races(found, args.output)
 
 
@@ -93,6 +99,8 @@ def parser() -> argparse.ArgumentParser:
 
     p = command("resolve", run_resolve, "resolved", "CSV of observations")
     p.add_argument("--artifacts", required=True, help="folder with a folder of archives for each build, or with archives")
+    p.add_argument("--source", help="name of the source that reads the input, instead of CSV files read by Spark")
+    p.add_argument("--option", action="append", metavar="NAME=VALUE", help="an option of the source")
     p.add_argument("--cache", help="folder where the site index of each build is kept")
     for name in ("--build", "--device"):
         p.add_argument(name)
@@ -121,6 +129,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-guarded", type=int, default=3)
     p.add_argument("--min-ratio", type=float, default=0.8)
     p.add_argument("--max-depth", type=int, default=8)
+    p.add_argument("--shown-open", type=int, help="list so many unguarded accesses of a field at most; n_unguarded counts all")
     return top
 
 

@@ -53,11 +53,26 @@ def field_accesses(methods: DataFrame, index: Index, known: DataFrame, events: D
     return both.join(locked, "method_id", "left").withColumn("unlocked", F.col("_may").isNull() & (F.size("held") == 0)).drop("_may")
 
 
-def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded: int = 3, min_ratio: float = 0.8, index: Index | None = None, shown: int | None = None, **options) -> DataFrame:
+def evidence(rows: DataFrame, shown: dict[str, int | None]) -> DataFrame:
+    """field, guarded_at and unguarded: the first accesses of each side (guarded, open) by method, line and write.
+
+    `shown` bounds a side (None: all). Which accesses are listed is settled by rank before anything is collected, and each task
+    keeps only so many of a field before it sends them on, so a field that is used everywhere stays small.
+    """
+    first = Window.partitionBy("field", "side").orderBy("access.method", "access.line", "access.write", "access")
+    parts = []
+    for side, most in shown.items():
+        own = rows.where(F.col("side") == side).select("field", "side", "access")
+        parts.append(own if most is None else own.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n"))
+    named = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("access")))).alias(name) for s, name in (("guarded", "guarded_at"), ("open", "unguarded"))]
+    return parts[0].unionByName(parts[1]).groupBy("field").agg(*named)
+
+
+def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded: int = 3, min_ratio: float = 0.8, index: Index | None = None, shown: int | None = None, shown_open: int | None = None, **options) -> DataFrame:
     """field, guard, guarded, total, n_unguarded, guarded_at, unguarded; strongest evidence first.
 
-    With `shown`, so many accesses at most are listed where the guard is held; which they are is settled before
-    anything is collected, so a field that is used everywhere stays small. All are listed where it isn't held.
+    With `shown`, so many accesses at most are listed where the guard is held, with `shown_open` where it isn't; else all are.
+    The counts are always of all accesses.
     """
     methods = at_hand(methods)
     known = effects(methods)
@@ -79,9 +94,6 @@ def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded:
     )
     found = written(found.where((F.col("guarded") >= min_ratio * F.col("total")) & (F.col("n_unguarded") > 0)), "races")
     listed = rows.where("side is not null").join(found.select("field"), "field", "left_semi")
-    if shown is not None:
-        first = Window.partitionBy("field", "side").orderBy("access.method", "access.line", "write")
-        listed = listed.where("side = 'guarded'").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= shown).drop("_n").unionByName(listed.where("side = 'open'"))
-    listed = listed.groupBy("field").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("access")))).alias(name) for s, name in (("guarded", "guarded_at"), ("open", "unguarded"))])
+    listed = evidence(listed, {"guarded": shown, "open": shown_open})
     rows = found.join(listed, "field").orderBy(F.desc("threaded"), F.desc("guarded"), "n_unguarded", "field")
     return rows.select("field", "guard", "guarded", "total", "n_unguarded", "guarded_at", "unguarded")

@@ -44,46 +44,62 @@ def resolve(observations: DataFrame, index: DataFrame, fuzz: int = 0, sole: bool
     return out.select(*order)
 
 
-def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None = None, scope: str = "*") -> DataFrame:
-    """The site index of all builds; each is derived from its artifacts unless `cache` has it.
+def index_of_builds(spark, builds: list[str], artifacts: str, cache: str | None = None, scope: str = "*", at_once: int = 4) -> DataFrame:
+    """The site index of all builds; each is derived from its artifacts unless `cache` has it, `at_once` builds at a time.
 
     What is kept is named by the build, the scope and a hash of the artifacts' contents, so other artifacts
     never meet an old index. A build whose artifacts aren't there, or whose contents can't be read, is left out with a
     warning, so its sites are unresolved; a job that fails for another reason (a lost executor, a full disk) fails here too.
     """
-    import hashlib
     import logging
+    from multiprocessing.pool import ThreadPool
 
     from py4j.protocol import Py4JError
+    from pyspark import inheritable_thread_target
     from pyspark.errors import PySparkException
 
-    from ..sources.archives import build_folder, class_files, versions
-    from ..sources.bytecode import class_facts
-    from ..storage import shared_dir
-    from .naming import lock_points
+    from ..sources.archives import chosen
 
-    out = spark.createDataFrame([], SITE_INDEX)
-    for build in builds:
+    folders = chosen(spark, artifacts, builds, scope)
+
+    @inheritable_thread_target(spark)
+    def index(build: str) -> DataFrame | None:
         try:
-            folder = build_folder(artifacts, build, spark)
-            # The scope is one of archives in a folder; the one archive of a build is taken whole.
-            files = class_files(spark, folder, "*" if folder.endswith(".zip") else scope)
-            # One row an archive: a hash of its name and contents.
-            parts = versions(files).select(F.concat_ws(" ", "path", "version").alias("v")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256)).first()[0]
-            version = hashlib.sha256(f"{scope} {parts}".encode()).hexdigest()[:16]
-            path = f"{cache or shared_dir(spark) + '/site-index'}/{safe_name(build)}-{version}"
-            if not finished(spark, path):
-                # Also where a job failed half way: what it left has no mark.
-                site_index(lock_points(class_facts(files)[1]), build).write.mode("overwrite").parquet(path)
-            own = spark.read.schema(SITE_INDEX).parquet(path)
-            out = out.unionByName(own.withColumn("build_id", F.lit(build)))
+            return index_of_build(spark, build, folders[build], cache, scope)
         except (PySparkException, Py4JError, ValueError) as e:
             if not unreadable(e):
                 raise
             logging.getLogger(__name__).warning("no index of build %s: %s", build, e)
+
+    out = spark.createDataFrame([], SITE_INDEX)
+    if builds:
+        with ThreadPool(min(at_once, len(builds))) as pool:
+            for own in pool.map(index, builds, 1):
+                out = out if own is None else out.unionByName(own)
     return out
 
 
+def index_of_build(spark, build: str, folder: str, cache: str | None, scope: str) -> DataFrame:
+    """The site index of the build whose archives are in `folder`, taken from `cache` or written there."""
+    import hashlib
+
+    from ..sources.archives import class_files, versions
+    from ..sources.bytecode import class_facts
+    from ..storage import shared_dir
+    from .naming import lock_points
+
+    # The scope is one of archives in a folder; the one archive of a build is taken whole.
+    files = class_files(spark, folder, "*" if folder.endswith(".zip") else scope)
+    # One row an archive: a hash of its name and contents.
+    parts = versions(files).select(F.concat_ws(" ", "path", "version").alias("v")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256)).first()[0]
+    version = hashlib.sha256(f"{scope} {parts}".encode()).hexdigest()[:16]
+    path = f"{cache or shared_dir(spark) + '/site-index'}/{safe_name(build)}-{version}"
+    if not finished(spark, path):
+        # Also where a job failed half way: what it left has no mark.
+        site_index(lock_points(class_facts(files)[1]), build).write.mode("overwrite").parquet(path)
+    return spark.read.schema(SITE_INDEX).parquet(path).withColumn("build_id", F.lit(build))
+
+
 def unreadable(e: Exception) -> bool:
     """Whether an error tells of artifacts that aren't there or of their contents: a reader in a task raised it."""
     from pyspark.errors import AnalysisException, PythonException

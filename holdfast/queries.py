@@ -397,3 +397,28 @@ def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/dump-{uuid4().hex}"
     write_points_columns(points.select("class", "method", known("source_file", 7), known("line", 5), "lock"), folder, gzip=True)
     return read_points_columns(spark, folder)
+
+
+@query("""
+    SELECT 'B' || o_orderkey % 3 AS build_id, o_orderpriority AS device_name, 'F' || o_custkey || '.java:' || o_orderkey AS blocked_src,
+        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'G' || o_custkey || '.java:7' END AS blocking_src, o_orderstatus AS short_blocked_method,
+        '' AS short_blocking_method, o_orderpriority || ', "' || o_orderkey || '"' || chr(10) || 'end' AS note
+    FROM orders""")
+def trace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written as CSV, with quotes and line ends in cells, and read by the source's name, a build at a time."""
+    import uuid
+
+    from .sources import observations, seam
+    from .storage import shared_dir
+
+    key, text = F.col("o_orderkey"), lambda s: F.lit(s)
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(text("B"), key % 3).alias("build_id"), F.col("o_orderpriority").alias("device_name"), F.concat(text("F"), "o_custkey", text(".java:"), key).alias("blocked_src"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(text("G"), "o_custkey", text(".java:7"))).alias("blocking_src"), F.col("o_orderstatus").alias("short_blocked_method"),
+        text("").alias("short_blocking_method"), F.concat("o_orderpriority", text(', "'), key, text('"\nend')).alias("note"),
+    )
+    path = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}"
+    observations.write_csv(rows, path)
+    seam.register(spark)
+    one = lambda build: spark.read.format("observations").option("build_id", build).load(path)
+    return one("B0").unionByName(one("B1")).unionByName(one("B2"))

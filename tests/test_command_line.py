@@ -31,6 +31,8 @@ def test_resolve(spark, jars, tmp_path):
     run()
     assert sorted((r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in read().collect()) == [("B1", "quay.Crate.lid", "N/A")] * 2 + [("B2", "N/A", "N/A")]
     assert [p.name.split("-")[0] for p in (tmp_path / "cache").iterdir()] == ["B1"]
+    run("--source", "observations", "--build", "B2")
+    assert [(r.build_id, r.resolved_blocked_lock, r.resolved_blocking_lock) for r in read().collect()] == [("B2", "N/A", "N/A")]
     run("--fuzz", "1", "--build", "B1", "--compact-counts")
     assert [(r.resolved_blocking_lock, r.traces) for r in read().collect()] == [("quay.Crate.seal", "2")]
     # Build by build: a folder each, and a later run over one build leaves the other's rows.
