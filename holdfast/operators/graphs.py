@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import parts_of, written
 
 #: Edges that one task searches for components at once: some MB.
 FEW_EDGES = 100_000
@@ -17,20 +17,32 @@ TRIMS = 4
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst and the least number of steps, one at least, by doubling: paths join paths.
 
-    After k rounds all paths of up to 2^k steps are known, so the rounds grow with the logarithm
-    of the longest shortest path.
+    When all paths of up to `span` steps are known, each longer one of up to twice as many begins with one of exactly `span` steps, so only
+    those are joined with all that are known: a path is made once for each node at that distance, not once for each node on it.
+    The rounds grow with the logarithm of the longest shortest path. What a round has made is counted before it is sorted out, and dealt
+    to as many tasks as it needs; what is known already isn't written again.
     """
+    spark = edges.sparkSession
     known = written(edges.select("src", "dst").distinct().withColumn("steps", F.lit(1)), "closure")
-    size = known.count()
+    size, span = known.count(), 1
     while True:
-        left = known.select("src", F.col("dst").alias("mid"), F.col("steps").alias("a"))
-        right = known.select(F.col("src").alias("mid"), "dst", F.col("steps").alias("b"))
-        longer = left.join(right, "mid").select("src", "dst", (F.col("a") + F.col("b")).alias("steps"))
-        more = written(known.unionByName(longer).groupBy("src", "dst").agg(F.min("steps").alias("steps")), "closure")
-        grown = more.agg(F.count("*"), F.sum("steps")).first()
-        if (grown[0], grown[1]) == (size, known.agg(F.sum("steps")).first()[0]):
-            return more
-        known, size = more, grown[0]
+        far = known.where(F.col("steps") == span)
+        n = parts_of(spark, size)
+        left = far.select("src", F.col("dst").alias("mid")).repartition(n, "mid")
+        right = known.select(F.col("src").alias("mid"), "dst", F.col("steps").alias("b")).repartition(n, "mid")
+        made = written(left.join(right, "mid").select("src", "dst", (F.col("b") + span).alias("steps")), "closure-made")
+        n_made = made.count()
+        if not n_made:
+            return known
+        n = parts_of(spark, size + n_made)
+        best = made.repartition(n, "src", "dst").groupBy("src", "dst").agg(F.min("steps").alias("steps")).alias("m")
+        before = known.select("src", "dst").repartition(n, "src", "dst").alias("k")
+        same = F.col("m.src").eqNullSafe(F.col("k.src")) & F.col("m.dst").eqNullSafe(F.col("k.dst"))
+        new = written(best.join(before, same, "left_anti"), "closure")
+        n_new = new.count()
+        if not n_new:
+            return known
+        known, size, span = known.unionByName(new), size + n_new, 2 * span
 
 
 def with_self(edges: DataFrame, nodes: DataFrame) -> DataFrame:

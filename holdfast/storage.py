@@ -27,6 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys and numbers that one task of a shuffle sorts or hashes, about: some 100 MB with what it keeps of them.
+ROWS_EACH = 500_000
+
+
+def parts_of(spark: SparkSession, n_rows: int) -> int:
+    """Partitions for a shuffle of so many narrow rows: the session's number, and more where a task's share would grow beyond ROWS_EACH."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_EACH))
+
+
 def open_shared(uri: str, mode: str):
     """A file in a shared folder, whichever file system that is in."""
     from pyarrow import fs

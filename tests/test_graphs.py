@@ -114,3 +114,26 @@ def test_entry_locks_by_differences(spark, monkeypatch):
     # p3 is called with m0 to m3 from p2, and with m2 alone from bare.
     assert got == {"p0": m(0), "p1": m(0, 1), "p2": m(0, 1, 2), "p3": m(2), "p4": m(2, 4)}
     assert walks["rounds"] > 2 and walks["methods"] < methods.count() + 14
+
+
+def test_closure_makes_a_path_once(spark, monkeypatch):
+    rows, kept = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: rows.append((out := kept(df, name)).count()) or out)
+    monkeypatch.setattr("holdfast.storage.ROWS_EACH", 100)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    got = {(r.src, r.dst): r.steps for r in graphs.closure(chain).collect()}
+    assert got == {(a, b): b - a for a in range(40) for b in range(a + 1, 40)}
+    # Every pair is made once and kept once.
+    assert sum(rows) <= 2 * len(got)
+
+
+def test_closure_of_random_graphs_and_nulls(spark):
+    draw = random.Random(5)
+    edges = [(draw.randrange(25), draw.randrange(25)) for _ in range(40)] + [(3, None), (4, 3), (4, None), (4, 3)]
+    want, level = {}, set(edges)
+    for steps in range(1, 30):
+        for e in level:
+            want.setdefault(e, steps)
+        level = {(a, d) for a, b in level for c, d in edges if b == c and b is not None} - set(want)
+    got = graphs.closure(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert Counter((r.src, r.dst, r.steps) for r in got) == Counter((a, b, n) for (a, b), n in want.items())
