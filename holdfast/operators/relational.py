@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import UNRESOLVED
+from ..storage import parts_of
 
 
 def merged_names(names: Column, unresolved: str = UNRESOLVED) -> Column:
@@ -68,10 +69,17 @@ def unique_or_null(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias(value))
 
 
-def must_intersection(sites: DataFrame, held: DataFrame, by: list[str], site: str, item: str) -> DataFrame:
-    """Items held at every site of a key. `sites` has all sites, also those that hold nothing."""
-    total = sites.groupBy(*by).agg(F.count_distinct(site).alias("_total"))
-    seen = held.select(*by, site, item).distinct().groupBy(*by, item).agg(F.count("*").alias("_seen"))
+def must_intersection(sites: DataFrame, held: DataFrame, by: list[str], site: str, item: str, parts: int | None = None) -> DataFrame:
+    """Items held at every site of a key. `sites` has all sites, also those that hold nothing.
+
+    Repeats are taken out where a site's rows meet, in `parts` tasks: as many as the rows need, counted if not given. Only counts of
+    sites meet by key, in part summed up before.
+    """
+    if parts is None:
+        parts = parts_of(sites.sparkSession, max(sites.count(), held.count()))
+    # Rows without a site count for nothing in the total.
+    total = sites.select(*by, site).repartition(parts, site).distinct().groupBy(*by).agg(F.count(site).alias("_total"))
+    seen = held.select(*by, site, item).repartition(parts, site).distinct().groupBy(*by, item).agg(F.count("*").alias("_seen"))
     return seen.join(total, by).where("_seen = _total").select(*by, item)
 
 

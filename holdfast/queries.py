@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import graphs, relational
-from .storage import written
+from .storage import parts_of, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,9 +121,11 @@ def unique_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT o_custkey, l_returnflag, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
     SELECT o_custkey, l_returnflag FROM s JOIN t USING (o_custkey, n)""")
 def must_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    held = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").join(sites, "o_orderkey")
-    return relational.must_intersection(sites, held, ["o_custkey"], "o_orderkey", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    parts = parts_of(spark, lines.count())
+    sites = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").repartition(parts, "o_orderkey")
+    held = lines.repartition(parts, "o_orderkey").join(sites, "o_orderkey")
+    return relational.must_intersection(sites, held, ["o_custkey"], "o_orderkey", "l_returnflag", parts)
 
 
 @query("SELECT lang, source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1")
