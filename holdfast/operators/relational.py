@@ -111,18 +111,19 @@ def argmin(rows: DataFrame, by: list[str], order: list[str], take: list[str]) ->
 def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """Adds consecutive numbers in the order of unique keys without sending all rows to one task.
 
-    Rows are range-partitioned and sorted; the partitions' sizes, one row each, give where each begins.
+    Rows are range-partitioned and sorted, once; the partitions' sizes, one row each, give where each begins.
     """
     from ..storage import written
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    # The number of a row within its sorted partition is in the low 33 bits.
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = written(placed, "placed")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_inside", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_base") + inside + (first - 1)).drop("_part", "_base")
+    return placed.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_base") + F.col("_inside") + first).drop("_place", "_part", "_inside", "_base")
 
 
 def dictionary(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:

@@ -15,3 +15,12 @@ def test_must_intersection_deals_rows_out(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-len(held) // 10)})" in plan
     assert sorted(map(tuple, out.collect())) == [(k, "all") for k in range(7)]
+
+
+def test_numbers_without_a_second_shuffle_of_the_rows(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"), F.repeat(F.lit("x"), 50).alias("wide"))
+    out = relational.numbered(rows, ["n"], "number", 5)
+    # What is left are the partitions' sizes: no window over the rows themselves.
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_part") <= 1
+    assert out.where("number <> n + 5").count() == 0 and out.count() == 1000
+    assert out.columns == ["n", "wide", "number"]
