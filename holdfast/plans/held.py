@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import OPAQUE, PRIVATE, flag
 from ..sources.facts import ancestors
 from ..storage import written
-from .methods import EVENTS, LOCK_CALLS, effect_rows, event_rows
+from .methods import EVENTS, LOCK_CALLS, WALK, effect_rows, event_rows, walk_rows
 from .naming import at_hand, called_keys, mapped, with_callees
 
 #: Rounds of the fixpoints at most.
@@ -19,17 +19,18 @@ TRANSACTION = ("android.os.IBinder", "android.os.BinderProxy")
 PLUMBING = ("asBinder", "getInterfaceDescriptor")
 
 
-def effects(methods: DataFrame) -> DataFrame:
+def effects(methods: DataFrame, own_effects: DataFrame | None = None) -> DataFrame:
     """key, takes, gives: locks that a method leaves held, or releases for its caller.
 
     All methods that take or release a lock themselves are walked once: nothing else has an effect of its own. After
-    that each round walks the callers of keys whose effects have changed, and no others.
+    that each round walks the callers of keys whose effects have changed, and no others. `own_effects` (method_id, key, takes,
+    gives; written) are those of the first walk, where it is done already.
     """
     schema = "method_id long, key string, takes array<string>, gives array<string>"
     of_key = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("takes", "gives"), "method_id").alias("e")).select("key", "e.takes", "e.gives")
     none = methods.sparkSession.createDataFrame([], "key string, takes array<string>, gives array<string>")
     own = lambda i: i["op"].startswith("monitor") | ((i["op"] == "invoke") & i["name"].isin(*LOCK_CALLS))
-    rows = written(mapped(methods.where(F.exists("insns", own)), effect_rows, schema), "effects")
+    rows = written(mapped(methods.where(F.exists("insns", own)), effect_rows, schema), "effects") if own_effects is None else own_effects
     now, changed = of_key(rows), rows.select("key").distinct()
     for _ in range(ROUNDS - 1):
         again = written(called_keys(methods).join(changed, "key", "left_semi").select("method_id").distinct(), "effects-again")
@@ -50,6 +51,20 @@ def walked(methods: DataFrame, known: DataFrame, entry: DataFrame | None = None)
     return mapped(rows, event_rows, EVENTS)
 
 
+def effects_and_events(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`effects`, and all events with these (written). All methods are walked once, for both; only those that call a method with
+    an effect are walked again. `methods` are written already.
+    """
+    walk = written(mapped(methods, walk_rows, WALK), "walk")
+    known = effects(methods, walk.where("kind = 'effect'").select("method_id", "key", "takes", "gives"))
+    events = walk.where("kind <> 'effect'").drop("takes", "gives")
+    if known.isEmpty():
+        return known, events
+    callers = written(called_keys(methods).join(known, "key", "left_semi").select("method_id").distinct(), "effects-callers")
+    again = walked(methods.join(callers, "method_id", "left_semi"), known)
+    return known, written(events.join(callers, "method_id", "left_anti").unionByName(again), "events")
+
+
 def with_entries(methods: DataFrame, known: DataFrame, events: DataFrame, entry: DataFrame) -> DataFrame:
     """Events with locks on entry: of `events`, which know of none, only those of methods that have some are made again."""
     held = methods.join(entry, "key", "left_semi")
@@ -136,8 +151,7 @@ def remote_interfaces(classes: DataFrame) -> DataFrame:
 def calls_under_lock(classes: DataFrame, methods: DataFrame, closed_world: bool = False) -> DataFrame:
     """method, file, line, held, callee: remote calls made with a nameable lock held."""
     methods = at_hand(methods)
-    known = effects(methods)
-    events = written(walked(methods, known), "events")
+    known, events = effects_and_events(methods)
     calls = with_entries(methods, known, events, entry_locks(methods, known, closed_world, events)).where("kind = 'call'")
     name = F.substring_index("sig", ":", 1)
     calls = calls.withColumn("held", F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE)))).where(F.size("held") > 0)

@@ -13,7 +13,7 @@ from ..functions.names import ABSTRACT, OPAQUE, flag
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
 from ..storage import written
-from .held import PLUMBING, effects, remote_interfaces, transacting, walked
+from .held import PLUMBING, effects_and_events, remote_interfaces, transacting
 from .naming import at_hand, canonical_sites, points_of
 
 #: The end of a span without a release.
@@ -240,8 +240,9 @@ def named_events(methods: DataFrame, events: DataFrame) -> DataFrame:
     gone = events.where("kind = 'release' and enter is not null").select("method_id", "key", "ord", F.lit(0).alias("pos"), F.col("name").alias("g"), F.col("enter").alias("line"))
     held = events.where("kind in ('acquire', 'call')").select("method_id", "key", "ord", line.alias("line"), F.explode("held").alias("g")).withColumn("pos", F.lit(1))
     uses = own.unionByName(gone).unionByName(held)
-    first = uses.groupBy("method_id", "key", "g").agg(F.min_by("line", F.struct("ord", "pos")).alias("line"))
-    canon = first.join(sites, ["key", "line"], "left").select("method_id", "g", F.coalesce("canon", "g").alias("to"))
+    # The order as one number, so that the aggregate hashes and doesn't sort; a name that stays as it is needs no entry.
+    first = uses.groupBy("method_id", "key", "g").agg(F.min_by("line", F.col("ord").cast("long") * 2 + F.col("pos")).alias("line"))
+    canon = first.join(sites, ["key", "line"]).where("canon <> g").select("method_id", "g", F.col("canon").alias("to"))
     maps = canon.groupBy("method_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "to"))).alias("_map"))
     out = events.join(maps, "method_id", "left")
     to = lambda n: F.coalesce(F.try_element_at("_map", n), n)
@@ -335,7 +336,7 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
     classes = written(classes, "classes")
     if events is None:
         methods = at_hand(methods)
-        events = written(walked(methods, effects(methods)), "events")
+        _, events = effects_and_events(methods)
     events = written(named_events(methods, events), "named-events")
     spans = written(spans_of(events), "spans")
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")

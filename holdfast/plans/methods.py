@@ -60,6 +60,16 @@ def line_at(m: dict, offset: int) -> int | None:
     return found
 
 
+def lines_of(m: dict) -> list[int | None]:
+    """`line_at` of each instruction, in one way through both."""
+    found, out, at, positions = None, [], 0, m["positions"]
+    for i in m["insns"]:
+        while at < len(positions) and positions[at]["offset"] <= i["offset"]:
+            found, at = positions[at]["line"], at + 1
+        out.append(found)
+    return out
+
+
 def callee(i: dict) -> str:
     return f"{i['class']}.{i['name']}:{i['sig']}"
 
@@ -219,6 +229,12 @@ def lock_events(m: dict) -> list[tuple | None]:
     return out
 
 
+def straight(m: dict) -> bool:
+    """One block that nothing jumps from: its instructions are gone through once."""
+    ends = [k for k, i in enumerate(m["insns"]) if i["op"] in ("goto", "branch", "switch", "return", "throw")]
+    return not m["catches"] and (not ends or (ends == [len(m["insns"]) - 1] and m["insns"][-1]["op"] in ("return", "throw")))
+
+
 def flow_graph(m: dict) -> tuple[list[range], list[list[int]], list[list[int]]]:
     """Blocks, their normal successors, and the handlers that see their entry states."""
     insns = m["insns"]
@@ -269,8 +285,7 @@ def held_locks(m: dict, entry: list[str], effects: dict[str, tuple[list[str], li
     """Events (kind, line, name, enter line, held names, detail) in block order, and the states at returns."""
     if not m["insns"]:
         return [], []
-    meaning, (blocks, after, handlers) = lock_events(m), flow_graph(m)
-    lines = [line_at(m, i["offset"]) for i in m["insns"]]
+    meaning, lines = lock_events(m), lines_of(m)
 
     def run(state: State, block: range, tell: Callable) -> State:
         for k in block:
@@ -300,6 +315,11 @@ def held_locks(m: dict, entry: list[str], effects: dict[str, tuple[list[str], li
         return state
 
     states: dict[int, State] = {0: (tuple((n, None) for n in entry), ())}
+    events: list[tuple] = []
+    if straight(m):
+        end = run(states[0], range(len(m["insns"])), events.append)
+        return events, [end] if m["insns"][-1]["op"] == "return" else []
+    blocks, after, handlers = flow_graph(m)
     waiting = [0]
     while waiting:
         b = waiting.pop(0)
@@ -310,7 +330,6 @@ def held_locks(m: dict, entry: list[str], effects: dict[str, tuple[list[str], li
                 states[to] = now
                 if to not in waiting:
                     waiting.append(to)
-    events: list[tuple] = []
     ends = [(b, run(states[b], blocks[b], events.append)) for b in sorted(states)]
     return events, [state for b, state in ends if m["insns"][blocks[b][-1]]["op"] == "return"]
 
@@ -333,6 +352,7 @@ SUMMARY = f"""method_id long, key string, class string, getter {VALUE}, sites ar
     allocs array<struct<field: string, type: string>>, bindings array<struct<callee: string, actuals: array<{VALUE}>>>"""
 EVENTS = """method_id long, key string, ord int, kind string, line int, name string, enter int, held array<string>, write boolean,
     class string, sig string, dispatch string, arg_types array<string>, arg_formals array<int>"""
+WALK = f"{EVENTS}, takes array<string>, gives array<string>"
 
 
 def value_row(v: Value | None) -> dict | None:
@@ -403,13 +423,27 @@ def effect_rows(methods: Iterator[dict]) -> Iterator[dict]:
             yield {"method_id": m["method_id"], "key": m["key"], "takes": takes, "gives": gives}
 
 
+def told(m: dict, events: list[tuple]) -> Iterator[dict]:
+    for ord_, (kind, line, name, enter, held, detail) in enumerate(events):
+        row = {"method_id": m["method_id"], "key": m["key"], "ord": ord_, "kind": kind, "line": line, "name": name, "enter": enter, "held": held}
+        if kind == "field":
+            row["write"] = detail[2]
+        elif kind == "call":
+            _, i, types, formals = detail
+            row |= {"class": i["class"], "sig": f"{i['name']}:{i['sig']}", "dispatch": i["kind"], "arg_types": types, "arg_formals": formals}
+        yield row
+
+
 def event_rows(methods: Iterator[dict]) -> Iterator[dict]:
     for m in methods:
-        for ord_, (kind, line, name, enter, held, detail) in enumerate(held_locks(m, m.get("entry") or [], known_effects(m))[0]):
-            row = {"method_id": m["method_id"], "key": m["key"], "ord": ord_, "kind": kind, "line": line, "name": name, "enter": enter, "held": held}
-            if kind == "field":
-                row["write"] = detail[2]
-            elif kind == "call":
-                _, i, types, formals = detail
-                row |= {"class": i["class"], "sig": f"{i['name']}:{i['sig']}", "dispatch": i["kind"], "arg_types": types, "arg_formals": formals}
-            yield row
+        yield from told(m, held_locks(m, m.get("entry") or [], known_effects(m))[0])
+
+
+def walk_rows(methods: Iterator[dict]) -> Iterator[dict]:
+    """Events, and the method's own effect as one more row of kind effect, of one walk that knows no callee's effects."""
+    for m in methods:
+        events, ends = held_locks(m, [], {})
+        yield from told(m, events)
+        takes, gives = net_effect(ends)
+        if takes or gives:
+            yield {"method_id": m["method_id"], "key": m["key"], "ord": len(events), "kind": "effect", "takes": takes, "gives": gives}

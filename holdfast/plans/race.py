@@ -9,7 +9,7 @@ from ..functions.names import OPAQUE, STATIC
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
 from ..storage import written
-from .held import INTERFACE, effects, entry_locks, walked, with_entries
+from .held import INTERFACE, effects_and_events, entry_locks, with_entries
 from .index import Index, build
 from .naming import at_hand
 
@@ -75,8 +75,7 @@ def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded:
     The counts are always of all accesses.
     """
     methods = at_hand(methods)
-    known = effects(methods)
-    events = written(walked(methods, known), "events")
+    known, events = effects_and_events(methods)
     index = index or build(classes, methods, events=events, **options)
     at = field_accesses(methods, index, known, events).join(flags, "field", "left_anti")
     threads = concurrent_methods(classes, methods, index).withColumn("concurrent", F.lit(True))

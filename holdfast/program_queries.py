@@ -115,7 +115,8 @@ def entry_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import held
 
     methods = depots(spark, sf_dir)[1]
-    return held.entry_locks(methods, held.effects(methods)).select("key", F.array_join("entry", ", ").alias("entry"))
+    known, events = held.effects_and_events(methods)
+    return held.entry_locks(methods, known, events=events).select("key", F.array_join("entry", ", ").alias("entry"))
 
 
 @query(f"""{DEPOTS} SELECT c || '.near:()V' AS method, 'D' || k || '.java' AS file, 15 AS line, c || '.mA' AS held, 'w.IPort' || n || '.ping' AS callee FROM d

@@ -332,10 +332,10 @@ def lock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 't.C.m' || c_custkey || ':()V' AS key, 't.C.f' || c_custkey % 37 AS held, c_custkey + 1 AS line FROM customer""")
 def held_at_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .plans.held import effects, walked
+    from .plans.held import effects_and_events
+    from .plans.naming import at_hand
 
-    methods = customer_program(spark, sf_dir)[1]
-    calls = walked(methods, effects(methods)).where("kind = 'call'")
+    calls = effects_and_events(at_hand(customer_program(spark, sf_dir)[1]))[1].where("kind = 'call'")
     return calls.select("key", F.array_join("held", ", ").alias("held"), F.col("line").cast("long").alias("line"))
 
 

@@ -126,3 +126,25 @@ def test_merge_keeps_the_first_copy(spark):
     classes, methods, _ = p.tables(spark)
     assert [(r.artifact_ord, r["class"]) for r in classes.orderBy("artifact_ord", "class_ord").collect()] == [(0, "kit.Hose"), (1, "kit.Pump"), (2, "kit.Tap")]
     assert [r.key for r in methods.orderBy("method_id").collect()] == ["kit.Hose.from0:()V", "kit.Pump.from1:()V", "kit.Tap.from2:()V"]
+
+
+def test_methods_are_walked_once(spark, monkeypatch):
+    from holdfast.plans import held
+
+    p, lock = Program(), "java.util.concurrent.locks.ReentrantLock"
+    p.cls("t.A")
+    p.method("take:()V", ["iget 0 3 t.A.mL", f"virtual 0 {lock}.lock:()V", "return"], lines=1)
+    p.method("span:()V", ["direct 3 t.A.take:()V", "iget 1 3 t.A.mX", "return"], lines={0: 2, 1: 3})
+    for j in range(6):
+        p.method(f"plain{j}:()V", ["iget 0 3 t.A.mA", "enter 0", f"direct 3 t.A.plain{(j + 1) % 6}:()V", "exit 0", "return"], lines=10 + j)
+    classes, methods, _ = p.tables(spark)
+    want = sorted(map(str, walked(methods, effects(methods)).collect()))
+    sizes, kept = [], held.mapped
+    monkeypatch.setattr(held, "mapped", lambda rows, make, ddl: sizes.append(rows.count()) or kept(rows, make, ddl))
+    known, events = held.effects_and_events(methods)
+    assert sorted(map(str, events.collect())) == want
+    assert {r.key: r.takes for r in known.collect()} == {"t.A.take:()V": ["t.A.mL"], "t.A.span:()V": ["t.A.mL"]}
+    # All eight for both; the one caller of a method with an effect again for its effect and for its events.
+    sizes.clear()
+    build(classes, methods)
+    assert sum(sizes) <= 8 + 2
