@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from ..storage import written
+from ..storage import spread_out, written
 from .facts import CLASSES, FIELD_FLAGS, METHODS, merged
 
 BLANK = dict.fromkeys(("dst", "src", "base", "class", "field", "ty", "targets", "kind", "args", "name", "sig"))
@@ -104,6 +104,8 @@ class Program:
             columns = [F.col(copy).cast("int").alias(f.name) if f.name == "artifact_ord" else filled(F.col(f.name), f.dataType, marks).alias(f.name) for f in fields]
             return written(laid.select(*columns), name)
 
+        # A row here is a program there: few bytes that fit one task make many methods.
+        rows = rows.repartition(spread_out(rows.sparkSession), copy)
         marks = sorted({copy, *re.findall(r"\{(\w+)\}", repr((self.classes, self.methods, self.flags)))})
         flags = table("flags", FIELD_FLAGS, [(f,) for f in self.flags], {}, flagged)
         return merged(table("classes", CLASSES, self.classes, {}), table("methods", METHODS, self.methods, self.only), flags)

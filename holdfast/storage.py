@@ -24,7 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._is_written = True
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether `df` is a table as `written` gave it, so that reading it again costs no more than that."""
+    return getattr(df, "_is_written", False)
 
 
 #: Rows of keys and numbers that one task of a shuffle sorts or hashes, about: some 100 MB with what it keeps of them.
@@ -36,6 +43,15 @@ def parts_of(spark: SparkSession, n_rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_EACH))
 
 
+def spread_out(spark: SparkSession, n_rows: int = 0, each: int = ROWS_EACH) -> int:
+    """Partitions for rows that take much more work than their bytes tell, so that none is left to be merged by size: two for each core or
+    partition of the session's, one for each `each` rows if that is more, and as many for each core, so that files that are
+    written so are dealt evenly when they are read."""
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // each))
+    return -(-n // cores) * cores
+
+
 def open_shared(uri: str, mode: str):
     """A file in a shared folder, whichever file system that is in."""
     from pyarrow import fs
