@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import graphs, relational
-from .storage import parts_of, written
+from .storage import parts_of, spread_out, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -278,6 +278,8 @@ def customer_program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     from .sources.facts import CLASSES, INSTRUCTION, METHODS
 
     graph = customer_graph(spark, sf_dir).select(F.col("src").cast("int").alias("k"), F.col("dst").alias("j"))
+    # A number here is a method there, so numbers are dealt out and not methods.
+    graph = graph.repartition(spread_out(spark), "k")
     empty = {n: F.lit(None) for n in ("dst", "src", "base", "class", "field", "ty", "targets", "kind", "args", "name", "sig")}
     kind = StructType.fromDDL(f"i {INSTRUCTION}")["i"].dataType
 
