@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.names import OPAQUE, PRIVATE, flag
 from ..sources.facts import ancestors
 from ..storage import written
-from .methods import EVENTS, LOCK_CALLS, WALK, effect_rows, event_rows, walk_rows
-from .naming import at_hand, called_keys, mapped, with_callees
+from .methods import EVENTS, LOCK_CALLS, SUMMARY, SURVEY, WALK, effect_rows, event_rows, survey_rows, walk_rows
+from .naming import arrow_schema, at_hand, called_keys, mapped, with_callees
 
 #: Rounds of the fixpoints at most.
 ROUNDS = 16
@@ -19,12 +19,12 @@ TRANSACTION = ("android.os.IBinder", "android.os.BinderProxy")
 PLUMBING = ("asBinder", "getInterfaceDescriptor")
 
 
-def effects(methods: DataFrame, own_effects: DataFrame | None = None) -> DataFrame:
+def effects(methods: DataFrame, own_effects: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """key, takes, gives: locks that a method leaves held, or releases for its caller.
 
     All methods that take or release a lock themselves are walked once: nothing else has an effect of its own. After
     that each round walks the callers of keys whose effects have changed, and no others. `own_effects` (method_id, key, takes,
-    gives; written) are those of the first walk, where it is done already.
+    gives; written) are those of the first walk and `calls` (method_id, key) those that it went through, where it is done already.
     """
     schema = "method_id long, key string, takes array<string>, gives array<string>"
     of_key = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("takes", "gives"), "method_id").alias("e")).select("key", "e.takes", "e.gives")
@@ -32,8 +32,9 @@ def effects(methods: DataFrame, own_effects: DataFrame | None = None) -> DataFra
     own = lambda i: i["op"].startswith("monitor") | ((i["op"] == "invoke") & i["name"].isin(*LOCK_CALLS))
     rows = written(mapped(methods.where(F.exists("insns", own)), effect_rows, schema), "effects") if own_effects is None else own_effects
     now, changed = of_key(rows), rows.select("key").distinct()
+    calls = called_keys(methods) if calls is None else calls
     for _ in range(ROUNDS - 1):
-        again = written(called_keys(methods).join(changed, "key", "left_semi").select("method_id").distinct(), "effects-again")
+        again = written(calls.join(changed, "key", "left_semi").select("method_id").distinct(), "effects-again")
         if again.isEmpty():
             break
         new = mapped(with_callees(methods.join(again, "method_id", "left_semi"), now, "effects"), effect_rows, schema)
@@ -46,21 +47,31 @@ def effects(methods: DataFrame, own_effects: DataFrame | None = None) -> DataFra
 
 def walked(methods: DataFrame, known: DataFrame, entry: DataFrame | None = None) -> DataFrame:
     """All events of all methods, with `known` effects of callees and locks held on `entry` (key, entry)."""
-    rows = with_callees(methods, known, "effects")
-    rows = rows.join(entry, "key", "left") if entry is not None else rows.withColumn("entry", F.array().cast("array<string>"))
-    return mapped(rows, event_rows, EVENTS)
+    rows = methods.join(entry, "key", "left") if entry is not None else methods.withColumn("entry", F.array().cast("array<string>"))
+    return mapped(with_callees(rows, known, "effects"), event_rows, EVENTS)
 
 
 def effects_and_events(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`effects`, and all events with these (written). All methods are walked once, for both; only those that call a method with
     an effect are walked again. `methods` are written already.
     """
-    walk = written(mapped(methods, walk_rows, WALK), "walk")
-    known = effects(methods, walk.where("kind = 'effect'").select("method_id", "key", "takes", "gives"))
-    events = walk.where("kind <> 'effect'").drop("takes", "gives")
+    return after_walk(methods, written(mapped(methods, walk_rows, WALK), "walk"))
+
+
+def surveyed(methods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`effects_and_events`, and what `summaries` starts from, all of the same walk: methods are read into Python once."""
+    walk = written(mapped(methods, survey_rows, SURVEY), "survey")
+    return *after_walk(methods, walk), walk.where("kind = 'summary'").select(*arrow_schema(SUMMARY).names)
+
+
+def after_walk(methods: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Effects and events of a walk that knew no callee's effects."""
+    calls = walk.where("kind = 'call'").select("method_id", F.col("name").alias("key"))
+    known = effects(methods, walk.where("kind = 'effect'").select("method_id", "key", "takes", "gives"), calls)
+    events = walk.where("kind not in ('effect', 'summary')").select(*arrow_schema(EVENTS).names)
     if known.isEmpty():
         return known, events
-    callers = written(called_keys(methods).join(known, "key", "left_semi").select("method_id").distinct(), "effects-callers")
+    callers = written(calls.join(known, "key", "left_semi").select("method_id").distinct(), "effects-callers")
     again = walked(methods.join(callers, "method_id", "left_semi"), known)
     return known, written(events.join(callers, "method_id", "left_anti").unionByName(again), "events")
 
@@ -142,9 +153,9 @@ def transacting(methods: DataFrame) -> DataFrame:
     return methods.where(does).select("key").distinct()
 
 
-def remote_interfaces(classes: DataFrame) -> DataFrame:
-    """Classes at or below the remote-call interface."""
-    below = ancestors(classes).where(F.col("ancestor") == INTERFACE)
+def remote_interfaces(above: DataFrame) -> DataFrame:
+    """Classes at or below the remote-call interface, by the ancestors of all classes."""
+    below = above.where(F.col("ancestor") == INTERFACE)
     return below.select(F.col("child").alias("class")).distinct()
 
 
@@ -156,7 +167,7 @@ def calls_under_lock(classes: DataFrame, methods: DataFrame, closed_world: bool
     name = F.substring_index("sig", ":", 1)
     calls = calls.withColumn("held", F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE)))).where(F.size("held") > 0)
     calls = calls.join(transacting(methods).select(F.col("key").alias("name"), F.lit(True).alias("_does")), "name", "left")
-    calls = calls.join(remote_interfaces(classes).withColumn("_remote", F.lit(True)), "class", "left")
+    calls = calls.join(remote_interfaces(ancestors(classes)).withColumn("_remote", F.lit(True)), "class", "left")
     plumbing = F.startswith(name, F.lit("<")) | name.isin(*PLUMBING)
     served = F.coalesce("_does", F.lit(False)) | ((F.col("dispatch") == "interface") & F.coalesce("_remote", F.lit(False)))
     calls = calls.where(transaction(F.col("class"), name) | (~plumbing & served))

@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from ..functions.names import ABSTRACT, OPAQUE, flag
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
-from ..storage import written
-from .held import PLUMBING, effects_and_events, remote_interfaces, transacting
+from ..storage import is_written, written
+from .held import PLUMBING, remote_interfaces, surveyed, transacting
 from .naming import at_hand, canonical_sites, points_of
 
 #: The end of a span without a release.
@@ -232,19 +232,14 @@ class LaidIndex(Index):
         return known, self.of("methods", homes)
 
 
-def named_events(methods: DataFrame, events: DataFrame) -> DataFrame:
+def named_events(methods: DataFrame, events: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Events with canonical names: per method the first line at which a name is seen decides it for all of it."""
-    sites = canonical_sites(points_of(methods)).withColumnRenamed("lock", "canon")
-    line = F.coalesce("line", F.lit(0))
-    own = events.where("kind = 'acquire'").select("method_id", "key", "ord", F.lit(0).alias("pos"), F.col("name").alias("g"), line.alias("line"))
-    gone = events.where("kind = 'release' and enter is not null").select("method_id", "key", "ord", F.lit(0).alias("pos"), F.col("name").alias("g"), F.col("enter").alias("line"))
-    held = events.where("kind in ('acquire', 'call')").select("method_id", "key", "ord", line.alias("line"), F.explode("held").alias("g")).withColumn("pos", F.lit(1))
-    uses = own.unionByName(gone).unionByName(held)
-    # The order as one number, so that the aggregate hashes and doesn't sort; a name that stays as it is needs no entry.
-    first = uses.groupBy("method_id", "key", "g").agg(F.min_by("line", F.col("ord").cast("long") * 2 + F.col("pos")).alias("line"))
+    sites = canonical_sites(points_of(methods, found)).withColumnRenamed("lock", "canon")
+    # The walk tells where each name is seen first; a name that stays as it is needs no entry.
+    first = events.where("kind = 'name'").select("method_id", "key", F.col("name").alias("g"), "line")
     canon = first.join(sites, ["key", "line"]).where("canon <> g").select("method_id", "g", F.col("canon").alias("to"))
     maps = canon.groupBy("method_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "to"))).alias("_map"))
-    out = events.join(maps, "method_id", "left")
+    out = events.where("kind <> 'name'").join(written(maps, "name-maps"), "method_id", "left")
     to = lambda n: F.coalesce(F.try_element_at("_map", n), n)
     names = F.filter(F.transform("held", to), lambda n: ~F.startswith(n, F.lit(OPAQUE)))
     return out.withColumn("held", names).withColumn("name", F.when(F.col("kind").isin("acquire", "release"), to(F.col("name"))).otherwise(F.col("name"))).drop("_map")
@@ -268,13 +263,12 @@ def declared_at(rows: DataFrame, above: DataFrame, declared: DataFrame, cls: str
     return found.groupBy(*id_).agg(F.min_by("method_id", F.struct("steps", "method_id")).alias(name))
 
 
-def linked(calls: DataFrame, classes: DataFrame, methods: DataFrame, binder: DataFrame, cha_cap: int) -> DataFrame:
+def linked(calls: DataFrame, classes: DataFrame, above: DataFrame, methods: DataFrame, binder: DataFrame, cha_cap: int) -> DataFrame:
     """call_id, target and how: by the receiver's known class (receiver), else by the static class (class) and, if the
     receiver is neither known nor a formal, by overrides (override); calls on a formal also get the classes that
-    callers pass (formal). A target that is found twice has the first of these."""
+    callers pass (formal). A target that is found twice has the first of these. `above` are the ancestors of `classes`."""
     outside = calls.select(F.col("class").alias("child")).distinct().join(classes.select(F.col("class").alias("child")), "child", "left_anti")
-    above = ancestors(classes)
-    above = written(above.unionByName(outside.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("steps"))), "ancestors")
+    above = written(above.unionByName(outside.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("steps"))), "ancestors-outside")
     declared = written(methods.select("class", F.concat("name", F.lit(":"), "sig").alias("sig"), "method_id"), "declared")
     # Repeated declarations of a key: the last one counts.
     single = declared.groupBy("class", "sig").agg(F.max("method_id").alias("method_id"))
@@ -282,9 +276,10 @@ def linked(calls: DataFrame, classes: DataFrame, methods: DataFrame, binder: Dat
     receiver = F.when(F.col("dispatch") != "static", F.try_element_at("arg_types", F.lit(1)))
     calls = calls.withColumn("recv", F.when(open_ & (receiver != F.col("class")), receiver)).withColumn("formal", F.try_element_at("arg_formals", F.lit(1)))
     calls = written(calls, "raw-calls")
-    precise = declared_at(calls.where("recv is not null").select("call_id", "recv", "sig"), above, single, "recv", ["call_id"], "target")
+    # Each of these is read two or three times below.
+    precise = written(declared_at(calls.where("recv is not null").select("call_id", "recv", "sig"), above, single, "recv", ["call_id"], "target"), "targets-receiver")
     rest = calls.join(precise, "call_id", "left_anti")
-    static = declared_at(rest.select("call_id", "class", "sig"), above, single, "class", ["call_id"], "target")
+    static = written(declared_at(rest.select("call_id", "class", "sig"), above, single, "class", ["call_id"], "target"), "targets-class")
     remote = static.join(binder.select(F.col("method_id").alias("target")), "target", "left_semi").select("call_id")
     wide = rest.where(open_ & F.col("formal").isNull()).join(remote, "call_id", "left_anti").select("call_id", "class", "sig")
     few = declared.groupBy("sig").count().where(F.col("count") <= cha_cap).select("sig")
@@ -330,24 +325,26 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
     return relational.argmin(rows, ["from", "to"], ["dist", "method_id", "ord", "at"], ["method_id", "line", "dist"])
 
 
-def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, events: DataFrame | None = None) -> Index:
-    """`events` are those of all methods without locks on entry, where they are known already; `methods` are written then."""
+def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, survey: tuple[DataFrame, DataFrame] | None = None, above: DataFrame | None = None) -> Index:
+    """`survey` are the events of all methods without locks on entry and their facts, as of `surveyed`, and `above` the ancestors of
+    all classes, where they are known already; `methods` are written then."""
     # Read many times from here on, whatever they are derived from.
-    classes = written(classes, "classes")
-    if events is None:
+    classes = classes if is_written(classes) else written(classes, "classes")
+    above = written(ancestors(classes), "ancestors") if above is None else above
+    if survey is None:
         methods = at_hand(methods)
-        _, events = effects_and_events(methods)
-    events = written(named_events(methods, events), "named-events")
+        survey = surveyed(methods)[1:]
+    events = written(named_events(methods, *survey), "named-events")
     spans = written(spans_of(events), "spans")
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")
     calls = relational.numbered(calls, ["method_id", "ord"], "call_id").withColumnRenamed("method_id", "caller")
     calls = written(calls.withColumn("line", F.coalesce("line", F.lit(0))), "calls")
-    abstract = methods.where(flag(F.col("access"), ABSTRACT)).join(remote_interfaces(classes), "class", "left_semi").select("method_id")
+    abstract = methods.where(flag(F.col("access"), ABSTRACT)).join(remote_interfaces(above), "class", "left_semi").select("method_id")
     does = methods.join(transacting(methods), "key", "left_semi").select("method_id")
     named = methods.where(~F.startswith("name", F.lit("<")) & ~F.col("name").isin(*PLUMBING)).select("method_id")
     raw = methods.where((F.col("class") == "android.os.IBinder") & F.startswith("name", F.lit("transact"))).select("method_id")
     binder = written(abstract.union(does).distinct().join(named, "method_id", "left_semi").union(raw).distinct(), "binder")
-    targets = linked(calls, classes, methods, binder, cha_cap)
+    targets = linked(calls, classes, above, methods, binder, cha_cap)
     known = classes.select("class", F.lit(False).alias("_outside")).distinct()
     calls = written(calls.join(known, "class", "left").select("call_id", "caller", "line", "held", F.coalesce("_outside", F.lit(True)).alias("outside")), "call-sites")
     edges = targets.join(calls.select("call_id", "caller", "held"), "call_id")

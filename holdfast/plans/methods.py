@@ -353,6 +353,7 @@ SUMMARY = f"""method_id long, key string, class string, getter {VALUE}, sites ar
 EVENTS = """method_id long, key string, ord int, kind string, line int, name string, enter int, held array<string>, write boolean,
     class string, sig string, dispatch string, arg_types array<string>, arg_formals array<int>"""
 WALK = f"{EVENTS}, takes array<string>, gives array<string>"
+SURVEY = f"{WALK}, {SUMMARY.split('class string,')[1]}"
 
 
 def value_row(v: Value | None) -> dict | None:
@@ -402,6 +403,8 @@ def summary_rows(methods: Iterator[dict]) -> Iterator[dict]:
     for m in methods:
         getters = {g["key"]: value_of(g["value"]) for g in m.get("getters") or ()}
         s = summarize(m, getters)
+        if not any(s.values()):
+            continue
         yield {
             "method_id": m["method_id"], "key": m["key"], "class": m["class"], "getter": value_row(s["getter"]),
             "sites": [{"lock": value_row(v), "line": n} for v, n in s["sites"]],
@@ -423,7 +426,23 @@ def effect_rows(methods: Iterator[dict]) -> Iterator[dict]:
             yield {"method_id": m["method_id"], "key": m["key"], "takes": takes, "gives": gives}
 
 
+def first_lines(events: list[tuple]) -> dict[str, int]:
+    """For each name the line of its first use (0: unknown): taken, given back (then where it was taken), or held at a call or where
+    another is taken."""
+    first: dict[str, int] = {}
+    for kind, line, name, enter, held, _ in events:
+        if kind == "acquire":
+            first.setdefault(name, line or 0)
+        elif kind == "release" and enter is not None:
+            first.setdefault(name, enter)
+        if kind in ("acquire", "call"):
+            for n in held:
+                first.setdefault(n, line or 0)
+    return first
+
+
 def told(m: dict, events: list[tuple]) -> Iterator[dict]:
+    """A row for each event, and after them one of kind name for each lock's name, with its first line."""
     for ord_, (kind, line, name, enter, held, detail) in enumerate(events):
         row = {"method_id": m["method_id"], "key": m["key"], "ord": ord_, "kind": kind, "line": line, "name": name, "enter": enter, "held": held}
         if kind == "field":
@@ -432,6 +451,8 @@ def told(m: dict, events: list[tuple]) -> Iterator[dict]:
             _, i, types, formals = detail
             row |= {"class": i["class"], "sig": f"{i['name']}:{i['sig']}", "dispatch": i["kind"], "arg_types": types, "arg_formals": formals}
         yield row
+    for ord_, (name, line) in enumerate(first_lines(events).items(), len(events)):
+        yield {"method_id": m["method_id"], "key": m["key"], "ord": ord_, "kind": "name", "line": line, "name": name, "held": []}
 
 
 def event_rows(methods: Iterator[dict]) -> Iterator[dict]:
@@ -447,3 +468,11 @@ def walk_rows(methods: Iterator[dict]) -> Iterator[dict]:
         takes, gives = net_effect(ends)
         if takes or gives:
             yield {"method_id": m["method_id"], "key": m["key"], "ord": len(events), "kind": "effect", "takes": takes, "gives": gives}
+
+
+def survey_rows(methods: Iterator[dict]) -> Iterator[dict]:
+    """As `walk_rows`, and the method's facts, as far as they are known without getters, as one more row of kind summary."""
+    for m in methods:
+        yield from walk_rows((m,))
+        for s in summary_rows((m,)):
+            yield {"ord": -1, "kind": "summary"} | s

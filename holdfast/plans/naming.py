@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.names import AFFIXES, CUT, LONGEST_PATH, OF_FORMAL, STATIC, dotted, parameters
 from ..operators.relational import unique_or_null
-from ..storage import written
+from ..storage import is_written, spread_out, written
 from .methods import SUMMARY, batches_of, methods_in, summary_rows
 
 #: Aliases followed at most.
@@ -66,14 +66,23 @@ def extended(base: Column, more: Column) -> Column:
     return F.when(F.size(whole["fields"]) > LONGEST_PATH, cut).otherwise(whole)
 
 
-def summaries(methods: DataFrame) -> DataFrame:
-    """Per-method facts; getters are found in a first pass, so they resolve one level. First of a key only."""
-    first = written(methods.groupBy("key").agg(F.min("method_id").alias("method_id")), "first-methods")
-    own = methods.join(first.select("method_id"), "method_id", "left_semi")
-    giving = methods.where(F.exists("insns", lambda i: (i["op"] == "return") & i["src"].isNotNull()))
-    getters = mapped(giving, summary_rows, SUMMARY).where("getter is not null")
-    getters = written(getters.groupBy("key").agg(F.max_by("getter", "method_id").alias("value")), "getters")
-    return written(mapped(with_callees(own, getters, "getters"), summary_rows, SUMMARY), "summaries")
+def summaries(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Per-method facts, where there are any; getters are found in a first pass, so they resolve one level. First of a key only.
+
+    The first pass is over all methods (`found`, where it is done already; written); only those that call a getter are
+    gone through again.
+    """
+    found = written(mapped(methods, summary_rows, SUMMARY), "facts") if found is None else found
+    getters = found.where("getter is not null").groupBy("key").agg(F.max_by("getter", "method_id").alias("value"))
+    getters = written(getters, "getters")
+    facts = found
+    if not getters.isEmpty():
+        again = written(called_keys(methods).join(getters, "key", "left_semi").select("method_id").distinct(), "getters-callers")
+        new = mapped(with_callees(methods.join(again, "method_id", "left_semi"), getters, "getters"), summary_rows, SUMMARY)
+        facts = facts.join(again, "method_id", "left_anti").unionByName(new)
+    first = methods.groupBy("key").agg(F.min("method_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    later = methods.select("key", "method_id").join(first, "key").where("method_id > _first").select("method_id")
+    return written(facts.join(written(later, "later-methods"), "method_id", "left_anti"), "summaries")
 
 
 def called_keys(methods: DataFrame) -> DataFrame:
@@ -83,10 +92,13 @@ def called_keys(methods: DataFrame) -> DataFrame:
 
 
 def with_callees(methods: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """Adds to each method an array of the facts (by key) of the methods that it calls."""
+    """Adds to each method an array of the facts (by key) of the methods that it calls.
+
+    Methods are dealt out for what is done with them next: a walk takes much longer than its few bytes tell.
+    """
     called = called_keys(methods).join(facts, "key")
     lists = called.groupBy("method_id").agg(F.collect_list(F.struct("key", *[c for c in facts.columns if c != "key"])).alias(name))
-    return methods.join(lists, "method_id", "left")
+    return methods.repartition(spread_out(methods.sparkSession), "method_id").join(lists, "method_id", "left")
 
 
 def solved_formals(facts: DataFrame) -> DataFrame:
@@ -176,12 +188,15 @@ def at_hand(methods: DataFrame) -> DataFrame:
     """Methods written once, as they are read many times. Fewer partitions than cores are dealt out, as work on a
     method takes much longer than reading it."""
     cores = methods.sparkSession.sparkContext.defaultParallelism
-    return written(methods.repartition(cores, "method_id") if methods.rdd.getNumPartitions() < cores else methods, "methods")
+    few = methods.rdd.getNumPartitions() < cores
+    if is_written(methods) and not few:
+        return methods
+    return written(methods.repartition(cores, "method_id") if few else methods, "methods")
 
 
-def points_of(methods: DataFrame) -> DataFrame:
-    """`lock_points` of methods that are cheap to read again."""
-    facts = summaries(methods)
+def points_of(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """`lock_points` of methods that are cheap to read again; `found` is as for `summaries`."""
+    facts = summaries(methods, found)
     formals = solved_formals(facts)
     aliases = written(field_aliases(facts, formals), "aliases")
     sites = facts.select("method_id", "key", "class", F.posexplode("sites").alias("ord", "s"))

@@ -9,7 +9,7 @@ from ..functions.names import OPAQUE, STATIC
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
 from ..storage import written
-from .held import INTERFACE, effects_and_events, entry_locks, with_entries
+from .held import INTERFACE, entry_locks, surveyed, with_entries
 from .index import Index, build
 from .naming import at_hand
 
@@ -17,9 +17,8 @@ from .naming import at_hand
 THREADS = (("run:()V", "java.lang.Runnable"), ("run:()V", "java.lang.Thread"), ("handleMessage:(Landroid/os/Message;)V", "android.os.Handler"))
 
 
-def concurrent_methods(classes: DataFrame, methods: DataFrame, index: Index) -> DataFrame:
-    """method_id of all methods that a thread's entry point or a served remote call can reach."""
-    above = written(ancestors(classes), "ancestors")
+def concurrent_methods(above: DataFrame, methods: DataFrame, index: Index) -> DataFrame:
+    """method_id of all methods that a thread's entry point or a served remote call can reach; `above` are the ancestors of all classes."""
     sig = F.concat("name", F.lit(":"), "sig")
     own = methods.where((F.col("access").bitwiseAND(STATIC) == 0) & ~F.startswith("name", F.lit("<"))).select("method_id", F.col("class").alias("child"), sig.alias("sig"))
     mine = own.join(above.where("steps > 0"), "child")
@@ -28,7 +27,8 @@ def concurrent_methods(classes: DataFrame, methods: DataFrame, index: Index) ->
     roots = mine.join(served, ["ancestor", "sig"], "left_semi").select("method_id")
     for s, cls in THREADS:
         roots = roots.union(mine.where((F.col("sig") == s) & (F.col("ancestor") == cls)).select("method_id"))
-    edges = index.call_edges().select("src", "dst").distinct()
+    # Read in each round of the search.
+    edges = written(index.call_edges().select("src", "dst").distinct(), "edges")
     return graphs.reachable(edges, roots.select(F.col("method_id").alias("node"))).withColumnRenamed("node", "method_id")
 
 
@@ -75,10 +75,11 @@ def races(classes: DataFrame, methods: DataFrame, flags: DataFrame, min_guarded:
     The counts are always of all accesses.
     """
     methods = at_hand(methods)
-    known, events = effects_and_events(methods)
-    index = index or build(classes, methods, events=events, **options)
+    known, events, facts = surveyed(methods)
+    above = written(ancestors(classes), "ancestors")
+    index = index or build(classes, methods, survey=(events, facts), above=above, **options)
     at = field_accesses(methods, index, known, events).join(flags, "field", "left_anti")
-    threads = concurrent_methods(classes, methods, index).withColumn("concurrent", F.lit(True))
+    threads = concurrent_methods(above, methods, index).withColumn("concurrent", F.lit(True))
     at = at.join(threads, "method_id", "left").join(index.methods.select("method_id", "key", "file"), "method_id")
     access = F.struct(F.col("key").alias("method"), F.when(F.col("file") != "", F.col("file")).alias("file"), "line", "write", "held", F.coalesce("concurrent", F.lit(False)).alias("concurrent"))
     at = written(at.select("field", "held", "write", "unlocked", access.alias("access")), "accesses")

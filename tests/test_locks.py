@@ -4,6 +4,7 @@ import json
 
 import programs
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.plans.held import calls_under_lock, effects, walked
 from holdfast.plans.index import Index, build
@@ -148,3 +149,65 @@ def test_methods_are_walked_once(spark, monkeypatch):
     sizes.clear()
     build(classes, methods)
     assert sum(sizes) <= 8 + 2
+
+
+def test_programs_and_walks_are_dealt_out(spark, monkeypatch):
+    """A program for each of some rows of one file, and methods by what they call: few bytes, much work, so never a single task."""
+    from holdfast.plans.naming import called_keys, with_callees
+    from holdfast.sources import sketches
+
+    p = Program()
+    p.cls("t.A{k}")
+    p.method("a:()V", ["iget 0 3 t.A{k}.m", "enter 0", "virtual 3 t.A{k}.b:()V", "exit 0", "return"], lines=1)
+    p.method("b:()V", ["return"], lines=2)
+    parts, kept = {}, sketches.written
+    monkeypatch.setattr(sketches, "written", lambda df, name: (parts.setdefault(name, df.rdd.getNumPartitions()), kept(df, name))[1])
+    rows = spark.range(40).select(F.col("id").alias("k")).coalesce(1)
+    classes, methods, _ = p.spread(rows, "k")
+    assert parts["methods"] >= 4 and methods.count() == 80
+    # Numbers go by artifact, class and method, and are those of no other method.
+    got = [r["class"] + r.key[-5] for r in methods.orderBy("method_id").collect()]
+    assert got == [f"t.A{k}{m}" for k in range(40) for m in "ab"] and methods.select("method_id").distinct().count() == 80
+    effect = called_keys(methods).select("key", F.lit(1).alias("x"))
+    sizes = with_callees(methods, effect, "effects").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and sum(r["count"] for r in sizes) == 80
+
+
+def test_methods_are_read_once_for_all_they_tell(spark, monkeypatch):
+    """Walk and facts are of one way through the methods; only callers of getters and of methods with an effect are read again."""
+    from holdfast.plans import held, naming
+
+    p = Program()
+    p.cls("t.A")
+    p.method("get:()Ljava/lang/Object;", ["iget 0 3 t.A.m", "return 0"], lines=1)
+    p.method("via:()V", ["virtual 3 t.A.get:()Ljava/lang/Object;", "move_result 0", "enter 0", "exit 0", "return"], lines=2)
+    for j in range(6):
+        p.method(f"plain{j}:()V", ["iget 0 3 t.A.n", "enter 0", "exit 0", "return"], lines=10 + j)
+    classes, methods, _ = p.tables(spark)
+    read = []
+    for module in (held, naming):
+        monkeypatch.setattr(module, "mapped", lambda rows, make, ddl, kept=module.mapped: read.append(rows.count()) or kept(rows, make, ddl))
+    index = build(classes, methods)
+    assert sum(read) == 8 + 1
+    assert {(r.lock, r.enter) for r in index.spans.collect()} == {("t.A.m", 2)} | {("t.A.n", 10 + j) for j in range(6)}
+
+
+def test_facts_of_repeated_keys_are_those_of_the_first(spark):
+    """A key that comes twice: the first has no facts, the second locks; names and getters go by the first and the last as before."""
+    p = Program()
+    p.cls("t.A")
+    p.method("twice:()V", ["return"], lines=1)
+    p.method("twice:()V", ["iget 0 3 t.A.m", "enter 0", "exit 0", "return"], lines=2)
+    p.method("once:()V", ["iget 0 3 t.A.m", "enter 0", "exit 0", "return"], lines=3)
+    _, methods, _ = p.tables(spark)
+    assert [(r.method, r.line) for r in lock_points(methods).collect()] == [("t.A.once:()V", 3)]
+
+
+def test_first_lines():
+    from holdfast.plans.methods import first_lines
+
+    events = [
+        ("acquire", None, "a", None, ["e"], None), ("field", 1, "f", None, ["x"], None), ("release", 4, "b", 3, [], None), ("release", 4, "y", None, [], None),
+        ("call", 5, "k", None, ["a", "c"], None), ("acquire", 6, "c", None, ["a", "b"], None),
+    ]
+    assert first_lines(events) == {"a": 0, "e": 0, "b": 3, "c": 5}
