@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import OPAQUE, PRIVATE, flag
 from ..sources.facts import ancestors
-from ..storage import written
+from ..storage import without, written
 from .methods import EVENTS, LOCK_CALLS, SUMMARY, SURVEY, WALK, effect_rows, event_rows, survey_rows, walk_rows
 from .naming import arrow_schema, at_hand, called_keys, mapped, with_callees
 
@@ -52,28 +54,32 @@ def walked(methods: DataFrame, known: DataFrame, entry: DataFrame | None = None)
 
 
 def effects_and_events(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`effects`, and all events with these (written). All methods are walked once, for both; only those that call a method with
+    """`effects`, and all events with these, of written tables. All methods are walked once, for both; only those that call a method with
     an effect are walked again. `methods` are written already.
     """
     return after_walk(methods, written(mapped(methods, walk_rows, WALK), "walk"))
 
 
-def surveyed(methods: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """`effects_and_events`, and what `summaries` starts from, all of the same walk: methods are read into Python once."""
-    walk = written(mapped(methods, survey_rows, SURVEY), "survey")
+def surveyed(methods: DataFrame, fields: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`effects_and_events`, and what `summaries` starts from, all of the same walk: methods are read into Python once.
+
+    Events of kind field, of which code has most, can be left out where nothing asks for `fields`.
+    """
+    walk = written(mapped(methods, partial(survey_rows, fields=fields), SURVEY), "survey")
     return *after_walk(methods, walk), walk.where("kind = 'summary'").select(*arrow_schema(SUMMARY).names)
 
 
 def after_walk(methods: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Effects and events of a walk that knew no callee's effects."""
+    """Effects and events of a walk (written) that knew no callee's effects."""
     calls = walk.where("kind = 'call'").select("method_id", F.col("name").alias("key"))
     known = effects(methods, walk.where("kind = 'effect'").select("method_id", "key", "takes", "gives"), calls)
     events = walk.where("kind not in ('effect', 'summary')").select(*arrow_schema(EVENTS).names)
     if known.isEmpty():
         return known, events
     callers = written(calls.join(known, "key", "left_semi").select("method_id").distinct(), "effects-callers")
-    again = walked(methods.join(callers, "method_id", "left_semi"), known)
-    return known, written(events.join(callers, "method_id", "left_anti").unionByName(again), "events")
+    again = written(walked(methods.join(callers, "method_id", "left_semi"), known), "events-again")
+    # Those of all other methods stay where the walk has put them.
+    return known, without(events, callers, "method_id", "events-kept").unionByName(again)
 
 
 def with_entries(methods: DataFrame, known: DataFrame, events: DataFrame, entry: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql.types import StructType
 from ..functions.names import ABSTRACT, OPAQUE, flag
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
-from ..storage import is_written, written
+from ..storage import is_written, side_by_side, written
 from .held import PLUMBING, remote_interfaces, surveyed, transacting
-from .naming import at_hand, canonical_sites, points_of
+from .naming import at_hand, canonical_sites, sites_of
 
 #: The end of a span without a release.
 TO_END = 2**32 - 1
@@ -234,12 +234,13 @@ class LaidIndex(Index):
 
 def named_events(methods: DataFrame, events: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Events with canonical names: per method the first line at which a name is seen decides it for all of it."""
-    sites = canonical_sites(points_of(methods, found)).withColumnRenamed("lock", "canon")
+    sites = canonical_sites(sites_of(methods, found)).withColumnRenamed("lock", "canon")
     # The walk tells where each name is seen first; a name that stays as it is needs no entry.
     first = events.where("kind = 'name'").select("method_id", "key", F.col("name").alias("g"), "line")
     canon = first.join(sites, ["key", "line"]).where("canon <> g").select("method_id", "g", F.col("canon").alias("to"))
     maps = canon.groupBy("method_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "to"))).alias("_map"))
-    out = events.where("kind <> 'name'").join(written(maps, "name-maps"), "method_id", "left")
+    # Nothing here asks for accesses of fields.
+    out = events.where("kind not in ('name', 'field')").join(written(maps, "name-maps"), "method_id", "left")
     to = lambda n: F.coalesce(F.try_element_at("_map", n), n)
     names = F.filter(F.transform("held", to), lambda n: ~F.startswith(n, F.lit(OPAQUE)))
     return out.withColumn("held", names).withColumn("name", F.when(F.col("kind").isin("acquire", "release"), to(F.col("name"))).otherwise(F.col("name"))).drop("_map")
@@ -325,18 +326,9 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
     return relational.argmin(rows, ["from", "to"], ["dist", "method_id", "ord", "at"], ["method_id", "line", "dist"])
 
 
-def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, survey: tuple[DataFrame, DataFrame] | None = None, above: DataFrame | None = None) -> Index:
-    """`survey` are the events of all methods without locks on entry and their facts, as of `surveyed`, and `above` the ancestors of
-    all classes, where they are known already; `methods` are written then."""
-    # Read many times from here on, whatever they are derived from.
-    classes = classes if is_written(classes) else written(classes, "classes")
-    above = written(ancestors(classes), "ancestors") if above is None else above
-    if survey is None:
-        methods = at_hand(methods)
-        survey = surveyed(methods)[1:]
-    events = written(named_events(methods, *survey), "named-events")
-    spans = written(spans_of(events), "spans")
-    calls = events.where("kind = 'call'").select("method_id", "ord", "line", "held", "class", "sig", "dispatch", "arg_types", "arg_formals")
+def linked_events(classes: DataFrame, methods: DataFrame, events: DataFrame, above: DataFrame, cha_cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls (call_id, caller, ord, line, outside), numbered in the order of methods; methods that a remote call enters; `linked` targets."""
+    calls = events.where("kind = 'call'").select("method_id", "ord", "line", "class", "sig", "dispatch", "arg_types", "arg_formals")
     calls = relational.numbered(calls, ["method_id", "ord"], "call_id").withColumnRenamed("method_id", "caller")
     calls = written(calls.withColumn("line", F.coalesce("line", F.lit(0))), "calls")
     abstract = methods.where(flag(F.col("access"), ABSTRACT)).join(remote_interfaces(above), "class", "left_semi").select("method_id")
@@ -346,7 +338,26 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
     binder = written(abstract.union(does).distinct().join(named, "method_id", "left_semi").union(raw).distinct(), "binder")
     targets = linked(calls, classes, above, methods, binder, cha_cap)
     known = classes.select("class", F.lit(False).alias("_outside")).distinct()
-    calls = written(calls.join(known, "class", "left").select("call_id", "caller", "line", "held", F.coalesce("_outside", F.lit(True)).alias("outside")), "call-sites")
+    calls = calls.join(known, "class", "left").select("call_id", "caller", "ord", "line", F.coalesce("_outside", F.lit(True)).alias("outside"))
+    return calls, binder, targets
+
+
+def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, survey: tuple[DataFrame, DataFrame] | None = None, above: DataFrame | None = None) -> Index:
+    """`survey` are the events of all methods without locks on entry and their facts, as of `surveyed`, and `above` the ancestors of
+    all classes, where they are known already; `methods` are written then."""
+    # Read many times from here on, whatever they are derived from.
+    spark, classes = classes.sparkSession, classes if is_written(classes) else written(classes, "classes")
+    methods = at_hand(methods) if survey is None else methods
+    survey, above = side_by_side(
+        spark, lambda: surveyed(methods, fields=False)[1:] if survey is None else survey, lambda: written(ancestors(classes), "ancestors") if above is None else above
+    )
+    # What a call leads to doesn't hang on the names of the locks held there.
+    events, (calls, binder, targets) = side_by_side(
+        spark, lambda: written(named_events(methods, *survey), "named-events"), lambda: linked_events(classes, methods, survey[0], above, cha_cap)
+    )
+    spans = written(spans_of(events), "spans")
+    held = events.where("kind = 'call'").select(F.col("method_id").alias("caller"), "ord", "held")
+    calls = written(calls.join(held, ["caller", "ord"]).select("call_id", "caller", "line", "held", "outside"), "call-sites")
     edges = targets.join(calls.select("call_id", "caller", "held"), "call_id")
     start = edges.select(F.col("target").alias("node"), F.explode("held").alias("label"), F.col("caller").alias("pred"), F.col("call_id").alias("via"))
     ways = edges.groupBy(F.col("caller").alias("src"), F.col("target").alias("dst")).agg(F.min("call_id").alias("via"))

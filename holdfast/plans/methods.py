@@ -336,7 +336,7 @@ def held_locks(m: dict, entry: list[str], effects: dict[str, tuple[list[str], li
 
 def net_effect(ends: list[State]) -> tuple[list[str], list[str]]:
     """Locks that all returns still hold, and that all have released for the caller, sorted."""
-    if not ends:
+    if not any(held or owed for held, owed in ends):
         return [], []
     both = []
     for pick in (lambda s: {n for n, _ in s[0]}, lambda s: set(s[1])):
@@ -377,8 +377,13 @@ def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int = 2_000) -> It
 
 def plain(column: pa.Array) -> list:
     """Python values of a column; nested ones are taken apart, so that values are read by the column, not one by one."""
+    if not len(column):
+        # Without rows there may be no offsets either.
+        return []
     if pa.types.is_list(column.type):
-        ends, inside = column.offsets.to_pylist(), plain(column.values)
+        # Of a slice only what it holds.
+        ends = column.offsets.to_numpy().tolist()
+        inside, ends = plain(column.values.slice(ends[0], ends[-1] - ends[0])), [e - ends[0] for e in ends]
         out = [inside[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     elif pa.types.is_struct(column.type):
         names = [f.name for f in column.type]
@@ -388,15 +393,17 @@ def plain(column: pa.Array) -> list:
     return [v if there else None for v, there in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
 
 
-def methods_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def methods_in(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[dict]:
+    """Methods as Python values, `size` of a batch at a time: more of them at once don't stay near the processor."""
     for batch in batches:
-        for values in zip(*map(plain, batch.columns), strict=True):
-            m = dict(zip(batch.schema.names, values, strict=True))
-            for name in ("insns", "positions", "catches"):
-                m[name] = m[name] or []
-            for i in m["insns"]:
-                i["args"] = i["args"] or []
-            yield m
+        for at in range(0, batch.num_rows, size):
+            for values in zip(*map(plain, batch.slice(at, size).columns), strict=True):
+                m = dict(zip(batch.schema.names, values, strict=True))
+                for name in ("insns", "positions", "catches"):
+                    m[name] = m[name] or []
+                for i in m["insns"]:
+                    i["args"] = i["args"] or []
+                yield m
 
 
 def summary_rows(methods: Iterator[dict]) -> Iterator[dict]:
@@ -441,9 +448,12 @@ def first_lines(events: list[tuple]) -> dict[str, int]:
     return first
 
 
-def told(m: dict, events: list[tuple]) -> Iterator[dict]:
-    """A row for each event, and after them one of kind name for each lock's name, with its first line."""
+def told(m: dict, events: list[tuple], fields: bool = True) -> Iterator[dict]:
+    """A row for each event, and after them one of kind name for each lock's name, with its first line. Accesses of fields are
+    left out, their numbers unused, if `fields` is false."""
     for ord_, (kind, line, name, enter, held, detail) in enumerate(events):
+        if kind == "field" and not fields:
+            continue
         row = {"method_id": m["method_id"], "key": m["key"], "ord": ord_, "kind": kind, "line": line, "name": name, "enter": enter, "held": held}
         if kind == "field":
             row["write"] = detail[2]
@@ -460,19 +470,19 @@ def event_rows(methods: Iterator[dict]) -> Iterator[dict]:
         yield from told(m, held_locks(m, m.get("entry") or [], known_effects(m))[0])
 
 
-def walk_rows(methods: Iterator[dict]) -> Iterator[dict]:
+def walk_rows(methods: Iterator[dict], fields: bool = True) -> Iterator[dict]:
     """Events, and the method's own effect as one more row of kind effect, of one walk that knows no callee's effects."""
     for m in methods:
         events, ends = held_locks(m, [], {})
-        yield from told(m, events)
+        yield from told(m, events, fields)
         takes, gives = net_effect(ends)
         if takes or gives:
             yield {"method_id": m["method_id"], "key": m["key"], "ord": len(events), "kind": "effect", "takes": takes, "gives": gives}
 
 
-def survey_rows(methods: Iterator[dict]) -> Iterator[dict]:
+def survey_rows(methods: Iterator[dict], fields: bool = True) -> Iterator[dict]:
     """As `walk_rows`, and the method's facts, as far as they are known without getters, as one more row of kind summary."""
     for m in methods:
-        yield from walk_rows((m,))
+        yield from walk_rows((m,), fields)
         for s in summary_rows((m,)):
             yield {"ord": -1, "kind": "summary"} | s

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.names import AFFIXES, CUT, LONGEST_PATH, OF_FORMAL, STATIC, dotted, parameters
 from ..operators.relational import unique_or_null
-from ..storage import is_written, spread_out, written
+from ..storage import is_written, spread_out, without, written
 from .methods import SUMMARY, batches_of, methods_in, summary_rows
 
 #: Aliases followed at most.
@@ -33,7 +33,14 @@ def mapped(rows: DataFrame, make, ddl: str) -> DataFrame:
     rows = rows.withColumn("insns", named).select(*[c for c in NEEDED if c in rows.columns])
 
     def run(batches):
-        yield from batches_of(make(methods_in(batches)), schema)
+        # Methods are made of many small values without cycles: looking for those takes longer than the walk.
+        import gc
+
+        gc.disable()
+        try:
+            yield from batches_of(make(methods_in(batches)), schema)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, ddl)
 
@@ -79,10 +86,11 @@ def summaries(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
     if not getters.isEmpty():
         again = written(called_keys(methods).join(getters, "key", "left_semi").select("method_id").distinct(), "getters-callers")
         new = mapped(with_callees(methods.join(again, "method_id", "left_semi"), getters, "getters"), summary_rows, SUMMARY)
-        facts = facts.join(again, "method_id", "left_anti").unionByName(new)
+        # What the first pass found stays where it is.
+        facts = without(facts, again, "method_id", "facts-kept").unionByName(written(new, "facts-again"))
     first = methods.groupBy("key").agg(F.min("method_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    later = methods.select("key", "method_id").join(first, "key").where("method_id > _first").select("method_id")
-    return written(facts.join(written(later, "later-methods"), "method_id", "left_anti"), "summaries")
+    later = written(methods.select("key", "method_id").join(first, "key").where("method_id > _first").select("method_id"), "later-methods")
+    return facts if later.isEmpty() else without(facts, later, "method_id", "summaries")
 
 
 def called_keys(methods: DataFrame) -> DataFrame:
@@ -96,6 +104,8 @@ def with_callees(methods: DataFrame, facts: DataFrame, name: str) -> DataFrame:
 
     Methods are dealt out for what is done with them next: a walk takes much longer than its few bytes tell.
     """
+    # They are read twice: what they are chosen from, with all code, once.
+    methods = written(methods, "called-again")
     called = called_keys(methods).join(facts, "key")
     lists = called.groupBy("method_id").agg(F.collect_list(F.struct("key", *[c for c in facts.columns if c != "key"])).alias(name))
     return methods.repartition(spread_out(methods.sparkSession), "method_id").join(lists, "method_id", "left")
@@ -163,16 +173,26 @@ def field_aliases(facts: DataFrame, formals: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame, lock: str, aliases: DataFrame) -> DataFrame:
-    """Follows aliases of the lock column, its mode kept, for at most HOPS steps."""
-    aliases = aliases.select("field", F.col("lock").alias("_to"))
-    for _ in range(HOPS):
-        v = F.col(lock)
-        bare = rendered(made(v["kind"], v["text"], v["fields"], F.lit("")))
-        rows = rows.withColumn("_bare", F.when(v["kind"].isin("recv", "static"), bare))
-        rows = rows.join(aliases, F.col("_bare") == F.col("field"), "left")
-        moved = made(F.col("_to.kind"), F.col("_to.text"), F.col("_to.fields"), v["mode"])
-        rows = rows.withColumn(lock, F.when(F.col("_to").isNotNull(), moved).otherwise(v)).drop("_bare", "field", "_to")
-    return rows
+    """Follows aliases of the lock column, its mode kept, for at most HOPS steps.
+
+    A way depends on the name alone: the few aliases are followed to their ends first, and each row takes one step.
+    """
+    step = aliases.select("field", F.col("lock").alias("_to"))
+    ends = aliases.select(F.col("field").alias("_name"), F.col("lock").alias("_end"))
+    for _ in range(HOPS - 1):
+        ends = moved_on(ends, "_end", step)
+    ends = written(ends.select(F.col("_name").alias("field"), F.col("_end").alias("_to")), "alias-ends")
+    return moved_on(rows, lock, ends)
+
+
+def moved_on(rows: DataFrame, lock: str, to: DataFrame) -> DataFrame:
+    """The lock column, its mode kept, after one step along `to` (field, _to), where there is one."""
+    v = F.col(lock)
+    bare = rendered(made(v["kind"], v["text"], v["fields"], F.lit("")))
+    rows = rows.withColumn("_bare", F.when(v["kind"].isin("recv", "static"), bare))
+    rows = rows.join(to, F.col("_bare") == F.col("field"), "left")
+    moved = made(F.col("_to.kind"), F.col("_to.text"), F.col("_to.fields"), v["mode"])
+    return rows.withColumn(lock, F.when(F.col("_to").isNotNull(), moved).otherwise(v)).drop("_bare", "field", "_to")
 
 
 def lock_points(methods: DataFrame) -> DataFrame:
@@ -196,6 +216,12 @@ def at_hand(methods: DataFrame) -> DataFrame:
 
 def points_of(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """`lock_points` of methods that are cheap to read again; `found` is as for `summaries`."""
+    sites = sites_of(methods, found).join(methods.select("method_id", "source_file"), "method_id")
+    return sites.select("class", "method", "source_file", "line", "lock")
+
+
+def sites_of(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """method_id, class, method, line and lock of `points_of`."""
     facts = summaries(methods, found)
     formals = solved_formals(facts)
     aliases = written(field_aliases(facts, formals), "aliases")
@@ -206,15 +232,15 @@ def points_of(methods: DataFrame, found: DataFrame | None = None) -> DataFrame:
     kinds = parameters(F.col("sig"))
     first = F.when(F.col("access").bitwiseAND(STATIC) != 0, 0).otherwise(1)
     wide = F.transform(kinds, lambda d: F.when(d.isin("J", "D"), 2).otherwise(1))
-    declared = methods.select("method_id", first.alias("first"), wide.alias("wide"), F.posexplode(kinds).alias("at", "d"))
+    objects = methods.where(F.contains(F.substring_index("sig", ")", 1), F.lit("L")))
+    declared = objects.select("method_id", first.alias("first"), wide.alias("wide"), F.posexplode(kinds).alias("at", "d"))
     word = F.col("first") + F.aggregate(F.slice("wide", 1, F.col("at")), F.lit(0), lambda a, w: a + w)
     declared = declared.where("d like 'L%'").select("method_id", word.alias("formal"), dotted(F.col("d")).alias("declared"))
     sites = sites.join(declared, ["method_id", "formal"], "left")
     plain = F.col("bound").isNull() & F.col("declared").isNotNull() & (F.size("lock.fields") == 0)
     start = F.coalesce(F.when(F.col("bound").isNotNull(), extended(F.col("bound"), F.col("lock"))), grounded(F.col("lock"), F.col("class"), F.col("key")))
     sites = canonical(sites.withColumn("at", start).withColumn("typed", F.when(plain, F.col("declared"))), "at", aliases)
-    sites = sites.join(methods.select("method_id", "source_file"), "method_id")
-    return sites.select("class", F.col("key").alias("method"), "source_file", "line", F.coalesce("typed", rendered(F.col("at"))).alias("lock"))
+    return sites.select("method_id", "class", F.col("key").alias("method"), "line", F.coalesce("typed", rendered(F.col("at"))).alias("lock"))
 
 
 def canonical_sites(points: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from ..storage import spread_out, written
+from ..storage import side_by_side, spread_out, written
 from .facts import CLASSES, FIELD_FLAGS, METHODS, merged
 
 BLANK = dict.fromkeys(("dst", "src", "base", "class", "field", "ty", "targets", "kind", "args", "name", "sig"))
@@ -51,15 +51,20 @@ def instruction(offset: int, text: str) -> dict:
     return i
 
 
-def filled(value: Column, kind: DataType, marks: list[str]) -> Column:
-    """A column with the marks in all its texts replaced by the row's values."""
+def filled(value: Column, kind: DataType, marks: list[str], texts: list) -> Column:
+    """A column with the marks in all its texts replaced by the row's values. `texts` are all values that it has before: only marks that
+    are in one of them are looked for."""
+    texts = [t for t in texts if t is not None]
+    marks = [m for m in marks if f"{{{m}}}" in repr(texts)]
+    if not marks:
+        return value
     if isinstance(kind, StringType):
         for m in marks:
             value = F.replace(value, F.lit(f"{{{m}}}"), F.col(m).cast("string"))
     elif isinstance(kind, ArrayType):
-        value = F.transform(value, lambda v: filled(v, kind.elementType, marks))
+        value = F.transform(value, lambda v: filled(v, kind.elementType, marks, [x for t in texts for x in t]))
     elif isinstance(kind, StructType):
-        value = F.struct(*[filled(value[f.name], f.dataType, marks).alias(f.name) for f in kind])
+        value = F.struct(*[filled(value[f.name], f.dataType, marks, [t[f.name] for t in texts]).alias(f.name) for f in kind])
     return value
 
 
@@ -101,11 +106,14 @@ class Program:
             which = F.expr(f"filter(array({', '.join(f'if({only.get(i, default)}, {i}, null)' for i in range(len(made)))}), i -> i is not null)")
             laid = rows.select(*marks, F.explode(which).alias("_line")).join(F.broadcast(lines), "_line")
             fields = StructType.fromDDL(ddl)
-            columns = [F.col(copy).cast("int").alias(f.name) if f.name == "artifact_ord" else filled(F.col(f.name), f.dataType, marks).alias(f.name) for f in fields]
+            columns = [F.col(copy).cast("int").alias(f.name) if f.name == "artifact_ord" else filled(F.col(f.name), f.dataType, marks, [values[j] for values in made]).alias(f.name) for j, f in enumerate(fields)]
             return written(laid.select(*columns), name)
 
         # A row here is a program there: few bytes that fit one task make many methods.
         rows = rows.repartition(spread_out(rows.sparkSession), copy)
         marks = sorted({copy, *re.findall(r"\{(\w+)\}", repr((self.classes, self.methods, self.flags)))})
-        flags = table("flags", FIELD_FLAGS, [(f,) for f in self.flags], {}, flagged)
-        return merged(table("classes", CLASSES, self.classes, {}), table("methods", METHODS, self.methods, self.only), flags)
+        flags, classes, methods = side_by_side(
+            rows.sparkSession, lambda: table("flags", FIELD_FLAGS, [(f,) for f in self.flags], {}, flagged),
+            lambda: table("classes", CLASSES, self.classes, {}), lambda: table("methods", METHODS, self.methods, self.only),
+        )
+        return merged(classes, methods, flags)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,27 @@ def spread_out(spark: SparkSession, n_rows: int = 0, each: int = ROWS_EACH) -> i
     return -(-n // cores) * cores
 
 
+def side_by_side(spark: SparkSession, *makers: Callable) -> list:
+    """What functions give that need nothing of each other, made at the same time: their many small jobs fill the cores together."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(len(makers)) as pool:
+        going = [pool.apply_async(inheritable_thread_target(spark)(make)) for make in makers]
+        return [one.get() for one in going]
+
+
+#: Keys that a join hands to each task without a shuffle, about.
+FEW_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
+    """`rows` of a written table without those of `keys` (written): read anew each time while the keys are few, else written once."""
+    rest = rows.join(keys, on, "left_anti")
+    return rest if keys.count() <= FEW_KEYS else written(rest, name)
+
+
 def open_shared(uri: str, mode: str):
     """A file in a shared folder, whichever file system that is in."""
     from pyarrow import fs

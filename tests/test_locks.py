@@ -211,3 +211,40 @@ def test_first_lines():
         ("call", 5, "k", None, ["a", "c"], None), ("acquire", 6, "c", None, ["a", "b"], None),
     ]
     assert first_lines(events) == {"a": 0, "e": 0, "b": 3, "c": 5}
+
+
+def test_what_was_walked_stays_where_it_is(spark, monkeypatch):
+    """Of events and facts only those of methods that are walked again are written again, and an index writes no accesses of fields."""
+    from holdfast.plans import held, naming
+
+    p, lock = Program(), "java.util.concurrent.locks.ReentrantLock"
+    p.cls("t.A")
+    p.method("take:()V", ["iget 0 3 t.A.mL", f"virtual 0 {lock}.lock:()V", "return"], lines=1)
+    p.method("span:()V", ["direct 3 t.A.take:()V", "iget 1 3 t.A.mX", "return"], lines={0: 2, 1: 3})
+    p.method("get:()Ljava/lang/Object;", ["iget 0 3 t.A.m", "return 0"], lines=4)
+    p.method("via:()V", ["virtual 3 t.A.get:()Ljava/lang/Object;", "move_result 0", "enter 0", "exit 0", "return"], lines=5)
+    for j in range(6):
+        p.method(f"plain{j}:()V", ["iget 0 3 t.A.n", "enter 0", "exit 0", "return"], lines=10 + j)
+    classes, methods, _ = p.tables(spark)
+    keys = {r.method_id: r.key for r in methods.collect()}
+    tables = []
+    for module in (held, naming):
+        monkeypatch.setattr(module, "written", lambda df, name, kept=module.written: tables.append((name, kept(df, name))) or tables[-1][1])
+    index = build(classes, methods)
+    told = {name: {keys[r.method_id] for r in t.select("method_id").collect()} for name, t in tables if name.startswith(("events", "facts", "summaries"))}
+    assert set().union(*told.values()) <= {"t.A.span:()V", "t.A.via:()V"}
+    assert not [r for name, t in tables if name == "survey" for r in t.where("kind = 'field'").collect()]
+    assert {(r.lock, r.enter) for r in index.spans.collect()} == {("t.A.mL", 1), ("t.A.mL", 2), ("t.A.m", 5)} | {("t.A.n", 10 + j) for j in range(6)}
+
+
+def test_methods_are_taken_apart_piece_by_piece():
+    """Pieces of a batch, of which some have no lists at all, give what the whole gives."""
+    import pyarrow as pa
+
+    from holdfast.plans.methods import methods_in
+
+    insns = [[{"offset": k, "args": [k, k + 1] if k % 2 else None} for k in range(n)] for n in (2, 0, 3, 0, 0, 1)] + [None]
+    batch = pa.RecordBatch.from_pylist([{"method_id": j, "insns": i, "positions": [{"offset": j}], "catches": []} for j, i in enumerate(insns)])
+    want = [{"method_id": j, "insns": [{"offset": i["offset"], "args": i["args"] or []} for i in own or []], "positions": [{"offset": j}], "catches": []} for j, own in enumerate(insns)]
+    for size in (1, 2, 3, 100):
+        assert list(methods_in(iter([batch, batch.slice(1, 3)]), size)) == want + want[1:4]
