@@ -58,7 +58,7 @@ def run_remote(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_index(spark: SparkSession, args: argparse.Namespace) -> None:
     classes, methods, _ = facts(spark, args)
-    build(classes, methods, args.cha_cap, args.max_depth, args.order_depth).write(args.output)
+    build(classes, methods, args.max_depth, args.order_depth).write(args.output)
 
 
 def run_ask(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -117,7 +117,7 @@ def parser() -> argparse.ArgumentParser:
     p = over_facts(command("remote", run_remote, "remote_calls"))
     p.add_argument("--closed-world", action="store_true")
     p = over_facts(command("index", run_index, "lock_index"))
-    for name, default in (("--cha-cap", 16), ("--max-depth", 8), ("--order-depth", 3)):
+    for name, default in (("--max-depth", 8), ("--order-depth", 3)):
         p.add_argument(name, type=int, default=default)
     p = command("ask", run_ask, None, "folder of an index")
     for name in ("--at", "--method", "--lock"):

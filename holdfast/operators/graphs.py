@@ -80,21 +80,32 @@ def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     return known
 
 
-def traced(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+def traced(edges: DataFrame, start: DataFrame, depth: int, hubs: DataFrame | None = None) -> DataFrame:
     """As `reach`, with pred: where a shortest way of the label to the node comes from.
 
     `edges` (src, dst, via) and `start` (node, label, pred, via); of several ways the least via decides, then the
     least pred. The level that first reaches a node settles its pred with it, so one search finds distances and ways.
+    Nodes below zero of edges' dst and of `start` are `hubs` (hub, node): what comes to one is in the same step at all its nodes, by
+    the same way; of those that bring a label to a hub only the best goes on.
     """
     way = lambda pred: F.min(F.struct("via", pred)).alias("way")
     edges = edges.withColumnRenamed("src", "pred")
-    first = start.where("label is not null").groupBy("node", "label").agg(way("pred"))
+
+    def arrived(rows: DataFrame) -> DataFrame:
+        """node, label and the best way of rows (node, label, via, pred)."""
+        if hubs is not None:
+            rows = rows.select("node", "label", "via", "pred")
+            best = rows.where("node < 0").groupBy(F.col("node").alias("hub"), "label").agg(way("pred"))
+            rows = rows.where("node >= 0").unionByName(best.join(hubs, "hub").select("node", "label", "way.via", "way.pred"))
+        return rows.groupBy("node", "label").agg(way("pred"))
+
+    first = arrived(start.where("label is not null"))
     level = written(first.select("node", "label", F.lit(1).alias("dist"), "way.pred"), "level")
     known, at = level, 1
     while at < depth and not level.isEmpty():
         at += 1
         near = level.select(F.col("node").alias("pred"), "label")
-        moved = near.join(edges, "pred").groupBy(F.col("dst").alias("node"), "label").agg(way("pred"))
+        moved = arrived(near.join(edges, "pred").withColumnRenamed("dst", "node"))
         moved = moved.join(known, ["node", "label"], "left_anti")
         level = written(moved.select("node", "label", F.lit(at).alias("dist"), "way.pred"), "level")
         known = known.unionByName(level)

@@ -151,6 +151,33 @@ def gates(pairs: DataFrame, held: DataFrame, key: list[str], site_a: str, site_b
     return pairs.join(least, key, "left")
 
 
+#: Rows of a key that one task pairs with all rows of that key on the other side, and pairs that one task makes, about.
+BLOCK, PAIRS_EACH = 1_024, 8_000_000
+
+
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs of rows of equal `key`, where both sides may have many rows of a key.
+
+    The right rows of a key are dealt to blocks of about BLOCK, and left rows are copied for each block of their key; blocks are dealt
+    to as many tasks as the pairs need. So no task holds or makes all of a key, and what is shuffled are rows and never pairs.
+    """
+    from ..storage import is_written, written
+
+    left, right = [rows if is_written(rows) else written(rows, "paired") for rows in (left, right)]
+    sizes = left.groupBy(key).agg(F.count("*").alias("_left")).join(right.groupBy(key).agg(F.count("*").alias("_right")), key)
+    sizes = written(sizes.withColumn("_blocks", F.ceil(F.col("_right") / BLOCK).cast("int")), "paired-sizes")
+    pairs = sizes.agg(F.sum(F.col("_left") * F.col("_right"))).first()[0] or 0
+    if pairs <= PAIRS_EACH:
+        return left.join(right, key)
+    n = parts_of(left.sparkSession, 0) + -(-pairs // PAIRS_EACH)
+    blocks = sizes.select(key, "_blocks")
+    dealt = right.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.col("_blocks")).cast("int")).drop("_blocks")
+    copies = left.join(blocks, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    # Tasks are told by pairs: by their bytes they would be merged to few.
+    dealt = dealt.repartition(n, key, "_block").hint("shuffle_hash")
+    return copies.repartition(n, key, "_block").join(dealt, [key, "_block"]).drop("_block")
+
+
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """For each row the value of the last mark at or before it, by one window over both."""
     both = rows.withColumn("_mark", F.lit(0)).withColumn("_value", F.lit(None).cast(marks.schema[value].dataType))

@@ -27,7 +27,9 @@ class Index:
     methods: DataFrame  # method_id, key, file, line_lo, line_hi, binder
     spans: DataFrame  # method_id, ord, lock, enter, exit, held
     calls: DataFrame  # call_id, caller, line, held, outside
-    targets: DataFrame  # call_id, target, how
+    direct: DataFrame  # call_id, target, how: all links but those by overrides
+    open_calls: DataFrame  # call_id, hub: calls that any override at or below their class may take, and the number, below zero, of these
+    overrides: DataFrame  # hub, target
     may_held: DataFrame  # method_id, lock, dist, pred: the method a shortest way comes from
     orders: DataFrame  # from, to, count, method_id, line, dist
 
@@ -55,7 +57,8 @@ class Index:
             "methods": (methods, "home", ["file", "line_lo", "method_id"]), "spans": (spans, "home", ["method_id", "enter"]), "may_held": (may_held, "home", ["method_id", "dist"]),
             "lock_spans": (spans.withColumn("lock_home", home("lock")), "lock_home", ["lock", "method_id"]), "lock_may_held": (may_held.withColumn("lock_home", home("lock")), "lock_home", ["lock", "dist"]),
             "lock_from": (orders.withColumn("lock_home", home("from")), "lock_home", ["from", "dist"]), "lock_to": (orders.withColumn("lock_home", home("to")), "lock_home", ["to", "dist"]),
-            "locks": (locks.withColumn("lock_home", home("lock")), None, []), "calls": (self.calls, None, []), "targets": (self.targets, None, []), "orders": (self.orders, None, []),
+            "locks": (locks.withColumn("lock_home", home("lock")), None, []), "calls": (self.calls, None, []), "direct": (self.direct, None, []),
+            "open_calls": (self.open_calls, None, []), "overrides": (self.overrides, None, []), "orders": (self.orders, None, []),
         }
         rows = []
         for name, (table, by, order) in laid.items():
@@ -112,8 +115,8 @@ class Index:
 
     def callers_of(self, part: str) -> DataFrame:
         """call_id, caller, target and line of the calls that are linked to methods with `part` in their names."""
-        found = self.targets.join(self.find_methods(part).select(F.col("method_id").alias("target")), "target", "left_semi")
-        return found.join(self.calls.select("call_id", "caller", "line"), "call_id").select("call_id", "caller", "target", "line")
+        found = self.call_edges(self.find_methods(part).select("method_id"))
+        return found.select("call_id", F.col("src").alias("caller"), F.col("dst").alias("target"), "line")
 
     def on_entry(self, depth: int) -> DataFrame:
         return self.may_held.where(F.col("dist") <= depth).orderBy("method_id", "dist", "lock")
@@ -126,13 +129,31 @@ class Index:
     def holders(self, part: str) -> DataFrame:
         return self.with_lock("may_held", part).orderBy("lock", "dist", "method_id")
 
-    def call_edges(self) -> DataFrame:
-        return self.targets.join(self.calls, "call_id").select("call_id", F.col("caller").alias("src"), F.col("target").alias("dst"), "line", "held")
+    @property
+    def targets(self) -> DataFrame:
+        """call_id, target and how of all links. Calls times overrides are rows here only, and nowhere in the tables."""
+        over = relational.paired(self.open_calls, self.overrides, "hub").select("call_id", "target", F.lit("override").alias("how"))
+        return self.direct.select("call_id", "target", "how").unionByName(over)
+
+    def call_edges(self, to: DataFrame | None = None) -> DataFrame:
+        """call_id, src, dst, line and held of all links, or of those to the methods `to` (method_id)."""
+        to = None if to is None else to.select(F.col("method_id").alias("target"))
+        direct, overrides = [rows if to is None else rows.join(to, "target", "left_semi") for rows in (self.direct, self.overrides)]
+        at = self.calls.select("call_id", F.col("caller").alias("src"), "line", "held")
+        columns = ["call_id", "src", F.col("target").alias("dst"), "line", "held"]
+        return direct.join(at, "call_id").select(*columns).unionByName(relational.paired(self.open_calls.join(at, "call_id"), overrides, "hub").select(*columns))
+
+    def ways(self) -> DataFrame:
+        """src and dst: who calls whom, by way of the hubs of overrides, so no more rows than calls and overrides."""
+        arrivals = self.direct.select("call_id", "target").unionByName(self.open_calls.select("call_id", F.col("hub").alias("target")))
+        ways = arrivals.join(self.calls.select("call_id", "caller"), "call_id").select(F.col("caller").alias("src"), F.col("target").alias("dst"))
+        return ways.unionByName(self.overrides.select(F.col("hub").alias("src"), F.col("target").alias("dst"))).distinct()
 
     def link_statistics(self) -> DataFrame:
         """One row: calls, linked, devirtualized (by the receiver's class), callbacks (edges found from what callers
         pass), external (into classes outside the inputs) and unlinked calls; callbacks alone link no call."""
-        how = self.targets.groupBy("call_id").agg(
+        links = self.direct.select("call_id", "how").unionByName(self.open_calls.select("call_id", F.lit("override").alias("how")))
+        how = links.groupBy("call_id").agg(
             F.count_if(F.col("how") != "formal").alias("plain"), F.count_if(F.col("how") == "receiver").alias("receiver"), F.count_if(F.col("how") == "formal").alias("formal")
         )
         rows = self.calls.select("call_id", "outside").join(how, "call_id", "left").na.fill(0, ["plain", "receiver", "formal"])
@@ -170,7 +191,9 @@ class Index:
 
     def remote_calls(self, depth: int = 4) -> DataFrame:
         """Calls into remote entries with a lock held there (0) or on entry to the caller within `depth`."""
-        remote = self.targets.join(self.methods.where("binder").select(F.col("method_id").alias("target")), "target")
+        binder = self.methods.where("binder").select(F.col("method_id").alias("target"))
+        least = self.overrides.join(binder, "target", "left_semi").groupBy("hub").agg(F.min("target").alias("target"))
+        remote = self.direct.join(binder, "target", "left_semi").select("call_id", "target").unionByName(self.open_calls.join(least, "hub").select("call_id", "target"))
         remote = remote.groupBy("call_id").agg(F.min("target").alias("target")).join(self.calls, "call_id")
         own = remote.select("call_id", "caller", "target", F.explode("held").alias("lock"), F.lit(0).alias("dist"))
         entry = remote.join(self.may_held.where(F.col("dist") <= depth), F.col("caller") == F.col("method_id"))
@@ -264,10 +287,14 @@ def declared_at(rows: DataFrame, above: DataFrame, declared: DataFrame, cls: str
     return found.groupBy(*id_).agg(F.min_by("method_id", F.struct("steps", "method_id")).alias(name))
 
 
-def linked(calls: DataFrame, classes: DataFrame, above: DataFrame, methods: DataFrame, binder: DataFrame, cha_cap: int) -> DataFrame:
-    """call_id, target and how: by the receiver's known class (receiver), else by the static class (class) and, if the
-    receiver is neither known nor a formal, by overrides (override); calls on a formal also get the classes that
-    callers pass (formal). A target that is found twice has the first of these. `above` are the ancestors of `classes`."""
+def linked(calls: DataFrame, classes: DataFrame, above: DataFrame, methods: DataFrame, binder: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """call_id, target and how: by the receiver's known class (receiver), else by the static class (class); if the
+    receiver is neither known nor a formal, by all overrides too; calls on a formal also get the classes that
+    callers pass (formal). A target that is found twice has the first of these. `above` are the ancestors of `classes`.
+
+    Calls of one class and signature have the same overrides, however many these are: such calls (call_id, hub) lead to a hub and
+    the hub to its overrides (hub, target), so nothing grows with calls times overrides. A hub is numbered by the least of its calls, below zero.
+    """
     outside = calls.select(F.col("class").alias("child")).distinct().join(classes.select(F.col("class").alias("child")), "child", "left_anti")
     above = written(above.unionByName(outside.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("steps"))), "ancestors-outside")
     declared = written(methods.select("class", F.concat("name", F.lit(":"), "sig").alias("sig"), "method_id"), "declared")
@@ -283,20 +310,26 @@ def linked(calls: DataFrame, classes: DataFrame, above: DataFrame, methods: Data
     static = written(declared_at(rest.select("call_id", "class", "sig"), above, single, "class", ["call_id"], "target"), "targets-class")
     remote = static.join(binder.select(F.col("method_id").alias("target")), "target", "left_semi").select("call_id")
     wide = rest.where(open_ & F.col("formal").isNull()).join(remote, "call_id", "left_anti").select("call_id", "class", "sig")
-    few = declared.groupBy("sig").count().where(F.col("count") <= cha_cap).select("sig")
-    below = above.select(F.col("child").alias("_class"), F.col("ancestor").alias("class"))
-    over = declared.join(few, "sig", "left_semi").select(F.col("class").alias("_class"), "sig", F.col("method_id").alias("target"))
-    over = wide.join(over, "sig").join(below, ["_class", "class"], "left_semi").select("call_id", "target")
+    hubs = written(wide.groupBy("class", "sig").agg((-1 - F.min("call_id")).alias("hub")), "hubs")
+    over = declared.join(hubs.select("sig").distinct(), "sig", "left_semi").select(F.col("class").alias("child"), "sig", F.col("method_id").alias("target"))
+    over = over.join(above.select("child", F.col("ancestor").alias("class")), "child").join(hubs, ["class", "sig"]).select("hub", "target").distinct()
+    # The calls of a hub have the same method by their static class, too.
+    over = written(over.join(static.select((-1 - F.col("call_id")).alias("hub"), "target"), ["hub", "target"], "left_anti"), "overrides")
+    open_calls = wide.join(hubs.join(over, "hub", "left_semi"), ["class", "sig"]).select("call_id", "hub")
+    open_calls = written(open_calls, "open-calls")
     found = lambda rows, how: rows.select("call_id", "target", F.lit(how).alias("how"))
-    over = over.distinct().join(static, ["call_id", "target"], "left_anti")
-    targets = written(found(precise, "receiver").unionByName(found(static, "class")).unionByName(found(over, "override")), "targets")
+    targets = written(found(precise, "receiver").unionByName(found(static, "class")), "targets")
     # Callbacks: formals that are invoked on, directly or by being passed on, and the classes that reach them.
     any_remote = targets.join(binder.select(F.col("method_id").alias("target")), "target", "left_semi").select("call_id").distinct()
     on_formal = calls.where(open_ & F.col("formal").isNotNull()).join(any_remote, "call_id", "left_anti")
-    args = calls.join(targets, "call_id").select("caller", "target", F.posexplode(F.arrays_zip("arg_types", "arg_formals")).alias("p", "a"))
-    args = written(args.select("caller", "target", "p", F.col("a.arg_types").alias("cls"), F.col("a.arg_formals").alias("i")), "arguments")
+    arrivals = targets.select("call_id", "target").unionByName(open_calls.select("call_id", F.col("hub").alias("target")))
+    args = calls.join(arrivals, "call_id").select("caller", "target", F.posexplode(F.arrays_zip("arg_types", "arg_formals")).alias("p", "a"))
+    args = args.select("caller", "target", "p", F.col("a.arg_types").alias("cls"), F.col("a.arg_formals").alias("i"))
+    args = written(args.where("cls is not null or i is not null"), "arguments")
     at = lambda m, j: F.struct(F.col(m).cast("long").alias("m"), F.col(j).cast("int").alias("j"))
-    passes = written(args.where("i is not null").select(at("caller", "i").alias("src"), at("target", "p").alias("dst")).distinct(), "passes")
+    handed = args.where("target < 0").select(F.col("target").alias("hub"), "p").distinct().join(over, "hub")
+    passes = args.where("i is not null").select(at("caller", "i").alias("src"), at("target", "p").alias("dst")).distinct()
+    passes = written(passes.unionByName(handed.select(at("hub", "p").alias("src"), at("target", "p").alias("dst"))), "passes")
     asked = on_formal.select(at("caller", "formal").alias("node"))
     demand = graphs.reachable(passes.select(F.col("dst").alias("src"), F.col("src").alias("dst")), asked)
     given = args.where("cls is not null").select(at("target", "p").alias("node"), F.col("cls").alias("label")).join(demand, "node", "left_semi").distinct()
@@ -309,7 +342,7 @@ def linked(calls: DataFrame, classes: DataFrame, above: DataFrame, methods: Data
     back = on_formal.select("call_id", "sig", at("caller", "formal").alias("node")).join(known, "node").select("call_id", "sig", F.col("label").alias("cls"))
     added = declared_at(back, above, single, "cls", ["call_id", "cls"], "target").select("call_id", "target")
     added = added.distinct().join(targets, ["call_id", "target"], "left_anti")
-    return written(targets.unionByName(found(added, "formal")), "targets")
+    return written(targets.unionByName(found(added, "formal")), "targets"), open_calls, over
 
 
 def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> DataFrame:
@@ -326,8 +359,8 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
     return relational.argmin(rows, ["from", "to"], ["dist", "method_id", "ord", "at"], ["method_id", "line", "dist"])
 
 
-def linked_events(classes: DataFrame, methods: DataFrame, events: DataFrame, above: DataFrame, cha_cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls (call_id, caller, ord, line, outside), numbered in the order of methods; methods that a remote call enters; `linked` targets."""
+def linked_events(classes: DataFrame, methods: DataFrame, events: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Calls (call_id, caller, ord, line, outside), numbered in the order of methods; methods that a remote call enters; what `linked` gives."""
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "class", "sig", "dispatch", "arg_types", "arg_formals")
     calls = relational.numbered(calls, ["method_id", "ord"], "call_id").withColumnRenamed("method_id", "caller")
     calls = written(calls.withColumn("line", F.coalesce("line", F.lit(0))), "calls")
@@ -336,13 +369,13 @@ def linked_events(classes: DataFrame, methods: DataFrame, events: DataFrame, abo
     named = methods.where(~F.startswith("name", F.lit("<")) & ~F.col("name").isin(*PLUMBING)).select("method_id")
     raw = methods.where((F.col("class") == "android.os.IBinder") & F.startswith("name", F.lit("transact"))).select("method_id")
     binder = written(abstract.union(does).distinct().join(named, "method_id", "left_semi").union(raw).distinct(), "binder")
-    targets = linked(calls, classes, above, methods, binder, cha_cap)
+    links = linked(calls, classes, above, methods, binder)
     known = classes.select("class", F.lit(False).alias("_outside")).distinct()
     calls = calls.join(known, "class", "left").select("call_id", "caller", "ord", "line", F.coalesce("_outside", F.lit(True)).alias("outside"))
-    return calls, binder, targets
+    return calls, binder, links
 
 
-def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth: int = 8, order_depth: int = 3, survey: tuple[DataFrame, DataFrame] | None = None, above: DataFrame | None = None) -> Index:
+def build(classes: DataFrame, methods: DataFrame, max_depth: int = 8, order_depth: int = 3, survey: tuple[DataFrame, DataFrame] | None = None, above: DataFrame | None = None) -> Index:
     """`survey` are the events of all methods without locks on entry and their facts, as of `surveyed`, and `above` the ancestors of
     all classes, where they are known already; `methods` are written then."""
     # Read many times from here on, whatever they are derived from.
@@ -352,20 +385,21 @@ def build(classes: DataFrame, methods: DataFrame, cha_cap: int = 16, max_depth:
         spark, lambda: surveyed(methods, fields=False)[1:] if survey is None else survey, lambda: written(ancestors(classes), "ancestors") if above is None else above
     )
     # What a call leads to doesn't hang on the names of the locks held there.
-    events, (calls, binder, targets) = side_by_side(
-        spark, lambda: written(named_events(methods, *survey), "named-events"), lambda: linked_events(classes, methods, survey[0], above, cha_cap)
+    events, (calls, binder, (direct, open_calls, overrides)) = side_by_side(
+        spark, lambda: written(named_events(methods, *survey), "named-events"), lambda: linked_events(classes, methods, survey[0], above)
     )
     spans = written(spans_of(events), "spans")
     held = events.where("kind = 'call'").select(F.col("method_id").alias("caller"), "ord", "held")
     calls = written(calls.join(held, ["caller", "ord"]).select("call_id", "caller", "line", "held", "outside"), "call-sites")
-    edges = targets.join(calls.select("call_id", "caller", "held"), "call_id")
+    arrivals = direct.select("call_id", "target").unionByName(open_calls.select("call_id", F.col("hub").alias("target")))
+    edges = arrivals.join(calls.select("call_id", "caller", "held"), "call_id")
     start = edges.select(F.col("target").alias("node"), F.explode("held").alias("label"), F.col("caller").alias("pred"), F.col("call_id").alias("via"))
     ways = edges.groupBy(F.col("caller").alias("src"), F.col("target").alias("dst")).agg(F.min("call_id").alias("via"))
-    far = graphs.traced(written(ways, "ways"), start, max(1, max_depth))
+    far = graphs.traced(written(ways, "ways"), start, max(1, max_depth), overrides.select("hub", F.col("target").alias("node")))
     may_held = written(far.select(F.col("node").alias("method_id"), F.col("label").alias("lock"), "dist", "pred"), "may-held")
     orders = written(lock_orders(spans, may_held, order_depth), "orders")
     lines = F.transform("positions", lambda p: p["line"])
     records = methods.join(binder.withColumn("binder", F.lit(True)), "method_id", "left").select(
         "method_id", "key", F.coalesce("source_file", F.lit("")).alias("file"), F.coalesce(F.array_min(lines), F.lit(0)).alias("line_lo"), F.coalesce(F.array_max(lines), F.lit(0)).alias("line_hi"), F.coalesce("binder", F.lit(False)).alias("binder")
     )
-    return Index(written(records, "method-index"), spans, calls, targets, may_held, orders)
+    return Index(written(records, "method-index"), spans, calls, direct, open_calls, overrides, may_held, orders)

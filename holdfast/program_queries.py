@@ -144,9 +144,9 @@ def race_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return races(*depots(spark, sf_dir)).select("field", "guard", "guarded", "total", "n_unguarded", *listed)
 
 
-@query(f"""{DEPOTS}, {POINTS}, few AS (SELECT n FROM own WHERE depots + 1 <= 16), answers(question, subject, answer, number) AS (
+@query(f"""{DEPOTS}, {POINTS}, answers(question, subject, answer, number) AS (
         SELECT 'target', c || '.turn', 'w.Base' || n || '.spin' || n || ' class', NULL FROM d
-        UNION ALL SELECT 'target', a.c || '.turn', b.c || '.spin' || a.n || ' override', NULL FROM d a JOIN d b USING (n) JOIN few USING (n)
+        UNION ALL SELECT 'target', a.c || '.turn', b.c || '.spin' || a.n || ' override', NULL FROM d a JOIN d b USING (n)
         UNION ALL SELECT 'target', c || '.known', c || '.spin' || n || ' receiver', NULL FROM d WHERE rich
         UNION ALL SELECT 'target', c || '.each', 'w.Act.go class', NULL FROM d
         UNION ALL SELECT 'target', c || '.each', 'w.L' || k || '.go formal', NULL FROM d WHERE k % 5 <> 3
@@ -183,6 +183,7 @@ def race_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one index answers, in full: targets of all calls, remote calls under locks, spans, lock orders, inversions with
     their gates, cycles, a witness for each lock that may be held in each method, and link statistics."""
+    from .operators.relational import paired
     from .plans.index import build
 
     classes, methods, _ = depots(spark, sf_dir)
@@ -190,7 +191,11 @@ def index_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = index.methods.select("method_id", F.substring_index("key", ":", 1).alias("name"))
     named = lambda id_, to: name.select(F.col("method_id").alias(id_), F.col("name").alias(to))
     row = lambda rows, question, subject, answer, number=None: rows.select(F.lit(question).alias("question"), subject.alias("subject"), answer.alias("answer"), (F.lit(None) if number is None else number).cast("long").alias("number"))
-    edges = index.targets.join(index.calls.select("call_id", "caller"), "call_id").join(named("caller", "from"), "caller").join(named("target", "to"), "target")
+    # Names are found for calls and for overrides, not for their pairs.
+    callers = index.calls.select("call_id", "caller").join(named("caller", "from"), "caller").select("call_id", "from")
+    edges = index.direct.join(callers, "call_id").join(named("target", "to"), "target").select("from", "to", "how")
+    over = paired(index.open_calls.join(callers, "call_id").select("hub", "from"), index.overrides.join(named("target", "to"), "target").select("hub", "to"), "hub")
+    edges = edges.unionByName(over.select("from", "to", F.lit("override").alias("how")))
     spans = index.spans.join(named("method_id", "name"), "method_id")
     paths = index.witness(8).select("method_id", "lock", "dist", F.posexplode("path").alias("i", "m"))
     paths = paths.join(named("m", "name"), "m").groupBy("method_id", "lock", "dist").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("path"))

@@ -137,3 +137,18 @@ def test_closure_of_random_graphs_and_nulls(spark):
         level = {(a, d) for a, b in level for c, d in edges if b == c and b is not None} - set(want)
     got = graphs.closure(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert Counter((r.src, r.dst, r.steps) for r in got) == Counter((a, b, n) for (a, b), n in want.items())
+
+
+def test_traced_by_hubs_is_traced_by_all_edges(spark):
+    """Hubs in place of all pairs: distances and preds are the same."""
+    r = random.Random(8)
+    hubs = [(-1 - h, r.randrange(40)) for h in range(4) for _ in range(7)]
+    hubs = sorted(set(hubs))
+    short = [(r.randrange(40), r.choice([-1, -2, -3, -4, r.randrange(40)]), i) for i in r.sample(range(1000), 50)]
+    start = [(r.choice([-1, r.randrange(40)]), r.choice(["x", "y", None]), 100 + i, i) for i in range(6)]
+    to = lambda n: [n] if n >= 0 else [m for h, m in hubs if h == n]
+    edges, long = spark.createDataFrame(short, "src long, dst long, via long"), "node long, label string, pred long, via long"
+    got = graphs.traced(edges, spark.createDataFrame(start, long), 5, spark.createDataFrame(hubs, "hub long, node long"))
+    all_edges = spark.createDataFrame([(a, m, v) for a, b, v in short for m in to(b)], edges.schema)
+    want = graphs.traced(all_edges, spark.createDataFrame([(m, *rest) for n, *rest in start for m in to(n)], long), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20

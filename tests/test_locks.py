@@ -248,3 +248,43 @@ def test_methods_are_taken_apart_piece_by_piece():
     want = [{"method_id": j, "insns": [{"offset": i["offset"], "args": i["args"] or []} for i in own or []], "positions": [{"offset": j}], "catches": []} for j, own in enumerate(insns)]
     for size in (1, 2, 3, 100):
         assert list(methods_in(iter([batch, batch.slice(1, 3)]), size)) == want + want[1:4]
+
+
+def test_all_overrides_are_linked(spark, tmp_path):
+    """However many classes override what is called: links, locks on entry, ways, callbacks and questions know them all."""
+    from holdfast.plans.report import entry_paths, points
+
+    n = 40
+    classes, methods, _ = programs.loft(n).tables(spark)
+    index = build(classes, methods)
+    short = {r.method_id: r.key.split("loft.")[1].split(":")[0] for r in index.methods.collect()}
+    calls = {r.call_id: short[r.caller] for r in index.calls.collect()}
+    links = [(calls[r.call_id], short[r.target], r.how) for r in index.targets.collect()]
+    beats, carries = [f"Wing{k}.beat" for k in range(n)], [f"Wing{k}.carry" for k in range(n)]
+    want = [(c, "Wing.beat", "class") for c in ("Loft.fly", "Loft.run")] + [("Loft.drop", "Wing.carry", "class")]
+    want += [(c, b, "override") for c in ("Loft.fly", "Loft.run") for b in beats] + [("Loft.drop", c, "override") for c in carries]
+    # A bell that is handed to any wing is rung by each of them.
+    want += [(c, "Bell.ring", "class") for c in carries] + [(c, "Chime.ring", "formal") for c in carries]
+    assert sorted(links) == sorted(want)
+    assert sorted((short[r.src], short[r.dst]) for r in index.call_edges().collect()) == sorted((a, b) for a, b, _ in want)
+    held = {(short[r.method_id], r.dist, short[r.pred]) for r in index.may_held.collect()}
+    first = {("Wing.beat", 1, "Loft.fly"), ("Wing.carry", 1, "Loft.drop")} | {(b, 1, "Loft.fly") for b in beats} | {(c, 1, "Loft.drop") for c in carries}
+    assert held - first == {(f"{bell}.ring", 2, "Wing0.carry") for bell in ("Bell", "Chime")} and first <= held
+    got = index.link_statistics().first()
+    assert (got.calls, got.linked, got.callbacks, got.unlinked, got.external) == (n + 3, n + 3, n, 0, 0)
+    index.write(str(tmp_path))
+    laid = Index.read(spark, str(tmp_path))
+    assert sorted(short[r.caller] for r in laid.callers_of("Wing39.beat").collect()) == ["Loft.fly", "Loft.run"]
+    assert [[short_key.split("loft.")[1] for short_key in r.path] for r in entry_paths(laid, points(laid, "method", "Wing39.carry"), 4).collect()] == [["Loft.drop:()V", "Wing39.carry:(Lloft/Bell;)V"]]
+
+
+def test_calls_of_many_overrides_stay_few_rows(spark, monkeypatch):
+    """No table of an index has a row for each call and override."""
+    from holdfast.plans import index as made
+
+    n, sizes = 30, {}
+    classes, methods, _ = programs.loft(n, callers=n).tables(spark)
+    monkeypatch.setattr(made, "written", lambda df, name, kept=made.written: (lambda t: sizes.__setitem__(name, max(sizes.get(name, 0), t.count())) or t)(kept(df, name)))
+    index = build(classes, methods)
+    assert index.targets.where("how = 'override'").count() == n * (n + 3)
+    assert max(sizes.values()) < n * n
