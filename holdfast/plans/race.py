@@ -28,8 +28,9 @@ def concurrent_methods(above: DataFrame, methods: DataFrame, index: Index) -> Da
     for s, cls in THREADS:
         roots = roots.union(mine.where((F.col("sig") == s) & (F.col("ancestor") == cls)).select("method_id"))
     # Read in each round of the search.
-    edges = written(index.call_edges().select("src", "dst").distinct(), "edges")
-    return graphs.reachable(edges, roots.select(F.col("method_id").alias("node"))).withColumnRenamed("node", "method_id")
+    found = graphs.reachable(written(index.ways(), "edges"), roots.select(F.col("method_id").alias("node")))
+    # Hubs of overrides are below zero.
+    return found.where("node >= 0").withColumnRenamed("node", "method_id")
 
 
 def field_accesses(methods: DataFrame, index: Index, known: DataFrame, events: DataFrame) -> DataFrame:
@@ -43,11 +44,12 @@ def field_accesses(methods: DataFrame, index: Index, known: DataFrame, events: D
     held = F.filter("held", lambda n: ~F.startswith(n, F.lit(OPAQUE)))
     rows = written(events.select("method_id", F.col("name").alias("field"), "line", "write", held.alias("held")), "field-events")
     touches = lambda *ops: F.exists("insns", lambda i: i["op"].isin(*ops))
-    accessors = methods.where(
+    accessors = methods.join(rows.select("method_id").distinct(), "method_id", "left_semi").where(
         F.forall("positions", lambda p: p["line"] == 0) & touches("iget", "iput", "sget", "sput") & ~touches("invoke", "monitor_enter", "monitor_exit")
     ).select("method_id")
+    accessors = written(accessors, "accessors")
     locked = index.may_held.select("method_id").distinct().withColumn("_may", F.lit(True))
-    calls = index.call_edges().select(F.col("dst").alias("accessor"), F.col("src").alias("method_id"), "line", "held")
+    calls = index.call_edges(accessors).select(F.col("dst").alias("accessor"), F.col("src").alias("method_id"), "line", "held")
     through = rows.join(accessors, "method_id", "left_semi").select(F.col("method_id").alias("accessor"), "field", "write").join(calls, "accessor")
     both = rows.join(accessors, "method_id", "left_anti").unionByName(through.select("method_id", "field", "line", "write", "held"))
     return both.join(locked, "method_id", "left").withColumn("unlocked", F.col("_may").isNull() & (F.size("held") == 0)).drop("_may")

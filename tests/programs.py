@@ -136,8 +136,8 @@ def yards(n: int):
     return p
 
 
-def loft(n: int, callers: int = 0):
-    """n wings that override what a loft calls, under its door or from a thread; each wing rings the bell that it is handed."""
+def loft(n: int, callers: int = 0, under: bool = True, lines: int = 10):
+    """n wings that override what a loft calls, under its door (if `under`) and from a thread; each wing rings the bell that it is handed."""
     p = Program()
     p.cls("java.lang.Runnable")
     p.cls("loft.Bell")
@@ -149,13 +149,14 @@ def loft(n: int, callers: int = 0):
     p.method("carry:(Lloft/Bell;)V", ["return"], ins=2, lines=4)
     for k in range(n):
         p.cls(f"loft.Wing{k}", super_="loft.Wing")
-        p.method("beat:()V", [f"iput 1 3 loft.Wing.speed{k}", "return"], lines=10)
+        p.method("beat:()V", [f"iput 1 3 loft.Wing.speed{k}", "return"], lines=lines)
         p.method("carry:(Lloft/Bell;)V", ["virtual 3 loft.Bell.ring:()V", "return"], ins=2, lines=11)
         for j in range(3):
             p.method(f"glide{j}:()V", [*within("loft.Loft.door", [f"iput 1 3 loft.Wing.speed{k}"]), "return"], lines=12 + j)
     p.cls("loft.Loft", interfaces=("java.lang.Runnable",))
     wing, beat = "iget 1 3 loft.Loft.wing", "virtual 1 loft.Wing.beat:()V"
-    p.method("fly:()V", [*within("loft.Loft.door", [wing, beat]), "return"], lines=20)
+    if under:
+        p.method("fly:()V", [*within("loft.Loft.door", [wing, beat]), "return"], lines=20)
     p.method("drop:()V", [*within("loft.Loft.door", [wing, "new 2 loft.Chime", "virtual 1,2 loft.Wing.carry:(Lloft/Bell;)V"]), "return"], lines=21)
     p.method("run:()V", [wing, beat, "return"], lines=22)
     for k in range(callers):

@@ -288,3 +288,22 @@ def test_calls_of_many_overrides_stay_few_rows(spark, monkeypatch):
     index = build(classes, methods)
     assert index.targets.where("how = 'override'").count() == n * (n + 3)
     assert max(sizes.values()) < n * n
+
+
+def test_races_through_any_of_many_overrides(spark):
+    """A thread that calls a method with forty overrides reaches each of them, and so does an accessor's caller."""
+    n = 40
+    rows = races(*programs.loft(n).tables(spark), min_guarded=3, min_ratio=0.5).collect()
+    # Each wing's speed is guarded in three glides; `beat` holds the door by way of fly, so what it writes isn't open.
+    assert rows == []
+    rows = races(*programs.loft(n, under=False).tables(spark), min_guarded=3, min_ratio=0.5).collect()
+    assert sorted((r.field, r.guard, r.guarded, r.total) for r in rows) == sorted((f"loft.Wing.speed{k}", "loft.Loft.door", 3, 4) for k in range(n))
+    assert all([(u.line, u.concurrent) for u in r.unguarded] == [(10, True)] for r in rows)
+
+
+def test_accessors_behind_many_overrides(spark):
+    """An override without lines is an accessor: what it does counts for all that call it."""
+    rows = races(*programs.loft(20, under=False, lines=0).tables(spark), min_guarded=3, min_ratio=0.5).collect()
+    assert sorted((r.field, r.guarded, r.total, [(u.method, u.line, u.concurrent) for u in r.unguarded]) for r in rows) == sorted(
+        (f"loft.Wing.speed{k}", 3, 4, [("loft.Loft.run:()V", 22, True)]) for k in range(20)
+    )
