@@ -165,11 +165,12 @@ def strong(src: list[int], dst: list[int]) -> dict[int, int]:
 def cycles(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node, component (its least node) and size, for strongly connected components of two nodes or more.
 
-    Nodes are numbers or texts. In each round, edges between open parts go; nodes that no edge enters or none leaves are trimmed, edge by edge,
-    a few times; then every part has a pivot, and all parts are searched at once forward and backward from theirs. What both searches
-    reach is the pivot's component; the three rests are open parts of the next round. So no table has more rows than nodes or edges.
-    A search takes as many joins as its longest shortest way; parts shrink by their pivots, so the rounds are about
-    the logarithm of the number of components in a row. When no more than `few` edges are left, whatever the input was, one task does the rest.
+    Nodes are numbers or texts. In each round, nodes that no edge enters or none leaves are trimmed, edge by edge, a few times; then every node
+    takes the greatest colour of all that lead to it, by a hash as good as drawn, and edges between colours go, as no component has two of them.
+    What leads back to the node that a colour comes from, within the colour, is that node's component; all other nodes stay for the next
+    round. So a round finds a component in each colour, however many there are side by side, and no table has more rows than nodes or edges.
+    A search takes as many joins as its longest shortest way, and the rounds are about the logarithm of the number of components in a
+    row. When no more than `few` edges are left, whatever the input was, one task does the rest.
     """
     kind = edges.schema["src"].dataType.simpleString()
     left = written(edges.select("src", "dst").where("src <> dst").distinct(), "open-edges")
@@ -198,28 +199,27 @@ def cycles(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
                 break
         if not n:
             break
-        part = F.col("part") if "part" in left.columns else F.lit(0).cast("long")
-        nodes = written(left.select(F.col("src").alias("node"), part.alias("part")).distinct(), "open-nodes")
-        # The pivot is the least by a hash, so that it is as good as drawn.
-        pivots = nodes.groupBy("part").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("p")).select(F.col("p.node").alias("node"))
-        both = left.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(True).alias("ahead"))
-        both = both.unionByName(left.select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(False).alias("ahead")))
-        new = known = written(pivots.select("node", F.explode(F.array(F.lit(True), F.lit(False))).alias("ahead")), "reached")
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        state = changed = written(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root")).alias("colour")), "colours")
+        while not changed.isEmpty():
+            moved = changed.join(left.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("to"))
+            changed = written(moved.join(state, "node").where("to > colour").select("node", F.col("to").alias("colour")), "colours-changed")
+            state = written(state.join(changed, "node", "left_anti").unionByName(changed), "colours")
+        state = state.select("node", F.col("colour.root").alias("root"))
+        inside = left.join(state.withColumnRenamed("node", "src"), "src").join(state.withColumnRenamed("node", "dst"), ["dst", "root"])
+        inside = written(inside.select("src", "dst"), "inside-colours")
+        back = inside.select(F.col("dst").alias("node"), F.col("src").alias("to"))
+        new = known = written(state.where("node = root"), "leading-back")
         while not new.isEmpty():
-            moved = new.join(both, ["node", "ahead"]).select(F.col("to").alias("node"), "ahead").distinct()
-            new = written(moved.join(known, ["node", "ahead"], "left_anti"), "reached-new")
+            moved = new.join(back, "node").select(F.col("to").alias("node"), "root").distinct()
+            new = written(moved.join(known, "node", "left_anti"), "leading-back-new")
             known = known.unionByName(new)
-        sides = known.groupBy("node").agg(F.bool_or("ahead").alias("f"), F.bool_or(~F.col("ahead")).alias("b"))
-        sides = nodes.join(sides, "node", "left").na.fill(False, ["f", "b"])
-        sides = written(sides, "open-sides")
-        core = sides.where("f and b")
-        least = core.groupBy("part").agg(F.min("node").alias("component"))
-        found.append(written(core.join(least, "part").select("node", "component"), "components"))
-        rest = sides.where("not (f and b)").select("node", F.xxhash64("part", "f", "b").alias("part"))
-        rest = written(rest, "open-parts")
-        left = left.select("src", "dst").join(rest.select(F.col("node").alias("src"), "part"), "src")
-        left = left.join(rest.select(F.col("node").alias("dst"), "part"), ["dst", "part"]).select("src", "dst", "part")
-        left = written(left, "open-edges")
+        known = written(known, "leading-back")
+        least = known.groupBy("root").agg(F.min("node").alias("component"))
+        found.append(written(known.join(least, "root").select("node", "component"), "components"))
+        gone = known.select(F.col("node").alias("src"))
+        left = inside.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
+        left = written(left.select("src", "dst"), "open-edges")
     if not found:
         return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}, size long")
     label = found[0]

@@ -108,14 +108,15 @@ def argmin(rows: DataFrame, by: list[str], order: list[str], take: list[str]) ->
     return rows.groupBy(*by).agg(F.count("*").alias("count"), best).select(*by, "count", *[F.col(f"_best.{c}").alias(c) for c in take])
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0, parts: int | None = None) -> DataFrame:
     """Adds consecutive numbers in the order of unique keys without sending all rows to one task.
 
-    Rows are range-partitioned and sorted, once; the partitions' sizes, one row each, give where each begins.
+    Rows are range-partitioned and sorted, once, in `parts` tasks (the session's number if not given); the partitions' sizes, one row
+    each, give where each begins.
     """
     from ..storage import written
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The number of a row within its sorted partition is in the low 33 bits.
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = written(placed, "placed")

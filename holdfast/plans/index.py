@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.names import ABSTRACT, OPAQUE, flag
 from ..operators import graphs, relational
 from ..sources.facts import ancestors
-from ..storage import is_written, side_by_side, written
+from ..storage import is_written, parts_of, side_by_side, written
 from .held import PLUMBING, remote_interfaces, surveyed, transacting
 from .naming import at_hand, canonical_sites, sites_of
 
@@ -362,7 +362,7 @@ def lock_orders(spans: DataFrame, may_held: DataFrame, order_depth: int) -> Data
 def linked_events(classes: DataFrame, methods: DataFrame, events: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
     """Calls (call_id, caller, ord, line, outside), numbered in the order of methods; methods that a remote call enters; what `linked` gives."""
     calls = events.where("kind = 'call'").select("method_id", "ord", "line", "class", "sig", "dispatch", "arg_types", "arg_formals")
-    calls = relational.numbered(calls, ["method_id", "ord"], "call_id").withColumnRenamed("method_id", "caller")
+    calls = relational.numbered(calls, ["method_id", "ord"], "call_id", parts=parts_of(events.sparkSession, calls.count())).withColumnRenamed("method_id", "caller")
     calls = written(calls.withColumn("line", F.coalesce("line", F.lit(0))), "calls")
     abstract = methods.where(flag(F.col("access"), ABSTRACT)).join(remote_interfaces(above), "class", "left_semi").select("method_id")
     does = methods.join(transacting(methods), "key", "left_semi").select("method_id")

@@ -106,9 +106,10 @@ def with_callees(methods: DataFrame, facts: DataFrame, name: str) -> DataFrame:
     """
     # They are read twice: what they are chosen from, with all code, once.
     methods = written(methods, "called-again")
-    called = called_keys(methods).join(facts, "key")
-    lists = called.groupBy("method_id").agg(F.collect_list(F.struct("key", *[c for c in facts.columns if c != "key"])).alias(name))
-    return methods.repartition(spread_out(methods.sparkSession), "method_id").join(lists, "method_id", "left")
+    n, called = spread_out(methods.sparkSession), called_keys(methods).join(facts, "key")
+    # Both sides are dealt alike, so methods are sent once and to as many tasks as are wanted.
+    lists = called.repartition(n, "method_id").groupBy("method_id").agg(F.collect_list(F.struct("key", *[c for c in facts.columns if c != "key"])).alias(name))
+    return methods.repartition(n, "method_id").join(lists, "method_id", "left")
 
 
 def solved_formals(facts: DataFrame) -> DataFrame:

@@ -37,19 +37,27 @@ def is_written(df: DataFrame) -> bool:
 
 #: Rows of keys and numbers that one task of a shuffle sorts or hashes, about: some 100 MB with what it keeps of them.
 ROWS_EACH = 500_000
+#: Tasks for each core that rows are dealt to by number, at most, unless there are too many rows for so few.
+TASKS_A_CORE = 4
+
+
+def dealt_to(spark: SparkSession) -> int:
+    """The session's partitions, but no more than the cores have a use for: each is a task and a file in every table that is dealt by number,
+    and a session for large inputs has hundreds, for small tables too."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
 
 def parts_of(spark: SparkSession, n_rows: int) -> int:
-    """Partitions for a shuffle of so many narrow rows: the session's number, and more where a task's share would grow beyond ROWS_EACH."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_EACH))
+    """Partitions for a shuffle of so many narrow rows: those of `dealt_to`, and more where a task's share would grow beyond ROWS_EACH."""
+    return max(dealt_to(spark), -(-n_rows // ROWS_EACH))
 
 
 def spread_out(spark: SparkSession, n_rows: int = 0, each: int = ROWS_EACH) -> int:
     """Partitions for rows that take much more work than their bytes tell, so that none is left to be merged by size: two for each core or
-    partition of the session's, one for each `each` rows if that is more, and as many for each core, so that files that are
+    partition of `dealt_to`, one for each `each` rows if that is more, and as many for each core, so that files that are
     written so are dealt evenly when they are read."""
     cores = spark.sparkContext.defaultParallelism
-    n = max(2 * cores, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // each))
+    n = max(2 * cores, 2 * dealt_to(spark), -(-n_rows // each))
     return -(-n // cores) * cores
 
 

@@ -152,3 +152,16 @@ def test_traced_by_hubs_is_traced_by_all_edges(spark):
     all_edges = spark.createDataFrame([(a, m, v) for a, b, v in short for m in to(b)], edges.schema)
     want = graphs.traced(all_edges, spark.createDataFrame([(m, *rest) for n, *rest in start for m in to(n)], long), 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+
+
+def test_many_components_side_by_side_take_few_rounds(spark, monkeypatch):
+    """A thousand small rings that nothing joins, each with a tail: all are found at once, not one in each round."""
+    n, tables, kept = 1000, [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: tables.append(name) or kept(df, name))
+    size = 2 + F.col("id") % 3
+    rings = spark.range(n).select(F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("i"), "id", size.alias("n"))
+    edges = rings.select((F.col("id") * 10 + F.col("i")).alias("src"), (F.col("id") * 10 + (F.col("i") + 1) % F.col("n")).alias("dst"))
+    edges = edges.union(spark.range(n).select(F.col("id") * 10, F.col("id") * 10 + 9))
+    got = {tuple(r) for r in graphs.cycles(edges, few=20).collect()}
+    assert got == {(10 * k + i, 10 * k, 2 + k % 3) for k in range(n) for i in range(2 + k % 3)}
+    assert tables.count("components") <= 2
